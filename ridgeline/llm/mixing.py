@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 4096
+#: A plan of at most this many sources is broadcast to the rows; a larger one is joined by shuffle.
+BROADCAST_SOURCES = 100_000
 _UNIT = float(1 << 52)
 
 
@@ -60,6 +62,11 @@ def source_targets(
     )
 
 
+def _by_source(rows: DataFrame, plan: DataFrame, few: bool, how: str = "left") -> DataFrame:
+    """Rows with their source's plan; if the sources are few, without moving the rows."""
+    return rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("s")), how)
+
+
 def copies(
     docs: DataFrame,
     *,
@@ -72,12 +79,13 @@ def copies(
     max_copies: int = 2,
     seed: str = "mix-1",
     checkpoint: bool = True,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, bool]:
     """Decide how often each document is taken.
 
     Returns the keyed documents ``id, source, size, q`` and the plan of each source
-    ``source, source_size, target, whole, cut``: a document is taken ``whole``
-    times, and once more if its rank ``q`` is at most ``cut``.
+    ``source, source_size, target, rate, cut``: a document is taken ``whole``
+    times, and once more if its rank ``q`` is at most ``cut``; and whether the
+    sources are few enough to broadcast that plan.
 
     Each document's expected number of copies is target / source size (times its
     own weight relative to the source's mean, if ``weight_col`` is given).  The
@@ -106,6 +114,7 @@ def copies(
     sizes = keyed.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.sum(F.col("own") * F.col("size")).alias("own_size")
     )
+    few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     targets = source_targets(sizes, weights, volume, max_copies)
     rate = F.when(F.col("target") >= F.col("source_size").cast("double") * max_copies, F.lit(float(max_copies))).otherwise(
         F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
@@ -116,7 +125,7 @@ def copies(
     )
     due = F.least(F.lit(float(max_copies)), F.col("rate") * (F.col("own") / F.col("own_mean"))) if weight_col else F.col("rate")
     ranked = (
-        keyed.join(plan, F.col("source").eqNullSafe(F.col("s")), "left")
+        _by_source(keyed, plan, few)
         .drop("s")
         .withColumn("due", F.coalesce(due, F.lit(0.0)))
         .withColumn("whole", F.floor("due").cast("int"))
@@ -141,8 +150,8 @@ def copies(
         .groupBy(F.col("source").alias("s")).agg(F.min_by("need", "bin").alias("need"), F.min_by(F.col("through") - F.col("size"), "bin").alias("before"), F.min("bin").alias("b"))
     )
     inside = (
-        rest.withColumn("bin", bin_of)
-        .join(crossing, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+        _by_source(rest.withColumn("bin", bin_of), crossing, few, "inner")
+        .filter(F.col("bin") == F.col("b"))
         .groupBy("source", "q").agg(F.sum("size").alias("size"), F.max("need").alias("need"), F.max("before").alias("before"))
     )
     walk = Window.partitionBy("source").orderBy("q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -164,16 +173,17 @@ def copies(
         .withColumn("cut", cut)
         .select("source", "source_size", "target", "rate", "cut")
     )
-    return ranked.select("id", "source", "size", "whole", "q"), plans
+    return ranked.select("id", "source", "size", "whole", "q"), plans, few
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """``id, size, source_size, target, copies, taken`` for each row of ``docs``; see :func:`copies`."""
-    keyed, plans = copies(docs, **options)
+    keyed, plans, few = copies(docs, **options)
+    keyed = keyed.drop("source_size", "target")
     plans = plans.withColumnRenamed("source", "s")
     extra = (F.col("q") <= F.col("cut")).cast("int")
     n = F.col("whole") + F.coalesce(extra, F.lit(0))
-    return keyed.join(plans, F.col("source").eqNullSafe(F.col("s")), "left").select(
+    return _by_source(keyed, plans, few).select(
         "id", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"),
         F.coalesce("target", F.lit(0.0)).alias("target"), n.alias("copies"), (n * F.col("size")).cast("long").alias("taken"),
     )
