@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import mixing
+from ridgeline.llm import langid, mixing, quality
 from ridgeline.llm.kernels import id_crc, load
 
 MIX_SEED = "mix-1"
@@ -61,5 +61,17 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST(n * size AS BIGINT) AS taken FROM x
 """
 
-QUERIES = {"op7_mix": op7_mix}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = id_crc("doc_id") % 4
+    langs, model = langid.fit(docs, fold != 2)
+    out = langid.predict(docs, langs, model)
+    return out.select(F.col("id").alias("doc_id"), (id_crc("id") % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op7_mix": op7_mix, "op8_quality": op8_quality, "op9_langid": op9_langid}
 ORACLES = {"op7_mix": OP7_SQL}
