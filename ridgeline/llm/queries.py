@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import langid, mixing, pii, quality
+from ridgeline.llm import langid, mixing, neardup, pii, quality
 from ridgeline.llm.kernels import id_crc, load
 
 MIX_SEED = "mix-1"
@@ -87,5 +87,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_pii": op10_pii, "op7_mix": op7_mix, "op8_quality": op8_quality, "op9_langid": op9_langid}
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.linked(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op6_neardup": op6_neardup, "op10_pii": op10_pii, "op7_mix": op7_mix, "op8_quality": op8_quality, "op9_langid": op9_langid}
 ORACLES = {"op7_mix": OP7_SQL}
