@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import langid, mixing, neardup, pii, quality
+from ridgeline.llm import langid, mixing, neardup, pii, quality, toxicity
 from ridgeline.llm.kernels import id_crc, load
 
 MIX_SEED = "mix-1"
@@ -91,5 +91,15 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.linked(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op6_neardup": op6_neardup, "op10_pii": op10_pii, "op7_mix": op7_mix, "op8_quality": op8_quality, "op9_langid": op9_langid}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = id_crc("doc_id") % 5
+    labels = load(spark, sf_dir, "labels").filter(fold != 0).withColumn("part", F.when(fold == 1, 1).otherwise(0))
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select(
+        F.col("id").alias("doc_id"), (id_crc("id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op6_neardup": op6_neardup, "op10_pii": op10_pii, "op7_mix": op7_mix, "op8_quality": op8_quality, "op9_langid": op9_langid}
 ORACLES = {"op7_mix": OP7_SQL}
