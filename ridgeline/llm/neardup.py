@@ -35,10 +35,10 @@ class Sketching:
     bands: int = 32
     rows: int = 6
     bits: int = 2  # kept of each minimum
-    long_bits: int = 1024  # of the sketch for what the pivots have not linked
+    long_bits: int = 2048  # of the sketch for what the pivots have not linked
     rounds: int = 3
     cell: int = 512  # rows of a bucket that meet in one cell
-    sigmas: float = 5.0
+    sigmas: float = 4.5
 
     @property
     def hashes(self) -> int:
