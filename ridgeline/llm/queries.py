@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import langid, lmscore, mixing, neardup, pii, quality, toxicity
+from ridgeline.llm import htmltext, langid, lmscore, mixing, neardup, pii, quality, toxicity
 from ridgeline.llm.kernels import id_crc, load
 
 MIX_SEED = "mix-1"
@@ -109,5 +109,12 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_lm_score": op3_lm_score, "op2_toxicity": op2_toxicity, "op6_neardup": op6_neardup, "op10_pii": op10_pii, "op7_mix": op7_mix, "op8_quality": op8_quality, "op9_langid": op9_langid}
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the url rides along with the id, so that no join is needed
+    pages = load(spark, sf_dir, "pages").withColumn("key", F.struct("page_id", "url"))
+    out = htmltext.extract(pages, id_col="key")
+    return out.select("id.page_id", "id.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {"op4_html": op4_html, "op3_lm_score": op3_lm_score, "op2_toxicity": op2_toxicity, "op6_neardup": op6_neardup, "op10_pii": op10_pii, "op7_mix": op7_mix, "op8_quality": op8_quality, "op9_langid": op9_langid}
 ORACLES = {"op7_mix": OP7_SQL}
