@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.llm.shared import checkpointed
+
 BINS = 4096
 #: A plan of at most this many sources is broadcast to the rows; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 100_000
@@ -110,7 +112,7 @@ def copies(
         own.alias("own"),
     )
     if checkpoint:
-        keyed = keyed.checkpoint()  # the texts are read once; only these few columns are kept
+        keyed = checkpointed(keyed)  # the texts are read once; only these few columns are kept
     sizes = keyed.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.sum(F.col("own") * F.col("size")).alias("own_size")
     )

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.kernels import Block, binaries, blocks, mix64, shingles, utf8
+from ridgeline.llm.shared import shared_dir
 
 _BLOCK = 1 << 19
 #: Ids of the texts to read again are broadcast if at most this many (16 MB); else they are joined by shuffle.
@@ -194,6 +195,7 @@ def components(edges: DataFrame, steps: int | None = None) -> DataFrame:
     label's own.  Equal labels always mean connected nodes.  Only a count of
     changes comes to the driver.
     """
+    shared_dir(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("low")).select(
         "class", F.least("class", "low").alias("comp")
@@ -227,6 +229,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     result; other columns are not read.
     """
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    shared_dir(docs.sparkSession)  # checkpoints go there
     sketched = sketches(picked, s).checkpoint()
     classes = sketched.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"))
     nodes = (

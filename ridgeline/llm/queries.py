@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import htmltext, langid, lmscore, mixing, neardup, pii, quality, toxicity
+from ridgeline.llm import htmltext, langid, lmscore, media, mixing, neardup, pii, quality, toxicity
 from ridgeline.llm.kernels import id_crc, load
 
 MIX_SEED = "mix-1"
@@ -116,5 +116,9 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id.page_id", "id.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op4_html": op4_html, "op3_lm_score": op3_lm_score, "op2_toxicity": op2_toxicity, "op6_neardup": op6_neardup, "op10_pii": op10_pii, "op7_mix": op7_mix, "op8_quality": op8_quality, "op9_langid": op9_langid}
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op5_media": op5_media, "op4_html": op4_html, "op3_lm_score": op3_lm_score, "op2_toxicity": op2_toxicity, "op6_neardup": op6_neardup, "op10_pii": op10_pii, "op7_mix": op7_mix, "op8_quality": op8_quality, "op9_langid": op9_langid}
 ORACLES = {"op7_mix": OP7_SQL}

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.kernels import Block, binaries, blocks, utf8
+from ridgeline.llm.shared import shared_dir
 
 _KEEP = bytes(c if c >= 0x80 or 97 <= c <= 122 else 32 for c in range(256))
 _BLOCK = 1 << 20
@@ -225,6 +226,7 @@ def fit(
     # about 3 * max_docs rows at most, so the ids may go to every task
     sample = known.filter(draw < limit)
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(F.broadcast(sample), "id")
+    shared_dir(docs.sparkSession)  # the checkpoint goes there
     counted = _count(texts.filter("part = 0").select("text", "toxic"), s).checkpoint()
     if counted.count() > s.max_grams:
         counted = counted.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(s.max_grams)
