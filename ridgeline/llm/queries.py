@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import htmltext, langid, lmscore, media, mixing, neardup, pii, quality, toxicity
+from ridgeline.llm import htmltext, langid, lmscore, media, mixing, neardup, pii, quality, spm, toxicity
 from ridgeline.llm.kernels import id_crc, load
 
 MIX_SEED = "mix-1"
+SPM_SEED = 1
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,5 +121,17 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op5_media": op5_media, "op4_html": op4_html, "op3_lm_score": op3_lm_score, "op2_toxicity": op2_toxicity, "op6_neardup": op6_neardup, "op10_pii": op10_pii, "op7_mix": op7_mix, "op8_quality": op8_quality, "op9_langid": op9_langid}
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    # the digest rides along with the id, so that no join is needed
+    docs = docs.withColumn("key", F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256")))
+    out = spm.decode(spm.encode(docs.select("key", "text", "doc_id"), id_col="key", seed=SPM_SEED))
+    decoded = F.sha2(F.col("text").cast("binary"), 256)
+    return out.select(
+        "id.doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"), decoded.alias("decoded_sha256"), (decoded == F.col("id.sha256")).alias("lossless"),
+    )
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op5_media": op5_media, "op4_html": op4_html, "op3_lm_score": op3_lm_score, "op2_toxicity": op2_toxicity, "op6_neardup": op6_neardup, "op10_pii": op10_pii, "op7_mix": op7_mix, "op8_quality": op8_quality, "op9_langid": op9_langid}
 ORACLES = {"op7_mix": OP7_SQL}
