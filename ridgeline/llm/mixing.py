@@ -69,6 +69,14 @@ def _by_source(rows: DataFrame, plan: DataFrame, few: bool, how: str = "left") -
     return rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("s")), how)
 
 
+def _rank(u: Column, rate: Column, relative: Column, max_copies: int, weight_col: str | None) -> tuple[Column, Column]:
+    """Certain copies of a document, and its rank for one more: random odds over inclusion odds (null: none is due)."""
+    due = F.coalesce(F.least(F.lit(float(max_copies)), rate * relative) if weight_col else rate, F.lit(0.0))
+    whole = F.floor(due).cast("int")
+    p = due - whole
+    return whole, F.when(p <= 0, F.lit(None).cast("double")).otherwise((u * (F.lit(1.0) - p)) / ((F.lit(1.0) - u) * p))
+
+
 def copies(
     docs: DataFrame,
     *,
@@ -125,21 +133,13 @@ def copies(
         F.col("source").alias("s"), "source_size", "target", rate.alias("rate"),
         (F.col("own_size") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0))).alias("own_mean"),
     )
-    due = F.least(F.lit(float(max_copies)), F.col("rate") * (F.col("own") / F.col("own_mean"))) if weight_col else F.col("rate")
-    ranked = (
-        _by_source(keyed, plan, few)
-        .drop("s")
-        .withColumn("due", F.coalesce(due, F.lit(0.0)))
-        .withColumn("whole", F.floor("due").cast("int"))
-        .withColumn("p", F.col("due") - F.col("whole"))
-    )
-    p, u = F.col("p"), F.col("u")
-    q = F.when(p <= 0, F.lit(None).cast("double")).otherwise((u * (F.lit(1.0) - p)) / ((F.lit(1.0) - u) * p))
-    ranked = ranked.withColumn("q", q)
+    ranked = _by_source(keyed, plan, few).drop("s").withColumns(
+        dict(zip(("whole", "q"), _rank(F.col("u"), F.col("rate"), F.col("own") / F.col("own_mean"), max_copies, weight_col), strict=True))
+    )
     rest = ranked.filter(F.col("q").isNotNull())
     need = ranked.groupBy("source").agg(
         F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("rate").alias("rate"),
-        F.sum(F.col("whole").cast("long") * F.col("size")).alias("certain"),
+        F.max("own_mean").alias("own_mean"), F.sum(F.col("whole").cast("long") * F.col("size")).alias("certain"),
     ).withColumn("need", F.col("target") - F.col("certain"))
     bin_of = F.floor(F.col("q") / (F.col("q") + 1) * BINS).cast("int")
     in_bins = rest.groupBy("source", bin_of.alias("bin")).agg(F.sum("size").alias("size"))
@@ -173,7 +173,7 @@ def copies(
     plans = (
         need.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left")
         .withColumn("cut", cut)
-        .select("source", "source_size", "target", "rate", "cut")
+        .select("source", "source_size", "target", "rate", "own_mean", "cut")
     )
     return ranked.select("id", "source", "size", "whole", "q"), plans, few
 
@@ -191,14 +191,25 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed corpus: each row of ``docs``, with all its columns, as often as it is taken."""
-    decided = (
-        taken(docs, id_col=id_col, **options).groupBy(F.col("id").alias("__mix_id")).agg(F.max("copies").alias("__mix_n"))
+def mix(
+    docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weight_col: str | None = None, max_copies: int = 2,
+    seed: str = "mix-1", **options,
+) -> DataFrame:
+    """The mixed corpus: each row of ``docs``, with all its columns, as often as it is taken; see :func:`copies`.
+
+    The texts are not moved: each row finds its number of copies from its id and its source's plan.
+    """
+    _, plans, few = copies(
+        docs, id_col=id_col, source_col=source_col, weight_col=weight_col, max_copies=max_copies, seed=seed, **options
     )
-    return (
-        docs.join(decided, F.col(id_col).eqNullSafe(F.col("__mix_id")))
-        .withColumn("__mix_i", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__mix_n"), F.lit(1)))))
-        .filter(F.col("__mix_n") >= F.col("__mix_i"))
-        .drop("__mix_id", "__mix_n", "__mix_i")
+    plan = plans.select(F.col("source").alias("__mix_source"), F.struct("rate", "own_mean", "cut").alias("__mix_plan"))
+    rows = docs.join(
+        F.broadcast(plan) if few else plan, F.col(source_col).cast("string").eqNullSafe(F.col("__mix_source")), "left"
+    )
+    own = F.greatest(F.lit(0.0), F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))) if weight_col else F.lit(1.0)
+    whole, q = _rank(
+        uniform(F.col(id_col), seed), F.col("__mix_plan.rate"), own / F.col("__mix_plan.own_mean"), max_copies, weight_col
     )
+    n = whole + F.coalesce((q <= F.col("__mix_plan.cut")).cast("int"), F.lit(0))
+    times = F.explode(F.array_repeat(F.lit(1), n))
+    return rows.withColumn("__mix_copy", times).drop("__mix_source", "__mix_plan", "__mix_copy")
