@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +132,19 @@ def binaries(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.to_pylist()]
 
 
+def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of a column's documents as in :func:`blocks`, with their bytes; only those of one block are copied at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    first, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and size + n > limit:
+            yield first, i, binaries(column.slice(first, i - first))
+            first, size = i, 0
+        size += n + 1
+    if first < len(column):
+        yield first, len(column), binaries(column.slice(first))
+
+
 def utf8(column: str | Column) -> Column:
     """The text's UTF-8 bytes; a missing text is an empty one."""
     c = F.col(column) if isinstance(column, str) else column

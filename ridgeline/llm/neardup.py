@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.kernels import Block, binaries, blocks, mix64, shingles, utf8
+from ridgeline.llm.kernels import Block, mix64, shingles, text_blocks, utf8
 from ridgeline.llm.shared import shared_dir
 
 _BLOCK = 1 << 19
@@ -37,7 +37,7 @@ class Sketching:
     rows: int = 6
     bits: int = 2  # kept of each minimum
     long_bits: int = 2048  # of the sketch for what the pivots have not linked
-    rounds: int = 3
+    rounds: int = 2
     cell: int = 512  # rows of a bucket that meet in one cell
     sigmas: float = 4.5
 
@@ -86,9 +86,8 @@ def _classes(block: Block, hashes: np.ndarray) -> np.ndarray:
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Block, np.ndarray]]:
     for batch in batches:
-        texts = binaries(batch.column("text"))
-        for first, last in blocks(texts, _BLOCK):
-            block = Block(texts[first:last])
+        for first, last, texts in text_blocks(batch.column("text"), _BLOCK):
+            block = Block(texts)
             yield batch.slice(first, last - first), block, block.hashes()
 
 
@@ -137,7 +136,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _again(docs: DataFrame, classes: DataFrame, nodes: DataFrame, kind: str, s: Sketching) -> DataFrame:
     """``class, data`` for some classes: their sorted shingle sets, or their long packed sketches."""
-    ids = nodes.join(classes, "class", "left_semi").select("id")
+    ids = nodes.join(classes, "class", "left_semi").select("id").checkpoint()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(s.long_bits, 0xA7)
@@ -167,9 +166,9 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, s: Sketching
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            keep, x, y = [], batch.column("x"), batch.column("y")
+            for i in range(batch.num_rows):
+                u, v = np.frombuffer(x[i].as_buffer(), dtype=np.uint64), np.frombuffer(y[i].as_buffer(), dtype=np.uint64)
                 common = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
                 keep.append(100 * common >= s.percent * (len(u) + len(v) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -196,24 +195,29 @@ def components(edges: DataFrame, steps: int | None = None) -> DataFrame:
     changes comes to the driver.
     """
     shared_dir(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if steps is None:
+        both = both.distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("low")).select(
         "class", F.least("class", "low").alias("comp")
     )
-    labels = labels.checkpoint()
+    if steps is None:
+        labels = labels.checkpoint()
     done = 1
     while steps is None or done < steps:
         near = both.join(labels.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.min("comp").alias("low"))
-        step = labels.join(near, "class").select("class", "comp", F.least("comp", "low").alias("new"))
-        up = labels.select(F.col("class").alias("new"), F.col("comp").alias("top"))
+        step = labels.join(near, "class").select("class", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
+        done += 1
+        if steps is not None:
+            labels = step.select("class", "comp")
+            continue
         # a label is a node of the same component, so its own label may be taken too
-        step = step.join(up, "new", "left").select("class", F.col("comp").alias("old"), F.least("new", "top").alias("comp")).checkpoint()
-        changed = step.filter(F.col("old") != F.col("comp")).limit(1).count()
+        up = labels.select(F.col("class").alias("comp"), F.col("comp").alias("top"))
+        step = step.join(up, "comp", "left").select("class", "old", F.least("comp", "top").alias("comp")).checkpoint()
         labels = step.select("class", "comp")
-        done += 1
-        if not changed:
+        if not step.filter(F.col("old") != F.col("comp")).limit(1).count():
             break
-    return labels
+    return labels if steps is None else labels.checkpoint()
 
 
 def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s: Sketching = Sketching()) -> DataFrame:
@@ -251,7 +255,12 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         rows = _labelled(members, labels)
         if labels is not None:
             rows = _divided(rows)
-        order = F.xxhash64("class", F.lit(r))
+            # the member with most links so far is most likely to be linked to more
+            degrees = edges.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
+            rows = rows.join(degrees, "class", "left")
+        else:
+            rows = rows.withColumn("degree", F.lit(None).cast("long"))
+        order = F.struct(-F.coalesce("degree", F.lit(0)), F.xxhash64("class", F.lit(r)))
         pivots = rows.groupBy("key").agg(F.min_by(F.struct("class", "comp", "n", "packed"), order).alias("p"))
         pairs = (
             rows.join(pivots.select("key", F.col("p.class").alias("class2"), F.col("p.comp").alias("comp2"), F.col("p.n").alias("n2"), F.col("p.packed").alias("packed2")), "key")
@@ -260,7 +269,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         )
         found = _confirmed(picked, pairs, nodes, s)
         edges = (found if edges is None else edges.union(found)).checkpoint()
-        labels = components(edges, steps=3)
+        labels = components(edges)
     rest = _rest(picked, nodes, _divided(_labelled(members, labels)), alike, s)
     edges = edges.union(_confirmed(picked, rest, nodes, s))
     labels = components(edges)
@@ -327,7 +336,9 @@ def unique(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     """
     decided = linked(docs, id_col=id_col, text_col=text_col, s=s).checkpoint()
     gone = decided.filter(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    known = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = gone.checkpoint()
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    known = docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__gone"), "left_anti")
     twice = decided.filter("kept AND id IS NOT NULL").groupBy("id").count().filter("count > 1").select(F.col("id").alias("__twice"))
     if twice.limit(1).count():
         again = known.join(twice, F.col(id_col) == F.col("__twice"), "left_semi").dropDuplicates([id_col])
