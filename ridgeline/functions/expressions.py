@@ -157,13 +157,13 @@ def month_of_file(name: Column) -> Column:
 
 def repaired(value: Column) -> Column:
     """UTF-8 that was read as Latin-1, read again; kept only if that is valid and loses no Chinese."""
-    raw = F.encode(value, "ISO-8859-1")
+    odd = value.rlike("[À-ÿ]") & ~value.rlike("[^\u0000-ÿ]")
+    raw = F.encode(F.when(odd, value), "ISO-8859-1")
     again = F.when(F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8"))
 
     def chinese(c: Column) -> Column:
         return F.regexp_count(c, F.lit("[一-鿿]"))
 
-    odd = value.rlike("[À-ÿ]") & ~value.rlike("[^\u0000-ÿ]")
     return F.when(odd & again.isNotNull() & (chinese(again) >= chinese(value)), again).otherwise(value)
 
 
