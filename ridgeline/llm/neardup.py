@@ -134,9 +134,9 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def _again(docs: DataFrame, classes: DataFrame, nodes: DataFrame, kind: str, s: Sketching) -> DataFrame:
-    """``class, data`` for some classes: their sorted shingle sets, or their long packed sketches."""
-    ids = nodes.join(classes, "class", "left_semi").select("id").checkpoint()
+def _again(docs: DataFrame, ids: DataFrame, kind: str, s: Sketching) -> DataFrame:
+    """``class, data`` of the documents with some ids: their sorted shingle sets, or their long packed sketches."""
+    ids = ids.distinct().checkpoint()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(s.long_bits, 0xA7)
@@ -156,11 +156,10 @@ def _again(docs: DataFrame, classes: DataFrame, nodes: DataFrame, kind: str, s:
     return _texts_of(docs, ids).mapInArrow(run, f"class long, data {out}").dropDuplicates(["class"])
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, s: Sketching) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are alike enough."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = _again(docs, wanted, nodes, "sets", s)
-    joined = pairs.join(sets.select(F.col("class").alias("a"), F.col("data").alias("x")), "a").join(
+def _confirmed(docs: DataFrame, pairs: DataFrame, s: Sketching) -> DataFrame:
+    """Those of the pairs (a, b), with the ids of a document of each, whose full shingle sets are alike enough."""
+    sets = _again(docs, pairs.select(F.explode(F.array("a_id", "b_id")).alias("id")), "sets", s)
+    joined = pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("data").alias("x")), "a").join(
         sets.select(F.col("class").alias("b"), F.col("data").alias("y")), "b"
     )
 
@@ -236,18 +235,14 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     shared_dir(docs.sparkSession)  # checkpoints go there
     sketched = sketches(picked, s).checkpoint()
     classes = sketched.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"))
-    nodes = (
-        sketched.filter("id IS NOT NULL").join(classes, ["class", "id"], "left_semi").dropDuplicates(["class"]).checkpoint()
-    )
+    nodes = sketched.filter("id IS NOT NULL").join(classes, ["class", "id"], "left_semi").checkpoint()
+    if nodes.count() > classes.filter("id IS NOT NULL").count():  # rows that repeat an id and its text
+        nodes = nodes.dropDuplicates(["class"]).checkpoint()
     slots = nodes.select("class", F.posexplode("bands").alias("band", "key"))
     buckets = slots.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = (
-        slots.join(buckets, "key").join(nodes.select("class", "n", "packed"), "class")
-        .select("key", "members", "band", "class", "n", "packed").checkpoint()
-    )
-    packed_words = -(-s.hashes // (64 // s.bits))
-    alike = (_unlike("packed", "packed2", packed_words, s.bits) <= s.most_unlike(s.hashes, s.bits)) & (
-        100 * F.least("n", "n2") >= s.percent * F.greatest("n", "n2")
+        slots.join(buckets, "key").join(nodes.select("class", "id", "n", "packed"), "class")
+        .select("key", "members", "band", "class", "id", "n", "packed").checkpoint()
     )
     edges = None
     labels = None
@@ -261,18 +256,14 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         else:
             rows = rows.withColumn("degree", F.lit(None).cast("long"))
         order = F.struct(-F.coalesce("degree", F.lit(0)), F.xxhash64("class", F.lit(r)))
-        pivots = rows.groupBy("key").agg(F.min_by(F.struct("class", "comp", "n", "packed"), order).alias("p"))
-        pairs = (
-            rows.join(pivots.select("key", F.col("p.class").alias("class2"), F.col("p.comp").alias("comp2"), F.col("p.n").alias("n2"), F.col("p.packed").alias("packed2")), "key")
-            .filter((F.col("comp") != F.col("comp2")) & alike)
-            .select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct().checkpoint()
-        )
-        found = _confirmed(picked, pairs, nodes, s)
+        pivots = rows.groupBy("key").agg(F.min_by(F.struct("class", "id", "comp", "n", "packed"), order).alias("p")).select("key", "p.*")
+        on = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & _alike(s)
+        pairs = rows.alias("l").join(pivots.alias("r"), on).select(*_pair()).distinct().checkpoint()
+        found = _confirmed(picked, pairs, s)
         edges = (found if edges is None else edges.union(found)).checkpoint()
         labels = components(edges)
-    rest = _rest(picked, nodes, _divided(_labelled(members, labels)), alike, s)
-    edges = edges.union(_confirmed(picked, rest, nodes, s))
-    labels = components(edges)
+    rest = _rest(picked, nodes, _divided(_labelled(members, labels)), s)
+    labels = components(edges.union(_confirmed(picked, rest, s)).checkpoint())
     named = nodes.select("class", "id").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     by_class = named.join(least, "comp").select("class", "component_id")
@@ -295,8 +286,24 @@ def _divided(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key", "left_semi")
 
 
-def _rest(docs: DataFrame, nodes: DataFrame, rows: DataFrame, alike: Column, s: Sketching) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that the long sketch still allows.
+def _alike(s: Sketching) -> Column:
+    """Whether the sketches of a row ``l`` and a row ``r``, and their sizes, allow the similarity."""
+    words = -(-s.hashes // (64 // s.bits))
+    sizes = 100 * F.least("l.n", "r.n") >= s.percent * F.greatest("l.n", "r.n")
+    return sizes & (_unlike("l.packed", "r.packed", words, s.bits) <= s.most_unlike(s.hashes, s.bits))
+
+
+def _pair() -> list[Column]:
+    """The classes of a row ``l`` and a row ``r``, the lesser first, each with its id."""
+    left = F.col("l.class") < F.col("r.class")
+    return [
+        F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"),
+        F.when(left, F.col("l.id")).otherwise(F.col("r.id")).alias("a_id"), F.when(left, F.col("r.id")).otherwise(F.col("l.id")).alias("b_id"),
+    ]
+
+
+def _rest(docs: DataFrame, nodes: DataFrame, rows: DataFrame, s: Sketching) -> DataFrame:
+    """Pairs of one bucket in different components that the long sketch still allows.
 
     A bucket of many rows is dealt to cells: its rows to blocks, and each pair of
     blocks to one cell, so that no task gets a whole bucket.
@@ -305,28 +312,19 @@ def _rest(docs: DataFrame, nodes: DataFrame, rows: DataFrame, alike: Column, s:
     block = F.pmod(F.xxhash64("class"), n_blocks).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     rows = rows.select(
-        "key", F.least("block", "other").alias("cell1"), F.greatest("block", "other").alias("cell2"), "block", "class", "comp", "n", "packed", "band"
+        "key", F.least("block", "other").alias("cell1"), F.greatest("block", "other").alias("cell2"), "block", "class", "id", "comp", "n", "packed", "band"
     ).checkpoint()
-    right = rows.select(
-        "key", "cell1", "cell2", F.col("block").alias("block2"), F.col("class").alias("class2"), F.col("comp").alias("comp2"),
-        F.col("n").alias("n2"), F.col("packed").alias("packed2"),
-    )
     # the two come from the two blocks of the cell
-    meet = ["key", "cell1", "cell2"]
-    on = reduce(lambda p, q: p & q, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in meet])
-    apart = (F.col("comp") != F.col("comp2")) & ((F.col("block") != F.col("block2")) | (F.col("l.cell1") == F.col("l.cell2")))
-    some = rows.alias("l").join(right.alias("r"), on & apart & alike, "left_semi").select("class").distinct().checkpoint()
-    long = _again(docs, some, nodes, "long", s).join(nodes.select("class", "bands"), "class")
-    left = rows.join(long, "class").checkpoint()
-    right = left.select(
-        "key", "cell1", "cell2", F.col("block").alias("block2"), F.col("class").alias("class2"), F.col("comp").alias("comp2"),
-        F.col("n").alias("n2"), F.col("packed").alias("packed2"), F.col("data").alias("data2"), F.col("bands").alias("bands2"),
-    )
-    near = _unlike("data", "data2", s.long_bits // 64, 1) <= s.most_unlike(s.long_bits, 1)
+    on = reduce(lambda p, q: p & q, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "cell1", "cell2")])
+    apart = (F.col("l.comp") != F.col("r.comp")) & ((F.col("l.block") != F.col("r.block")) | (F.col("l.cell1") == F.col("l.cell2")))
+    some = rows.alias("l").join(rows.alias("r"), on & apart & _alike(s), "left_semi").select("class", "id").distinct().checkpoint()
+    long = _again(docs, some.select("id"), "long", s).join(nodes.select("class", "bands"), "class")
+    rows = rows.join(long, "class").checkpoint()
+    near = _unlike("l.data", "r.data", s.long_bits // 64, 1) <= s.most_unlike(s.long_bits, 1)
     # of the bands that two classes share, the first gives the pair
-    first = ~F.exists(F.sequence(F.lit(0), F.lit(s.bands - 1)), lambda i: (i < F.col("band")) & (F.col("bands")[i] == F.col("bands2")[i]))
-    pairs = left.alias("l").join(right.alias("r"), on & (F.col("class") < F.col("class2")) & apart & alike & near & first)
-    return pairs.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct().checkpoint()
+    first = ~F.exists(F.sequence(F.lit(0), F.lit(s.bands - 1)), lambda i: (i < F.col("l.band")) & (F.col("l.bands")[i] == F.col("r.bands")[i]))
+    pairs = rows.alias("l").join(rows.alias("r"), on & (F.col("l.class") < F.col("r.class")) & apart & _alike(s) & near & first)
+    return pairs.select(*_pair()).distinct().checkpoint()
 
 
 def unique(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s: Sketching = Sketching()) -> DataFrame:
