@@ -7,6 +7,7 @@ of bytes other than ASCII white space (``[^\\x20\\x09-\\x0D]+``).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -116,6 +117,15 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[n
     return mix64(values), out_offsets
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system: workers live on after a task, and executors have little to spare."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not on this system
+        pass
+
+
 def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents with about ``limit`` bytes in all, one document at least."""
     first, size = 0, 0
