@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.kernels import Block, mix64, shingles, text_blocks, utf8
+from ridgeline.llm.kernels import Block, mix64, release, shingles, text_blocks, utf8
 from ridgeline.llm.shared import shared_dir
 
-_BLOCK = 1 << 19
+_BLOCK = 500_000
 #: Ids of the texts to read again are broadcast if at most this many (16 MB); else they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -89,6 +89,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, B
         for first, last, texts in text_blocks(batch.column("text"), _BLOCK):
             block = Block(texts)
             yield batch.slice(first, last - first), block, block.hashes()
+    release()
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -171,6 +172,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, s: Sketching) -> DataFrame:
                 common = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
                 keep.append(100 * common >= s.percent * (len(u) + len(v) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 

@@ -5,13 +5,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.kernels import binaries, utf8
+from ridgeline.llm.kernels import binaries, release, text_blocks, utf8
 
 _SYMBOLS = b"#*$%&|<>"
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -120,10 +119,15 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ba
 
 def passing(docs: DataFrame, *, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text the rules keep."""
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def keeps(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=bands.level)
-        return texts.map(lambda t: bool(measure(t, compressor, bands)[-1]))
+        for batch in batches:
+            texts = batch.column(place).cast(pa.binary())
+            for first, last, block in text_blocks(texts):
+                keep = [bool(measure(t, compressor, bands)[-1]) for t in block]
+                yield batch.slice(first, last - first).filter(pa.array(keep, pa.bool_()))
+        release()
 
-    return docs.filter(keeps(utf8(text_col)))
+    return docs.mapInArrow(run, docs.schema)
