@@ -45,6 +45,8 @@ _BOILERPLATE = frozenset(
     "signup login search share sharing social comment comments disqus respond replies reply "
     "related recommended widget widgets toolbar complementary contentinfo dialog".split()
 )
+#: ``no-sidebar`` and the like say something of a part, not what it is.
+_NOT_ITSELF = re.compile(r"\b(?:no|has|with|without|hide|show|is|not)[-_][a-z]+")
 _HEADER = frozenset(("header", "masthead", "topbar"))
 
 
@@ -80,7 +82,7 @@ def _marks(tag: str, attributes: str, in_main: bool) -> bool:
             if "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", ""):
                 return True
         elif name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-            words = set(re.split(r"[^a-z]+", value))
+            words = set(re.split(r"[^a-z]+", _NOT_ITSELF.sub("", value)))
             if words & _BOILERPLATE or (words & _HEADER and not in_main and tag not in ("h1", "h2", "h3")):
                 return True
     return False
@@ -195,7 +197,7 @@ def main_text(html: str, limits: Limits = Limits()) -> str:
     surge = next((i for i, s in enumerate(sums) if s >= least), None)
     if surge is None:
         return ""
-    dive = max(i for i in range(len(sums)) if sums[i] >= least) + limits.window
+    dive = max((i for i, w in enumerate(weights) if w and sums[i] >= least), default=surge)
     while dive < len(weights) and weights[dive]:  # on to where it is nothing
         dive += 1
     return " ".join(x.text for x, w in zip(found[surge:dive], weights[surge:dive], strict=True) if w)
