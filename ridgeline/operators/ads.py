@@ -204,3 +204,21 @@ TABLES: dict[str, Callable[..., DataFrame]] = {
     "merchant_day": merchant_day, "source_day": source_day, "coupon_day": coupon_day,
 }
 WITH_ROSTER = {"new_riders": "riders", "new_merchants": "merchants"}
+
+# fixed values: what the key of each table's rows begins with, and the columns that follow
+KEYS = {
+    "admin_day": ("admin_day", "date", "province", "city", "district"), "admin_partner": ("admin_partner", "date", "partner_id"),
+    "partner_day": ("partner_day", "partner_id", "date"), "partner_hour": ("partner_hour", "partner_id", "date", "hour"),
+    "partner_rider_day": ("partner_rider", "partner_id", "rider_id", "date"), "partner_merchant_day": ("partner_merchant", "partner_id", "merchant_id", "date"),
+    "partner_user_day": ("partner_user", "partner_id", "user_id", "date"), "cancel_day": ("direct_cancel", "partner_id", "date"),
+    "direct_hour": ("direct_hour", "partner_id", "date", "hour"), "new_riders": ("direct_new_rider", "order_month", "partner_id", "rider_id"),
+    "new_merchants": ("direct_new_merchant", "order_month", "partner_id", "merchant_id"), "merchant_day": ("direct_merchant", "partner_id", "merchant_id", "date"),
+    "source_day": ("direct_source", "partner_id", "order_source", "date"), "coupon_day": ("direct_coupon", "partner_id", "date", "coupon_id", "marketing_coupon_id"),
+}
+
+
+def keyed(name: str, df: DataFrame, batch_id: str) -> DataFrame:
+    """A table's rows with their key as text (missing parts empty) and the batch that made them."""
+    prefix, *parts = KEYS[name]
+    key = F.concat_ws("|", F.lit(prefix), *[F.coalesce(C(p).cast("string"), F.lit("")) for p in parts])
+    return df.withColumns({"metric_key": key, "batch_id": F.lit(batch_id)})

@@ -91,7 +91,7 @@ class Warehouse:
             known = {r[0] for r in self.table("ods_orders").select("order_month").distinct().collect()} if self.has("ods_orders") else set()
             missing = not (self.has("dwd_orders") and self.has("ads_admin_day") and self.has("ads_direct_hour"))
             result.months = months_to_build(touched, known, bool(rosters), missing)
-            self.build(result.months)
+            self.build(result.months, result.run_id)
             mark("build")
             result.data_version = self._version(result.run_id)
             mark("publish")
@@ -160,7 +160,7 @@ class Warehouse:
         schema = ", ".join(f"{n} {'date' if n.endswith('_date') else 'string'}" for n in (*fields, *extra))
         return self.spark.createDataFrame([], schema)
 
-    def build(self, months: list[str]) -> None:
+    def build(self, months: list[str], batch_id: str = "") -> None:
         """Rebuild fact and metric tables of some months."""
         if not months or not self.has("ods_orders"):
             return
@@ -171,7 +171,7 @@ class Warehouse:
         fact = self.table("dwd_orders").filter(F.col("order_month").isin(*months))
         for name, make in ads.TABLES.items():
             df = make(fact, rosters[ads.WITH_ROSTER[name]]) if name in ads.WITH_ROSTER else make(fact)
-            tables.replace_months(df, self.path(f"ads_{name}"))
+            tables.replace_months(ads.keyed(name, df, batch_id), self.path(f"ads_{name}"))
 
     def _version(self, run_id: str) -> str | None:
         if not self.has("ads_partner_day"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,10 +134,16 @@ def regions(partner_day: DataFrame) -> DataFrame:
 def admin_summary(fact: DataFrame, f: Filters, cfg: Settings) -> DataFrame:
     """One row: order counts, money, and entities with at least the active number of completed orders."""
     rows = f.apply(fact)
-    out = rows.agg(*[c.alias(n) for g in (runtime(cfg.cancel_minutes), finance()) for n, c in g.items()])
+    parts = [rows.agg(*[c.alias(n) for g in (runtime(cfg.cancel_minutes), finance()) for n, c in g.items()])]
     for name in ("partner", "rider", "merchant"):
-        out = out.crossJoin(active(rows, name, cfg.active_orders)).crossJoin(newcomers(rows, name))
-    return with_rates(out)
+        parts += [active(rows, name, cfg.active_orders), newcomers(rows, name)]
+    return with_rates(_one_row(parts))
+
+
+def _one_row(parts: list[DataFrame]) -> DataFrame:
+    """Single rows of different columns as one."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
 
 
 def active(rows: DataFrame, entity: str, least: int) -> DataFrame:
@@ -172,11 +179,10 @@ def ranking(fact: DataFrame, f: Filters, cfg: Settings, level: str = "all", n: i
 def partner_tiers(fact: DataFrame, f: Filters, cfg: Settings) -> DataFrame:
     """How many partners fall in each band of average orders a day, and a row with the total of the bands."""
     rows = f.apply(fact).filter(C("partner_id").isNotNull())
-    days = rows.agg(F.count_distinct("order_date").alias("seen"))
-    if f.start and f.end:
-        days = days.withColumn("seen", F.lit(day_count(f.start, f.end)))
-    each = rows.groupBy("partner_id").agg(F.count(F.lit(1)).alias("n")).crossJoin(days)
-    label = tiered(quotient(C("n"), F.greatest("seen", F.lit(1))), cfg.partner_tiers)
+    closed = f.start and f.end
+    days = day_count(f.start, f.end) if closed else day_count(None, None, rows.agg(F.count_distinct("order_date")).first()[0])
+    each = rows.groupBy("partner_id").agg(F.count(F.lit(1)).alias("n"))
+    label = tiered(quotient(C("n"), F.lit(days)), cfg.partner_tiers)
     return _banded(each.select(label.alias("label")), cfg.partner_tiers, "partners")
 
 
@@ -349,7 +355,7 @@ def rider_matrix(fact: DataFrame, riders: DataFrame, f: Filters, cfg: Settings,
     each = each.select("rider_id", "rider_name", "hire_date", "completed_orders", "qualified_days", "is_new_rider", met.alias("is_target_met"), "days", F.lit(False).alias("is_total"))
     by_day = each.select(F.explode("days").alias("d", "n")).groupBy("d").agg(F.sum("n").alias("n"))
     days = by_day.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("d", "n")))).alias("days"))
-    total = each.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("completed_orders", "qualified_days", "is_target_met")]).crossJoin(days)
+    total = _one_row([each.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("completed_orders", "qualified_days", "is_target_met")]), days])
     return each.unionByName(total.withColumn("rider_id", F.lit("-")).withColumn("rider_name", F.lit("-")).withColumn("is_total", F.lit(True)), allowMissingColumns=True)
 
 

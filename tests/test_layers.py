@@ -65,6 +65,13 @@ def test_week(house, imported):
     assert (two.hq_subsidy_amount, two.partner_subsidy_amount, two.employment_type) == (0.0, 1.1, "parttime")
 
 
+def test_metric_keys(house, imported):
+    for name in ads.TABLES:
+        df = house.table(f"ads_{name}")
+        assert df.count() == df.select("metric_key").distinct().count(), name
+    assert house.table("ads_partner_hour").filter("metric_key = 'partner_hour|1|2026-04-01|9'").count() == 1
+
+
 def test_service_level(house, imported):
     f = house.table("dwd_orders")
     whole = views.Filters(partner_id="1")
