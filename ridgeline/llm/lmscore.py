@@ -4,8 +4,9 @@ The filter holds, for every word and pair of adjacent words of the training text
 its count on a logarithmic scale: a sequence with level q is entered q times, once
 for each level up to its own, so that probing level after level until one is
 missing gives its count back.  The filter is built in shards, each over its own
-stretch of bits, and only the finished bits come to the driver to be broadcast;
-their number is bounded by ``Settings.max_bits``.
+stretch of bits, and its bits grow with the training text without a bound.  So they
+are never gathered: the words and pairs of a block of texts are sent to their shards,
+and the levels found there are sent back to the block.
 
 Beside the model, each text gets an exact unigram score.  Its counts are never
 gathered: those of the commonest words (a bounded number) are broadcast, and all other
@@ -15,12 +16,14 @@ words of the texts are sent, by shard, to the counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ridgeline.llm.kernels import Block, binaries, blocks, mix64, utf8
 from ridgeline.llm.shared import shared_dir
@@ -31,11 +34,12 @@ _PAIR = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _SALTS = mix64(np.arange(65, dtype=np.uint64))
 _BLOCK = 1 << 21
 _FLUSH = 2_000_000  # tokens that a task counts together
+_PROBED = 1_000_000  # tokens whose words and pairs are sent to the shards together
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``bits_per_token`` of training text, up to ``max_bits`` in all (64 MB); beyond that the filter's error grows, nothing is left out.
+    """``bits_per_token`` of training text, however much that is.
 
     ``head`` bounds the words whose exact counts are broadcast, ``weight`` is the
     number of pair observations that the unigram probability stands for.
@@ -44,7 +48,6 @@ class Settings:
     base: float = 2.0
     probes: int = 3
     bits_per_token: float = 8.0
-    max_bits: int = 1 << 29
     head: int = 1 << 19
     weight: float = 500.0
     docs_per_shard: int = 2000
@@ -175,7 +178,7 @@ def merge(counts: DataFrame, size: int, s: Settings) -> DataFrame:
 
 @dataclass
 class Filter:
-    """The finished filter: what the tasks probe."""
+    """Finished bits of the filter, of one shard or of several in a row."""
 
     bits: np.ndarray
     shards: int
@@ -215,25 +218,21 @@ class Filter:
         b = self.settings.base
         return np.where(levels > 1, b ** (levels - 0.5), levels.astype(float))
 
-    def log10(self, token: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after the one before it."""
+    def log10(self, word_levels: np.ndarray, mine: np.ndarray, prior: np.ndarray, pair_levels: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability after the one before it; ``mine``, ``prior`` and ``pair`` are the places of its levels."""
         s = self.settings
-        words, at = np.unique(np.concatenate([token, before]), return_inverse=True)
-        # a text's beginning is counted as often as its end
-        probe = np.where(words == START, END, words)
-        word_count = self.counts(self.levels(probe, 1, _shard(probe, self.shards)))
+        word_count = self.counts(word_levels)
         single = (word_count + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        mine, prior = at[: len(token)], at[len(token) :]
-        pair, pair_at, inverse = np.unique(_pair(before, token), return_index=True, return_inverse=True)
         # no pair is commoner than its parts
-        most = np.minimum(word_count[mine], word_count[prior])[pair_at]
-        together = np.zeros(len(pair))
-        some = most > 0
-        together[some] = self.counts(self.levels(_cut(pair[some]), 2, _shard(pair[some], self.shards)))
-        together = np.minimum(together, most)[inverse]
+        together = np.minimum(self.counts(pair_levels)[pair], np.minimum(word_count[mine], word_count[prior]))
         return np.log10((together + s.weight * single[mine]) / (word_count[prior] + s.weight))
 
 
+def bits_for(size: int, s: Settings) -> int:
+    """The filter's bits for ``size`` bytes of training text, about 6 a token."""
+    return max(1 << 16, int(size / 6 * s.bits_per_token))
+
+
 def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """Learn from the rows with ``train`` true and score all: ``id, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -248,23 +247,18 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), train.alias("train"))
     sizes = picked.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.when(F.col("train"), F.octet_length("text"))).alias("size")).first()
     shards = int(min(1 << 16, max(16, -(-sizes.docs // s.docs_per_shard))))
-    bits = min(s.max_bits, max(1 << 16, int((sizes["size"] or 0) / 6 * s.bits_per_token)))
-    size = max(64, bits // shards // 64 * 64)
+    size = max(64, bits_for(sizes["size"] or 0, s) // shards // 64 * 64)
     shared_dir(docs.sparkSession)  # checkpoints go there
     merged = merge(count(picked.filter("train").select("text"), shards), size, s).checkpoint()
     totals = merged.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     n, v = int(totals.n or 0), int(totals.v or 0)
-    table = merged.select("shard", "bits").toArrow()
-    whole = np.zeros(shards * size // 8, dtype=np.uint8)
-    for shard, part in zip(table.column("shard").to_pylist(), table.column("bits"), strict=True):
-        whole[shard * size // 8 : (shard + 1) * size // 8] = np.frombuffer(part.as_buffer(), dtype=np.uint8)
-    del table
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(Filter(whole, shards, size, n, v, s))
     head_words, head_counts = _head(merged, s)
     head = spark.sparkContext.broadcast((head_words, head_counts))
-    first = _first(picked.select("id", F.monotonically_increasing_id().alias("row"), "text"), model, head, n, v).checkpoint()
-    rest = _rest(first, merged, shards, n, v)
+    both = _first(picked.select("id", F.monotonically_increasing_id().alias("row"), "text"), head, n, v).checkpoint()
+    first = both.filter("block IS NULL")
+    rest = _rest(first, merged, shards, n, v).unionByName(_model(both.filter("block IS NOT NULL"), merged, shards, Filter(np.zeros(0, np.uint8), 1, size, n, v, s)))
+    rest = rest.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_rest", "rest_score", "score")])
     joined = first.join(rest.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
     return joined.select(
         "id", "n_tokens", (F.col("n_head") + F.coalesce("n_rest", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
@@ -301,21 +295,34 @@ def _head(merged: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return words[order], counts[order]
 
 
-def _first(picked: DataFrame, model, head, n: int, v: int) -> DataFrame:
-    """Each text's model score and its base score over the commonest words; its other words are kept for :func:`_rest`."""
+_BLOCKS = "block long, rows binary, sizes binary, words binary, low binary, high binary"
+
+
+def _first(picked: DataFrame, head, n: int, v: int) -> DataFrame:
+    """Each text's base score over the commonest words; its other words are kept for :func:`_rest`.
+
+    Between them, rows with a ``block`` number hold the tokens of many texts for :func:`_model`:
+    the texts' rows and sizes, the distinct words, and each token's place among these, in 3 bytes.
+    """
     log_all = float(np.log10(n + 0.5 * (v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = head.value
         logs = np.log10(counts + 0.5) - log_all
+        held: list[tuple] = []
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = binaries(batch.column("text"))
-            out: list[list] = [[] for _ in range(5)]
+            batch_rows = batch.column("row").to_numpy()
+            out: list[list] = [[] for _ in range(4)]
             for a, b in blocks(texts, _BLOCK):
-                token, owner, before = _tokens(texts[a:b])
+                token, owner, _ = _tokens(texts[a:b])
                 k = b - a
                 out[0].append(np.bincount(owner, minlength=k))
-                out[4].append(np.bincount(owner, model.value.log10(token, before), minlength=k))
+                held.append((batch_rows[a:b], out[0][-1], token))
+                if sum(len(x[2]) for x in held) >= _PROBED:
+                    yield packed(block, held)
+                    held, block = [], block + 1
                 if len(words):
                     place = np.minimum(np.searchsorted(words, token), len(words) - 1)
                     common = words[place] == token
@@ -327,17 +334,106 @@ def _first(picked: DataFrame, model, head, n: int, v: int) -> DataFrame:
                     out[2].append(np.zeros(k))
                 other, ends = token[~common], np.cumsum(np.bincount(owner[~common], minlength=k))
                 out[3] += [other[x:y].tobytes() for x, y in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
-            numbers = [np.concatenate(out[i]) if out[i] else np.zeros(0) for i in (0, 1, 2, 4)]
+            numbers = [np.concatenate(out[i]) if out[i] else np.zeros(0) for i in (0, 1, 2)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), batch.column("row"), pa.array(numbers[0].astype(np.int64)), pa.array(numbers[1].astype(np.int64)),
-                    pa.array(numbers[2].astype(float)), pa.array(numbers[3].astype(float)), pa.array(out[3], pa.binary()),
+                    pa.array(numbers[2].astype(float)), pa.array(out[3], pa.binary()), *[pa.nulls(batch.num_rows, t) for t in block_types],
                 ],
-                names=["id", "row", "n_tokens", "n_head", "head_score", "score", "others"],
+                names=names,
             )
+        if held:
+            yield packed(block, held)
+
+    def packed(block: int, held: list[tuple]) -> pa.RecordBatch:
+        rows, sizes, token = (np.concatenate(x) for x in zip(*held, strict=True))
+        word, at = np.unique(token, return_inverse=True)
+        own = (
+            block, rows.astype(np.int64).tobytes(), sizes.astype(np.int32).tobytes(), word.tobytes(),
+            at.astype(np.uint16).tobytes(), (at >> 16).astype(np.uint8).tobytes(),
+        )
+        text_types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+        return pa.RecordBatch.from_arrays(
+            [*[pa.nulls(1, t) for t in text_types], *[pa.array([x], t) for x, t in zip(own, block_types, strict=True)]], names=names
+        )
 
+    id_type = to_arrow_type(picked.schema["id"].dataType)
+    block_types = [pa.int64()] + [pa.binary()] * 5
+    names = ["id", "row", "n_tokens", "n_head", "head_score", "others", *[f.split()[0] for f in _BLOCKS.split(", ")]]
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, row long, n_tokens long, n_head long, head_score double, score double, others binary")
+    return picked.mapInArrow(run, f"id {kind}, row long, n_tokens long, n_head long, head_score double, others binary, {_BLOCKS}")
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
+    """Of a block: its words' hashes, the words of its tokens and of those before them, its pairs' hashes, and its tokens' pairs."""
+    word, sizes = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["sizes"], np.int32)
+    mine = np.frombuffer(row["low"], np.uint16).astype(np.int64) | np.frombuffer(row["high"], np.uint8).astype(np.int64) << 16
+    begin = np.cumsum(sizes) - sizes
+    before, prior = np.empty(len(mine), np.uint64), np.empty(len(mine), np.int64)
+    prior[1:] = mine[:-1]
+    prior[begin] = mine[-1]  # a text's beginning is counted as often as its end
+    before[:] = word[prior]
+    before[begin] = START
+    pair, at = np.unique(_pair(before, word[mine]), return_inverse=True)
+    return word, mine, prior, pair, at
+
+
+def _model(held: DataFrame, merged: DataFrame, shards: int, model: Filter) -> DataFrame:
+    """``row, n_rest, rest_score, score``: each text's model score; the words and pairs of a block go to their shards, and their levels come back."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                word, _, _, pair, _ = _unpacked(row)
+                ends = np.arange(shards + 1, dtype=np.uint64)
+                at, pair_at = np.searchsorted(_shard(word, shards), ends), np.searchsorted(_shard(pair, shards), ends)
+                used = np.flatnonzero((np.diff(at) > 0) | (np.diff(pair_at) > 0))
+                low, high = _cut(pair).astype(np.uint32), (_cut(pair) >> np.uint64(32)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(used.astype(np.int32)), pa.array(np.full(len(used), row["block"])), pa.array([word[at[i] : at[i + 1]].tobytes() for i in used], pa.binary()),
+                        *[pa.array([x[pair_at[i] : pair_at[i + 1]].tobytes() for i in used], pa.binary()) for x in (low, high)],
+                    ],
+                    names=["shard", "block", "words", "low", "high"],
+                )
+
+    def look_up(probes: pa.Table, counted: pa.Table) -> pa.Table:
+        col = {c: probes.column(c).to_pylist() for c in probes.column_names}
+        words = [np.frombuffer(x, np.uint64) for x in col["words"]]
+        pairs = [
+            np.frombuffer(x, np.uint32).astype(np.uint64) | np.frombuffer(y, np.uint8).astype(np.uint64) << np.uint64(32)
+            for x, y in zip(col["low"], col["high"], strict=True)
+        ]
+        found = []
+        for salt, parts in ((1, words), (2, pairs)):
+            keys = np.concatenate([*parts, np.zeros(0, np.uint64)])
+            levels = np.zeros(len(keys), dtype=np.uint8)
+            if counted.num_rows and len(keys):
+                own = replace(model, bits=np.frombuffer(counted.column("bits")[0].as_py(), np.uint8))
+                levels = own.levels(keys, salt, np.zeros(len(keys), dtype=np.uint64)).astype(np.uint8)
+            ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
+            found.append(pa.array([levels[e - len(x) : e].tobytes() for x, e in zip(parts, ends, strict=True)], pa.binary()))
+        return pa.table({
+            "block": pa.array(col["block"], pa.int64()), "shard": pa.array(col["shard"], pa.int32()), "word_levels": found[0], "pair_levels": found[1],
+        })
+
+    def total(block: pa.Table, answers: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        _, mine, prior, _, pair = _unpacked(row)
+        answers = answers.sort_by("shard")  # words and pairs are in the order of their shards
+        word_levels, pair_levels = (np.frombuffer(b"".join(answers.column(c).to_pylist()), np.uint8).astype(np.int64) for c in ("word_levels", "pair_levels"))
+        sizes = np.frombuffer(row["sizes"], np.int32)
+        scores = np.bincount(np.repeat(np.arange(len(sizes)), sizes), model.log10(word_levels, mine, prior, pair_levels, pair), minlength=len(sizes))
+        return pa.table({
+            "row": pa.array(np.frombuffer(row["rows"], np.int64)), "n_rest": pa.array(np.zeros(len(sizes), np.int64)),
+            "rest_score": pa.array(np.zeros(len(sizes))), "score": pa.array(scores),
+        })
+
+    held = held.select(*[f.split()[0] for f in _BLOCKS.split(", ")])
+    probes = held.select("block", "sizes", "words", "low", "high").mapInArrow(deal, "shard int, block long, words binary, low binary, high binary")
+    answers = probes.groupBy("shard").cogroup(merged.select("shard", "bits").groupBy("shard")).applyInArrow(
+        look_up, "block long, shard int, word_levels binary, pair_levels binary"
+    )
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, "row long, n_rest long, rest_score double, score double")
 
 
 def _rest(first: DataFrame, merged: DataFrame, shards: int, n: int, v: int) -> DataFrame:
@@ -381,4 +477,4 @@ def _rest(first: DataFrame, merged: DataFrame, shards: int, n: int, v: int) -> D
     found = probes.groupBy("shard").cogroup(merged.select("shard", "words", "counts").groupBy("shard")).applyInArrow(
         look_up, "row long, n_rest long, rest_score double"
     )
-    return found.groupBy("row").agg(F.sum("n_rest").alias("n_rest"), F.sum("rest_score").alias("rest_score"))
+    return found.withColumn("score", F.lit(None).cast("double"))

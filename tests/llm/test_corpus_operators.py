@@ -253,6 +253,38 @@ def test_filter_gives_counts_back():
     assert (other == 0).mean() > 0.95
 
 
+def test_filter_grows_with_the_training_text():
+    """Thirty GB get the bits a token that one MB gets."""
+    s = lmscore.Settings()
+    assert [round(lmscore.bits_for(size, s) / (size / 6)) for size in (10**6, 10**9, 30 * 10**9)] == [8, 8, 8]
+
+
+def test_scores_by_shard_are_those_of_counts(docs, prose, monkeypatch):
+    """Words and pairs that go to their shards in many small blocks give the scores of the counts' own levels."""
+    monkeypatch.setattr(lmscore, "_PROBED", 500)
+    rows = [(i, prose(60, i % 29, 400)) for i in range(90)] + [(200, None), (201, "never seen"), (202, "x")]
+    s = lmscore.Settings(bits_per_token=400, docs_per_shard=3)
+    got = {r.id: r for r in lmscore.score(docs(rows), F.col("doc_id") < 70, s=s).collect()}
+    single, pairs = Counter(), Counter()
+    for i, t in rows:
+        if i < 70:
+            w = [*words(t), None]
+            single.update(w)
+            pairs.update(zip([0, *w], w))
+    n, v = sum(single.values()), len(single)
+
+    def level(c):
+        return 0 if not c else 1 if c == 1 else 2 ** (math.floor(math.log2(c)) + 0.5)
+
+    for i, t in rows:
+        w, want = [*words(t), None], 0.0
+        for before, word in zip([0, *w], w):
+            prior, mine = level(single[before or None]), level(single[word])
+            both = min(prior, mine, level(pairs[before, word]))
+            want += math.log10((both + s.weight * (mine + 0.5) / (n + 0.5 * (v + 1))) / (prior + s.weight))
+        assert math.isclose(got[i].score, want, rel_tol=1e-3), i
+
+
 def test_scores_without_training(docs):
     got = lmscore.score(docs([(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert {(r.id, r.n_tokens, r.n_known) for r in got} == {(1, 3, 0), (2, 1, 0)}
