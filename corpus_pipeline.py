@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_pieces, ids``: the pieces of each document taken, one row a copy."""
-    out = spm.encode(docs.withColumn("key", F.struct("doc_id", "source")), id_col="key", seed=SEED)
+    out = spm.encode(docs.withColumn("key", F.struct("doc_id", "source")), id_col="key", seed=SEED, copies=True)
     return out.select("id.doc_id", "id.source", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 

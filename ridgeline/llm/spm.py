@@ -4,7 +4,8 @@ Pieces and their scores come from a SentencePiece BPE model file; nothing is
 trained.  A text is split where no piece can reach across (a space after something
 else), and in each part the best-scored pair of neighbours is merged over and over.
 With dropout, a candidate that comes to the head of the agenda is skipped if a hash of
-seed, part, place and piece says so; it comes back only if a neighbour changes.  The
+seed, document, the part's place in the text, place in the part and piece says so; it
+comes back only if a neighbour changes.  So a word is cut anew wherever it is met.  The
 same seed gives the same pieces on any cluster; all of them decode to the text.
 """
 
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,13 +23,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.kernels import release, text_blocks, utf8
+from ridgeline.llm.kernels import mix64, release, text_blocks, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _PART = re.compile(" *[^ \n▁]+| +|\n|▁")
 _SPACE = "▁"
 _NEVER = 1 << 40
-_CACHE = 60_000  # parts remembered in each of two generations
+_CHUNK = 1 << 17  # characters whose agendas advance together
 _BLOCK = 1 << 21
 
 
@@ -74,7 +74,8 @@ class Pieces:
                     pairs[left << 32 | right] = self.rank[name]
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
         self.pair_rank = np.array([pairs[k] for k in self.pairs.tolist()], dtype=np.int64)
-        self.cache: dict[tuple, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+        #: characters that are no piece but lie in one: parts with them are cut one by one
+        self.odd = {c for name in self.ids for c in name} - set(self.ids)
 
     def pack(self, parts: list[str]) -> bytes:
         ids = array("i")
@@ -147,9 +148,14 @@ class Pieces:
         return np.where(self.pairs[at] == key, self.pair_rank[at], _NEVER)
 
     def merged_all(self, parts: list[str], dropout: int, keys: np.ndarray) -> list[bytes]:
-        """Packed ids of many parts of known characters: the agendas of all advance together, one candidate each at a time."""
+        """Packed ids of many parts: the agendas of all advance together, one candidate each at a time.
+
+        Characters that are no piece are kept as negative numbers, merge with nothing, and become bytes at the end.
+        """
         size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        piece = self.single[np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)]
+        letters = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        piece = self.single[letters]
+        piece = np.where(piece < 0, -1 - letters, piece)
         part = np.repeat(np.arange(len(parts)), size)
         place = np.arange(len(part)) - np.repeat(np.cumsum(size) - size, size)
         rank = np.full(len(part), _NEVER)
@@ -184,48 +190,61 @@ class Pieces:
             rank[changed] = np.where(last | (part[after] != part[changed]), _NEVER, new)
         part, piece = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(part, kind="stable")
+        part, piece = part[order], piece[order]
+        if (piece < 0).any():
+            own = [[p] if p >= 0 else [self.of_byte[b] for b in chr(-1 - p).encode("utf-8", "surrogateescape")] for p in piece.tolist()]
+            part, piece = np.repeat(part, [len(x) for x in own]), np.array([p for x in own for p in x], dtype=np.int64)
         ends = np.cumsum(np.bincount(part, minlength=len(parts))) * 4
-        data = piece[order].astype("<i4").tobytes()
+        data = piece.astype("<i4").tobytes()
         return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def encode(self, text: str, dropout: float = 0.0, seed: int = 0, variant: int = 0) -> bytes:
+    def encode(self, text: str, dropout: float = 0.0, seed: int = 0) -> bytes:
         """The ids of a text's pieces, 4 bytes each."""
-        return self.encode_all([text], dropout, seed, variant)[0]
+        return self.encode_all([text], dropout, np.array([seed]))[0]
 
-    def encode_all(self, texts: list[str], dropout: float = 0.0, seed: int = 0, variant: int = 0) -> list[bytes]:
-        """The ids of each text's pieces; parts not met of late are cut together."""
+    def encode_all(self, texts: list[str], dropout: float, keys: np.ndarray) -> list[bytes]:
+        """The ids of each text's pieces under its key; without dropout equal parts are cut once."""
         limit = int(dropout * (1 << 32))
         split = [_PART.findall(" " + t) if t else [] for t in texts]
-        young, old = self.cache.get((limit, seed, variant), ({}, {}))
-        here = set().union(*split)
-        ids = {p: young.get(p) or old.get(p) for p in here}
-        lost = [p for p, x in ids.items() if x is None]
-        ids.update(zip(lost, self._cut(lost, limit, f"{seed}:{variant}:"), strict=True))
-        if len(young) + len(ids) > _CACHE:
-            young, old = {}, young
-        young.update(ids)
-        if len(young) > _CACHE:
-            young, old = {}, young if len(young) <= 2 * _CACHE else {}
-        self.cache[limit, seed, variant] = young, old
-        return [b"".join(map(ids.__getitem__, parts)) for parts in split]
-
-    def _cut(self, parts: list[str], limit: int, prefix: str) -> list[bytes]:
-        """Packed ids of parts: those of known characters and common length together, the others one by one."""
+        parts = [p for x in split for p in x]
+        count = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        if limit:
+            size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+            place = np.concatenate([[0], np.cumsum(size)])
+            first = np.cumsum(count) - count
+            place = place[:-1] - np.repeat(place[first], count)  # in the part's own text
+            own = mix64(np.repeat(mix64(keys.astype(np.int64).view(np.uint64)), count) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            ids = self._cut(parts, limit, own & np.uint64(0xFFFFFFFF))
+        else:
+            here = list(dict.fromkeys(parts))
+            known = dict(zip(here, self._cut(here, 0, np.zeros(len(here), dtype=np.uint64)), strict=True))
+            ids = [known[p] for p in parts]
+        ends = np.cumsum(count).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _cut(self, parts: list[str], limit: int, keys: np.ndarray) -> list[bytes]:
+        """Packed ids of parts: those of common length together, in chunks, the others one by one."""
         out: list[bytes] = [b""] * len(parts)
-        together, texts, keys = [], [], []
+        alike: dict[str, bool] = {}  # whether a part may be cut with others
+        together: list[int] = []
         for i, part in enumerate(parts):
-            key = zlib.crc32((prefix + part).encode("utf-8", "surrogateescape")) if limit else 0
-            if part == _SPACE:  # the character itself, not a space
-                out[i] = array("i", [self.of_byte[b] for b in part.encode()]).tobytes()
-            elif len(part) <= 48 and self.known.issuperset(part):
+            joint = alike.get(part)
+            if joint is None:
+                joint = alike[part] = len(part) <= 48 and part != _SPACE and self.odd.isdisjoint(part.replace(" ", _SPACE))
+            if joint:
                 together.append(i)
-                texts.append(part.replace(" ", _SPACE))
-                keys.append(key)
+            elif part == _SPACE:  # the character itself, not a space
+                out[i] = array("i", [self.of_byte[b] for b in part.encode()]).tobytes()
             else:
-                out[i] = self.pack(self.merged(part.replace(" ", _SPACE), limit, key))
-        if together:
-            for i, x in zip(together, self.merged_all(texts, limit, np.array(keys, dtype=np.uint64)), strict=True):
+                out[i] = self.pack(self.merged(part.replace(" ", _SPACE), limit, int(keys[i])))
+        size = np.cumsum([len(parts[i]) for i in together], dtype=np.int64)
+        at = 0
+        while at < len(together):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _CHUNK, "right")))
+            chunk = together[at:end]
+            for i, x in zip(chunk, self.merged_all([parts[i].replace(" ", _SPACE) for i in chunk], limit, keys[chunk]), strict=True):
                 out[i] = x
+            at = end
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -260,35 +279,37 @@ def pieces(path: str = MODEL) -> Pieces:
 
 
 def encode(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 2
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, copies: bool = False
 ) -> DataFrame:
     """``id, ids`` for each row: the ids of its text's pieces.
 
-    ``variants`` is the number of ways in which a word may be cut under one seed; a
-    document's is chosen by a hash of seed and id, so copies with different ids differ
-    and repeated rows do not.  ``dropout`` 0 gives the model's own pieces.  A missing or
+    Dropout is keyed on seed, id and the place in the text, so a repeated word and copies
+    with different ids are cut differently, and repeated rows alike.  With ``copies``, rows with
+    the same id that follow each other are numbered, and each is cut on its own.
+    ``dropout`` 0 gives the model's own pieces.  A missing or
     empty text has no ids; missing ids are passed on; an empty table gives an empty
     result; other columns are not read.  ``model`` must be readable by every executor.
     """
-    variant = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(max(1, variants))).cast("int")
-    picked = docs.select(F.col(id_col).alias("id"), variant.alias("variant"), utf8(text_col).alias("text"))
+    key = F.xxhash64(F.col(id_col), F.lit(seed))
+    picked = docs.select(F.col(id_col).alias("id"), key.alias("key"), utf8(text_col).alias("text"))
     pieces(model)  # a missing or unfit model fails here, not in the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
+        last, number = None, 0
         for batch in batches:
-            kinds = batch.column("variant").to_pylist()
+            keys = batch.column("key").to_numpy()
+            if copies:
+                numbers = []
+                for k in keys.tolist():
+                    last, number = k, number + 1 if k == last else 0
+                    numbers.append(number)
+                keys = mix64(keys.view(np.uint64) + np.array(numbers, dtype=np.uint64)).view(np.int64)
             for a, b, texts in text_blocks(batch.column("text"), _BLOCK):
-                packed = [b""] * (b - a)
-                for k in set(kinds[a:b]):
-                    mine = [i for i in range(b - a) if kinds[a + i] == k]
-                    cut = own.encode_all([texts[i].decode("utf-8", "surrogateescape") for i in mine], dropout, seed, k)
-                    for i, x in zip(mine, cut, strict=True):
-                        packed[i] = x
+                packed = own.encode_all([x.decode("utf-8", "surrogateescape") for x in texts], dropout, keys[a:b])
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "ids"])
-        own.cache.clear()  # workers live on; what they remember would count against the next stage
         release()
 
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, ids array<int>")

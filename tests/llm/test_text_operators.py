@@ -311,6 +311,37 @@ def test_seeds_vary_and_repeat(docs, prose, odd):
     assert back == {r[0]: r[1] or "" for r in df.select("doc_id", "text").collect()}
 
 
+def test_dropout_varies_by_document_place_and_copy(docs):
+    text = "internationalization " * 200
+    df = docs([(i, text) for i in range(20)]).coalesce(1)
+    got = [tuple(r.ids) for r in spm.encode(df).collect()]
+    own = spm.pieces()
+    cuts = set()
+    for ids in got:
+        cut: list[int] = []
+        for i in ids:  # a word ends with the space before the next one
+            if own.bytes[own.start[i] : own.start[i] + 1].tobytes() == b" ":
+                cuts.add(tuple(cut))
+                cut = []
+            cut.append(i)
+    assert len(cuts) > 10
+    assert len(set(got)) == 20
+    halves = {tuple(np.frombuffer(own.encode(text, 0.1, seed=s), "<i4")[:400].tolist()) for s in range(20)}
+    assert len(halves) == 20
+    twice = docs([(1, text), (1, text)]).coalesce(1)
+    a, b = [r.ids for r in spm.encode(twice, copies=True).collect()]
+    c, d = [r.ids for r in spm.encode(twice).collect()]
+    assert a != b and c == d
+
+
+def test_characters_without_piece_are_cut_together():
+    own = spm.pieces()
+    parts = ["▁日ab😀the", "\udc80in", "▁the"]
+    keys = np.arange(3, dtype=np.uint64)
+    for dropout in (0, 1 << 30):
+        assert own.merged_all(parts, dropout, keys) == [own.pack(own.merged(p, dropout, k)) for k, p in enumerate(parts)]
+
+
 def test_registered_encoding_is_lossless(spark, sf_dir):
     assert {r.lossless for r in registered.op1_sentencepiece(spark, sf_dir).collect()} == {True}
 
