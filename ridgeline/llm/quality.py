@@ -35,13 +35,14 @@ class Bands:
 
     whole: tuple[tuple[float, float, float], ...] = (
         (256, 0.30, 1.20),
-        (1024, 0.30, 0.90),
-        (4096, 0.22, 0.85),
-        (16384, 0.18, 0.80),
-        (float("inf"), 0.15, 0.80),
+        (512, 0.30, 0.82),
+        (1024, 0.30, 0.75),
+        (4096, 0.26, 0.70),
+        (16384, 0.23, 0.65),
+        (float("inf"), 0.20, 0.65),
     )
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (0.15, 0.85)
+    chunk: tuple[float, float] = (0.22, 0.65)
     max_out: float = 0.25
     level: int = 3
     min_words: int = 50

@@ -1,5 +1,6 @@
 """Operators that judge each document by itself: against brute force, and on odd rows."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -72,6 +73,22 @@ def test_quality_bands(docs, prose):
     assert got[3].ratio > 0.8 and not got[3].kept
 
 
+def test_quality_bands_reject_what_the_base_rule_passes(docs, prose):
+    """Encoded junk and near-repetitive text at several lengths."""
+    r = np.random.default_rng(3)
+
+    def junk(n):
+        data = base64.b64encode(r.bytes(n * 3 // 4)).decode()
+        return " ".join(data[i : i + 12] for i in range(0, n, 12))
+
+    rows = [(n, junk(n)) for n in (800, 1500, 3000, 12_000, 60_000)]
+    rows += [(n, "\n".join(f"row{i} has{i} been{i} seen{i}" for i in range(n))) for n in (101, 401, 2001)]
+    rows += [(n, prose(n, 5)) for n in (70, 150, 450, 3500)]
+    got = {x.id: x for x in quality.score(docs(rows)).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert {i for i, x in got.items() if x.kept} == {70, 150, 450, 3500}
+
+
 def test_quality_filter_agrees_and_keeps_columns(docs, prose, odd):
     df = docs([*odd, (30, prose(90, 3), "en", "z", 7)])
     kept = quality.passing(df)
