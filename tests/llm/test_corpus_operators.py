@@ -315,6 +315,17 @@ def test_pipeline_stage_by_stage(spark, docs, prose, sf_dir):
     assert last.count() == mixed.count() and last.filter("n_pieces < 1").count() == 0
 
 
+def test_pipeline_joins_copies_from_80_percent(spark, docs, prose, sf_dir):
+    base = prose(400, 1).split()
+    near = [f"new{i}" if i % 50 == 25 else w for i, w in enumerate(base)]
+    a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (base, near))
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    df = docs([(1, " ".join(base)), (2, " ".join(near)), (3, prose(400, 2))])
+    assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, df, sf_dir).collect()} == {1, 3}
+    s = corpus_pipeline.NEAR
+    assert (1 - 0.8**s.rows) ** s.bands < 1e-6
+
+
 def test_pipeline_runs(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and out.columns == ["doc_id", "source", "n_pieces", "ids"]
