@@ -94,7 +94,7 @@ VIEWS: dict[str, Callable[[DataFrame, testbed.Inputs], DataFrame]] = {
     "e23_coupons": lambda f, x: views.coupons(ads.coupon_day(f), WINDOW),
     "c2_heatmap": lambda f, x: views.heatmap(ads.partner_hour(f), total=True),
     "c3_last_dates": lambda f, x: views.last_dates(ads.partner_day(f)),
-    "c4_extremes": lambda f, x: views.extremes(views.health(f, WINDOW, CFG).select("partner_id", "health_score"), "health_score", "partner_id"),
+    "c4_extremes": lambda f, x: views.extremes(views.partner_scores(f, WINDOW, CFG).select("partner_id", "health_score"), "health_score", "partner_id"),
     "c5_peak_hour": lambda f, x: views.peak_hour(views.hours(WINDOW.apply(f), CFG.cancel_minutes, by_date=False)),
 }
 

@@ -204,19 +204,24 @@ def new_partner_orders(fact: DataFrame, partners: DataFrame, f: Filters, n: int
     return top(long, n, "label", F.desc("completed_orders"), "partner_id")
 
 
-def health(fact: DataFrame, f: Filters, cfg: Settings, n: int = 100, days: int | None = None) -> DataFrame:
-    """Partners with their health scores, best first."""
+def partner_scores(fact: DataFrame, f: Filters, cfg: Settings, days: int | None = None) -> DataFrame:
+    """All partners with their health scores."""
     own = agg(
         f.apply(fact).filter(C("partner_id").isNotNull()), ["partner_id"], {"partner_name": F.max("partner_name")}, runtime(cfg.cancel_minutes), finance(), entities(),
         {"new_merchant_orders": ads.MEASURES["new_merchant_orders"]()},
     )
     own = with_rates(own)
-    return top(scored(own, days or day_count(f.start, f.end)), n, F.desc("health_score"), F.desc("completed_orders"), "partner_id")
+    return scored(own, days or day_count(f.start, f.end))
+
+
+def health(fact: DataFrame, f: Filters, cfg: Settings, n: int = 100, days: int | None = None) -> DataFrame:
+    """The best ``n`` partners with their health scores, best first."""
+    return top(partner_scores(fact, f, cfg, days), n, F.desc("health_score"), F.desc("completed_orders"), "partner_id")
 
 
 def watch_list(fact: DataFrame, f: Filters, cfg: Settings, band: str, n: int = 50) -> DataFrame:
     """Partners of one band, worst first."""
-    return top(health(fact, f, cfg, n=1_000_000).filter(C("health_band") == band), n, "health_score", F.desc("completed_orders"), "partner_id")
+    return top(partner_scores(fact, f, cfg).filter(C("health_band") == band), n, "health_score", F.desc("completed_orders"), "partner_id")
 
 
 def recent_days(partner_day: DataFrame, today: date, days: int = 4) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ridgeline import catalog
+from ridgeline.plans import views
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -40,3 +42,14 @@ def test_entry(spark):
 def test_filters_reach_the_scan(spark, sf_dir):
     plan = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'").select("o_orderkey")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan
+
+
+def test_extremes_see_more_than_the_best_hundred_partners(spark, sf_dir):
+    rows, _ = catalog.fact(spark, sf_dir)
+    # every partner's orders again for nineteen more partners each, less of them for each
+    many = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19)))).filter(F.pmod(F.xxhash64("order_id"), F.lit(20)) >= F.col("k"))
+    many = many.withColumn("partner_id", F.concat_ws("-", "partner_id", "k")).drop("k").localCheckpoint()
+    scores = {r.partner_id: r.health_score for r in views.partner_scores(many, catalog.WINDOW, catalog.CFG).collect()}
+    assert len(scores) > 100
+    got = [(r.partner_id, r.health_score) for r in catalog.VIEWS["c4_extremes"](many, None).filter("end = 'low'").collect()]
+    assert sorted(got) == sorted(sorted(scores.items(), key=lambda x: (x[1], x[0]))[:5])
