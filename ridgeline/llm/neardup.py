@@ -2,11 +2,15 @@
 
 Documents are first joined into classes of equal word sequences.  A class has one
 sketch: band keys from groups of minima, and the low bits of all minima, packed.
-Classes that share a band key are candidates.  Candidates are not paired off: in
-each bucket a few rounds link members to one pivot each, then only members that are
-still in different components are compared, and only where a longer packed sketch
-allows the similarity.  What remains is linear in practice, and no link is lost to a
-cap: the bands find a pair at the threshold with probability above 1 - 1e-6.
+Classes that share a band key are candidates.  They are not paired off: in each bucket
+all members meet one pivot, in a second round those still apart from it meet another,
+and what is then still in different components meets across these.  A pair is compared
+by its packed sketches, then on its full sets, which are read from the texts once.  No
+link is lost to a cap: the bands find a pair at the threshold with probability above
+1 - 1e-6.
+
+What is written between steps is a table in the shared folder; rows of buckets hold two
+or three numbers each.
 """
 
 from __future__ import annotations
@@ -20,12 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ridgeline.llm.kernels import Block, mix64, release, shingles, text_blocks, utf8
-from ridgeline.llm.shared import shared_dir
+from ridgeline.llm.shared import Tables
 
 _BLOCK = 500_000
-#: Ids of the texts to read again are broadcast if at most this many (16 MB); else they are joined by shuffle.
+#: Tables of numbers (up to 80 bytes a row) are broadcast if they have at most this many rows; else they are joined by shuffle.
+BROADCAST_ROWS = 250_000
+#: The same for ids and hashes of texts to read or to leave out; beyond it the texts are shuffled once.
 BROADCAST_IDS = 1_000_000
 
 
@@ -36,9 +43,8 @@ class Sketching:
     bands: int = 32
     rows: int = 6
     bits: int = 2  # kept of each minimum
-    long_bits: int = 2048  # of the sketch for what the pivots have not linked
-    rounds: int = 2
-    cell: int = 512  # rows of a bucket that meet in one cell
+    cell: int = 512  # rows of one component of a bucket that meet others in one cell
+    dealt: int = 256  # pairs of one pivot that are compared in one place
     sigmas: float = 4.5
 
     @property
@@ -98,7 +104,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, s: Sketching) -> DataFrame:
-    """``id, class, n_shingles, bands, packed`` of ``docs`` (id, text bytes); class and sketch are null without words."""
+    """``id, text_hash, class, n, bands, packed`` of ``docs`` (id, text_hash, text bytes); class and sketch are null without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(s.hashes, 0x51)
         for rows, block, hashes in _each(batches):
@@ -118,63 +124,36 @@ def sketches(docs: DataFrame, s: Sketching) -> DataFrame:
                     n[i] = len(np.unique(values[offsets[i] : offsets[i + 1]]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("id"), pa.array(_classes(block, hashes).view(np.int64), mask=block.counts == 0),
+                    rows.column("id"), rows.column("text_hash"), pa.array(_classes(block, hashes).view(np.int64), mask=block.counts == 0),
                     pa.array(n), _lists(bands), _lists(packed),
                 ],
-                names=["id", "class", "n", "bands", "packed"],
+                names=["id", "text_hash", "class", "n", "bands", "packed"],
             )
 
-    return docs.mapInArrow(
-        run, f"id {docs.schema['id'].dataType.simpleString()}, class long, n long, bands array<long>, packed array<long>"
-    )
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, text_hash long, class long, n long, bands array<long>, packed array<long>")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one of the ids; where these are few, without moving the texts."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+def _of_rows(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows (id, text_hash) that are among the keys, or are not; where these are few the rows are not moved."""
+    keys = keys.select(F.col("id").alias("i"), F.col("text_hash").alias("h"))
+    return rows.join(_maybe_broadcast(keys, BROADCAST_IDS), (F.col("text_hash") == F.col("h")) & F.col("id").eqNullSafe(F.col("i")), how)
 
 
-def _again(docs: DataFrame, ids: DataFrame, kind: str, s: Sketching) -> DataFrame:
-    """``class, data`` of the documents with some ids: their sorted shingle sets, or their long packed sketches."""
-    ids = ids.distinct().checkpoint()
+def _sets(docs: DataFrame, wanted: DataFrame, s: Sketching) -> DataFrame:
+    """``class, data`` of the wanted documents (id, text_hash): their distinct shingles."""
+    found = _of_rows(docs, wanted, "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        multipliers = _multipliers(s.long_bits, 0xA7)
         for _, block, hashes in _each(batches):
             values, offsets = shingles(hashes, block.offsets, s.width)
             full = np.flatnonzero(block.counts > 0)
-            keys = pa.array(_classes(block, hashes)[full].view(np.int64))
-            if kind == "sets":
-                data = pa.array([np.unique(values[offsets[i] : offsets[i + 1]]).tobytes() for i in full], pa.binary())
-            elif len(full):
-                data = _lists(_pack(_minima(values, offsets[:-1][full], multipliers), 1))
-            else:
-                continue
-            yield pa.RecordBatch.from_arrays([keys, data], names=["class", "data"])
-
-    out = "binary" if kind == "sets" else "array<long>"
-    return _texts_of(docs, ids).mapInArrow(run, f"class long, data {out}").dropDuplicates(["class"])
-
-
-def _confirmed(docs: DataFrame, pairs: DataFrame, s: Sketching) -> DataFrame:
-    """Those of the pairs (a, b), with the ids of a document of each, whose full shingle sets are alike enough."""
-    sets = _again(docs, pairs.select(F.explode(F.array("a_id", "b_id")).alias("id")), "sets", s)
-    joined = pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("data").alias("x")), "a").join(
-        sets.select(F.col("class").alias("b"), F.col("data").alias("y")), "b"
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, x, y = [], batch.column("x"), batch.column("y")
-            for i in range(batch.num_rows):
-                u, v = np.frombuffer(x[i].as_buffer(), dtype=np.uint64), np.frombuffer(y[i].as_buffer(), dtype=np.uint64)
-                common = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
-                keep.append(100 * common >= s.percent * (len(u) + len(v) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        release()
+            own = [np.unique(values[offsets[i] : offsets[i + 1]]) for i in full]
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            data = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(_classes(block, hashes)[full].view(np.int64)), data], names=["class", "data"])
 
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return found.mapInArrow(run, "class long, data array<long>")
 
 
 def _unlike(a: str, b: str, words: int, bits: int) -> Column:
@@ -188,158 +167,212 @@ def _unlike(a: str, b: str, words: int, bits: int) -> Column:
     return reduce(lambda p, q: p + q, [one(i) for i in range(words)])
 
 
-def components(edges: DataFrame, steps: int | None = None) -> DataFrame:
-    """``class, comp`` for the ends of the edges (a, b): the least class reached in ``steps`` steps, or in all.
+def _alike(s: Sketching) -> Column:
+    """Whether the sketches of a row ``l`` and a row ``r``, and their sizes, allow the similarity."""
+    words = -(-s.hashes // (64 // s.bits))
+    sizes = 100 * F.least("l.n", "r.n") >= s.percent * F.greatest("l.n", "r.n")
+    return sizes & (_unlike("l.packed", "r.packed", words, s.bits) <= s.most_unlike(s.hashes, s.bits))
 
-    Each step takes the least label among a node and its neighbours, then that
-    label's own.  Equal labels always mean connected nodes.  Only a count of
-    changes comes to the driver.
-    """
-    shared_dir(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if steps is None:
-        both = both.distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("low")).select(
-        "class", F.least("class", "low").alias("comp")
-    )
-    if steps is None:
-        labels = labels.checkpoint()
-    done = 1
-    while steps is None or done < steps:
-        near = both.join(labels.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.min("comp").alias("low"))
-        step = labels.join(near, "class").select("class", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
-        done += 1
-        if steps is not None:
-            labels = step.select("class", "comp")
-            continue
-        # a label is a node of the same component, so its own label may be taken too
-        up = labels.select(F.col("class").alias("comp"), F.col("comp").alias("top"))
-        step = step.join(up, "comp", "left").select("class", "old", F.least("comp", "top").alias("comp")).checkpoint()
-        labels = step.select("class", "comp")
-        if not step.filter(F.col("old") != F.col("comp")).limit(1).count():
-            break
-    return labels if steps is None else labels.checkpoint()
 
+def _maybe_broadcast(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    most = BROADCAST_ROWS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s: Sketching = Sketching()) -> DataFrame:
-    """``id, n_shingles, component_id, kept`` for each row of ``docs``.
 
-    Words are runs of bytes other than ASCII white space, with A-Z in lower case.
-    A document's set has its distinct 5-word shingles; with fewer words, the whole
-    sequence.  A missing, empty or blank text has none and is linked with nothing.
-    ``component_id`` is the least id reachable over links and copies; ``kept`` is
-    whether that is the row's own.  Missing ids are never representatives: such a
-    row has its group's least other id, or if there is none, a missing component and is
-    kept.  Rows with the same id are all kept or none.  An empty table gives an empty
-    result; other columns are not read.
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
+    """``class, comp, degree`` for the ends of the edges (a, b): the component, named by one of its classes, and the number of links.
+
+    Each step joins every node to the least of its neighbours and itself, and goes on
+    with the edges between what is joined; these soon are none.  Equal names always
+    mean connected nodes.
     """
-    picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    shared_dir(docs.sparkSession)  # checkpoints go there
-    sketched = sketches(picked, s).checkpoint()
-    classes = sketched.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"))
-    nodes = sketched.filter("id IS NOT NULL").join(classes, ["class", "id"], "left_semi").checkpoint()
-    if nodes.count() > classes.filter("id IS NOT NULL").count():  # rows that repeat an id and its text
-        nodes = nodes.dropDuplicates(["class"]).checkpoint()
-    slots = nodes.select("class", F.posexplode("bands").alias("band", "key"))
-    buckets = slots.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = (
-        slots.join(buckets, "key").join(nodes.select("class", "id", "n", "packed"), "class")
-        .select("key", "members", "band", "class", "id", "n", "packed").checkpoint()
-    )
-    edges = None
+    graph = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = None
-    for r in range(s.rounds):
-        rows = _labelled(members, labels)
-        if labels is not None:
-            rows = _divided(rows)
-            # the member with most links so far is most likely to be linked to more
-            degrees = edges.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
-            rows = rows.join(degrees, "class", "left")
+    while True:
+        low = graph.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("degree"))
+        joined = tables.keep("joined", low.select("class", F.least("class", "low").alias("comp"), "degree"))
+        hubs = _maybe_broadcast(joined.select("class", "comp"))
+        if labels is None:
+            labels = joined
+        else:
+            up = hubs.select(F.col("class").alias("comp"), F.col("comp").alias("top"))
+            labels = tables.keep("labels", labels.join(up, "comp", "left").select("class", F.coalesce("top", "comp").alias("comp"), "degree"))
+        graph = graph.join(hubs.select(F.col("class").alias("a"), F.col("comp").alias("p")), "a").join(
+            hubs.select(F.col("class").alias("b"), F.col("comp").alias("q")), "b"
+        )
+        graph = tables.keep("graph", graph.filter("p != q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
+        if not graph.limit(1).count():
+            return labels
+
+
+class _Links:
+    """Candidate classes of one corpus, and how their pairs are confirmed."""
+
+    def __init__(self, picked: DataFrame, nodes: DataFrame, s: Sketching, tables: Tables):
+        self.s, self.tables = s, tables
+        slots = nodes.select("class", F.explode("bands").alias("key"))
+        # classes are hashes, so the least of a bucket is any of them, and often the same in a group's other buckets
+        buckets = slots.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("pivot")).filter("members > 1")
+        self.members = tables.keep("members", slots.join(buckets, "key").select("key", "class", "pivot"))
+        wanted = nodes.join(self.members.select("class"), "class", "left_semi").select("class", "id", "text_hash", "n", "packed")
+        wanted = tables.keep("wanted", wanted)
+        n = wanted.count()
+        self.light = wanted.select("class", "n", "packed")
+        self.few = n <= BROADCAST_ROWS
+        if self.few:
+            self.light = F.broadcast(self.light)
+        self.sets = tables.keep("sets", _sets(picked, wanted, s))
+        if self.sets.count() > n:  # rows that repeat an id and its text
+            self.sets = tables.keep("sets", self.sets.dropDuplicates(["class"]))
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose full sets are alike enough.  A pivot ``a`` with many pairs meets them in several places."""
+        pairs = self.tables.keep("pairs", pairs)
+        counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).filter(F.col("pairs") > self.s.dealt)
+        hot = self.tables.keep("hot", counts.select("a", F.ceil(F.col("pairs") / self.s.dealt).cast("int").alias("places")))
+        hot = _maybe_broadcast(hot)
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            """Rows of pivots ``a``, once for each place."""
+            rows = rows.join(hot, "a", "left")
+            return rows.withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1))).drop("places")
+
+        pairs = pairs.join(hot, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("places", F.lit(1))).cast("int").alias("place"), "b")
+        left = self.light.select(F.col("class").alias("a"), "n", "packed")
+        right = self.light.select(F.col("class").alias("b"), "n", "packed")
+        with_b = pairs.join(right, "b").select("a", "place", "b", "n", "packed").alias("r")
+        if self.few:
+            on = F.col("l.a") == F.col("r.a")
         else:
-            rows = rows.withColumn("degree", F.lit(None).cast("long"))
-        order = F.struct(-F.coalesce("degree", F.lit(0)), F.xxhash64("class", F.lit(r)))
-        pivots = rows.groupBy("key").agg(F.min_by(F.struct("class", "id", "comp", "n", "packed"), order).alias("p")).select("key", "p.*")
-        on = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & _alike(s)
-        pairs = rows.alias("l").join(pivots.alias("r"), on).select(*_pair()).distinct().checkpoint()
-        found = _confirmed(picked, pairs, s)
-        edges = (found if edges is None else edges.union(found)).checkpoint()
-        labels = components(edges)
-    rest = _rest(picked, nodes, _divided(_labelled(members, labels)), s)
-    labels = components(edges.union(_confirmed(picked, rest, s)).checkpoint())
-    named = nodes.select("class", "id").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    by_class = named.join(least, "comp").select("class", "component_id")
-    out = sketched.select("id", "class", "n").join(by_class, "class", "left")
+            left = dealt(left)
+            on = (F.col("l.a") == F.col("r.a")) & (F.col("l.place") == F.col("r.place"))
+        near = self.tables.keep("near", with_b.join(left.alias("l"), on & _alike(self.s)).select("r.a", "r.place", "r.b"))
+        sets = self.sets
+        if near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then sets that no pair needs are not moved
+            sets = sets.join(F.broadcast(near.select(F.explode(F.array("a", "b")).alias("class")).distinct()), "class", "left_semi")
+        met = near.join(sets.select(F.col("class").alias("b"), F.col("data").alias("y")), "b").join(
+            dealt(sets.select(F.col("class").alias("a"), F.col("data").alias("x"))), ["a", "place"]
+        )
+        common = F.size(F.array_intersect("x", "y")).cast("long")
+        enough = 100 * common >= self.s.percent * (F.size("x") + F.size("y") - common)
+        return self.tables.keep("edges", met.filter(enough).select("a", "b"))
+
+    def first(self) -> DataFrame:
+        """Links of all members to their buckets' pivots."""
+        pairs = self.members.filter("class != pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
+        return self.confirmed(pairs.distinct())
+
+    def divided(self, labels: DataFrame) -> DataFrame:
+        """``key, class, comp, degree`` and, of its bucket, ``largest, of_largest, others, head`` where it holds several components.
+
+        ``head`` is the member with most links, of any component.
+        """
+        rows = self.members.select("key", "class").join(_maybe_broadcast(labels), "class", "left").select(
+            "key", "class", F.coalesce("comp", "class").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree")
+        )
+        parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "class", "comp")).alias("head"))
+        buckets = parts.groupBy("key").agg(
+            F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("largest"), F.max("head").alias("head"), F.count(F.lit(1)).alias("parts")
+        ).filter("parts > 1")
+        buckets = buckets.select(
+            "key", F.col("largest.comp").alias("largest"), F.col("largest.n").alias("of_largest"), (F.col("n") - F.col("largest.n")).alias("others"), "head"
+        )
+        return self.tables.keep("divided", rows.join(buckets, "key"))
+
+    def second(self, rows: DataFrame) -> DataFrame:
+        """Links of members of divided buckets to the one with most links so far, which is likely to have more."""
+        apart = rows.filter("comp != head.comp").select(F.col("head.class").alias("a"), F.col("class").alias("b"))
+        return self.confirmed(apart.distinct())
+
+    def rest(self, rows: DataFrame) -> DataFrame:
+        """Links between members of one bucket in different components.
+
+        The bucket's largest component is dealt to blocks, and the others' members go
+        to each of these, and to cells among themselves; so no task gets a whole bucket.
+        """
+        cell = self.s.cell
+        rows = rows.join(self.light, "class").select("key", "class", "comp", "largest", "of_largest", "others", "n", "packed")
+        rows = self.tables.keep("rest", rows)
+        blocks = F.ceil(F.col("of_largest") / cell).cast("int")
+        most = rows.filter("comp = largest").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+        others = rows.filter("comp != largest")
+        spread = others.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        same = (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block"))
+        pairs = most.alias("l").join(spread.alias("r"), same & _alike(self.s)).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
+        cells = F.ceil(F.col("others") / cell).cast("int")
+        own = others.withColumn("own", F.pmod(F.xxhash64("class"), cells).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
+        own = own.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+        same = reduce(lambda p, q: p & q, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "lo", "hi")])
+        # the two come from the two blocks of the cell
+        apart = (F.col("l.comp") != F.col("r.comp")) & ((F.col("l.own") != F.col("r.own")) | (F.col("l.lo") == F.col("l.hi")))
+        among = own.alias("l").join(own.alias("r"), same & (F.col("l.class") < F.col("r.class")) & apart & _alike(self.s))
+        pairs = pairs.union(among.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")))
+        return self.confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, s: Sketching) -> DataFrame:
+    """``id, text_hash, n_shingles, component_id, kept`` for each row."""
+    tables = Tables(docs.sparkSession, "neardup")
+    text = utf8(text_col)
+    picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    sketched = tables.keep("sketched", sketches(picked, s))
+    least = F.struct(F.col("id").isNull(), "id")
+    nodes = sketched.filter("class IS NOT NULL").groupBy("class").agg(F.min_by(F.struct("id", "text_hash", "n", "bands", "packed"), least).alias("x"))
+    nodes = tables.keep("nodes", nodes.select("class", "x.*"))
+    links = _Links(picked, nodes, s, tables)
+    edges = links.first()
+    labels = components(edges, tables)
+    rows = links.divided(labels)
+    if rows.limit(1).count():
+        more = links.second(rows)
+        if more.limit(1).count():
+            edges = edges.union(more)
+            labels = components(edges, tables)
+            rows = links.divided(labels)
+        last = links.rest(rows)
+        if last.limit(1).count():
+            labels = components(edges.union(last), tables)
+    named = nodes.select("class", "id").join(labels.select("class", "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    least_id = named.groupBy("comp").agg(F.min("id").alias("component_id"))
+    by_class = tables.keep("by_class", named.join(least_id, "comp").select("class", "component_id"))
+    tables.drop_all_but("sketched", "by_class")
+    out = sketched.select("id", "text_hash", "class", "n").join(by_class, "class", "left")
     own = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn(
+    return out.select("id", "text_hash", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn(
         "kept", F.col("component_id").isNull() | F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
     )
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("comp", F.col("class"))
-    return members.join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-
-
-def _divided(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that still hold more than one component."""
-    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    return rows.join(keys, "key", "left_semi")
-
-
-def _alike(s: Sketching) -> Column:
-    """Whether the sketches of a row ``l`` and a row ``r``, and their sizes, allow the similarity."""
-    words = -(-s.hashes // (64 // s.bits))
-    sizes = 100 * F.least("l.n", "r.n") >= s.percent * F.greatest("l.n", "r.n")
-    return sizes & (_unlike("l.packed", "r.packed", words, s.bits) <= s.most_unlike(s.hashes, s.bits))
-
-
-def _pair() -> list[Column]:
-    """The classes of a row ``l`` and a row ``r``, the lesser first, each with its id."""
-    left = F.col("l.class") < F.col("r.class")
-    return [
-        F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"),
-        F.when(left, F.col("l.id")).otherwise(F.col("r.id")).alias("a_id"), F.when(left, F.col("r.id")).otherwise(F.col("l.id")).alias("b_id"),
-    ]
-
-
-def _rest(docs: DataFrame, nodes: DataFrame, rows: DataFrame, s: Sketching) -> DataFrame:
-    """Pairs of one bucket in different components that the long sketch still allows.
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s: Sketching = Sketching()) -> DataFrame:
+    """``id, n_shingles, component_id, kept`` for each row of ``docs``.
 
-    A bucket of many rows is dealt to cells: its rows to blocks, and each pair of
-    blocks to one cell, so that no task gets a whole bucket.
+    Words are runs of bytes other than ASCII white space, with A-Z in lower case.
+    A document's set has its distinct 5-word shingles; with fewer words, the whole
+    sequence.  A missing, empty or blank text has none and is linked with nothing;
+    texts of any length are taken whole.
+    ``component_id`` is the least id reachable over links and copies; ``kept`` is
+    whether that is the row's own.  Missing ids are never representatives: such a
+    row has its group's least other id, or if there is none, a missing component and is
+    kept.  Of rows with the same id each is judged by its own text.  An empty table gives
+    an empty result; other columns are not read.
     """
-    n_blocks = F.ceil(F.col("members") / s.cell).cast("int")
-    block = F.pmod(F.xxhash64("class"), n_blocks).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    rows = rows.select(
-        "key", F.least("block", "other").alias("cell1"), F.greatest("block", "other").alias("cell2"), "block", "class", "id", "comp", "n", "packed", "band"
-    ).checkpoint()
-    # the two come from the two blocks of the cell
-    on = reduce(lambda p, q: p & q, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "cell1", "cell2")])
-    apart = (F.col("l.comp") != F.col("r.comp")) & ((F.col("l.block") != F.col("r.block")) | (F.col("l.cell1") == F.col("l.cell2")))
-    some = rows.alias("l").join(rows.alias("r"), on & apart & _alike(s), "left_semi").select("class", "id").distinct().checkpoint()
-    long = _again(docs, some.select("id"), "long", s).join(nodes.select("class", "bands"), "class")
-    rows = rows.join(long, "class").checkpoint()
-    near = _unlike("l.data", "r.data", s.long_bits // 64, 1) <= s.most_unlike(s.long_bits, 1)
-    # of the bands that two classes share, the first gives the pair
-    first = ~F.exists(F.sequence(F.lit(0), F.lit(s.bands - 1)), lambda i: (i < F.col("l.band")) & (F.col("l.bands")[i] == F.col("r.bands")[i]))
-    pairs = rows.alias("l").join(rows.alias("r"), on & (F.col("l.class") < F.col("r.class")) & apart & _alike(s) & near & first)
-    return pairs.select(*_pair()).distinct().checkpoint()
+    return _decided(docs, id_col, text_col, s).drop("text_hash")
 
 
 def unique(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s: Sketching = Sketching()) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: one document of each group.
 
     Of rows with the same id one stays, too; rows without id stay unless their group has one with an id.
+    Missing and empty texts stay, an empty table stays empty, and columns of any name are passed on.
     """
-    decided = linked(docs, id_col=id_col, text_col=text_col, s=s).checkpoint()
-    gone = decided.filter(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    gone = gone.checkpoint()
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    known = docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    tables = Tables(docs.sparkSession, "unique")
+    decided = tables.keep("decided", _decided(docs, id_col, text_col, s))
+    gone = tables.keep("gone", decided.filter(~F.col("kept")).select("id", "text_hash").distinct())
+    gone = _maybe_broadcast(gone.select(F.col("id").alias("__gone"), F.col("text_hash").alias("__hash")), BROADCAST_IDS)
+    known = docs.join(gone, (F.xxhash64(utf8(text_col)) == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
     twice = decided.filter("kept AND id IS NOT NULL").groupBy("id").count().filter("count > 1").select(F.col("id").alias("__twice"))
+    twice = tables.keep("twice", twice)
     if twice.limit(1).count():
         again = known.join(twice, F.col(id_col) == F.col("__twice"), "left_semi").dropDuplicates([id_col])
         return known.join(twice, F.col(id_col) == F.col("__twice"), "left_anti").unionByName(again)

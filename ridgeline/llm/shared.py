@@ -25,6 +25,32 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Intermediate tables of one call, in a folder of their own in the shared folder: compressed, and read back by few tasks if small."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = new_folder(spark, name)
+        self.paths: dict[str, list[str]] = {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written and read back, so that lost executors cost no recomputation."""
+        path = f"{self.folder}/{name}-{sum(map(len, self.paths.values()))}"
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        for path in [p for name in names for p in self.paths.pop(name, [])]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*[n for n in self.paths if n not in names])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
