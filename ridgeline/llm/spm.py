@@ -7,6 +7,8 @@ With dropout, a candidate that comes to the head of the agenda is skipped if a h
 seed, document, the part's place in the text, place in the part and piece says so; it
 comes back only if a neighbour changes.  So a word is cut anew wherever it is met.  The
 same seed gives the same pieces on any cluster; all of them decode to the text.
+
+The agendas of all parts of one length advance together, a candidate each at a time.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from ridgeline.llm.kernels import mix64, release, text_blocks, utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _PART = re.compile(" *[^ \n▁]+| +|\n|▁")
 _SPACE = "▁"
-_NEVER = 1 << 40
-_CHUNK = 1 << 17  # characters whose agendas advance together
+_NEVER = (1 << 31) - 1
+_GONE = -0x110001  # no character and no piece
+_LONG = 48  # characters; agendas of longer parts are heaps, one by one
+_TOGETHER = 1 << 17  # characters whose agendas advance together
 _BLOCK = 1 << 21
 
 
@@ -60,22 +64,23 @@ class Pieces:
         self.length = np.array([len(x) for x in data], dtype=np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.bytes = np.frombuffer(b"".join(data), dtype=np.uint8)
+        # characters that are no piece but lie in one take part in merges under numbers of their own
+        units = dict(self.ids)
+        for c in sorted({c for name in self.ids for c in name} - set(self.ids)):
+            units[c] = n + len(units)
         self.single = np.full(0x110000, -1, dtype=np.int64)
-        for name, i in self.ids.items():
+        for name, i in units.items():
             if len(name) == 1:
                 self.single[ord(name)] = i
-        self.known = {name for name in self.ids if len(name) == 1} | {" "}
+        self.odd = {i: name for name, i in units.items() if i >= n}
         self.of_rank = np.array(by_score, dtype=np.int64)
         pairs = {}
-        for name, i in self.ids.items():
+        for name in self.ids:
             for k in range(1, len(name)):
-                left, right = self.ids.get(name[:k]), self.ids.get(name[k:])
+                left, right = units.get(name[:k]), units.get(name[k:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = self.rank[name]
-        self.pairs = np.array(sorted(pairs), dtype=np.int64)
-        self.pair_rank = np.array([pairs[k] for k in self.pairs.tolist()], dtype=np.int64)
-        #: characters that are no piece but lie in one: parts with them are cut one by one
-        self.odd = {c for name in self.ids for c in name} - set(self.ids)
+        self._table(pairs)
 
     def pack(self, parts: list[str]) -> bytes:
         ids = array("i")
@@ -87,32 +92,118 @@ class Pieces:
                 ids.append(i)
         return ids.tobytes()
 
-    def merged(self, text: str, dropout: int, key: int) -> list[str]:
-        """The pieces of one part; a candidate is skipped if its 32-bit hash is below ``dropout``."""
-        if len(text) > 48:
-            return self._merged_long(text, dropout, key)
-        rank = self.rank.get
-        n = len(text)
-        place = list(range(n + 1))  # where each piece begins, and the end
-        agenda = [rank(text[i : i + 2], _NEVER) for i in range(n - 1)]
-        while agenda:
-            best = min(agenda)
-            if best == _NEVER:
-                break
-            i = agenda.index(best)
-            at = place[i]
-            if dropout and _skipped(key, at, best, dropout):
-                agenda[i] = _NEVER
-                continue
-            del place[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank(text[at : place[i + 2]], _NEVER)
-            if i:
-                agenda[i - 1] = rank(text[place[i - 1] : place[i + 1]], _NEVER)
-        return [text[a:b] for a, b in zip(place, place[1:], strict=False)]
+    def _table(self, pairs: dict[int, int]) -> None:
+        """The pairs with their ranks by open addressing, at most an eighth full."""
+        self.bits = max(10, (8 * len(pairs)).bit_length())
+        self.pair = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.pair_rank = np.full(1 << self.bits, _NEVER, dtype=np.int64)
+        mask = (1 << self.bits) - 1
+        keys = np.array(list(pairs), dtype=np.int64)
+        for key, at in zip(keys.tolist(), self._slots(keys).tolist(), strict=True):
+            while self.pair[at] != -1:
+                at = (at + 1) & mask
+            self.pair[at], self.pair_rank[at] = key, pairs[key]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the piece that each pair of pieces makes, ``_NEVER`` if none."""
+        keys = left << 32 | (right & 0xFFFFFFFF)
+        at = self._slots(keys)
+        held = self.pair[at]
+        out = np.where(held == keys, self.pair_rank[at], _NEVER)
+        left_over = np.flatnonzero((held != keys) & (held != -1))
+        while len(left_over):
+            at[left_over] = (at[left_over] + 1) & ((1 << self.bits) - 1)
+            held = self.pair[at[left_over]]
+            hit = held == keys[left_over]
+            out[left_over[hit]] = self.pair_rank[at[left_over[hit]]]
+            left_over = left_over[~hit & (held != -1)]
+        return out
+
+    def _together(self, parts: list[str], limit: int, keys: np.ndarray) -> list[bytes]:
+        """Packed ids of parts of one length, each under its key.
+
+        Characters that are no piece are kept as negative numbers, merge with nothing, and become bytes at the end.
+        """
+        n, width = len(parts), len(parts[0])
+        letters = np.frombuffer("".join(parts).replace(" ", _SPACE).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        piece = self.single[letters]
+        piece = np.where(piece < 0, -1 - letters, piece).reshape(n, width)
+        result = piece.copy()
+        # one place more, which stands for what is before the first piece and after the last
+        piece = np.concatenate([piece, np.full((n, 1), _GONE)], axis=1)
+        after = np.tile(np.arange(1, width + 2, dtype=np.int64), (n, 1))
+        before = np.tile(np.arange(-1, width, dtype=np.int64), (n, 1))
+        before[:, 0] = width
+        rank = np.full((n, width + 1), _NEVER, dtype=np.int64)
+        rank[:, : width - 1] = self._ranks(piece[:, : width - 1].ravel(), piece[:, 1:width].ravel()).reshape(n, width - 1)
+        part = np.arange(n)
+        while len(part):
+            at = rank.argmin(axis=1)  # the leftmost of the best
+            row = np.arange(len(part))
+            best = rank[row, at]
+            over = best == _NEVER
+            if over.any():
+                result[part[over]] = piece[over, :-1]
+                go = ~over
+                part, piece, after, before, rank, at, best = (x[go] for x in (part, piece, after, before, rank, at, best))
+                row = np.arange(len(part))
+            if limit:
+                skip = _skipped_all(keys[part], at, best) < limit
+                rank[row[skip], at[skip]] = _NEVER
+                row, at, best = row[~skip], at[~skip], best[~skip]
+            second = after[row, at]
+            third = after[row, second]
+            merged = self.of_rank[best]
+            piece[row, at] = merged
+            piece[row, second] = _GONE
+            rank[row, second] = _NEVER
+            after[row, at] = third
+            before[row, third] = at
+            rank[row, at] = self._ranks(merged, piece[row, third])
+            previous = before[row, at]
+            rank[row, previous] = self._ranks(piece[row, previous], merged)
+        return self._packed(result)
+
+    def _packed(self, piece: np.ndarray) -> list[bytes]:
+        """Each row's pieces, 4 bytes each, without those that are gone."""
+        keep = piece != _GONE
+        count = keep.sum(axis=1)
+        flat = piece[keep]
+        if ((flat < 0) | (flat >= len(self.length))).any():
+            names = [chr(-1 - p) if p < 0 else self.odd.get(p) for p in flat.tolist()]
+            own = [[p] if c is None else [self.of_byte[b] for b in c.encode("utf-8", "surrogateescape")] for p, c in zip(flat.tolist(), names, strict=True)]
+            count = np.add.reduceat(np.array([len(x) for x in own]), np.cumsum(count) - count)
+            flat = np.array([p for x in own for p in x], dtype=np.int64)
+        ends = (np.cumsum(count) * 4).tolist()
+        data = flat.astype("<i4").tobytes()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def cut(self, parts: list[str], limit: int, keys: np.ndarray) -> list[bytes]:
+        """Packed ids of the parts, each under its 32-bit key; a candidate is skipped if its hash is below ``limit``."""
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        out: list[bytes] = [b""] * len(parts)
+        order = np.argsort(size, kind="stable")
+        in_order = size[order]
+        at, end = 0, int(np.searchsorted(in_order, _LONG, "right"))
+        while at < end:
+            width = int(in_order[at])
+            last = min(at + _TOGETHER // width, int(np.searchsorted(in_order, width, "right")))
+            some = order[at:last]
+            for i, x in zip(some.tolist(), self._together([parts[i] for i in some.tolist()], limit, keys[some]), strict=True):
+                out[i] = x
+            at = last
+        for i in order[end:].tolist():
+            out[i] = self.pack(self._merged_long(parts[i].replace(" ", _SPACE), limit, int(keys[i])))
+        for i in np.flatnonzero(size == 1).tolist():
+            if parts[i] == _SPACE:  # the character itself, not a space
+                out[i] = array("i", [self.of_byte[b] for b in parts[i].encode()]).tobytes()
+        return out
 
     def _merged_long(self, text: str, dropout: int, key: int) -> list[str]:
-        """The same for long parts, with the agenda as a heap."""
+        """The pieces of a long part, with the agenda as a heap; a candidate is skipped if its 32-bit hash is below ``dropout``."""
         rank = self.rank
         n = len(text)
         parts: list[str | None] = list(text)
@@ -141,112 +232,26 @@ class Pieces:
             offer(before[i])
         return [p for p in parts if p is not None]
 
-    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of the piece that each pair of pieces makes, ``_NEVER`` if none."""
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.pair_rank[at], _NEVER)
-
-    def merged_all(self, parts: list[str], dropout: int, keys: np.ndarray) -> list[bytes]:
-        """Packed ids of many parts: the agendas of all advance together, one candidate each at a time.
-
-        Characters that are no piece are kept as negative numbers, merge with nothing, and become bytes at the end.
-        """
-        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        letters = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        piece = self.single[letters]
-        piece = np.where(piece < 0, -1 - letters, piece)
-        part = np.repeat(np.arange(len(parts)), size)
-        place = np.arange(len(part)) - np.repeat(np.cumsum(size) - size, size)
-        rank = np.full(len(part), _NEVER)
-        inner = np.flatnonzero(part[1:] == part[:-1])
-        rank[inner] = self._ranks(piece[inner], piece[inner + 1])
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(part):
-            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            best = np.minimum.reduceat(rank, begin)
-            each = np.repeat(best, np.diff(np.append(begin, len(part))))
-            over = each == _NEVER
-            if over.any():
-                done.append((part[over], piece[over]))
-                part, piece, place, rank, each = (x[~over] for x in (part, piece, place, rank, each))
-                if not len(part):
-                    break
-            head = np.flatnonzero(rank == each)
-            head = head[np.concatenate([[True], part[head[1:]] != part[head[:-1]]])]  # the leftmost of each part
-            if dropout:
-                skip = _skipped_all(keys[part[head]], place[head], rank[head]) < dropout
-                rank[head[skip]] = _NEVER
-                head = head[~skip]
-            piece[head] = self.of_rank[rank[head]]
-            keep = np.ones(len(part), dtype=bool)
-            keep[head + 1] = False
-            at = head - np.arange(len(head))  # where the heads are when the pieces after them are gone
-            part, piece, place, rank = part[keep], piece[keep], place[keep], rank[keep]
-            changed = np.concatenate([at, at[(at > 0) & (part[np.maximum(at - 1, 0)] == part[at])] - 1])
-            last = changed + 1 >= len(part)
-            after = np.where(last, 0, changed + 1)
-            new = self._ranks(piece[changed], piece[after])
-            rank[changed] = np.where(last | (part[after] != part[changed]), _NEVER, new)
-        part, piece = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(part, kind="stable")
-        part, piece = part[order], piece[order]
-        if (piece < 0).any():
-            own = [[p] if p >= 0 else [self.of_byte[b] for b in chr(-1 - p).encode("utf-8", "surrogateescape")] for p in piece.tolist()]
-            part, piece = np.repeat(part, [len(x) for x in own]), np.array([p for x in own for p in x], dtype=np.int64)
-        ends = np.cumsum(np.bincount(part, minlength=len(parts))) * 4
-        data = piece.astype("<i4").tobytes()
-        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
     def encode(self, text: str, dropout: float = 0.0, seed: int = 0) -> bytes:
         """The ids of a text's pieces, 4 bytes each."""
         return self.encode_all([text], dropout, np.array([seed]))[0]
 
     def encode_all(self, texts: list[str], dropout: float, keys: np.ndarray) -> list[bytes]:
-        """The ids of each text's pieces under its key; without dropout equal parts are cut once."""
+        """The ids of each text's pieces under its key."""
         limit = int(dropout * (1 << 32))
         split = [_PART.findall(" " + t) if t else [] for t in texts]
         parts = [p for x in split for p in x]
         count = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        if limit:
-            size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-            place = np.concatenate([[0], np.cumsum(size)])
-            first = np.cumsum(count) - count
-            place = place[:-1] - np.repeat(place[first], count)  # in the part's own text
-            own = mix64(np.repeat(mix64(keys.astype(np.int64).view(np.uint64)), count) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            ids = self._cut(parts, limit, own & np.uint64(0xFFFFFFFF))
-        else:
-            here = list(dict.fromkeys(parts))
-            known = dict(zip(here, self._cut(here, 0, np.zeros(len(here), dtype=np.uint64)), strict=True))
-            ids = [known[p] for p in parts]
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        place = np.concatenate([[0], np.cumsum(size)])
+        first = np.cumsum(count) - count
+        place = place[:-1] - np.repeat(place[first], count)  # in the part's own text
+        own = mix64(np.repeat(mix64(keys.astype(np.int64).view(np.uint64)), count) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        own &= np.uint64(0xFFFFFFFF)
+        ids = self.cut(parts, limit, own)
         ends = np.cumsum(count).tolist()
         return [b"".join(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _cut(self, parts: list[str], limit: int, keys: np.ndarray) -> list[bytes]:
-        """Packed ids of parts: those of common length together, in chunks, the others one by one."""
-        out: list[bytes] = [b""] * len(parts)
-        alike: dict[str, bool] = {}  # whether a part may be cut with others
-        together: list[int] = []
-        for i, part in enumerate(parts):
-            joint = alike.get(part)
-            if joint is None:
-                joint = alike[part] = len(part) <= 48 and part != _SPACE and self.odd.isdisjoint(part.replace(" ", _SPACE))
-            if joint:
-                together.append(i)
-            elif part == _SPACE:  # the character itself, not a space
-                out[i] = array("i", [self.of_byte[b] for b in part.encode()]).tobytes()
-            else:
-                out[i] = self.pack(self.merged(part.replace(" ", _SPACE), limit, int(keys[i])))
-        size = np.cumsum([len(parts[i]) for i in together], dtype=np.int64)
-        at = 0
-        while at < len(together):
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _CHUNK, "right")))
-            chunk = together[at:end]
-            for i, x in zip(chunk, self.merged_all([parts[i].replace(" ", _SPACE) for i in chunk], limit, keys[chunk]), strict=True):
-                out[i] = x
-            at = end
-        return out
-
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a text from its ids: all pieces' bytes, less the space put before the text."""
         n = self.length[ids]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 
@@ -312,12 +313,36 @@ def test_own_pieces_are_the_models(spark, sf_dir):
         assert r.ids == sp.encode(texts[r.id])
 
 
-def test_long_and_short_agendas_agree():
+def agenda(own, text, limit, key):
+    """Merge the best-ranked pair of neighbours, the leftmost of equals, over and over; a skipped one waits until a neighbour changes."""
+    pieces = [(i, c) for i, c in enumerate(text.replace(" ", "▁"))]
+    skipped = set()
+    while True:
+        pairs = [(own.rank[a[1] + b[1]], a[0], i) for i, (a, b) in enumerate(zip(pieces, pieces[1:])) if a[1] + b[1] in own.rank and (a, b) not in skipped]
+        if not pairs:
+            return own.pack([p for _, p in pieces])
+        rank, at, i = min(pairs)
+        if spm._skipped(key, at, rank, limit):
+            skipped.add((pieces[i], pieces[i + 1]))
+        else:
+            pieces[i : i + 2] = [(at, pieces[i][1] + pieces[i + 1][1])]
+
+
+def test_parts_are_cut_by_their_agendas(prose):
+    """Parts of one length together, and long ones by a heap, are cut as a plain agenda cuts each."""
     own = spm.pieces()
-    for n in (5, 20, 48):
+    r = random.Random(7)
+    parts = [" " + w for w in prose(300).split()] + ["▁日ab😀the".lstrip("▁"), "\udc80in", " ", "internationalization", "  x", "thisworldcontainsmanyletters"]
+    parts = [r.choice(parts) for _ in range(3000)]
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        limit = int(dropout * (1 << 32))
+        keys = np.array([r.getrandbits(32) for _ in parts], dtype=np.uint64)
+        want = [agenda(own, p, limit, int(k)) for p, k in zip(parts, keys)]
+        assert own.cut(parts, limit, keys) == want
+    for n in (49, 60, 84):
         text = ("thisworldcontainsmanyletters" * 3)[:n]
         for key in range(20):
-            assert own.merged(text, 1 << 30, key) == own._merged_long(text, 1 << 30, key)
+            assert own.pack(own._merged_long(text, 1 << 30, key)) == agenda(own, text, 1 << 30, key)
 
 
 def test_seeds_vary_and_repeat(docs, prose, odd):
@@ -351,14 +376,6 @@ def test_dropout_varies_by_document_place_and_copy(docs):
     assert a != b and c == d
 
 
-def test_characters_without_piece_are_cut_together():
-    own = spm.pieces()
-    parts = ["▁日ab😀the", "\udc80in", "▁the"]
-    keys = np.arange(3, dtype=np.uint64)
-    for dropout in (0, 1 << 30):
-        assert own.merged_all(parts, dropout, keys) == [own.pack(own.merged(p, dropout, k)) for k, p in enumerate(parts)]
-
-
 def test_registered_encoding_is_lossless(spark, sf_dir):
     assert {r.lossless for r in registered.op1_sentencepiece(spark, sf_dir).collect()} == {True}
 
