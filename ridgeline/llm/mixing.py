@@ -69,14 +69,50 @@ def _by_source(rows: DataFrame, plan: DataFrame, few: bool, how: str = "left") -
     return rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("s")), how)
 
 
-def _rank(u: Column, rate: Column, relative: Column, max_copies: int, weight_col: str | None) -> tuple[Column, Column]:
+def _by_weight(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    on = F.col("source").eqNullSafe(F.col("s")) & (F.col("own") == F.col("o"))
+    return rows.join(F.broadcast(plan) if few else plan, on, "left")
+
+
+def _own(size: Column, weight: Column | None) -> Column:
+    """A document's inclusion weight, a power of two, so that a source has few: about the root of its words, or the given weight rounded down."""
+    if weight is None:
+        return F.pow(F.lit(2.0), F.floor(F.length(F.bin(size)) / 2))
+    w = weight.cast("double")
+    return F.when(w > 0, F.pow(F.lit(2.0), F.floor(F.log2(w) + F.lit(1e-9)))).otherwise(F.lit(0.0))
+
+
+def _rank(u: Column, due: Column) -> tuple[Column, Column]:
     """Certain copies of a document, and its rank for one more: random odds over inclusion odds (null: none is due)."""
-    due = F.coalesce(F.least(F.lit(float(max_copies)), rate * relative) if weight_col else rate, F.lit(0.0))
+    due = F.coalesce(due, F.lit(0.0))
     whole = F.floor(due).cast("int")
     p = due - whole
     return whole, F.when(p <= 0, F.lit(None).cast("double")).otherwise((u * (F.lit(1.0) - p)) / ((F.lit(1.0) - u) * p))
 
 
+def _dues(parts: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
+    """``s, o, size, source_size, target, due``: the copies due to each weight of each source.
+
+    They are in proportion to the weights, at most ``max_copies``, and what lies above
+    is shared again among the lighter documents, so that the words due are the source's target.
+    """
+    most = F.lit(float(max_copies))
+    of_source = Window.partitionBy("source")
+    heaviest_first = of_source.orderBy(F.col("own").desc())
+    joined = targets.withColumnRenamed("source", "s").join(parts, F.col("source").eqNullSafe(F.col("s")))
+    laid = joined.select(
+        "*", F.coalesce(F.sum("size").over(heaviest_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("heavier"),
+        F.sum(F.col("own") * F.col("size")).over(heaviest_first.rowsBetween(0, Window.unboundedFollowing)).alias("mass"),
+    )
+    full = (F.col("own") > 0) & (most * F.col("mass") <= F.col("own") * (F.col("target") - most * F.col("heavier")))
+    laid = laid.withColumn("full", full)
+    left = F.col("target") - F.sum(F.when(F.col("full"), most * F.col("size")).otherwise(0.0)).over(of_source)
+    mass = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("own") * F.col("size"))).over(of_source)
+    share = F.col("own") * (left / F.nullif(mass, F.lit(0.0)))
+    due = F.when(F.col("full"), most).otherwise(F.least(most, F.greatest(F.lit(0.0), F.coalesce(share, F.lit(0.0)))))
+    return laid.select("s", F.col("own").alias("o"), "size", "source_size", "target", due.alias("due"))
+
+
 def copies(
     docs: DataFrame,
     *,
@@ -89,16 +125,17 @@ def copies(
     max_copies: int = 2,
     seed: str = "mix-1",
     checkpoint: bool = True,
-) -> tuple[DataFrame, DataFrame, bool]:
+) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
     """Decide how often each document is taken.
 
-    Returns the keyed documents ``id, source, size, q`` and the plan of each source
-    ``source, source_size, target, rate, cut``: a document is taken ``whole``
-    times, and once more if its rank ``q`` is at most ``cut``; and whether the
-    sources are few enough to broadcast that plan.
+    Returns the ranked documents ``id, source, size, whole, q``, the plan of each source and
+    weight ``s, o, due``, that of each source ``s, source_size, target, cut``, and
+    whether these are few enough to broadcast.  A document is taken ``whole`` times, and once
+    more if its rank ``q`` is at most ``cut``.
 
-    Each document's expected number of copies is target / source size (times its
-    own weight relative to the source's mean, if ``weight_col`` is given).  The
+    Each document's expected number of copies is in proportion to its weight: a power
+    of two near the root of its words, or ``weight_col`` rounded down to one (missing,
+    negative or 0: never taken); together a source's documents are due its target.  The
     whole copies are certain; for the rest, with inclusion odds p / (1 - p), the
     documents are ranked by random odds over inclusion odds, and those lowest
     in rank are taken until their words are as near the words still due as they
@@ -107,39 +144,25 @@ def copies(
 
     Missing text or no words: size 0, taken with its rank at no cost.  Missing
     sources are one source, last in order.  Repeated rows have one rank: all or
-    none are taken.  An empty table gives empty results.  Other columns are not
-    read, whatever their names.
+    none are taken.  Texts of any length are counted whole.  An empty table gives empty
+    results.  Other columns are not read, whatever their names.
     """
-    key = F.col(id_col)
-    own = F.greatest(F.lit(0.0), F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))) if weight_col else F.lit(1.0)
+    size = word_count(F.col(text_col))
     keyed = docs.select(
-        key.alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        uniform(key, seed).alias("u"),
-        own.alias("own"),
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), uniform(F.col(id_col), seed).alias("u"),
+        _own(size, F.col(weight_col) if weight_col else None).alias("own"),
     )
     if checkpoint:
         keyed = checkpointed(keyed)  # the texts are read once; only these few columns are kept
-    sizes = keyed.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.sum(F.col("own") * F.col("size")).alias("own_size")
-    )
-    few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    targets = source_targets(sizes, weights, volume, max_copies)
-    rate = F.when(F.col("target") >= F.col("source_size").cast("double") * max_copies, F.lit(float(max_copies))).otherwise(
-        F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
-    )
-    plan = targets.select(
-        F.col("source").alias("s"), "source_size", "target", rate.alias("rate"),
-        (F.col("own_size") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0))).alias("own_mean"),
-    )
-    ranked = _by_source(keyed, plan, few).drop("s").withColumns(
-        dict(zip(("whole", "q"), _rank(F.col("u"), F.col("rate"), F.col("own") / F.col("own_mean"), max_copies, weight_col), strict=True))
-    )
+    parts = keyed.groupBy("source", "own").agg(F.sum("size").alias("size"))
+    few = parts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    targets = source_targets(parts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, volume, max_copies)
+    dues = _dues(parts, targets, max_copies)
+    plan = dues.select("s", "o", "due")
+    ranked = _by_weight(keyed, plan, few).drop("s", "o").withColumns(dict(zip(("whole", "q"), _rank(F.col("u"), F.col("due")), strict=True)))
     rest = ranked.filter(F.col("q").isNotNull())
-    need = ranked.groupBy("source").agg(
-        F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("rate").alias("rate"),
-        F.max("own_mean").alias("own_mean"), F.sum(F.col("whole").cast("long") * F.col("size")).alias("certain"),
+    need = dues.groupBy(F.col("s").alias("source")).agg(
+        F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum(F.floor("due") * F.col("size")).alias("certain")
     ).withColumn("need", F.col("target") - F.col("certain"))
     bin_of = F.floor(F.col("q") / (F.col("q") + 1) * BINS).cast("int")
     in_bins = rest.groupBy("source", bin_of.alias("bin")).agg(F.sum("size").alias("size"))
@@ -171,45 +194,37 @@ def copies(
         F.coalesce(F.col("cut_in"), F.col("first") * F.lit(1.0 - 2.0**-50))
     )
     plans = (
-        need.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left")
+        need.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
         .withColumn("cut", cut)
-        .select("source", "source_size", "target", "rate", "own_mean", "cut")
+        .select(F.col("source").alias("s"), "source_size", "target", "cut")
     )
-    return ranked.select("id", "source", "size", "whole", "q"), plans, few
+    return ranked.select("id", "source", "size", "whole", "q"), plan, plans, few
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """``id, size, source_size, target, copies, taken`` for each row of ``docs``; see :func:`copies`."""
-    keyed, plans, few = copies(docs, **options)
-    keyed = keyed.drop("source_size", "target")
-    plans = plans.withColumnRenamed("source", "s")
+    ranked, _, plans, few = copies(docs, **options)
     extra = (F.col("q") <= F.col("cut")).cast("int")
     n = F.col("whole") + F.coalesce(extra, F.lit(0))
-    return _by_source(keyed, plans, few).select(
+    return _by_source(ranked, plans, few).select(
         "id", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"),
         F.coalesce("target", F.lit(0.0)).alias("target"), n.alias("copies"), (n * F.col("size")).cast("long").alias("taken"),
     )
 
 
 def mix(
-    docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weight_col: str | None = None, max_copies: int = 2,
-    seed: str = "mix-1", **options,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, seed: str = "mix-1", **options
 ) -> DataFrame:
     """The mixed corpus: each row of ``docs``, with all its columns, as often as it is taken; see :func:`copies`.
 
-    The texts are not moved: each row finds its number of copies from its id and its source's plan.
+    The texts are not moved: each row finds its number of copies from its id, its weight and its source's plan.
     """
-    _, plans, few = copies(
-        docs, id_col=id_col, source_col=source_col, weight_col=weight_col, max_copies=max_copies, seed=seed, **options
-    )
-    plan = plans.select(F.col("source").alias("__mix_source"), F.struct("rate", "own_mean", "cut").alias("__mix_plan"))
-    rows = docs.join(
-        F.broadcast(plan) if few else plan, F.col(source_col).cast("string").eqNullSafe(F.col("__mix_source")), "left"
-    )
-    own = F.greatest(F.lit(0.0), F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))) if weight_col else F.lit(1.0)
-    whole, q = _rank(
-        uniform(F.col(id_col), seed), F.col("__mix_plan.rate"), own / F.col("__mix_plan.own_mean"), max_copies, weight_col
-    )
-    n = whole + F.coalesce((q <= F.col("__mix_plan.cut")).cast("int"), F.lit(0))
-    times = F.explode(F.array_repeat(F.lit(1), n))
-    return rows.withColumn("__mix_copy", times).drop("__mix_source", "__mix_plan", "__mix_copy")
+    _, plan, plans, few = copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, weight_col=weight_col, seed=seed, **options)
+    plan = plan.join(plans.select(F.col("s").alias("t"), "cut"), F.col("s").eqNullSafe(F.col("t"))).select("s", "o", F.struct("due", "cut").alias("p"))
+    plan = plan.select(*[F.col(c).alias(f"__mix_{c}") for c in ("s", "o", "p")])
+    rows = docs.withColumn("__mix_own", _own(word_count(F.col(text_col)), F.col(weight_col) if weight_col else None))
+    on = F.col(source_col).cast("string").eqNullSafe(F.col("__mix_s")) & (F.col("__mix_own") == F.col("__mix_o"))
+    rows = rows.join(F.broadcast(plan) if few else plan, on, "left")
+    whole, q = _rank(uniform(F.col(id_col), seed), F.col("__mix_p.due"))
+    n = whole + F.coalesce((q <= F.col("__mix_p.cut")).cast("int"), F.lit(0))
+    return rows.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), n))).drop("__mix_s", "__mix_o", "__mix_p", "__mix_own", "__mix_copy")

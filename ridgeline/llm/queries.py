@@ -24,6 +24,8 @@ WITH d AS (
          (CAST(CAST('0x' || substr(md5('{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5)
            / 4503599627370496.0 AS u
   FROM documents
+), dw AS (
+  SELECT *, pow(2.0, (length(bin(size)) // 2)) AS own FROM d
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -40,16 +42,31 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * ((volume
            - sum(CASE WHEN is_full THEN cap ELSE 0.0 END) OVER ()) / sum(CASE WHEN is_full THEN 0.0 ELSE weight END) OVER ()) END AS target
   FROM f
+), g AS (
+  SELECT t.source, t.source_size, t.target, dw.own, sum(dw.size) AS size
+  FROM dw JOIN t ON dw.source IS NOT DISTINCT FROM t.source GROUP BY ALL
+), h AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY own DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS heavier,
+         sum(own * size) OVER (PARTITION BY source ORDER BY own DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mass
+  FROM g
+), i AS (
+  SELECT *, 2.0::DOUBLE * mass <= own * (target - 2.0::DOUBLE * heavier) AS at_most FROM h
+), j AS (
+  SELECT source, source_size, target, own, CASE WHEN at_most THEN 2.0::DOUBLE ELSE least(2.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(
+           own * ((target - sum(CASE WHEN at_most THEN 2.0::DOUBLE * size ELSE 0.0::DOUBLE END) OVER (PARTITION BY source))
+                  / nullif(sum(CASE WHEN at_most THEN 0.0::DOUBLE ELSE own * size END) OVER (PARTITION BY source), 0.0::DOUBLE)), 0.0::DOUBLE))) END AS due
+  FROM i
 ), r AS (
-  SELECT d.*, t.source_size, t.target,
-         CASE WHEN t.target >= t.source_size * 2.0 THEN 2.0 WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS due
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT dw.*, j.source_size, j.target, j.due
+  FROM dw JOIN j ON dw.source IS NOT DISTINCT FROM j.source AND dw.own = j.own
 ), k AS (
   SELECT *, CAST(floor(due) AS BIGINT) AS whole, due - floor(due) AS p FROM r
+), n AS (
+  SELECT source, sum(whole * size) AS certain FROM k GROUP BY source
 ), q AS (
-  SELECT *, CASE WHEN p > 0 THEN (u * (1.0 - p)) / ((1.0 - u) * p) END AS q,
-         target - whole * source_size AS need
-  FROM k
+  SELECT k.*, CASE WHEN p > 0 THEN (u * (1.0 - p)) / ((1.0 - u) * p) END AS q,
+         target - certain AS need
+  FROM k JOIN n ON k.source IS NOT DISTINCT FROM n.source
 ), c AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q) AS through,
          sum(size) OVER (PARTITION BY source, q) AS step

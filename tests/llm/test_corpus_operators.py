@@ -144,16 +144,27 @@ def brute_mix(rows, seed, weights=(5, 2, 1), volume=1.5, cap=2):
             break
     taken = {}
     for s in order:
-        rate = target[s] / totals[s] if totals[s] else 0
-        whole, p = int(min(cap, rate)), min(cap, rate) - int(min(cap, rate))
         mine = [i for i, _, x in rows if x == s]
+        own = {i: 2.0 ** ((len(bin(size[i])) - 2) // 2) for i in mine}
+        full: set = set()  # documents at the limit: shared again until no other exceeds it
+        while True:
+            mass = sum(own[i] * size[i] for i in mine if i not in full)
+            each = (target[s] - sum(cap * size[i] for i in full)) / mass if mass else 0
+            more = {i for i in mine if i not in full and own[i] * each >= cap * (1 - 1e-12)}
+            if not more:
+                break
+            full |= more
+        due = {i: cap if i in full else own[i] * each for i in mine}
+        if not totals[s]:
+            due = dict.fromkeys(mine, cap)
+        whole = {i: int(due[i]) for i in mine}
+        p = {i: due[i] - whole[i] for i in mine}
         for i in mine:
-            taken[i] = whole * size[i]
-        if p <= 1e-15:
-            continue
+            taken[i] = whole[i] * size[i]
+        mine = [i for i in mine if p[i] > 1e-12]
         u = {i: (int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in mine}
-        q = {i: u[i] * (1 - p) / ((1 - u[i]) * p) for i in mine}
-        need, through = target[s] - whole * totals[s], 0
+        q = {i: u[i] * (1 - p[i]) / ((1 - u[i]) * p[i]) for i in mine}
+        need, through = target[s] - sum(whole[i] * size[i] for i in whole), 0
         for i in sorted(mine, key=lambda i: q[i]):
             if through + size[i] <= need or (through < need and need - through > through + size[i] - need):
                 taken[i] += size[i]
@@ -177,6 +188,10 @@ def test_mix_by_hand(docs, prose):
     for s in totals:
         got = sum(v for i, v in taken.items() if source[i] == s)
         assert abs(got - target[s]) <= 60
+    # of one source, long documents are more likely to be taken than short ones
+    share = lambda few: sum(few) / len(few)
+    size = {i: len(t.split()) for i, t, _ in rows}
+    assert share([taken[i] / size[i] for i in taken if source[i] == "b" and size[i] > 40]) > 1.2 * share([taken[i] / size[i] for i in taken if source[i] == "b" and 0 < size[i] < 10])
 
 
 def test_mix_odd_rows_and_ties(docs, odd):
