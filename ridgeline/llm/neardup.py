@@ -4,9 +4,9 @@ Documents are first joined into classes of equal word sequences.  A class has on
 sketch: band keys from groups of minima, and the low bits of all minima, packed.
 Classes that share a band key are candidates.  They are not paired off: in each bucket
 all members meet one pivot, in a second round those still apart from it meet another,
-and what is then still in different components meets across these.  A pair is compared
-by its packed sketches, then on its full sets, which are read from the texts once.  No
-link is lost to a cap: the bands find a pair at the threshold with probability above
+and what is then still in different components meets across these, by longer sketches.
+A pair is compared by its packed sketches, then on its full sets, which are read from the
+texts once.  No link is lost to a cap: the bands find a pair at the threshold with probability above
 1 - 1e-6.
 
 What is written between steps is a table in the shared folder; rows of buckets hold two
@@ -43,7 +43,8 @@ class Sketching:
     bands: int = 32
     rows: int = 6
     bits: int = 2  # kept of each minimum
-    cell: int = 512  # rows of one component of a bucket that meet others in one cell
+    long_hashes: int = 1024  # of the sketches that what the pivots have not linked is compared by
+    cell: int = 1024  # rows of one component of a bucket that meet others in one cell
     dealt: int = 256  # pairs of one pivot that are compared in one place
     sigmas: float = 4.5
 
@@ -156,6 +157,22 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Sketching) -> DataFrame:
     return found.mapInArrow(run, "class long, data array<long>")
 
 
+def _long(sets: DataFrame, s: Sketching) -> DataFrame:
+    """``class, n, packed`` of some sets: long sketches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        multipliers = _multipliers(s.long_hashes, 0xA7)
+        for batch in batches:
+            data = batch.column("data")
+            offsets = data.offsets.to_numpy()
+            if batch.num_rows:
+                values = data.values.to_numpy().view(np.uint64)[offsets[0] : offsets[-1]]
+                packed = _lists(_pack(_minima(values, offsets[:-1] - offsets[0], multipliers), s.bits))
+                yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(np.diff(offsets).astype(np.int64)), packed], names=["class", "n", "packed"])
+        release()
+
+    return sets.mapInArrow(run, "class long, n long, packed array<long>")
+
+
 def _unlike(a: str, b: str, words: int, bits: int) -> Column:
     """How many packed values of two sketches differ."""
     def one(i: int) -> Column:
@@ -167,11 +184,16 @@ def _unlike(a: str, b: str, words: int, bits: int) -> Column:
     return reduce(lambda p, q: p + q, [one(i) for i in range(words)])
 
 
-def _alike(s: Sketching) -> Column:
+def _alike(s: Sketching, hashes: int) -> Column:
     """Whether the sketches of a row ``l`` and a row ``r``, and their sizes, allow the similarity."""
-    words = -(-s.hashes // (64 // s.bits))
+    words = -(-hashes // (64 // s.bits))
     sizes = 100 * F.least("l.n", "r.n") >= s.percent * F.greatest("l.n", "r.n")
-    return sizes & (_unlike("l.packed", "r.packed", words, s.bits) <= s.most_unlike(s.hashes, s.bits))
+    return sizes & (_unlike("l.packed", "r.packed", words, s.bits) <= s.most_unlike(hashes, s.bits))
+
+
+def _short(key: Column) -> Column:
+    """31 bits of a band key: a class's own keys are told apart by these."""
+    return key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
 def _maybe_broadcast(df: DataFrame, most: int | None = None) -> DataFrame:
@@ -211,6 +233,7 @@ class _Links:
 
     def __init__(self, picked: DataFrame, nodes: DataFrame, s: Sketching, tables: Tables):
         self.s, self.tables = s, tables
+        self.nodes = nodes
         slots = nodes.select("class", F.explode("bands").alias("key"))
         # classes are hashes, so the least of a bucket is any of them, and often the same in a group's other buckets
         buckets = slots.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("pivot")).filter("members > 1")
@@ -247,7 +270,7 @@ class _Links:
         else:
             left = dealt(left)
             on = (F.col("l.a") == F.col("r.a")) & (F.col("l.place") == F.col("r.place"))
-        near = self.tables.keep("near", with_b.join(left.alias("l"), on & _alike(self.s)).select("r.a", "r.place", "r.b"))
+        near = self.tables.keep("near", with_b.join(left.alias("l"), on & _alike(self.s, self.s.hashes)).select("r.a", "r.place", "r.b"))
         sets = self.sets
         if near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then sets that no pair needs are not moved
             sets = sets.join(F.broadcast(near.select(F.explode(F.array("a", "b")).alias("class")).distinct()), "class", "left_semi")
@@ -292,21 +315,30 @@ class _Links:
         to each of these, and to cells among themselves; so no task gets a whole bucket.
         """
         cell = self.s.cell
-        rows = rows.join(self.light, "class").select("key", "class", "comp", "largest", "of_largest", "others", "n", "packed")
-        rows = self.tables.keep("rest", rows)
+        left = self.tables.keep("left", rows.select("class").distinct())
+        few = _maybe_broadcast(left)
+        fine = _long(self.sets.join(few, "class", "left_semi"), self.s)
+        # of the bands that two classes share, the first gives the pair
+        bands = self.nodes.join(few, "class", "left_semi").select("class", F.transform("bands", _short).alias("bands"))
+        fine = self.tables.keep("fine", fine.join(bands, "class"))
+        rows = rows.join(F.broadcast(fine) if left.count() <= BROADCAST_ROWS // 10 else fine, "class").select(
+            "key", "class", "comp", "largest", "of_largest", "others", "n", "packed", "bands", F.array_position("bands", _short(F.col("key"))).alias("band")
+        )
+        first = ~F.exists(F.sequence(F.lit(1), F.col("l.band")), lambda i: (i < F.col("l.band")) & (F.element_at("l.bands", i.cast("int")) == F.element_at("r.bands", i.cast("int"))))
+        near = _alike(self.s, self.s.long_hashes) & first
         blocks = F.ceil(F.col("of_largest") / cell).cast("int")
         most = rows.filter("comp = largest").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
         others = rows.filter("comp != largest")
         spread = others.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
         same = (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block"))
-        pairs = most.alias("l").join(spread.alias("r"), same & _alike(self.s)).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
+        pairs = most.alias("l").join(spread.alias("r"), same & near).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
         cells = F.ceil(F.col("others") / cell).cast("int")
         own = others.withColumn("own", F.pmod(F.xxhash64("class"), cells).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
         own = own.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
         same = reduce(lambda p, q: p & q, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "lo", "hi")])
         # the two come from the two blocks of the cell
         apart = (F.col("l.comp") != F.col("r.comp")) & ((F.col("l.own") != F.col("r.own")) | (F.col("l.lo") == F.col("l.hi")))
-        among = own.alias("l").join(own.alias("r"), same & (F.col("l.class") < F.col("r.class")) & apart & _alike(self.s))
+        among = own.alias("l").join(own.alias("r"), same & (F.col("l.class") < F.col("r.class")) & apart & near)
         pairs = pairs.union(among.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")))
         return self.confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
