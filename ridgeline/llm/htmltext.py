@@ -3,8 +3,10 @@
 A page is cut into lines at block elements.  Lines in parts of the page that are
 never main text (menus, footers, adverts, forms, ...) and lines that are mostly
 links weigh nothing.  Lengths are summed over a sliding window of lines; the text
-begins where the sum surges and ends where it dives to nothing for good.  Where the
-page marks its article, only lines in it have weight, and any length is a surge.
+begins where the sum surges and ends where it dives.  How much is a surge follows from
+the page's own windows, by number and by text.  At both ends, lines of small parts of
+their own are left, and short lines of the same part as the text beside them are taken.
+Where the page marks its article, what lies outside of it weighs a tenth.
 """
 
 from __future__ import annotations
@@ -13,16 +15,19 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from itertools import accumulate
+from math import sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.kernels import binaries, utf8
+from ridgeline.llm.kernels import text_blocks, utf8
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)>", re.S
-)
+#: A tag with its attributes; a quoted value may hold the sign that ends tags.  No part of it is ever given back.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>")
+#: The same where quotes don't come in pairs.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +41,8 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td "
     "textarea tfoot th thead title tr ul".split()
 )
+_CONTAINERS = frozenset("address article aside blockquote body dialog div fieldset figure footer form header main menu nav section td th".split())
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CLOSES_P = _BLOCK - {"br", "html", "body", "legend", "option", "optgroup", "summary", "tbody", "td", "th", "thead", "tr", "tfoot"}
 #: Words of class, id and role that mark a part as no main text.
 _BOILERPLATE = frozenset(
@@ -52,12 +59,13 @@ _HEADER = frozenset(("header", "masthead", "topbar"))
 
 @dataclass(frozen=True)
 class Limits:
-    """``window`` lines are summed; without a marked article a surge needs ``surge`` of the page's greatest sum; a line
-    with over ``link_share`` of its text in links weighs nothing."""
+    """``window`` lines are summed; a surge needs ``surge`` of the level of the page's sums; a line with over ``link_share`` of
+    its text in links weighs nothing; with a marked article, text outside of it weighs ``outside`` of its length."""
 
     window: int = 3
     surge: float = 0.25
     link_share: float = 0.5
+    outside: float = 0.1
 
 
 @dataclass
@@ -66,6 +74,8 @@ class _Line:
     links: int
     dead: bool
     main: bool
+    part: int  # number of the innermost element that holds lines together
+    heading: bool
 
 
 def _marks(tag: str, attributes: str, in_main: bool) -> bool:
@@ -88,71 +98,106 @@ def _marks(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, each with whether it is dead, whether it is main text, and the part of the page that its lines belong to."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool, int]] = []
+        self.where: dict[str, list[int]] = {}  # places on the stack of each element
+        self.blocks: list[int] = []
+        self.parts = self.headings = 0
+        self.dead, self.main, self.part = False, False, 0
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost one of a kind, -1 if none is open."""
+        held = self.where.get(tag)
+        return held[-1] if held else -1
+
+    def push(self, tag: str, dead: bool, main: bool) -> None:
+        if tag in _CONTAINERS:
+            self.parts += 1
+        part = self.parts if tag in _CONTAINERS else self.part
+        self.where.setdefault(tag, []).append(len(self.stack))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.headings += tag in _HEADINGS
+        self.stack.append((tag, self.dead or dead, self.main or main, part))
+        self._restore()
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.stack) > place:
+            tag = self.stack.pop()[0]
+            self.where[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+            self.headings -= tag in _HEADINGS
+        self._restore()
+
+    def _restore(self) -> None:
+        _, self.dead, self.main, self.part = self.stack[-1] if self.stack else ("", False, False, 0)
+
+
 def lines(html: str) -> list[_Line]:
-    """The page's lines in order, each with its text, the length of its links, and where it lies."""
+    """The page's lines in order, each with its text, the length of its links, and where it lies.  Time is linear in the page."""
     out: list[_Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, dead from here on, main from here on
+    opened = _Open()
     links = link_chars = 0
-    dead = main = False
 
     def flush() -> None:
         nonlocal link_chars
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append(_Line(text, link_chars, dead, main))
+            out.append(_Line(text, link_chars, opened.dead, opened.main, opened.part, opened.headings > 0))
         parts.clear()
         link_chars = 0
 
-    def restore() -> None:
-        nonlocal dead, main
-        dead, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-
-    def close(tag: str) -> bool:
-        """Close the innermost ``tag`` and all in it; only a block element closes others."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                restore()
-                return True
-        return False
-
-    at = 0
-    n = len(html)
+    at, n = 0, len(html)
+    last_end = html.rfind(">")
+    tag_at = _TAG.match
     while at < n:
-        m = _TAG.search(html, at)
-        piece = html[at : m.start()] if m else html[at:]
+        begin = html.find("<", at)
+        piece = html[at:begin] if begin >= 0 else html[at:]
         if piece:
             parts.append(piece)
             if links:
                 link_chars += len(piece.strip())
-        if not m:
+        if begin < 0:
             break
-        at = m.end()
-        if m[2] is None:
+        after = html[begin + 1 : begin + 3]
+        if after[:1] in ("!", "?"):
+            end = html.find("-->", begin + 4) + 2 if html.startswith("<!--", begin) else html.find(">", begin)
+            at = end + 1 if end >= begin + 2 else n
+            continue
+        if not after.lstrip("/")[:1].isalpha() or after[:2] == "//" or not after.lstrip("/")[:1].isascii():
+            parts.append("<")  # a sign of the text
+            at = begin + 1
             continue
+        if begin > last_end:
+            break  # cut off inside a tag
+        m = tag_at(html, begin)
+        if m is None:  # quotes don't come in pairs: from here on they are nothing special
+            tag_at = _PLAIN_TAG.match
+            m = tag_at(html, begin)
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag == "br" or tag == "p" and not any(s[0] == "p" for s in stack):
+            elif tag == "br" or tag == "p" and opened.last("p") < 0:
                 flush()
             elif tag in _BLOCK or tag in _NEVER:
-                if any(s[0] == tag for s in stack):
+                if opened.last(tag) >= 0:
                     flush()
-                    close(tag)
+                    opened.cut(opened.last(tag))
                     links = 0
             else:
-                # a mark-up element that is dead or not: close it only if nothing blocks the way
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        if stack[i][1] != dead or i == len(stack) - 1:
-                            flush() if stack[i][1] and dead else None
-                            del stack[i:]
-                            restore()
-                        break
-                    if stack[i][0] in _BLOCK:
-                        break
+                # a mark-up element is on the stack only if it is dead: close it if no block lies in the way
+                place = opened.last(tag)
+                if place >= 0 and (not opened.blocks or opened.blocks[-1] < place):
+                    flush()
+                    opened.cut(place)
             continue
         if tag in _BLOCK or tag in _NEVER:
             flush()
@@ -160,47 +205,68 @@ def lines(html: str) -> list[_Line]:
             links += 1
         if tag in _VOID:
             continue
-        if tag in _CLOSES_P and any(s[0] == "p" for s in stack):
-            last = max(i for i, s in enumerate(stack) if s[0] == "p")
-            if not any(s[0] in ("table", "td", "li", "button", "object") for s in stack[last:]):
-                close("p")
-        if tag == "li" and stack and stack[-1][0] == "li":
-            close("li")
+        if tag in _CLOSES_P and opened.last("p") > max(opened.last(t) for t in ("table", "td", "li", "button", "object")):
+            opened.cut(opened.last("p"))
+        if tag == "li" and opened.stack and opened.stack[-1][0] == "li":
+            opened.cut(len(opened.stack) - 1)
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            end = re.compile(rf"</{tag}\b[^>]*+>", re.I).search(html, at)
             at = end.end() if end else n
             continue
         if m[3].endswith("/"):
             continue
-        is_dead = _marks(tag, m[3], main)
-        if is_dead and not dead:
+        is_dead = _marks(tag, m[3], opened.main)
+        if is_dead and not opened.dead:
             flush()
         if tag in _BLOCK or tag in _NEVER or is_dead:
-            stack.append((tag, dead or is_dead, main or tag in _MAIN or 'role="main"' in m[3]))
-            restore()
+            opened.push(tag, is_dead, tag in _MAIN or 'role="main"' in m[3])
     flush()
     return out
 
 
+def _level(sums: list[float]) -> float:
+    """What is usual on the page: between the middle window and the window in the middle of the text."""
+    ordered = sorted(sums)
+    half, so_far = sum(ordered) / 2, 0.0
+    for by_text in ordered:
+        so_far += by_text
+        if so_far >= half:
+            break
+    return sqrt(ordered[len(ordered) // 2] * by_text)
+
+
 def main_text(html: str, limits: Limits = Limits()) -> str:
-    found = lines(html)
-    marked = any(x.main and not x.dead for x in found)
-
-    def weight(x: _Line) -> int:
-        if x.dead or (marked and not x.main) or (not marked and x.links > limits.link_share * len(x.text)):
-            return 0
-        return len(x.text)
-
-    weights = [weight(x) for x in found]
-    sums = [sum(weights[i : i + limits.window]) for i in range(len(weights))]
-    least = 1 if marked else max(1, limits.surge * max(sums, default=0))
-    surge = next((i for i, s in enumerate(sums) if s >= least), None)
-    if surge is None:
+    found = [x for x in lines(html) if not x.dead and (x.main or x.links <= limits.link_share * len(x.text))]
+    if not found:
         return ""
-    dive = max((i for i, w in enumerate(weights) if w and sums[i] >= least), default=surge)
-    while dive < len(weights) and weights[dive]:  # on to where it is nothing
+    marked = any(x.main for x in found)
+    weights = [len(x.text) * (1.0 if x.main or not marked else limits.outside) for x in found]
+    total = [0.0, *accumulate(weights)]
+    n = len(found)
+    onward = [total[min(n, i + limits.window)] - total[i] for i in range(n)]
+    back = [total[i + 1] - total[max(0, i + 1 - limits.window)] for i in range(n)]
+    least = limits.surge * _level(onward)
+    surge = next(i for i, s in enumerate(onward) if s >= least)
+    dive = max(i for i, s in enumerate(back) if s >= least)
+    of_part: dict[int, float] = {}
+    for x, w in zip(found, weights, strict=True):
+        of_part[x.part] = of_part.get(x.part, 0.0) + w
+
+    def small(x: _Line) -> bool:
+        return of_part[x.part] < least and not x.heading
+
+    def beside(x: _Line, y: _Line) -> bool:
+        return x.part == y.part or x.main and y.main
+
+    while surge < dive and (small(found[surge]) or marked and not found[surge].main and found[surge + 1].main):
+        surge += 1
+    while dive > surge and (small(found[dive]) or marked and not found[dive].main and found[dive - 1].main):
+        dive -= 1
+    while surge > 0 and (beside(found[surge - 1], found[surge]) or found[surge - 1].heading and not marked):
+        surge -= 1
+    while dive + 1 < n and beside(found[dive + 1], found[dive]):
         dive += 1
-    return " ".join(x.text for x, w in zip(found[surge:dive], weights[surge:dive], strict=True) if w)
+    return " ".join(x.text for x in found[surge : dive + 1])
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", limits: Limits = Limits()) -> DataFrame:
@@ -209,13 +275,15 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
     White space inside a block is one space, character references are decoded.  A
     missing or empty page, and one without main text, has the empty text.  Each row
     is judged by itself, so repeated rows are alike; ids are passed on as they are, an
-    empty table gives an empty result, and other columns are not read.  No shuffle.
+    empty table gives an empty result, and other columns are not read.  Pages of any length
+    and nesting are read whole, in time in proportion to their length.  No shuffle.
     """
     picked = pages.select(F.col(id_col).alias("id"), utf8(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.decode("utf-8", "replace"), limits) for x in binaries(batch.column("html"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
+            for a, b, pages in text_blocks(batch.column("html")):
+                texts = [main_text(x.decode("utf-8", "replace"), limits) for x in pages]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(texts, pa.string())], names=["id", "text"])
 
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, text string")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -224,9 +225,39 @@ def test_broken_pages(html):
     assert isinstance(htmltext.main_text(html), str)
 
 
+def test_pages_of_any_form_take_linear_time():
+    """Cut off inside a tag, nested without end, or with quotes and signs that don't match."""
+    begin = time.time()
+    assert htmltext.main_text("<p>text</p><div " + " ".join(f'a{i}="v{i}' for i in range(100))) == "text"
+    assert htmltext.main_text("<p>text</p><div " + " ".join(f'a{i}="v{i}"' for i in range(100))) == "text"
+    assert time.time() - begin < 0.1
+    assert htmltext.main_text("<div>" * 100_000 + "deep") == "deep"
+    for page in ("<div><p>" * 50_000, "<a " * 50_000, "<span class=ad>" * 30_000 + "</b>" * 30_000, '<i =">"' * 30_000, "<!--" * 50_000, "<" * 50_000, '<a b="' * 30_000 + ">" * 30_000):
+        htmltext.main_text(page)
+    assert time.time() - begin < 10
+
+
+def test_short_lines_before_long_ones_stay():
+    body = "<h1>Title</h1>" + f"<p>{'a' * 200}</p>" * 5 + f"<p>{'b' * 5000}</p>" + "<p>End.</p>"
+    want = " ".join(["Title", *["a" * 200] * 5, "b" * 5000, "End."])
+    for page in (f"<div>Buy now</div>{body}<div>x</div>", f"<div>Buy now</div><article>{body}</article><div>{'z' * 400}</div>", f"<body><div>Ad</div><div>{body}</div></body>"):
+        assert htmltext.main_text(page) == want
+
+
+def test_surge_and_dive_find_articles_without_marks(spark, sf_dir):
+    """Pages without article tags and classes still give the article, most of them."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    right = 0
+    for html in pages:
+        bare = re.sub(r' class="[^"]*"', "", re.sub(r"</?article>", "", html))
+        right += htmltext.main_text(bare) == htmltext.main_text(html)
+    assert right > 0.9 * len(pages)
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "v", "<p>a &lt; b</p>", "x")], "page_id long, url string, html string, text string")
     assert {r.id: r.text for r in htmltext.extract(df).collect()} == {1: "", 2: "", None: "a < b"}
+    assert [r.text for r in htmltext.extract(df.union(df)).filter("id IS NULL").collect()] == ["a < b"] * 2
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
