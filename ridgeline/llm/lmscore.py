@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ridgeline.llm.kernels import Block, binaries, blocks, mix64, utf8
-from ridgeline.llm.shared import shared_dir
+from ridgeline.llm.kernels import Block, mix64, release, text_blocks, utf8
+from ridgeline.llm.shared import Tables
 
 END = np.uint64(0x6C62272E07BB0142)
 START = np.uint64(0x27D4EB2F165667C5)
@@ -34,7 +34,7 @@ _PAIR = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _SALTS = mix64(np.arange(65, dtype=np.uint64))
 _BLOCK = 1 << 21
 _FLUSH = 2_000_000  # tokens that a task counts together
-_PROBED = 1_000_000  # tokens whose words and pairs are sent to the shards together
+_PROBED = 2_000_000  # tokens whose words and pairs are sent to the shards together
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class Settings:
     bits_per_token: float = 8.0
     head: int = 1 << 19
     weight: float = 500.0
-    docs_per_shard: int = 2000
+    docs_per_shard: int = 6000
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,38 +78,55 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def _cut(keys: np.ndarray) -> np.ndarray:
-    """Pairs are told apart by 40 bits within their shard."""
-    return keys & np.uint64(0xFFFFFFFFFF)
+def _address(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shard and, below it, the 32 bits by which pairs are told apart in their shard."""
+    return _shard(keys, shards) << np.uint64(32) | (keys & np.uint64(0xFFFFFFFF))
 
 
-_PACKED = "shard int, words binary, word_counts binary, low binary, high binary, more binary"
+def _pack(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """32-bit numbers in order in 3 bytes each, after counts of those with each first byte; a few are kept as they are."""
+    keys = keys.astype("<u4")
+    if len(keys) < 512:
+        return b"", keys.tobytes()
+    heads = np.bincount(keys >> np.uint32(24), minlength=256)
+    kind = np.uint8 if heads.max() < 1 << 8 else np.uint16 if heads.max() < 1 << 16 else np.uint32
+    return heads.astype(kind).tobytes(), keys.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpack(heads: bytes, body: bytes) -> np.ndarray:
+    if not heads:
+        return np.frombuffer(body, "<u4").astype(np.uint64)
+    n = np.frombuffer(heads, {256: np.uint8, 512: np.uint16, 1024: np.uint32}[len(heads)])
+    out = np.empty((len(body) // 3, 4), dtype=np.uint8)
+    out[:, :3] = np.frombuffer(body, np.uint8).reshape(-1, 3)
+    out[:, 3] = np.repeat(np.arange(256, dtype=np.uint8), n)
+    return out.view("<u4").ravel().astype(np.uint64)
+
+
+_PACKED = "shard int, words binary, word_counts binary, heads binary, pairs binary, often binary, more binary"
 
 
 def count(docs: DataFrame, shards: int) -> DataFrame:
     """Counts of words and pairs in ``docs`` (text bytes), packed: a row a shard and share of a task.
 
-    Pairs are 5 bytes each, those seen once first; ``more`` has the other counts.
+    ``often`` marks the pairs seen more than once, ``more`` has their counts.
     """
     def packed(tokens: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
         word, n = np.unique(np.concatenate(tokens), return_counts=True)
         at = np.searchsorted(_shard(word, shards), np.arange(shards + 1, dtype=np.uint64))
-        pair, m = np.unique(np.concatenate(pairs), return_counts=True)
-        pair_at = np.searchsorted(_shard(pair, shards), np.arange(shards + 1, dtype=np.uint64))
-        out: list[list] = [[] for _ in range(6)]
-        for i in range(shards):
+        pair, m = np.unique(_address(np.concatenate(pairs), shards), return_counts=True)
+        pair_at = np.searchsorted(pair >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+        out: list[list] = [[] for _ in range(7)]
+        for i in np.flatnonzero((np.diff(at) > 0) | (np.diff(pair_at) > 0)).tolist():
             a, b, c, d = at[i], at[i + 1], pair_at[i], pair_at[i + 1]
-            if a == b and c == d:
-                continue
-            own, own_n = _cut(pair[c:d]), m[c:d]
-            own = np.concatenate([own[own_n == 1], own[own_n > 1]])
+            own = m[c:d]
             row = (
-                i, word[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes(), own.astype(np.uint32).tobytes(),
-                (own >> np.uint64(32)).astype(np.uint8).tobytes(), own_n[own_n > 1].astype(np.uint32).tobytes(),
+                i, word[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes(), *_pack(pair[c:d]),
+                np.packbits(own > 1, bitorder="little").tobytes(), own[own > 1].astype(np.uint32).tobytes(),
             )
             for column, x in zip(out, row, strict=True):
                 column.append(x)
-        kinds = [pa.int32()] + [pa.binary()] * 5
+        kinds = [pa.int32()] + [pa.binary()] * 6
         return pa.RecordBatch.from_arrays(
             [pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[f.split()[0] for f in _PACKED.split(", ")]
         )
@@ -117,9 +134,8 @@ def count(docs: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, pairs, size = [], [], 0
         for batch in batches:
-            texts = binaries(batch.column("text"))
-            for a, b in blocks(texts, _BLOCK):
-                token, _, before = _tokens(texts[a:b])
+            for _, _, texts in text_blocks(batch.column("text"), _BLOCK):
+                token, _, before = _tokens(texts)
                 tokens.append(token)
                 pairs.append(_pair(before, token))
                 size += len(token)
@@ -128,6 +144,7 @@ def count(docs: DataFrame, shards: int) -> DataFrame:
                     tokens, pairs, size = [], [], 0
         if size:
             yield packed(tokens, pairs)
+        release()
 
     return docs.mapInArrow(run, _PACKED)
 
@@ -156,10 +173,10 @@ def merge(counts: DataFrame, size: int, s: Settings) -> DataFrame:
         col = {c: table.column(c).to_pylist() for c in table.column_names}
         word, n = _sum([np.frombuffer(x, np.uint64) for x in col["words"]], [np.frombuffer(x, np.uint32) for x in col["word_counts"]])
         pairs, pair_counts = [], []
-        for low, high, more in zip(col["low"], col["high"], col["more"], strict=True):
-            pairs.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32)))
-            rest = np.frombuffer(more, np.uint32)
-            pair_counts.append(np.concatenate([np.ones(len(pairs[-1]) - len(rest), np.uint32), rest]))
+        for heads, body, often, more in zip(col["heads"], col["pairs"], col["often"], col["more"], strict=True):
+            pairs.append(_unpack(heads, body))
+            pair_counts.append(np.ones(len(pairs[-1]), np.int64))
+            pair_counts[-1][np.unpackbits(np.frombuffer(often, np.uint8), count=len(pairs[-1]), bitorder="little") == 1] = np.frombuffer(more, np.uint32)
         pair, m = _sum(pairs, pair_counts)
         bits = np.zeros(size, dtype=np.uint8)
         for salt, keys, own in ((1, word, n), (2, pair, m)):
@@ -246,16 +263,17 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     """
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), train.alias("train"))
     sizes = picked.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.when(F.col("train"), F.octet_length("text"))).alias("size")).first()
-    shards = int(min(1 << 16, max(16, -(-sizes.docs // s.docs_per_shard))))
+    shards = max(16, -(-sizes.docs // s.docs_per_shard))
     size = max(64, bits_for(sizes["size"] or 0, s) // shards // 64 * 64)
-    shared_dir(docs.sparkSession)  # checkpoints go there
-    merged = merge(count(picked.filter("train").select("text"), shards), size, s).checkpoint()
+    tables = Tables(docs.sparkSession, "lmscore")
+    merged = tables.keep("merged", merge(count(picked.filter("train").select("text"), shards), size, s))
     totals = merged.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     n, v = int(totals.n or 0), int(totals.v or 0)
     spark = docs.sparkSession
     head_words, head_counts = _head(merged, s)
     head = spark.sparkContext.broadcast((head_words, head_counts))
-    both = _first(picked.select("id", F.monotonically_increasing_id().alias("row"), "text"), head, n, v).checkpoint()
+    both = _first(picked.select("id", F.monotonically_increasing_id().alias("row"), "text"), head, n, v)
+    both = tables.keep("texts", both)
     first = both.filter("block IS NULL")
     rest = _rest(first, merged, shards, n, v).unionByName(_model(both.filter("block IS NOT NULL"), merged, shards, Filter(np.zeros(0, np.uint8), 1, size, n, v, s)))
     rest = rest.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_rest", "rest_score", "score")])
@@ -312,11 +330,10 @@ def _first(picked: DataFrame, head, n: int, v: int) -> DataFrame:
         held: list[tuple] = []
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = binaries(batch.column("text"))
             batch_rows = batch.column("row").to_numpy()
             out: list[list] = [[] for _ in range(4)]
-            for a, b in blocks(texts, _BLOCK):
-                token, owner, _ = _tokens(texts[a:b])
+            for a, b, texts in text_blocks(batch.column("text"), _BLOCK):
+                token, owner, _ = _tokens(texts)
                 k = b - a
                 out[0].append(np.bincount(owner, minlength=k))
                 held.append((batch_rows[a:b], out[0][-1], token))
@@ -364,8 +381,8 @@ def _first(picked: DataFrame, head, n: int, v: int) -> DataFrame:
     return picked.mapInArrow(run, f"id {kind}, row long, n_tokens long, n_head long, head_score double, others binary, {_BLOCKS}")
 
 
-def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
-    """Of a block: its words' hashes, the words of its tokens and of those before them, its pairs' hashes, and its tokens' pairs."""
+def _unpacked(row: dict, shards: int) -> tuple[np.ndarray, ...]:
+    """Of a block: its words' hashes, the words of its tokens and of those before them, its pairs' addresses, and its tokens' pairs."""
     word, sizes = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["sizes"], np.int32)
     mine = np.frombuffer(row["low"], np.uint16).astype(np.int64) | np.frombuffer(row["high"], np.uint8).astype(np.int64) << 16
     begin = np.cumsum(sizes) - sizes
@@ -374,7 +391,7 @@ def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
     prior[begin] = mine[-1]  # a text's beginning is counted as often as its end
     before[:] = word[prior]
     before[begin] = START
-    pair, at = np.unique(_pair(before, word[mine]), return_inverse=True)
+    pair, at = np.unique(_address(_pair(before, word[mine]), shards), return_inverse=True)
     return word, mine, prior, pair, at
 
 
@@ -383,26 +400,23 @@ def _model(held: DataFrame, merged: DataFrame, shards: int, model: Filter) -> Da
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                word, _, _, pair, _ = _unpacked(row)
+                word, _, _, pair, _ = _unpacked(row, shards)
                 ends = np.arange(shards + 1, dtype=np.uint64)
-                at, pair_at = np.searchsorted(_shard(word, shards), ends), np.searchsorted(_shard(pair, shards), ends)
+                at, pair_at = np.searchsorted(_shard(word, shards), ends), np.searchsorted(pair >> np.uint64(32), ends)
                 used = np.flatnonzero((np.diff(at) > 0) | (np.diff(pair_at) > 0))
-                low, high = _cut(pair).astype(np.uint32), (_cut(pair) >> np.uint64(32)).astype(np.uint8)
+                packed = [_pack(pair[pair_at[i] : pair_at[i + 1]]) for i in used]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(used.astype(np.int32)), pa.array(np.full(len(used), row["block"])), pa.array([word[at[i] : at[i + 1]].tobytes() for i in used], pa.binary()),
-                        *[pa.array([x[pair_at[i] : pair_at[i + 1]].tobytes() for i in used], pa.binary()) for x in (low, high)],
+                        pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary()),
                     ],
-                    names=["shard", "block", "words", "low", "high"],
+                    names=["shard", "block", "words", "heads", "pairs"],
                 )
 
     def look_up(probes: pa.Table, counted: pa.Table) -> pa.Table:
         col = {c: probes.column(c).to_pylist() for c in probes.column_names}
         words = [np.frombuffer(x, np.uint64) for x in col["words"]]
-        pairs = [
-            np.frombuffer(x, np.uint32).astype(np.uint64) | np.frombuffer(y, np.uint8).astype(np.uint64) << np.uint64(32)
-            for x, y in zip(col["low"], col["high"], strict=True)
-        ]
+        pairs = [_unpack(x, y) for x, y in zip(col["heads"], col["pairs"], strict=True)]
         found = []
         for salt, parts in ((1, words), (2, pairs)):
             keys = np.concatenate([*parts, np.zeros(0, np.uint64)])
@@ -418,7 +432,7 @@ def _model(held: DataFrame, merged: DataFrame, shards: int, model: Filter) -> Da
 
     def total(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        _, mine, prior, _, pair = _unpacked(row)
+        _, mine, prior, _, pair = _unpacked(row, shards)
         answers = answers.sort_by("shard")  # words and pairs are in the order of their shards
         word_levels, pair_levels = (np.frombuffer(b"".join(answers.column(c).to_pylist()), np.uint8).astype(np.int64) for c in ("word_levels", "pair_levels"))
         sizes = np.frombuffer(row["sizes"], np.int32)
@@ -429,7 +443,7 @@ def _model(held: DataFrame, merged: DataFrame, shards: int, model: Filter) -> Da
         })
 
     held = held.select(*[f.split()[0] for f in _BLOCKS.split(", ")])
-    probes = held.select("block", "sizes", "words", "low", "high").mapInArrow(deal, "shard int, block long, words binary, low binary, high binary")
+    probes = held.select("block", "sizes", "words", "low", "high").mapInArrow(deal, "shard int, block long, words binary, heads binary, pairs binary")
     answers = probes.groupBy("shard").cogroup(merged.select("shard", "bits").groupBy("shard")).applyInArrow(
         look_up, "block long, shard int, word_levels binary, pair_levels binary"
     )

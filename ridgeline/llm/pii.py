@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The field labels words; words far from any digit or at sign can only be outside of
-a span, so they cut the chain and each stretch between is decoded exactly by
-itself.  It is trained on a small labelled table made by rule in this module.
+The field labels words.  Where a text has no digit, at sign or word for one, its words
+are outside of any span; stretches around these are decoded, and one with a span near an
+end is widened and decoded again.  So the labels are those of the whole text's best path.  The field is
+trained once, on the driver, on a small labelled table made by rule in this module.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.kernels import Block, release, text_blocks, utf8
+from ridgeline.llm.kernels import Block, ascii_lower, release, text_blocks, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
-CONTEXT = 2
+CONTEXT = 3
 
 # The lookbehinds change no match: a match of these patterns takes all digits of a run.
 _AT = re.compile(rb"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -104,8 +105,12 @@ def _is_ip6(word: str) -> bool:
         return False
 
 
+#: Words that stand for signs of an address, in capitals or not.
+_SIGNS = frozenset((*(x.decode() for x in _OBFUSCATED), "dot", "(dot)", "[dot]"))
+
+
 def word_features(words: list[str]) -> list[list[str]]:
-    cores = [strip(w) for w in words]
+    cores = [c.lower() if c.lower() in _SIGNS else c for c in map(strip, words)]
     shapes = [shape(c) for c in cores]
     out = []
     for i, (core, s) in enumerate(zip(cores, shapes, strict=True)):
@@ -240,8 +245,8 @@ class Field:
             out[i] = self.weights[known].sum(axis=0)
         return out
 
-    def viterbi(self, chains: list[np.ndarray]) -> list[np.ndarray]:
-        """Best labels of each chain; chains of like length are decoded together."""
+    def viterbi(self, chains: list[np.ndarray], starts: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """Best labels of each chain; chains of like length are decoded together.  ``starts`` has what each label costs at a chain's begin."""
         order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(chains)
         at = 0
@@ -260,7 +265,7 @@ class Field:
             for row, i in enumerate(group):
                 e[row, : length[row]] = chains[i]
             back = np.zeros((n, t, k), dtype=np.int8)
-            best = e[:, 0] + _START
+            best = e[:, 0] + (_START if starts is None else np.array([starts[i] for i in group]))
             for j in range(1, t):
                 paths = best[:, :, None] + self.steps[None]
                 back[:, j] = paths.argmax(axis=1)
@@ -362,6 +367,29 @@ def trained(iterations: int = 120, rate: float = 0.15, ridge: float = 0.002) ->
 # ------------------------------------------------------------ the operator
 
 
+def _joined(chains: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Stretches (first word, end, text) in order, those that meet as one."""
+    out: list[tuple[int, int, int]] = []
+    for a, b, o in sorted(chains):
+        if out and out[-1][2] == o and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), o)
+        else:
+            out.append((a, b, o))
+    return out
+
+
+def _decoded(block: Block, chains: list[tuple[int, int, int]], field: Field) -> list[np.ndarray]:
+    """Best labels of stretches of words, each after a word outside of any span, and with nothing said of the words after it."""
+    emissions, starts = [], []
+    for a, b, o in chains:
+        first, last = int(block.offsets[o]), int(block.offsets[o + 1])
+        low, high = max(first, a - 2), min(last, b + 2)  # features look two words to either side
+        words = [block.data[block.start[w] : block.end[w]].decode("utf-8", "replace") for w in range(low, high)]
+        emissions.append(field.emissions(words)[a - low : b - low])
+        starts.append(_START if a == first else field.steps[0])
+    return field.viterbi(emissions, starts)
+
+
 def model_spans(texts: list[bytes], field: Field) -> list[list[tuple[int, int, int]]]:
     """(kind number, start, end) in bytes for each text, by the field."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -369,28 +397,44 @@ def model_spans(texts: list[bytes], field: Field) -> list[list[tuple[int, int, i
     if not len(block.start):
         return out
     marked = ((block.bytes >= 48) & (block.bytes <= 57)) | (block.bytes == 64)
+    lowered = ascii_lower(block.data)
     for sign in _OBFUSCATED:
-        at = block.data.find(sign)
+        at = lowered.find(sign)
         while at >= 0:
             marked[at] = True
-            at = block.data.find(sign, at + 1)
+            at = lowered.find(sign, at + 1)
     hits = np.flatnonzero(marked)
     if not len(hits):
         return out
     words = np.unique(np.searchsorted(block.start, hits, "right") - 1)
     owner = np.searchsorted(block.offsets, words, "right") - 1
-    low = np.maximum(words - CONTEXT, block.offsets[owner])
-    high = np.minimum(words + CONTEXT + 1, block.offsets[owner + 1])
+    low, high = block.offsets[owner], block.offsets[owner + 1]
+    begin, end = np.maximum(words - CONTEXT, low), np.minimum(words + CONTEXT + 1, high)
+    todo = list(zip(begin.tolist(), end.tolist(), owner.tolist(), strict=True))
     chains: list[tuple[int, int, int]] = []
-    for a, b, o in zip(low.tolist(), high.tolist(), owner.tolist(), strict=True):
-        if chains and chains[-1][2] == o and a <= chains[-1][1]:
-            chains[-1] = (chains[-1][0], b, o)
-        else:
-            chains.append((a, b, o))
-    texts_of = [
-        [block.data[block.start[w] : block.end[w]].decode("utf-8", "replace") for w in range(a, b)] for a, b, _ in chains
-    ]
-    paths = field.viterbi([field.emissions(w) for w in texts_of])
+    paths: list[np.ndarray] = []
+    step = 2 * CONTEXT
+    while todo:
+        todo = _joined(todo)
+        found = _decoded(block, todo, field)
+        wider = []
+        for (a, b, o), path in zip(todo, found, strict=True):
+            first, last = int(block.offsets[o]), int(block.offsets[o + 1])
+            left, right = a > first and path[:CONTEXT].any(), b < last and path[-CONTEXT:].any()
+            if left or right:
+                wider.append((max(first, a - step) if left else a, min(last, b + step) if right else b, o))
+            else:
+                chains.append((a, b, o))
+                paths.append(path)
+        step *= 2
+        # what a wider stretch runs into is decoded with it
+        met = [c for c in zip(chains, paths, strict=True) if any(w[2] == c[0][2] and w[0] <= c[0][1] and c[0][0] <= w[1] for w in wider)] if wider else []
+        if met:
+            gone = {c[0] for c in met}
+            wider += gone
+            kept = [c for c in zip(chains, paths, strict=True) if c[0] not in gone]
+            chains, paths = [c for c, _ in kept], [x for _, x in kept]
+        todo = wider
     for (a, _, o), path in zip(chains, paths, strict=True):
         j = 0
         while j < len(path):
@@ -441,10 +485,10 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     and other columns are not read.  No shuffle.
     """
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    trained()  # a broken table fails here, not in the tasks
+    shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = trained()
+        field = shared.value
         for batch in batches:
             found = []
             for _, _, texts in text_blocks(batch.column("text")):
@@ -466,7 +510,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
     Where spans of two kinds overlap, the earlier one is replaced, up to the end of the later.
     ``length_col``, if the table has it, is set to the new number of code points.
     """
-    trained()
+    shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def cleaned(text: str, spans: list) -> str:
         out, at = [], 0
@@ -479,7 +523,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
     place, kind = docs.columns.index(text_col), docs.schema[text_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = trained()
+        field = shared.value
         for batch in batches:
             column = batch.column(place)
             for first, last, block in text_blocks(column.cast(pa.binary())):

@@ -195,6 +195,61 @@ def test_field_held_out():
     assert right >= 0.95 * len(table)
 
 
+def whole_text_spans(text, field):
+    """Spans of the best path over all words of a text."""
+    words = text.encode().decode("utf-8", "replace")
+    found = [(m.start(), m.end()) for m in re.finditer(WORD, words)]
+    if not found:
+        return []
+    path = field.viterbi([field.emissions([words[a:b] for a, b in found])])[0]
+    return [(j, pii.LABELS[y]) for j, y in enumerate(path) if y]
+
+
+def test_stretches_are_decoded_as_whole_texts(spark, sf_dir):
+    """Words that no stretch holds are outside of spans on the whole text's best path too, and the others have its labels."""
+    field = pii.trained()
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    texts = [t for t in texts if len(t) < 20_000] + [" ".join(w) for w, _ in pii.labelled_table()[:300]]
+    texts += [
+        "mail ann (AT) example dot com now", "so ann (at) mail dot example dot com said", "ask kim [At] firm [dot] sub [dot] dept [dot] com or not", "x (at) y",
+        "call 4111 1111 1111 1111 or (212) 555-0100 and then +44 20 7946 0958", "a b c d e f g",
+    ]
+    for text in texts:
+        block = kernels.Block([text.encode()], lower=False)
+        want = dict(whole_text_spans(text, field))
+        words = [w for w in range(len(block.start))]
+        got = {}
+        seen = [c for c in captured(text.encode(), field)]
+        for (a, _, _), path in seen:
+            got |= {a + j: pii.LABELS[y] for j, y in enumerate(path) if y}
+        assert got == want, (text[:200], words[:3])
+
+
+def captured(text, field):
+    """The stretches that are decoded last, with their labels."""
+    last = []
+    decode = pii._decoded
+
+    def keep(block, chains, field):
+        out = decode(block, chains, field)
+        for c, p in zip(chains, out):
+            last[:] = [x for x in last if x[0][1] <= c[0] or c[1] <= x[0][0]] + [(c, p)]
+        return out
+
+    pii._decoded = keep
+    try:
+        pii.model_spans([text], field)
+    finally:
+        pii._decoded = decode
+    return last
+
+
+def test_spelled_out_addresses(docs):
+    texts = ["mail ann (AT) example dot com now", "write to ann (at) example (dot) com or so"]
+    got = {r.id: [(s.kind, t[s.start : s.end]) for s in r.spans] for r, t in zip(pii.find(docs(list(enumerate(texts)))).orderBy("id").collect(), texts)}
+    assert got == {0: [("email", "ann (AT) example dot com")], 1: [("email", "ann (at) example (dot) com")]}
+
+
 def test_redact(docs):
     df = docs([(1, "a@b.cc x 1.2.3.4", "en", "s", 16), (2, None, "en", "s", None), (3, "plain", "en", "s", 5)])
     got = {r.doc_id: r for r in pii.redact(df).collect()}
