@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.kernels import binaries, blocks, utf8
+from ridgeline.llm.kernels import release, text_blocks, utf8
+from ridgeline.llm.shared import checkpointed
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-MAX_LANGUAGES = 256
+#: Languages whose probabilities a task holds at once (32 MB); more are gone through in groups of this many.
+AT_ONCE = 256
+_HELD = 64  # languages whose counts a task holds before it passes them on
 _BLOCK = 1 << 19
 
 
@@ -65,90 +68,104 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([*out, empty.astype(np.int32)]), np.concatenate([*owners, empty]), has_letter
 
 
-def fit(docs: DataFrame, train: Column, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log-probability matrix, ``BUCKETS + 1`` rows (the last: log priors).
+def fit(docs: DataFrame, train: Column, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[np.ndarray]]:
+    """Languages in order and their log-probability matrices, ``BUCKETS + 1`` rows each (the last: log priors), for ``AT_ONCE`` languages each.
 
     All rows with ``train`` true and a language are counted.  Each task adds up
-    its own counts, one dense row a language, and the rows of each language are
-    added in a second step by pieces of the matrix, so that no task gets more than
-    a small share of what the others send.  At most ``MAX_LANGUAGES`` languages
-    are accepted, which bounds the matrix to 64 MB; more raise ValueError.
+    its own counts, and those of all tasks are added by language and bucket.  A language
+    takes 128 KB, on the driver as well.
     """
     rows = docs.filter(train & F.col(lang_col).isNotNull()).select(
         utf8(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    piece = BUCKETS // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for lang, counts in total.items():
+                own = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(own), "bucket": own.astype(np.int32), "n": counts[own]})
+            total.clear()
+
         for batch in batches:
-            texts, langs = binaries(batch.column("text")), batch.column("lang").to_pylist()
-            for first, last in blocks(texts, _BLOCK):
-                bucket, owner, _ = features(texts[first:last])
+            langs = batch.column("lang").to_pylist()
+            for first, last, texts in text_blocks(batch.column("text"), _BLOCK):
+                bucket, owner, _ = features(texts)
                 names = langs[first:last]
                 for lang in set(names):
                     mine = np.fromiter((x == lang for x in names), dtype=bool, count=len(names))
                     counts = total.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))
                     counts[:BUCKETS] += np.bincount(bucket[mine[owner]], minlength=BUCKETS)
                     counts[BUCKETS] += mine.sum()
-        for lang, counts in total.items():
-            at = np.flatnonzero(counts)
-            for k in np.unique(at // piece):
-                own = at[at // piece == k]
-                yield pa.RecordBatch.from_pydict(
-                    {"lang": [lang] * len(own), "bucket": own.astype(np.int32), "n": counts[own]}
-                )
-
-    counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    known = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()  # reads no text
-    if len(known) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table = counted.toArrow()
-    langs = sorted((r.lang for r in known), key=lambda x: [ord(c) for c in x])
-    counts = np.zeros((BUCKETS + 1, len(langs)))
-    if langs:
-        place = {x: i for i, x in enumerate(langs)}
+                    if len(total) >= _HELD:
+                        yield from sums()
+        yield from sums()
+        release()
+
+    counted = checkpointed(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    seen = counted.filter(F.col("bucket") == BUCKETS).select("lang", "n").collect()  # a row a language
+    langs = sorted((r.lang for r in seen), key=lambda x: [ord(c) for c in x])
+    texts = float(max(1, sum(r.n for r in seen)))
+    models = []
+    for at in range(0, len(langs), AT_ONCE):
+        some = langs[at : at + AT_ONCE]
+        table = (counted if len(langs) <= AT_ONCE else counted.filter(F.col("lang").isin(some))).toArrow()
+        place = {x: i for i, x in enumerate(some)}
+        counts = np.zeros((BUCKETS + 1, len(some)))
         counts[table.column("bucket").to_numpy(), [place[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
-    model = np.zeros((BUCKETS + 1, len(langs)), dtype=np.float32)
-    model[:BUCKETS] = np.log(counts[:BUCKETS] + 0.5) - np.log(counts[:BUCKETS].sum(axis=0) + 0.5 * BUCKETS)
-    model[BUCKETS] = np.log(counts[BUCKETS]) - np.log(max(1.0, counts[BUCKETS].sum()))
-    return langs, model
+        model = np.zeros((BUCKETS + 1, len(some)), dtype=np.float32)
+        model[:BUCKETS] = np.log(counts[:BUCKETS] + 0.5) - np.log(counts[:BUCKETS].sum(axis=0) + 0.5 * BUCKETS)
+        model[BUCKETS] = np.log(counts[BUCKETS]) - np.log(texts)
+        models.append(model)
+    return langs, models
 
 
 def predict(
-    docs: DataFrame, langs: list[str], model: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, langs: list[str], models: list[np.ndarray], *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id, lang_pred, score`` for each row: the likeliest language and its probability.
 
     ``und`` with score 0 where the text is missing or has no letter, or where
     nothing was learned; of equal likelihoods the first language by code point.
-    Repeated rows get equal predictions; missing ids are passed on; an empty
-    table gives an empty result; other columns are not read.
+    Texts of any length are read whole.  Repeated rows get equal predictions; missing ids
+    are passed on; an empty table gives an empty result; other columns are not read.
     """
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    kind = picked.schema["id"].dataType.simpleString()
+    out = picked.withColumns({"best": F.lit(None).cast("string"), "top": F.lit(float("-inf")), "mass": F.lit(0.0)})
+    for i, model in enumerate(models):  # one pass a group of languages, one after the other in the same task
+        out = _pass(out, langs[i * AT_ONCE : (i + 1) * AT_ONCE], model, kind)
+    found = F.col("best").isNotNull()
+    return out.select(
+        "id", F.coalesce("best", F.lit("und")).alias("lang_pred"), F.when(found, 1.0 / F.nullif("mass", F.lit(0.0))).otherwise(0.0).alias("score")
+    )
+
+
+def _pass(docs: DataFrame, names: list[str], model: np.ndarray, kind: str) -> DataFrame:
+    """The rows with ``best``, the likeliest language so far, ``top``, its log-probability, and ``mass``, all languages' probability over its own."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value
         columns = [np.ascontiguousarray(matrix[:BUCKETS, k]) for k in range(len(names))]
         for batch in batches:
-            texts = binaries(batch.column("text"))
-            pred, prob = [], []
-            for first, last in blocks(texts, _BLOCK):
-                bucket, owner, has_letter = features(texts[first:last])
-                if not names:
-                    pred += ["und"] * (last - first)
-                    prob += [0.0] * (last - first)
-                    continue
+            best, top, mass = batch.column("best").to_pylist(), batch.column("top").to_numpy().copy(), batch.column("mass").to_numpy().copy()
+            for first, last, texts in text_blocks(batch.column("text"), _BLOCK):
+                bucket, owner, has_letter = features(texts)
                 sums = np.stack([np.bincount(owner, weights=c[bucket], minlength=last - first) for c in columns], axis=1)
                 sums += matrix[BUCKETS]
-                best = sums.argmax(axis=1)
-                top = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-                pred += [names[b] if ok else "und" for b, ok in zip(best, has_letter, strict=True)]
-                prob += np.where(has_letter, top, 0.0).tolist()
+                own = sums.max(axis=1)
+                here, before = np.maximum(own, top[first:last]), top[first:last]
+                with np.errstate(invalid="ignore"):
+                    was = np.where(np.isfinite(before), mass[first:last] * np.exp(before - here), 0.0)
+                mass[first:last] = was + np.exp(sums - here[:, None]).sum(axis=1)
+                for i in np.flatnonzero((own > before) & has_letter).tolist():
+                    best[first + i] = names[sums[i].argmax()]
+                top[first:last] = here
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(pred, pa.string()), pa.array(prob, pa.float64())], names=["id", "lang_pred", "score"]
+                [batch.column("id"), batch.column("text"), pa.array(best, pa.string()), pa.array(top), pa.array(mass)], names=["id", "text", "best", "top", "mass"]
             )
+        release()
 
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"id {kind}, text binary, best string, top double, mass double")

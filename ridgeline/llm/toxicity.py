@@ -3,9 +3,10 @@
 A word's probability in a class is the product of its letters' given the few bytes
 before, from the class's own counts, discounted, and beyond them from backoff
 probabilities that both classes share.  So an expression that was seen too rarely
-to tell leaves both classes alike.  A text's log-likelihoods are compared per
-length, and the difference is turned into a probability by two numbers fitted on a
-part of the labelled rows that the models have not seen.
+to tell leaves both classes alike.  A text's two log-likelihoods are each divided by its
+length in words.  Their difference, and the logarithm of the length, which says how far the
+difference can be trusted, are turned into a probability by three numbers fitted on a part
+of the labelled rows that the models have not seen.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.kernels import Block, binaries, blocks, utf8
+from ridgeline.llm.kernels import Block, release, text_blocks, utf8
 from ridgeline.llm.shared import shared_dir
 
 _KEEP = bytes(c if c >= 0x80 or 97 <= c <= 122 else 32 for c in range(256))
@@ -28,13 +29,11 @@ _BLOCK = 1 << 20
 @dataclass(frozen=True)
 class Settings:
     """``max_docs`` bounds the expected number of labelled rows of each class that are learned from
-    (chosen by a hash of the id), ``max_grams`` the letter sequences kept (the most frequent)."""
+    (chosen by a hash of the id), and with them the letter sequences counted."""
 
     order: int = 4
     discount: float = 0.95
-    length_power: float = 0.7
     max_docs: int = 20_000
-    max_grams: int = 1 << 21
 
 
 @dataclass
@@ -44,6 +43,7 @@ class Model:
     contexts: np.ndarray
     context_llr: np.ndarray
     slope: float = 1.0
+    by_length: float = 0.0
     offset: float = 0.0
 
 
@@ -86,9 +86,9 @@ def _count(docs: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, labels = binaries(batch.column("text")), np.array(batch.column("toxic").to_pylist(), dtype=np.int64)
-            for a, b in blocks(texts, _BLOCK):
-                owner, word, weight, block, first = _words(texts[a:b])
+            labels = np.array(batch.column("toxic").to_pylist(), dtype=np.int64)
+            for a, b, texts in text_blocks(batch.column("text"), _BLOCK):
+                owner, word, weight, block, first = _words(texts)
                 if not len(first):
                     continue
                 toxic = labels[a:b][owner] == 1
@@ -146,11 +146,11 @@ def _ratios(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, s: Setti
     return Model(grams, logs[0] - logs[1], contexts, rests[0] - rests[1])
 
 
-def _differences(texts: list[bytes], model: Model, s: Settings) -> np.ndarray:
-    """Each text's log-likelihood as toxic less that as ordinary, by its length."""
+def _differences(texts: list[bytes], model: Model, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's log-likelihood as toxic less that as ordinary, both by its length, and the logarithm of the length."""
     owner, word, weight, block, first = _words(texts)
     if not len(first) or not len(model.grams):
-        return np.zeros(len(texts))
+        return np.zeros(len(texts)), np.zeros(len(texts))
     gram, of = _grams(block, first, s.order)
     place = np.minimum(np.searchsorted(model.grams, gram), len(model.grams) - 1)
     context = gram >> np.uint64(8)
@@ -159,42 +159,42 @@ def _differences(texts: list[bytes], model: Model, s: Settings) -> np.ndarray:
     by_word = np.bincount(of, np.where(model.grams[place] == gram, model.gram_llr[place], unseen), minlength=len(first))
     total = np.bincount(owner, by_word[word] * weight, minlength=len(texts))
     length = np.bincount(owner, weight, minlength=len(texts))
-    return total / np.maximum(length, 1) ** s.length_power
+    length = np.maximum(length, 1)
+    return total / length, np.log(length)
 
 
-def _fit_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic regression of y on x, with a small ridge."""
+def _fit_line(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes and offset of the logistic regression of y on the columns of x, with a small ridge."""
     if not len(y) or y.min() == y.max():
         n = (y == 1).sum()
-        return 1.0, float(np.log((n + 0.5) / (len(y) - n + 1.5)))
-    scale = max(float(x.std()), 1e-9)
-    rows, w = np.stack([x / scale, np.ones_like(x)], axis=1), np.zeros(2)
+        return np.array([1.0, *np.zeros(x.shape[1] - 1), np.log((n + 0.5) / (len(y) - n + 1.5))])
+    scale = np.maximum(x.std(axis=0), 1e-9)
+    rows, w = np.column_stack([x / scale, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
         slope = rows.T @ (y - p) - 0.01 * w
-        bend = (rows * (p * (1 - p))[:, None]).T @ rows + 0.01 * np.eye(2)
+        bend = (rows * (p * (1 - p))[:, None]).T @ rows + 0.01 * np.eye(len(w))
         step = np.linalg.solve(bend, slope)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1])
+    return np.array([*(w[:-1] / scale), w[-1]])
 
 
 def _scored(docs: DataFrame, model: Model, s: Settings) -> DataFrame:
-    """``docs`` (id, text bytes, more) with the text replaced by the difference ``x``."""
+    """``docs`` (id, text bytes, more) with the text replaced by the difference ``x`` and the logarithm ``l`` of the length."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binaries(batch.column("text"))
-            x = [_differences(texts[a:b], shared.value, s) for a, b in blocks(texts, _BLOCK)]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in rest], pa.array(np.concatenate([*x, np.zeros(0)]))], names=[*rest, "x"]
-            )
+            x = [_differences(texts, shared.value, s) for _, _, texts in text_blocks(batch.column("text"), _BLOCK)]
+            both = [pa.array(np.concatenate([*[pair[k] for pair in x], np.zeros(0)])) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *both], names=[*rest, "x", "l"])
+        release()
 
     fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return docs.mapInArrow(run, f"{fields}, x double")
+    return docs.mapInArrow(run, f"{fields}, x double, l double")
 
 
 def fit(
@@ -202,7 +202,7 @@ def fit(
 ) -> Model:
     """Learn from the labelled rows: ``labels`` has the id, the label (1 toxic, 0 not, missing ignored) and ``part``.
 
-    Rows of part 0 give the counts, those of part 1 the two numbers of the
+    Rows of part 0 give the counts, those of part 1 the three numbers of the
     probability.  An id labelled twice counts as toxic if it once is.  Of each
     class at most about ``s.max_docs`` rows are taken, and as many ordinary ones as
     toxic, so that neither class's counts are denser than the other's.
@@ -228,24 +228,23 @@ def fit(
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(F.broadcast(sample), "id")
     shared_dir(docs.sparkSession)  # the checkpoint goes there
     counted = _count(texts.filter("part = 0").select("text", "toxic"), s).checkpoint()
-    if counted.count() > s.max_grams:
-        counted = counted.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(s.max_grams)
     table = counted.toArrow()
     model = _ratios(
         table.column("gram").to_numpy().view(np.uint64), table.column("toxic").to_numpy(), table.column("ordinary").to_numpy(), s
     )
     seen = _scored(texts.filter("part = 1").select("text", "toxic"), model, s).toArrow()
-    model.slope, model.offset = _fit_line(seen.column("x").to_numpy(), seen.column("toxic").to_numpy().astype(float))
+    x = np.column_stack([seen.column("x").to_numpy(), seen.column("l").to_numpy()])
+    model.slope, model.by_length, model.offset = map(float, _fit_line(x, seen.column("toxic").to_numpy().astype(float)))
     return model
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """``id, score`` for each row: the probability that its text is toxic.
 
-    A missing text, or one without letters, has that of no evidence.  Ids are passed
-    on as they are, repeated rows get equal scores, an empty table gives an empty
+    A missing text, or one without letters, has that of no evidence; texts of any length are
+    read whole.  Ids are passed on as they are, repeated rows get equal scores, an empty table gives an empty
     result, and other columns are not read.
     """
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    log_odds = F.lit(model.slope) * F.col("x") + F.lit(model.offset)
+    log_odds = F.lit(model.slope) * F.col("x") + F.lit(model.by_length) * F.col("l") + F.lit(model.offset)
     return _scored(picked, model, s).select("id", (1 / (1 + F.exp(-log_odds))).alias("score"))

@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -121,7 +123,32 @@ def test_language_by_hand(docs):
     counts = np.bincount(bucket, minlength=langid.BUCKETS)
     total = len(bucket)
     want = np.log(counts + 0.5) - np.log(total + 0.5 * langid.BUCKETS)
-    assert np.allclose(model[: langid.BUCKETS, langs.index("x")], want, atol=1e-4)
+    assert np.allclose(model[0][: langid.BUCKETS, langs.index("x")], want, atol=1e-4)
+
+
+def test_languages_in_groups_and_by_brute_force(docs, odd, monkeypatch):
+    """Predictions are those of naive Bayes worked out text by text, however many languages a pass holds."""
+    texts = {"aa": "the cat and the dog", "bb": "der hund und die katze", "cc": "le chien et le chat", "dd": "el perro y el gato", "ee": "il cane e il gatto"}
+    rows = [(i, t + " x" * (i % 3), lang, "s") for i, (lang, t) in enumerate(list(texts.items()) * 4)]
+    df = docs([*rows, *[(100 + i, *r[1:2]) for i, r in enumerate(odd)], (200, "katze gato"), (200, "katze gato")])
+    train = F.col("doc_id") < 100
+    langs, models = langid.fit(df, train & F.col("lang").isNotNull())
+    whole = {(r.id, r.lang_pred, round(r.score, 6)) for r in langid.predict(clash(df), langs, models).collect()}
+    count = {x: np.zeros(langid.BUCKETS) for x in texts}
+    for _, t, lang, _ in rows:
+        count[lang] += np.bincount(langid.features([t.encode()])[0], minlength=langid.BUCKETS)
+    for i, t in [(r.doc_id, r.text) for r in df.collect()]:
+        bucket, _, letters = langid.features([(t or "").encode()])
+        logs = {x: np.log((c[bucket] + 0.5) / (c.sum() + 0.5 * langid.BUCKETS)).sum() + np.log(1 / 5) for x, c in count.items()}
+        best = max(logs, key=lambda x: logs[x])
+        want = (best, 1 / sum(np.exp(v - logs[best]) for v in logs.values())) if letters[0] else ("und", 0.0)
+        assert any(r[0] == i and r[1] == want[0] and abs(r[2] - want[1]) < 1e-3 for r in whole), (i, want)
+    monkeypatch.setattr(langid, "AT_ONCE", 2)
+    langs, models = langid.fit(df, train & F.col("lang").isNotNull())
+    assert len(models) == 3
+    parts = {(r.id, r.lang_pred, round(r.score, 6)) for r in langid.predict(df, langs, models).collect()}
+    assert {r[:2] for r in parts} == {r[:2] for r in whole}
+    assert langid.predict(df.limit(0), langs, models).count() == 0
 
 
 def test_language_without_labels(docs):
@@ -505,3 +532,63 @@ def test_backoff_probabilities_add_up():
     for g, x in zip((grams & np.uint64(0xFFFF)).tolist(), p, strict=True):
         by_context.setdefault(g >> 8, {})[g & 255] = x
     assert all(0 < sum(v.values()) <= 1 + 1e-9 for v in by_context.values())
+
+
+def test_scores_are_kneser_ney_by_brute_force(docs, spark, prose):
+    """The difference of each text is that of letter models with discounted counts and shared continuation backoff, worked out letter by letter."""
+    s = toxicity.Settings()
+    k, d = s.order, s.discount
+    pairs = [("you idiot go away scumbag", 1), ("idiot idiot fool", 1), ("the cat sat on a mat", 0), ("a fine day for the dog", 0), ("Ünd the Idea of idiom", 0)]
+    counts = [Counter(), Counter()]
+
+    def weights(text):
+        words = re.findall(r"[a-z\x80-\U0010ffff]+", text.lower())
+        return {w.encode(): 1 + math.floor(math.log2(n)) for w, n in Counter(words).items()}
+
+    def grams(word):
+        marked = b"\x01" * (k - 1) + word + b"\x02"
+        return [marked[i : i + k] for i in range(len(marked) - k + 1)]
+
+    for text, toxic in pairs:
+        for word, n in weights(text).items():
+            for g in grams(word):
+                counts[toxic][g] += n
+    seen = set(counts[0]) | set(counts[1])
+    tails = {k - 1: Counter(g[1:] for g in seen)}  # of how many letters to the left each is seen after
+    for n in range(k - 2, 0, -1):
+        tails[n] = Counter(g[1:] for g in tails[n + 1])
+
+    def shared(g):
+        """Probability of the last letter of g after the others."""
+        if not g:
+            return 1 / 256
+        own = tails[len(g)]
+        same = {h: c for h, c in own.items() if h[:-1] == g[:-1]}
+        if not same:
+            return shared(g[1:])
+        total = sum(same.values())
+        return max(own[g] - d, 0) / total + d * len(same) / total * shared(g[1:])
+
+    def log_p(g, toxic):
+        same = {h: c for h, c in counts[toxic].items() if h[:-1] == g[:-1]}
+        total = sum(same.values())
+        if not total:
+            return math.log(shared(g[1:]))
+        return math.log(max(counts[toxic][g] - d, 0) / total + d * len(same) / total * shared(g[1:]))
+
+    docs_ = docs([(i, t) for i, (t, _) in enumerate(pairs)])
+    lab = spark.createDataFrame([(i, y, 0) for i, (_, y) in enumerate(pairs)], "doc_id long, toxic int, part int")
+    # both classes are taken whole, whatever their number
+    counted = toxicity._count(docs_.join(lab, "doc_id").select(F.col("text").cast("binary").alias("text"), "toxic"), s).toArrow()
+    model = toxicity._ratios(counted.column("gram").to_numpy().view(np.uint64), counted.column("toxic").to_numpy(), counted.column("ordinary").to_numpy(), s)
+    for text in ("what an idiot", "the cat and the mat", "scumbag scumbag scumbag", "zzz", ""):
+        own = weights(text)
+        length = sum(own.values())
+        want = sum(n * (log_p(g, 1) - log_p(g, 0)) for w, n in own.items() for g in grams(w) if g in seen or any(h[:-1] == g[:-1] for h in seen)) / max(1, length)
+        got, logs = toxicity._differences([text.encode()], model, s)
+        assert math.isclose(got[0], want, abs_tol=1e-6), text
+        assert math.isclose(logs[0], math.log(max(1, length)) if length else 0.0)
+    long = docs([(1, "idiot " * 50_000), (1, "idiot " * 50_000), (None, "x")])
+    fitted = toxicity.fit(docs_, lab)
+    assert len({r.score for r in toxicity.score(clash(long), fitted).collect() if r.id == 1}) == 1
+    assert toxicity.score(long.limit(0), fitted).count() == 0 and toxicity.fit(docs_.limit(0), lab).offset is not None
