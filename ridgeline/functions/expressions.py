@@ -99,13 +99,13 @@ def clean_text(value: Column) -> Column:
     return F.when(F.lower(text).isin(*NOTHING), F.lit(None)).otherwise(text)
 
 
-# fixed values: full-width forms that ids and headers use
-_WIDE = "０１２３４５６７８９＋－．（）：　"
-_NARROW = "0123456789+-.(): "
+#: Full-width forms of the printable ASCII signs, and the ideographic space: what compatibility normalisation narrows.
+_NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _NARROW[:-1]) + chr(0x3000)
 
 
 def identifier(value: Column) -> Column:
-    """An id as text: no spaces, full-width forms narrowed, and numbers without sign, leading zeros or ``.0`` end.
+    """An id as text: no spaces, full-width forms narrowed, and numbers without plus sign, leading zeros or zeros after the point.
 
     One rule for orders and rosters, so that their ids join.
     """
@@ -113,7 +113,8 @@ def identifier(value: Column) -> Column:
     plain = F.regexp_extract(text, r"^\+?0*([0-9]+)(?:\.0*)?$", 1)
     power = F.when(text.rlike(r"^\+?[0-9]+(\.[0-9]+)?[eE]\+?[0-9]{1,2}$"), text.try_cast("decimal(38,4)"))
     whole = F.when(power == F.floor(power), F.floor(power).cast("string"))
-    return blank_to_null(F.coalesce(F.nullif(plain, F.lit("")), whole, F.regexp_replace(text, r"^\+", "")))
+    part = F.regexp_extract(text, r"^\+?0*([0-9]+\.[0-9]*[1-9])0*$", 1)
+    return blank_to_null(F.coalesce(F.nullif(plain, F.lit("")), F.nullif(part, F.lit("")), whole, F.regexp_replace(text, r"^\+", "")))
 
 
 def amount(value: Column) -> Column:
@@ -193,7 +194,9 @@ def region(value: Column) -> Column:
     own_city = reduce(lambda a, b: a | b, [province.startswith(m) for m in MUNICIPALITIES])
     city = F.nullif(F.regexp_extract(after, r"^(.+?(?:自治州|地区|盟|市))", 1), F.lit(""))
     rest = F.substr(after, F.length(F.coalesce(city, F.lit(""))) + 1)
-    district = F.nullif(F.regexp_extract(rest, r"^(.+?(?:区|县|旗|市))", 1), F.lit(""))
+    # what no ending cuts off is the district as it stands
+    cut = F.nullif(F.regexp_extract(rest, r"^(.+?(?:区|县|旗|市))", 1), F.lit(""))
+    district = F.when(city.isNull() & ~own_city, F.nullif(rest, F.lit(""))).otherwise(F.coalesce(cut, F.nullif(rest, F.lit(""))))
 
     def level(three: Column, pair_city: Column, pair: Column, single: Column, bare: Column) -> Column:
         return (

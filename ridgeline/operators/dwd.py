@@ -9,9 +9,9 @@ from ridgeline.config import Settings
 from ridgeline.functions.expressions import blank_to_null, minutes_between
 
 
-def latest(rows: DataFrame, key: str, order: tuple[str, ...] = ("imported_at", "source_row_number"), tie: str | None = None) -> DataFrame:
-    """The latest row of each key that is not blank."""
-    by = [F.col(c).desc_nulls_last() for c in (*order, *([tie] if tie else []))]
+def latest(rows: DataFrame, key: str, order: tuple[str, ...] = ("imported_at", "source_row_number")) -> DataFrame:
+    """The latest row of each key that is not blank; of rows equal in that, the one of the last file by name."""
+    by = [F.col(c).desc_nulls_last() for c in (*order, "file") if c in rows.columns]
     ranked = rows.filter(blank_to_null(F.col(key)).isNotNull()).withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
     return ranked.filter("__rank = 1").drop("__rank")
 

@@ -18,6 +18,7 @@ from ridgeline.operators import ads, dwd
 from ridgeline.plans import mart
 from ridgeline.sources import staging, tables
 
+_REGISTRY = "kind string, path string, sha256 string, status string, error string, imported_at timestamp_ntz"
 STAGES = ("preprocess", "stage", "merge", "build", "publish", "export")
 
 
@@ -84,14 +85,14 @@ class Warehouse:
         try:
             todo = self._preprocess(result, force)
             mark("preprocess")
-            staged, rosters = self._stage(result, todo)
+            staged, rosters, log = self._stage(result, todo)
             mark("stage")
             touched = self._merge(staged, rosters)
             mark("merge")
-            known = {r[0] for r in self.table("ods_orders").select("order_month").distinct().collect()} if self.has("ods_orders") else set()
-            missing = not (self.has("dwd_orders") and self.has("ads_admin_day") and self.has("ads_direct_hour"))
-            result.months = months_to_build(touched, known, bool(rosters), missing)
+            known = self._months("ods_orders")
+            result.months = months_to_build(touched | self._stale(known), known, bool(rosters), self._incomplete())
             self.build(result.months, result.run_id)
+            self._register(log)  # a run that fails before this leaves its files to the next one
             mark("build")
             result.data_version = self._version(result.run_id)
             mark("publish")
@@ -108,6 +109,27 @@ class Warehouse:
             self._log(result)
         return result
 
+    def _months(self, name: str) -> set[str]:
+        return {r[0] for r in self.table(name).select("order_month").distinct().collect()} if self.has(name) else set()
+
+    def _incomplete(self) -> bool:
+        """Whether a layer is missing, or holds nothing while the raw layer does."""
+        if not self.has("ods_orders"):
+            return False
+        return not all(self.has(n) and self._months(n) for n in ("dwd_orders", "ads_admin_day", "ads_direct_hour"))
+
+    def _stale(self, known: set[str]) -> set[str]:
+        """Months of the raw layer that the fact lacks."""
+        return known - self._months("dwd_orders")
+
+    def _register(self, log: list[tuple]) -> None:
+        if log:
+            tables.append(self.spark.createDataFrame(log, _REGISTRY), self.path("registry"))
+
+    def registry(self) -> DataFrame:
+        """The latest entry of each file."""
+        return tables.latest_by(self.table("registry"), ["kind", "path"], F.desc("imported_at"))
+
     def _preprocess(self, result: Result, force: bool) -> list[tuple[str, str, str]]:
         found = staging.discover(self.cfg.raw_root)
         result.files = len(found)
@@ -116,12 +138,12 @@ class Warehouse:
         prints = {r.path.removeprefix("file:"): r.sha256 for r in staging.fingerprints(self.spark, self.cfg.raw_root).collect()}
         files = self.spark.createDataFrame([(k, p, prints[p]) for k, p in found], "kind string, path string, sha256 string")
         if self.has("registry"):
-            files = staging.pending(files, self.table("registry"), force)
+            files = staging.pending(files, self.registry(), force)
         todo = [(r.kind, r.path, r.sha256) for r in files.orderBy("kind", "path").collect()]
         result.skipped = len(found) - len(todo)
         return todo
 
-    def _stage(self, result: Result, todo: list[tuple[str, str, str]]) -> tuple[DataFrame | None, dict[str, DataFrame]]:
+    def _stage(self, result: Result, todo: list[tuple[str, str, str]]) -> tuple[DataFrame | None, dict[str, DataFrame], list[tuple]]:
         orders, rosters, log = [], {}, []
         now = datetime.now(UTC).replace(tzinfo=None)
         for kind, path, sha in todo:
@@ -131,21 +153,19 @@ class Warehouse:
                 if kind == "orders":
                     orders.append(staging.stage_orders(df, path).withColumn("imported_at", F.lit(now)))
                 else:
-                    rosters.setdefault(kind, []).append(df.withColumn("imported_at", F.lit(now)))
+                    rosters.setdefault(kind, []).append(staging.stage_roster(df, kind, path).withColumn("imported_at", F.lit(now)))
             except Exception as e:  # noqa: BLE001  one bad file is recorded and the others go on
                 error, result.failed = str(e)[:500], result.failed + 1
             log.append((kind, path, sha, "failed" if error else "success", error, now))
-        if log:
-            schema = "kind string, path string, sha256 string, status string, error string, imported_at timestamp_ntz"
-            tables.upsert(self.spark, self.path("registry"), self.spark.createDataFrame(log, schema), ["kind", "path"])
         staged = staging.union_all(orders) if orders else None
         if staged is not None:
             tables.append(staging.abnormal(staged).withColumn("run_id", F.lit(result.run_id)), self.path("abnormal_orders"))
-        return staged, {k: staging.union_all(v) for k, v in rosters.items()}
+        return staged, {k: staging.union_all(v) for k, v in rosters.items()}, log
 
     def _merge(self, staged: DataFrame | None, rosters: dict[str, DataFrame]) -> set[str]:
-        for kind, df in rosters.items():
-            staging.typed_roster(df, kind).write.mode("overwrite").parquet(self.path(kind))
+        for kind, df in rosters.items():  # the rows of all files stay, and the latest of an id counts
+            tables.append(df, self.path(f"ods_{kind}"))
+            staging.typed_roster(self.table(f"ods_{kind}"), kind).write.mode("overwrite").parquet(self.path(kind))
         if staged is None:
             return set()
         rows = staging.accepted(staged)
@@ -184,8 +204,9 @@ class Warehouse:
         return name
 
     def _log(self, result: Result) -> None:
-        rows = [(result.run_id, s, result.seconds.get(s), result.status, result.message) for s in STAGES]
-        tables.append(self.spark.createDataFrame(rows, "run_id string, stage string, seconds double, status string, message string"), self.path("runs"))
+        now = datetime.now(UTC).replace(tzinfo=None)
+        rows = [(result.run_id, s, result.seconds.get(s), result.status, result.message, now) for s in STAGES]
+        tables.append(self.spark.createDataFrame(rows, "run_id string, stage string, seconds double, status string, message string, logged_at timestamp_ntz"), self.path("runs"))
 
     def layers(self) -> mart.Layers:
         return mart.Layers(self.table("dwd_orders"), self._roster("riders"), self._roster("merchants"), self._roster("partners"), self.cfg)
@@ -201,8 +222,11 @@ class Warehouse:
     def status(self) -> dict[str, DataFrame]:
         """The latest run's stages and the last fifty files."""
         runs = self.table("runs")
-        files = self.table("registry").orderBy(F.desc("imported_at"), "path").limit(50)
-        return {"runs": runs, "files": files, "version": mart.version(self.table("versions"))}
+        last = runs.agg(F.max_by("run_id", "logged_at").alias("run_id"))
+        runs = runs.join(F.broadcast(last), "run_id").drop("logged_at")
+        files = self.registry().orderBy(F.desc("imported_at"), "path").limit(50)
+        out = {"runs": runs, "files": files}
+        return out | {"version": mart.version(self.table("versions"))} if self.has("versions") else out
 
     def check(self) -> DataFrame:
         """Riders that orders name by an id the roster lacks, most orders first."""

@@ -134,9 +134,15 @@ def read_file(spark: SparkSession, path: str, folder: str | None = None) -> Data
     return read_csv(spark, path, folder) if path.lower().endswith(".csv") else read_excel(spark, path)
 
 
-def _logical(df: DataFrame, fields: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+def _logical(df: DataFrame, fields: dict[str, tuple[str, ...]], clean: bool = False) -> dict[str, Column]:
+    """Each field from the first of its headers that is filled, or with ``clean`` that still is when texts that stand for nothing are gone."""
     have = set(df.columns)
-    return {n: E.first_filled([F.col(f"`{normal_header(a)}`") for a in aliases if normal_header(a) in have]) for n, aliases in fields.items()}
+
+    def value(alias: str) -> Column:
+        c = F.col(f"`{normal_header(alias)}`")
+        return E.clean_text(c) if clean else c
+
+    return {n: E.first_filled([value(a) for a in aliases if normal_header(a) in have]) for n, aliases in fields.items()}
 
 
 def stage_orders(df: DataFrame, path: str) -> DataFrame:
@@ -166,18 +172,24 @@ def typed_orders(raw: DataFrame) -> DataFrame:
     }).withColumnRenamed("added_at", "create_time")
 
 
-def typed_roster(df: DataFrame, kind: str) -> DataFrame:
-    """A roster's rows: ids normalised, dates parsed, partners' regions cut into levels; of an id the latest row."""
-    fields = _logical(df, ROSTER_FIELDS[kind])
+def stage_roster(df: DataFrame, kind: str, path: str) -> DataFrame:
+    """Logical fields of a roster file as text, with the file and the row number: the raw layer's rows, those with an id."""
+    fields = _logical(df, ROSTER_FIELDS[kind], clean=True)
+    return df.select(*[c.alias(n) for n, c in fields.items()], F.lit(path).alias("file"), "source_row_number").filter(F.col(f"{kind[:-1]}_id").isNotNull())
+
+
+def typed_roster(raw: DataFrame, kind: str) -> DataFrame:
+    """A roster from the raw rows of all files: ids normalised, dates parsed, partners' regions cut into levels; of an id the latest row."""
+    fields = ROSTER_FIELDS[kind]
     key = f"{kind[:-1]}_id"
-    out = df.select(*[c.alias(n) for n, c in fields.items()], *[c for c in ("imported_at", "source_row_number") if c in df.columns])
-    out = out.withColumns({n: E.clean_text(F.col(n)) for n in fields}).withColumn(key, E.identifier(F.col(key)))
+    out = raw.select(*fields, *[c for c in ("imported_at", "source_row_number", "file") if c in raw.columns])
+    out = out.withColumn(key, E.identifier(F.col(key)))
     for n in ("hire_date", "register_date", "open_date"):
         if n in fields:
             out = out.withColumn(n, E.date(F.col(n)))
     if kind == "partners":
         out = out.withColumn("r", E.region(F.col("region_raw"))).select("*", "r.province", "r.city", "r.district").drop("r")
-    order = [c for c in ("imported_at", "source_row_number") if c in out.columns]
+    order = [c for c in ("imported_at", "source_row_number", "file") if c in out.columns]
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in order or [key]]))
     return out.filter(F.col(key).isNotNull()).withColumn("__rank", rank).filter("__rank = 1").drop("__rank", *order)
 

@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Whether a folder holds anything but marks."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p))
 
 
 def replace_months(df: DataFrame, path: str, column: str = "order_month") -> None:
-    """Write the rows of ``df``; months that it has are replaced whole, all others stay."""
-    df.repartition(F.col(column)).write.partitionBy(column).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    """Write the rows of ``df``; months that it has are replaced whole, all others stay.
+
+    Rows are brought together by month, and adaptive execution cuts a large month into several files.
+    """
+    df.hint("rebalance", column).write.partitionBy(column).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def drop_partners(df: DataFrame, excluded: tuple[str, ...]) -> DataFrame:

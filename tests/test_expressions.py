@@ -14,8 +14,8 @@ def values(spark, column, inputs):
 
 
 def test_identifier(spark):
-    got = values(spark, E.identifier, ["123.0", "00123", "+45.00", "-", None, " ", "１２３", "1E3", "ORD-0-9-1", "A 1　2", "0", "nan"])
-    assert got == ["123", "123", "45", None, None, None, "123", "1000", "ORD-0-9-1", "A12", "0", None]
+    got = values(spark, E.identifier, ["123.0", "00123", "+45.00", "-", None, " ", "１２３", "45.50", "＃７－Ａ", "1E3", "ORD-0-9-1", "A 1　2", "0", "nan"])
+    assert got == ["123", "123", "45", None, None, None, "123", "45.5", "#7-A", "1000", "ORD-0-9-1", "A12", "0", None]
 
 
 def test_amount(spark):
@@ -40,6 +40,8 @@ def test_region(spark):
         ("上海市", "上海市", "浦东新区"), ("somewhere", None, None),
     ]
     assert [tuple(r) for r in got[7:]] == [(None, None, None)] * 2
+    rest = values(spark, E.region, ["广东省梅州市梅江", "北京市朝阳", "广东省梅江区", "广东省", "北京市"])
+    assert [tuple(r) for r in rest] == [("广东省", "梅州市", "梅江"), ("北京市", "北京市", "朝阳"), ("广东省", None, "梅江区"), ("广东省", None, None), ("北京市", "北京市", None)]
 
 
 def test_text(spark):

@@ -189,3 +189,63 @@ def test_display_order(spark):
 
 def test_registered_tables_exist():
     assert len(ads.TABLES) == 14 and len(mart.TABLES) == 15
+
+
+def rider_file(raw, name, *rows):
+    (raw / "riders").mkdir(parents=True, exist_ok=True)
+    (raw / "riders" / name).write_text("帮手ID,帮手姓名,入职时间,状态,所属合伙人,区域\n" + "\n".join(rows) + "\n", encoding="utf-8")
+
+
+def test_rosters_keep_the_rows_of_earlier_files(spark, tmp_path):
+    raw = tmp_path / "raw"
+    own = pipeline.Warehouse(spark, Settings(raw_root=str(raw), table_root=str(tmp_path / "t"), export_root=str(tmp_path / "m")))
+    rider_file(raw, "a.csv", "1,甲,2026-01-01,在职,P,R", "2,乙,2026-01-01,在职,P,R")
+    own.run()
+    rider_file(raw, "b.csv", "3,丙,2026-02-01,在职,P,R", "2,乙新,2026-01-01,离职,P,R")
+    own.run()
+    assert {(r.rider_id, r.rider_name) for r in own.table("riders").collect()} == {("1", "甲"), ("2", "乙新"), ("3", "丙")}
+    assert set(own.status()["files"].toPandas()["status"]) == {"success"}
+    assert {r.run_id for r in own.status()["runs"].collect()} != set() and own.status()["runs"].select("run_id").distinct().count() == 1
+
+
+def test_a_failed_run_leaves_its_files_to_the_next(spark, tmp_path, monkeypatch):
+    raw = tmp_path / "raw"
+    (raw / "orders_raw").mkdir(parents=True)
+    (raw / "orders_raw" / "2026-04.csv").write_text("\n".join([",".join(HEADERS), *[",".join(x) for x in list(order_lines())[:4]]]), encoding="utf-8")
+    own = pipeline.Warehouse(spark, Settings(raw_root=str(raw), table_root=str(tmp_path / "t"), export_root=str(tmp_path / "m")))
+    monkeypatch.setattr(own, "_merge", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    with pytest.raises(OSError):
+        own.run()
+    monkeypatch.undo()
+    again = own.run()
+    assert (again.skipped, again.months) == (0, ["2026-04"]) and own.table("dwd_orders").count() == 4
+    third = own.run()
+    assert (third.skipped, third.months) == (1, [])
+
+
+def test_lost_layers_are_built_again(house, imported, spark):
+    import shutil
+
+    before = house.table("dwd_orders").count()
+    shutil.rmtree(f"{house.cfg.table_root}/dwd_orders/order_month=2026-04")
+    assert house.run().months == ["2026-04"]
+    shutil.rmtree(f"{house.cfg.table_root}/ads_admin_day")
+    assert "2026-04" in house.run().months
+    assert house.table("dwd_orders").count() == before
+
+
+def test_large_months_are_cut_into_files(spark, tmp_path):
+    """A month is not one task's: adaptive execution cuts it where it is large."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.range(200_000).select(F.lit("2026-04").alias("order_month"), "id", F.sha2(F.col("id").cast("string"), 256).alias("x"))
+        tables.replace_months(df.repartition(8), str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "t" / "order_month=2026-04").glob("*.parquet"))) > 3
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 200_000
+
+
+def test_first_alias_that_stands_for_nothing_gives_way(spark):
+    df = spark.createDataFrame([("1", "-", "天河")], "`帮手id` string, `区域` string, `所属区域` string").withColumn("source_row_number", F.lit(2))
+    assert staging.stage_roster(df, "riders", "r.csv").first().region == "天河"
