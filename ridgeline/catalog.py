@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from functools import partial
@@ -16,6 +17,7 @@ from ridgeline.oracles import mart as mart_sql
 from ridgeline.oracles import metrics
 from ridgeline.oracles import views as view_sql
 from ridgeline.plans import mart, views
+from ridgeline.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Parameters that suit the test bed's few orders a day.
@@ -23,13 +25,31 @@ CFG = Settings(excluded_partners=("7",), swings=(Swing("large", 10, 3, 0.2), Swi
                partner_tiers=(Tier("0-4", 0, 4), Tier("5-9", 5, 9), Tier("10-14", 10, 14), Tier("15+", 15)), merchant_like_orders=4, rider_daily_target=1, rider_target_days=3)
 
 
+#: Folders of the facts and rosters written so far, by session, input and its files' state.
+_WRITTEN: dict[tuple, str] = {}
+
+
 def fact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, testbed.Inputs]:
+    """The fact by month and the rosters, as the warehouse keeps them: written once a session and state of the input, then read."""
+    state = tables.stamp(spark, [f"{sf_dir}/{t}.parquet" for t in testbed.TABLES])
+    key = (spark.sparkContext.applicationId, sf_dir, state)
     x = testbed.inputs(spark, sf_dir)
-    return dwd.build(x.orders, x.riders, x.merchants, x.partners, CFG), x
+    made = {"dwd_orders": dwd.build(x.orders, x.riders, x.merchants, x.partners, CFG), "riders": x.riders, "merchants": x.merchants, "partners": x.partners}
+    if key not in _WRITTEN:
+        folder = f"{tables.work_dir(spark)}/ridgeline-{uuid.uuid4().hex}"
+        for name, df in made.items():
+            if name == "dwd_orders":
+                tables.replace_months(df, f"{folder}/{name}")
+            else:
+                df.write.parquet(f"{folder}/{name}")
+        _WRITTEN[key] = folder
+    read = {n: spark.read.schema(df.schema).parquet(f"{_WRITTEN[key]}/{n}").select(*df.columns) for n, df in made.items()}
+    return read["dwd_orders"], testbed.Inputs(x.orders, read["riders"], read["merchants"], read["partners"])
 
 
 def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fact(spark, sf_dir)[0]
+    x = testbed.inputs(spark, sf_dir)
+    return dwd.build(x.orders, x.riders, x.merchants, x.partners, CFG)
 
 
 def _table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +85,7 @@ VIEWS: dict[str, Callable[[DataFrame, testbed.Inputs], DataFrame]] = {
     "e3f_partner_tiers": lambda f, x: views.partner_tiers(f, WINDOW, CFG),
     "e3g_new_partner_orders": lambda f, x: views.new_partner_orders(f, x.partners, WINDOW),
     "e3i_watch_red": lambda f, x: views.watch_list(f, WINDOW, CFG, "red"),
+    "e3i_watch_yellow": lambda f, x: views.watch_list(f, WINDOW, CFG, "yellow"),
     "e3j_recent_days": lambda f, x: views.recent_days(ads.partner_day(f), date(2026, 4, 30)),
     "e4_fluctuation": lambda f, x: views.fluctuation(ads.partner_day(f), CFG),
     "e5_hours": lambda f, x: views.hours(WINDOW.apply(f), CFG.cancel_minutes, by_date=False),
@@ -80,6 +101,7 @@ VIEWS: dict[str, Callable[[DataFrame, testbed.Inputs], DataFrame]] = {
     "e11_rider_tiers": lambda f, x: views.rider_tiers(f, OWN, CFG),
     "e11_new_rider_days": lambda f, x: views.newcomer_days(f, OWN, "rider"),
     "e12_merchants": lambda f, x: views.merchants(f, x.merchants, OWN),
+    "e12_new_merchant_days": lambda f, x: views.newcomer_days(f, OWN, "merchant"),
     "e13_merchant_like_users": lambda f, x: views.merchant_like_users(ads.partner_user_day(f), WINDOW, CFG),
     "e15_order_sources": lambda f, x: views.order_sources(f, OWN, CFG),
     "e16_rider_income": lambda f, x: views.rider_income(f, x.riders, OWN),

@@ -201,6 +201,7 @@ VIEWS = {
     "e3f_partner_tiers": _bands(f"SELECT count(*)::DOUBLE / 31 AS v FROM dwd WHERE {W} GROUP BY partner_id", (("0-4", 0, 4), ("5-9", 5, 9), ("10-14", 10, 14), ("15+", 15, 1e18)), "partners"),
     "e3g_new_partner_orders": f"SELECT partner_id, partner_name, {_AGE} AS label, count(*) AS completed_orders FROM dwd WHERE {W} AND is_completed AND {_AGE} IS NOT NULL GROUP BY ALL ORDER BY label, completed_orders DESC, partner_id LIMIT 60",
     "e3i_watch_red": f"SELECT * FROM ({HEALTH}) WHERE health_band = 'red' ORDER BY health_score, completed_orders DESC, partner_id LIMIT 50",
+    "e3i_watch_yellow": f"SELECT * FROM ({HEALTH}) WHERE health_band = 'yellow' ORDER BY health_score, completed_orders DESC, partner_id LIMIT 50",
     "e3j_recent_days": f"SELECT partner_id, date, partner_name, total_orders, completed_orders FROM ({PARTNER_DAY}) WHERE date BETWEEN DATE '2026-04-27' AND DATE '2026-04-30'",
     "e4_fluctuation": f"""SELECT partner_id, partner_name, date, completed_orders, round(b, 2) AS baseline_orders, round(completed_orders - b, 2) AS change, round(coalesce((completed_orders - b) / nullif(b, 0), 0), 4) AS change_rate,
         new_riders, new_merchants, active_riders, active_merchants, cancel_rate, hq_subsidy_total, partner_subsidy_total, CASE WHEN b >= 10 THEN 'large' WHEN b >= 5 THEN 'medium' ELSE 'small' END AS city_level
@@ -219,6 +220,7 @@ VIEWS = {
     "e11_rider_matrix": MATRIX,
     "e11_rider_tiers": _bands(f"SELECT {DONE} AS v FROM dwd WHERE {WP} GROUP BY rider_id", (("1-9", 1, 9), ("10-29", 10, 29), ("30-49", 30, 49), ("50+", 50, 1e18)), "riders"),
     "e11_new_rider_days": f"SELECT order_date AS date, count(*) AS completed_orders FROM dwd WHERE {WP} AND is_completed AND is_new_rider_order GROUP BY 1",
+    "e12_new_merchant_days": f"SELECT order_date AS date, count(*) AS completed_orders FROM dwd WHERE {WP} AND is_completed AND is_new_merchant_order GROUP BY 1",
     "e12_merchants": f"SELECT *, {r('completed_orders', 'total_orders')} AS completion_rate, {r('cancelled_orders', 'total_orders')} AS cancel_rate FROM (SELECT merchant_id, max(merchant_name) AS merchant_name, max(shop_name) AS shop_name, max(register_date) AS register_date, {TOTAL} AS total_orders, {DONE} AS completed_orders, {OFF} AS cancelled_orders, max(is_new_merchant_order::INT) AS is_new_merchant FROM dwd WHERE {WP} GROUP BY 1)",
     "e13_merchant_like_users": f"SELECT user_id, sum(total_orders)::BIGINT AS total_orders, sum(completed_orders)::BIGINT AS completed_orders, sum(cancelled_orders)::BIGINT AS cancelled_orders FROM ({USER_DAY}) WHERE date {SPAN} GROUP BY 1 HAVING sum(completed_orders) >= 4 ORDER BY completed_orders DESC, user_id LIMIT 20",
     "e15_order_sources": f"SELECT *, {RATES}, round(total_orders::DOUBLE / sum(total_orders) OVER (), 4) AS share FROM (SELECT coalesce(order_source, '未知') AS order_source, {runtime()} FROM dwd WHERE {WP} GROUP BY 1)",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +38,12 @@ class Filters:
         return out
 
     def apply(self, df: DataFrame, column: str = "order_date") -> DataFrame:
-        return df.filter(C(column).isNotNull() & self.of(column))
+        """The rows of the window and place; where the table has months, those outside of the window are not read."""
+        out = df.filter(C(column).isNotNull() & self.of(column))
+        if "order_month" in df.columns:
+            for day, side in ((self.start, C("order_month").__ge__), (self.end, C("order_month").__le__)):
+                out = out.filter(side(F.lit(f"{day:%Y-%m}"))) if day else out
+        return out
 
 
 # ----------------------------------------------------------- shared pieces
@@ -131,32 +135,27 @@ def regions(partner_day: DataFrame) -> DataFrame:
     return partner_day.select(*_PLACE).distinct()
 
 
-def admin_summary(fact: DataFrame, f: Filters, cfg: Settings) -> DataFrame:
-    """One row: order counts, money, and entities with at least the active number of completed orders."""
-    rows = f.apply(fact)
-    parts = [rows.agg(*[c.alias(n) for g in (runtime(cfg.cancel_minutes), finance()) for n, c in g.items()])]
-    for name in ("partner", "rider", "merchant"):
-        parts += [active(rows, name, cfg.active_orders), newcomers(rows, name)]
-    return with_rates(_one_row(parts))
-
-
-def _one_row(parts: list[DataFrame]) -> DataFrame:
-    """Single rows of different columns as one."""
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
+_ENTITIES = ("partner", "rider", "merchant")
 
 
-def active(rows: DataFrame, entity: str, least: int) -> DataFrame:
-    """One row: how many ids have at least ``least`` completed orders (1 at least)."""
-    ids = rows.filter(blank_to_null(C(f"{entity}_id")).isNotNull()).groupBy(f"{entity}_id").agg(count_if(C("is_completed")).alias("n"))
-    return ids.agg(count_if(C("n") >= max(least, 1)).alias(f"active_{entity}s"))
-
+def admin_summary(fact: DataFrame, f: Filters, cfg: Settings) -> DataFrame:
+    """One row: order counts, money, and entities with at least the active number of completed orders.
 
-def newcomers(rows: DataFrame, entity: str) -> DataFrame:
-    """One row: how many ids have completed orders among those flagged as of a newcomer."""
-    own = rows.filter(C(f"is_new_{entity}_order") & blank_to_null(C(f"{entity}_id")).isNotNull())
-    ids = own.groupBy(f"{entity}_id").agg(count_if(C("is_completed")).alias("n"))
-    return ids.agg(count_if(C("n") > 0).alias(f"new_{entity}s"))
+    One pass: each order counts for all and for its partner, rider and merchant, and the ids' counts are then counted.
+    """
+    of = [F.struct(F.lit("all").alias("kind"), F.lit("").alias("id"), F.lit(False).alias("is_new"))]
+    of += [F.struct(F.lit(n).alias("kind"), blank_to_null(C(f"{n}_id")).alias("id"), C(f"is_new_{n}_order").alias("is_new")) for n in _ENTITIES]
+    rows = f.apply(fact).withColumn("of", F.explode(F.array(*of))).select("*", "of.*").filter("id IS NOT NULL")
+    whole = {**runtime(cfg.cancel_minutes), **finance()}
+    each = agg(rows, ["kind", "id"], whole, {"new_completed": count_if(C("is_completed") & C("is_new"))})
+    least = max(cfg.active_orders, 1)
+    counts = runtime(cfg.cancel_minutes)
+    out = [F.max(F.when(C("kind") == "all", C(n))).alias(n) for n in whole]
+    for n in _ENTITIES:
+        own = C("kind") == n
+        out += [count_if(own & (C("completed_orders") >= least)).alias(f"active_{n}s"), count_if(own & (C("new_completed") > 0)).alias(f"new_{n}s")]
+    one = each.agg(*out)
+    return with_rates(one.withColumns({n: F.coalesce(n, F.lit(0)) for n in counts}))
 
 
 def daily_trend(admin_partner: DataFrame, f: Filters, only_new: tuple[str, ...] = ()) -> DataFrame:
@@ -358,9 +357,16 @@ def rider_matrix(fact: DataFrame, riders: DataFrame, f: Filters, cfg: Settings,
         each = each.withColumn("days", F.map_from_arrays(calendar, F.transform(calendar, lambda d: F.coalesce(F.try_element_at("days", d), F.lit(0).cast("long")))))
     met = (C("qualified_days") >= max(cfg.rider_target_days, 1)).cast("long")
     each = each.select("rider_id", "rider_name", "hire_date", "completed_orders", "qualified_days", "is_new_rider", met.alias("is_target_met"), "days", F.lit(False).alias("is_total"))
-    by_day = each.select(F.explode("days").alias("d", "n")).groupBy("d").agg(F.sum("n").alias("n"))
-    days = by_day.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("d", "n")))).alias("days"))
-    total = _one_row([each.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("completed_orders", "qualified_days", "is_target_met")]), days])
+    # a day of the total, too, is one of the riders' own: those are added up by day, with the other sums as one more
+    sums = ("completed_orders", "qualified_days", "is_target_met")
+    parts = F.concat(F.transform(F.map_entries("days"), lambda e: F.struct(e["key"].alias("d"), e["value"].alias("n"))), F.array(*[F.struct(F.lit(f" {n}").alias("d"), C(n).alias("n")) for n in sums]))
+    by_day = each.select(F.explode(parts).alias("p")).groupBy("p.d").agg(F.sum("p.n").alias("n"))
+    found = by_day.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("d", "n")))).alias("all"))
+    total = found.select(
+        *[F.coalesce(F.try_element_at("all", F.lit(f" {n}")), F.lit(0)).cast(each.schema[n].dataType).alias(n) for n in sums],
+        F.map_filter("all", lambda k, v: ~k.startswith(" ")).alias("days"),
+    )
+    total = total.withColumn("days", F.when(F.size("days") > 0, C("days")))
     return each.unionByName(total.withColumn("rider_id", F.lit("-")).withColumn("rider_name", F.lit("-")).withColumn("is_total", F.lit(True)), allowMissingColumns=True)
 
 

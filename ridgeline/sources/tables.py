@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shutil
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -10,6 +11,31 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share; where none is set, as in tests, a temporary one of a local master."""
+    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+    spark.sparkContext.setCheckpointDir(own)
+    return own
+
+
+def stamp(spark: SparkSession, paths: list[str]) -> tuple:
+    """Length and time of change of files or folders' files: different once anything was written."""
+    out = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)]
+    return tuple(out)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder holds anything but marks."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The test tables that the orders are made from.
+TABLES = ("orders", "supplier", "nation", "region")
+
+
 @dataclass(frozen=True)
 class Inputs:
     orders: DataFrame

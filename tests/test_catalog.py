@@ -39,9 +39,28 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_filters_reach_the_scan(spark, sf_dir):
-    plan = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'").select("o_orderkey")._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan
+def plan_of(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_filters_reach_the_fact(spark, sf_dir):
+    """A view of one partner and window reads its months only, its columns only, and asks the files for the partner."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    scan = [line for line in plan_of(catalog.queries()["e10_hours"](spark, sf_dir)).splitlines() if "FileScan" in line]
+    assert len(scan) == 1
+    assert "order_month#" in scan[0].split("PartitionFilters: [")[1].split("]")[0] and "2026-03" in scan[0] and "2026-04" in scan[0]
+    assert "EqualTo(partner_id,3)" in scan[0]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "amount_paid" not in scan[0] and "coupon_id" not in scan[0]
+
+
+@pytest.mark.parametrize("name, scans, exchanges", [
+    ("e3a_admin_summary", 1, 2), ("e3e_ranking", 1, 2), ("e6_health", 1, 3), ("e10_hours", 1, 2), ("e18_cancel_daily", 1, 1), ("q3_partner_day", 1, 2), ("e11_rider_matrix", 4, 9),
+])
+def test_plans_read_the_fact_once(spark, sf_dir, name, scans, exchanges):
+    plan = plan_of(catalog.queries()[name](spark, sf_dir))
+    assert plan.count("FileScan") <= scans, plan
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") <= exchanges, plan
 
 
 def test_extremes_see_more_than_the_best_hundred_partners(spark, sf_dir):
