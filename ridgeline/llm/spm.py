@@ -34,7 +34,7 @@ _NEVER = (1 << 31) - 1
 _GONE = -0x110001  # no character and no piece
 _LONG = 48  # characters; agendas of longer parts are heaps, one by one
 _TOGETHER = 1 << 17  # characters whose agendas advance together
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 
 
 class Pieces:
