@@ -15,7 +15,7 @@ or three numbers each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from math import floor, sqrt
@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ridgeline.llm.kernels import Block, mix64, release, shingles, text_blocks, utf8
 from ridgeline.llm.shared import Tables
@@ -249,8 +248,11 @@ class _Links:
         if self.sets.count() > n:  # rows that repeat an id and its text
             self.sets = tables.keep("sets", self.sets.dropDuplicates(["class"]))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose full sets are alike enough.  A pivot ``a`` with many pairs meets them in several places."""
+    def confirmed(self, pairs: DataFrame, alike: bool = False) -> DataFrame:
+        """Those of the pairs (a, b) whose full sets are alike enough; ``alike`` says that their sketches are known to be.
+
+        A pivot ``a`` with many pairs meets them in several places.
+        """
         pairs = self.tables.keep("pairs", pairs)
         counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).filter(F.col("pairs") > self.s.dealt)
         hot = self.tables.keep("hot", counts.select("a", F.ceil(F.col("pairs") / self.s.dealt).cast("int").alias("places")))
@@ -262,15 +264,7 @@ class _Links:
             return rows.withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1))).drop("places")
 
         pairs = pairs.join(hot, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("places", F.lit(1))).cast("int").alias("place"), "b")
-        left = self.light.select(F.col("class").alias("a"), "n", "packed")
-        right = self.light.select(F.col("class").alias("b"), "n", "packed")
-        with_b = pairs.join(right, "b").select("a", "place", "b", "n", "packed").alias("r")
-        if self.few:
-            on = F.col("l.a") == F.col("r.a")
-        else:
-            left = dealt(left)
-            on = (F.col("l.a") == F.col("r.a")) & (F.col("l.place") == F.col("r.place"))
-        near = self.tables.keep("near", with_b.join(left.alias("l"), on & _alike(self.s, self.s.hashes)).select("r.a", "r.place", "r.b"))
+        near = pairs if alike else self.tables.keep("near", self._near(pairs, dealt))
         sets = self.sets
         if near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then sets that no pair needs are not moved
             sets = sets.join(F.broadcast(near.select(F.explode(F.array("a", "b")).alias("class")).distinct()), "class", "left_semi")
@@ -281,6 +275,16 @@ class _Links:
         enough = 100 * common >= self.s.percent * (F.size("x") + F.size("y") - common)
         return self.tables.keep("edges", met.filter(enough).select("a", "b"))
 
+    def _near(self, pairs: DataFrame, dealt: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Those of the pairs (a, place, b) whose sketches allow the similarity."""
+        left = self.light.select(F.col("class").alias("a"), "n", "packed")
+        right = self.light.select(F.col("class").alias("b"), "n", "packed")
+        with_b = pairs.join(right, "b").select("a", "place", "b", "n", "packed").alias("r")
+        on = F.col("l.a") == F.col("r.a")
+        if not self.few:
+            left, on = dealt(left), on & (F.col("l.place") == F.col("r.place"))
+        return with_b.join(left.alias("l"), on & _alike(self.s, self.s.hashes)).select("r.a", "r.place", "r.b")
+
     def first(self) -> DataFrame:
         """Links of all members to their buckets' pivots."""
         pairs = self.members.filter("class != pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
@@ -340,7 +344,7 @@ class _Links:
         apart = (F.col("l.comp") != F.col("r.comp")) & ((F.col("l.own") != F.col("r.own")) | (F.col("l.lo") == F.col("l.hi")))
         among = own.alias("l").join(own.alias("r"), same & (F.col("l.class") < F.col("r.class")) & apart & near)
         pairs = pairs.union(among.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")))
-        return self.confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return self.confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), alike=True)
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, s: Sketching) -> DataFrame:
