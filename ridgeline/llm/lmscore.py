@@ -8,9 +8,8 @@ stretch of bits, and its bits grow with the training text without a bound.  So t
 are never gathered: the words and pairs of a block of texts are sent to their shards,
 and the levels found there are sent back to the block.
 
-Beside the model, each text gets an exact unigram score.  Its counts are never
-gathered: those of the commonest words (a bounded number) are broadcast, and all other
-words of the texts are sent, by shard, to the counts.
+Beside the model, each text gets an exact unigram score: with its level each word's exact
+count comes back.
 """
 
 from __future__ import annotations
@@ -41,14 +40,12 @@ _PROBED = 2_000_000  # tokens whose words and pairs are sent to the shards toget
 class Settings:
     """``bits_per_token`` of training text, however much that is.
 
-    ``head`` bounds the words whose exact counts are broadcast, ``weight`` is the
-    number of pair observations that the unigram probability stands for.
+    ``weight`` is the number of pair observations that the unigram probability stands for.
     """
 
     base: float = 2.0
     probes: int = 3
     bits_per_token: float = 8.0
-    head: int = 1 << 19
     weight: float = 500.0
     docs_per_shard: int = 6000
 
@@ -257,9 +254,9 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     lower case) and then one end.  ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V
     + 1))) over them with exact counts; ``n_known`` counts those with c > 0;
     ``score`` is the model's log10 probability.  A missing or empty text has its end
-    alone.  Repeated rows get equal scores, missing ids are passed on, an empty table
-    gives an empty result, and other columns are not read.  Without training rows
-    every probability is that of N = V = 0.
+    alone; texts of any length are read whole.  Repeated rows get equal scores, missing ids
+    are passed on, an empty table gives an empty result, and other columns are not read.
+    Without training rows every probability is that of N = V = 0.
     """
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), train.alias("train"))
     sizes = picked.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.when(F.col("train"), F.octet_length("text"))).alias("size")).first()
@@ -269,139 +266,72 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     merged = tables.keep("merged", merge(count(picked.filter("train").select("text"), shards), size, s))
     totals = merged.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     n, v = int(totals.n or 0), int(totals.v or 0)
-    spark = docs.sparkSession
-    head_words, head_counts = _head(merged, s)
-    head = spark.sparkContext.broadcast((head_words, head_counts))
-    both = _first(picked.select("id", F.monotonically_increasing_id().alias("row"), "text"), head, n, v)
-    both = tables.keep("texts", both)
-    first = both.filter("block IS NULL")
-    rest = _rest(first, merged, shards, n, v).unionByName(_model(both.filter("block IS NOT NULL"), merged, shards, Filter(np.zeros(0, np.uint8), 1, size, n, v, s)))
-    rest = rest.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_rest", "rest_score", "score")])
-    joined = first.join(rest.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
-    return joined.select(
-        "id", "n_tokens", (F.col("n_head") + F.coalesce("n_rest", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("rest_score", F.lit(0.0))).alias("base_score"), "score",
-    )
-
-
-def _head(merged: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest words, at most ``s.head``: all with at least some count."""
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("counts").to_pylist():
-                level, words = np.unique(np.floor(np.log2(np.frombuffer(x, np.int64)) * 16), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"level": level.astype(np.int64), "words": words})
-
-    levels = merged.select("counts").mapInArrow(histogram, "level long, words long").groupBy("level").agg(F.sum("words").alias("words"))
-    least, words = np.inf, 0
-    for r in sorted(levels.collect(), key=lambda r: -r.level):
-        words += r.words
-        if words > s.head:
-            break
-        least = r.level
-
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                counts = np.frombuffer(y, np.int64)
-                keep = np.floor(np.log2(counts) * 16) >= least
-                yield pa.RecordBatch.from_pydict({"word": np.frombuffer(x, np.int64)[keep], "n": counts[keep]})
+    blocks = tables.keep("blocks", _blocks(picked.select("id", "text")))
+    model = Filter(np.zeros(0, np.uint8), 1, size, n, v, s)
+    scored = _scored(blocks, merged, shards, model, picked.schema["id"].dataType)
+    return scored.withColumn("train_tokens", F.lit(n).cast("long")).select("id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
-    table = merged.select("words", "counts").mapInArrow(common, "word long, n long").toArrow()
-    words, counts = table.column("word").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(words)
-    return words[order], counts[order]
 
+_BLOCKS = "block long, sizes binary, words binary, low binary, high binary"
 
-_BLOCKS = "block long, rows binary, sizes binary, words binary, low binary, high binary"
 
+def _blocks(picked: DataFrame) -> DataFrame:
+    """The tokens of many texts a row: the texts' ids and sizes, the distinct words, and each token's place among these, in 3 bytes."""
+    id_type = to_arrow_type(picked.schema["id"].dataType)
 
-def _first(picked: DataFrame, head, n: int, v: int) -> DataFrame:
-    """Each text's base score over the commonest words; its other words are kept for :func:`_rest`.
-
-    Between them, rows with a ``block`` number hold the tokens of many texts for :func:`_model`:
-    the texts' rows and sizes, the distinct words, and each token's place among these, in 3 bytes.
-    """
-    log_all = float(np.log10(n + 0.5 * (v + 1)))
+    def packed(block: int, ids: list[pa.Array], sizes: list[np.ndarray], tokens: list[np.ndarray]) -> pa.RecordBatch:
+        word, at = np.unique(np.concatenate(tokens), return_inverse=True)
+        ids = pa.concat_arrays(ids)
+        own = (np.concatenate(sizes).astype(np.int32).tobytes(), word.tobytes(), at.astype(np.uint16).tobytes(), (at >> 16).astype(np.uint8).tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in own], pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)],
+            names=[*[f.split()[0] for f in _BLOCKS.split(", ")], "ids"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = head.value
-        logs = np.log10(counts + 0.5) - log_all
-        held: list[tuple] = []
+        ids, sizes, tokens, held = [], [], [], 0
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            batch_rows = batch.column("row").to_numpy()
-            out: list[list] = [[] for _ in range(4)]
             for a, b, texts in text_blocks(batch.column("text"), _BLOCK):
                 token, owner, _ = _tokens(texts)
-                k = b - a
-                out[0].append(np.bincount(owner, minlength=k))
-                held.append((batch_rows[a:b], out[0][-1], token))
-                if sum(len(x[2]) for x in held) >= _PROBED:
-                    yield packed(block, held)
-                    held, block = [], block + 1
-                if len(words):
-                    place = np.minimum(np.searchsorted(words, token), len(words) - 1)
-                    common = words[place] == token
-                    out[1].append(np.bincount(owner[common], minlength=k))
-                    out[2].append(np.bincount(owner[common], logs[place[common]], minlength=k))
-                else:
-                    common = np.zeros(len(token), dtype=bool)
-                    out[1].append(np.zeros(k, dtype=np.int64))
-                    out[2].append(np.zeros(k))
-                other, ends = token[~common], np.cumsum(np.bincount(owner[~common], minlength=k))
-                out[3] += [other[x:y].tobytes() for x, y in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
-            numbers = [np.concatenate(out[i]) if out[i] else np.zeros(0) for i in (0, 1, 2)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), batch.column("row"), pa.array(numbers[0].astype(np.int64)), pa.array(numbers[1].astype(np.int64)),
-                    pa.array(numbers[2].astype(float)), pa.array(out[3], pa.binary()), *[pa.nulls(batch.num_rows, t) for t in block_types],
-                ],
-                names=names,
-            )
-        if held:
-            yield packed(block, held)
-
-    def packed(block: int, held: list[tuple]) -> pa.RecordBatch:
-        rows, sizes, token = (np.concatenate(x) for x in zip(*held, strict=True))
-        word, at = np.unique(token, return_inverse=True)
-        own = (
-            block, rows.astype(np.int64).tobytes(), sizes.astype(np.int32).tobytes(), word.tobytes(),
-            at.astype(np.uint16).tobytes(), (at >> 16).astype(np.uint8).tobytes(),
-        )
-        text_types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
-        return pa.RecordBatch.from_arrays(
-            [*[pa.nulls(1, t) for t in text_types], *[pa.array([x], t) for x, t in zip(own, block_types, strict=True)]], names=names
-        )
+                ids.append(batch.column("id").slice(a, b - a))
+                sizes.append(np.bincount(owner, minlength=b - a))
+                tokens.append(token)
+                held += len(token)
+                if held >= _PROBED:
+                    yield packed(block, ids, sizes, tokens)
+                    ids, sizes, tokens, held, block = [], [], [], 0, block + 1
+        if ids:
+            yield packed(block, ids, sizes, tokens)
+        release()
 
-    id_type = to_arrow_type(picked.schema["id"].dataType)
-    block_types = [pa.int64()] + [pa.binary()] * 5
-    names = ["id", "row", "n_tokens", "n_head", "head_score", "others", *[f.split()[0] for f in _BLOCKS.split(", ")]]
-    kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, row long, n_tokens long, n_head long, head_score double, others binary, {_BLOCKS}")
+    return picked.mapInArrow(run, f"{_BLOCKS}, ids array<{picked.schema['id'].dataType.simpleString()}>")
 
 
 def _unpacked(row: dict, shards: int) -> tuple[np.ndarray, ...]:
     """Of a block: its words' hashes, the words of its tokens and of those before them, its pairs' addresses, and its tokens' pairs."""
     word, sizes = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["sizes"], np.int32)
-    mine = np.frombuffer(row["low"], np.uint16).astype(np.int64) | np.frombuffer(row["high"], np.uint8).astype(np.int64) << 16
+    mine = np.frombuffer(row["low"], np.uint16).astype(np.int32) | np.frombuffer(row["high"], np.uint8).astype(np.int32) << 16
     begin = np.cumsum(sizes) - sizes
-    before, prior = np.empty(len(mine), np.uint64), np.empty(len(mine), np.int64)
+    prior = np.empty(len(mine), np.int32)
     prior[1:] = mine[:-1]
     prior[begin] = mine[-1]  # a text's beginning is counted as often as its end
-    before[:] = word[prior]
+    before = word[prior]
     before[begin] = START
     pair, at = np.unique(_address(_pair(before, word[mine]), shards), return_inverse=True)
     return word, mine, prior, pair, at
 
 
-def _model(held: DataFrame, merged: DataFrame, shards: int, model: Filter) -> DataFrame:
-    """``row, n_rest, rest_score, score``: each text's model score; the words and pairs of a block go to their shards, and their levels come back."""
+def _scored(blocks: DataFrame, merged: DataFrame, shards: int, model: Filter, id_type) -> DataFrame:
+    """``id, n_tokens, n_known, base_score, score``: words and pairs of a block go to their shards, and their counts and levels come back."""
+    log_all = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = np.arange(shards + 1, dtype=np.uint64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 word, _, _, pair, _ = _unpacked(row, shards)
-                ends = np.arange(shards + 1, dtype=np.uint64)
                 at, pair_at = np.searchsorted(_shard(word, shards), ends), np.searchsorted(pair >> np.uint64(32), ends)
                 used = np.flatnonzero((np.diff(at) > 0) | (np.diff(pair_at) > 0))
                 packed = [_pack(pair[pair_at[i] : pair_at[i + 1]]) for i in used]
@@ -412,83 +342,43 @@ def _model(held: DataFrame, merged: DataFrame, shards: int, model: Filter) -> Da
                     ],
                     names=["shard", "block", "words", "heads", "pairs"],
                 )
+        release()
 
     def look_up(probes: pa.Table, counted: pa.Table) -> pa.Table:
-        col = {c: probes.column(c).to_pylist() for c in probes.column_names}
-        words = [np.frombuffer(x, np.uint64) for x in col["words"]]
-        pairs = [_unpack(x, y) for x, y in zip(col["heads"], col["pairs"], strict=True)]
-        found = []
-        for salt, parts in ((1, words), (2, pairs)):
-            keys = np.concatenate([*parts, np.zeros(0, np.uint64)])
-            levels = np.zeros(len(keys), dtype=np.uint8)
-            if counted.num_rows and len(keys):
-                own = replace(model, bits=np.frombuffer(counted.column("bits")[0].as_py(), np.uint8))
-                levels = own.levels(keys, salt, np.zeros(len(keys), dtype=np.uint64)).astype(np.uint8)
-            ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
-            found.append(pa.array([levels[e - len(x) : e].tobytes() for x, e in zip(parts, ends, strict=True)], pa.binary()))
-        return pa.table({
-            "block": pa.array(col["block"], pa.int64()), "shard": pa.array(col["shard"], pa.int32()), "word_levels": found[0], "pair_levels": found[1],
-        })
+        own = replace(model, bits=np.frombuffer(counted.column("bits")[0].as_py(), np.uint8)) if counted.num_rows else None
+        known, counts = (np.frombuffer(counted.column(c)[0].as_py(), t) if own else np.zeros(0, t) for c, t in (("words", np.uint64), ("counts", np.int64)))
+
+        def levels(keys: np.ndarray, salt: int) -> bytes:
+            found = own.levels(keys, salt, np.zeros(len(keys), dtype=np.uint64)) if own and len(keys) else np.zeros(len(keys))
+            return found.astype(np.uint8).tobytes()
+
+        out: list[list[bytes]] = [[], [], []]
+        for words, heads, pairs in zip(*(probes.column(c) for c in ("words", "heads", "pairs")), strict=True):
+            word = np.frombuffer(words.as_py(), np.uint64)
+            place = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
+            c = np.where(known[place] == word, counts[place], 0) if len(known) else np.zeros(len(word), np.int64)
+            for column, x in zip(out, (levels(word, 1), c.tobytes(), levels(_unpack(heads.as_py(), pairs.as_py()), 2)), strict=True):
+                column.append(x)
+        return pa.table([probes.column("block"), probes.column("shard"), *[pa.array(x, pa.binary()) for x in out]], names=["block", "shard", "word_levels", "counts", "pair_levels"])
 
     def total(block: pa.Table, answers: pa.Table) -> pa.Table:
-        row = block.to_pylist()[0]
+        row = block.drop_columns(["ids"]).to_pylist()[0]
         _, mine, prior, _, pair = _unpacked(row, shards)
         answers = answers.sort_by("shard")  # words and pairs are in the order of their shards
-        word_levels, pair_levels = (np.frombuffer(b"".join(answers.column(c).to_pylist()), np.uint8).astype(np.int64) for c in ("word_levels", "pair_levels"))
+        kinds = (("word_levels", np.uint8), ("counts", np.int64), ("pair_levels", np.uint8))
+        word_levels, counts, pair_levels = (np.frombuffer(b"".join(answers.column(c).to_pylist()), t).astype(np.int64) for c, t in kinds)
         sizes = np.frombuffer(row["sizes"], np.int32)
-        scores = np.bincount(np.repeat(np.arange(len(sizes)), sizes), model.log10(word_levels, mine, prior, pair_levels, pair), minlength=len(sizes))
-        return pa.table({
-            "row": pa.array(np.frombuffer(row["rows"], np.int64)), "n_rest": pa.array(np.zeros(len(sizes), np.int64)),
-            "rest_score": pa.array(np.zeros(len(sizes))), "score": pa.array(scores),
-        })
-
-    held = held.select(*[f.split()[0] for f in _BLOCKS.split(", ")])
-    probes = held.select("block", "sizes", "words", "low", "high").mapInArrow(deal, "shard int, block long, words binary, heads binary, pairs binary")
-    answers = probes.groupBy("shard").cogroup(merged.select("shard", "bits").groupBy("shard")).applyInArrow(
-        look_up, "block long, shard int, word_levels binary, pair_levels binary"
-    )
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, "row long, n_rest long, rest_score double, score double")
-
-
-def _rest(first: DataFrame, merged: DataFrame, shards: int, n: int, v: int) -> DataFrame:
-    """``row, n_rest, rest_score`` of the words that are not among the commonest: sent to their shards' counts."""
-    log_all = float(np.log10(n + 0.5 * (v + 1)))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [np.frombuffer(x, np.uint64) for x in batch.column("others").to_pylist()]
-            rows = np.repeat(batch.column("row").to_numpy(), [len(w) for w in words])
-            word = np.concatenate([*words, np.zeros(0, np.uint64)])
-            shard = _shard(word, shards).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            at = np.searchsorted(shard[order], np.arange(shards + 1))
-            used = np.flatnonzero(np.diff(at))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(used.astype(np.int32)), pa.array([rows[order[at[i] : at[i + 1]]].tobytes() for i in used], pa.binary()),
-                    pa.array([word[order[at[i] : at[i + 1]]].tobytes() for i in used], pa.binary()),
-                ],
-                names=["shard", "rows", "words"],
-            )
-
-    def look_up(probes: pa.Table, counted: pa.Table) -> pa.Table:
-        row = np.concatenate([*[np.frombuffer(x, np.int64) for x in probes.column("rows").to_pylist()], np.zeros(0, np.int64)])
-        word = np.concatenate([*[np.frombuffer(x, np.uint64) for x in probes.column("words").to_pylist()], np.zeros(0, np.uint64)])
-        c = np.zeros(len(word), dtype=np.int64)
-        if counted.num_rows and len(word):
-            known = np.frombuffer(counted.column("words")[0].as_py(), np.uint64)
-            counts = np.frombuffer(counted.column("counts")[0].as_py(), np.int64)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, word), len(known) - 1)
-                c = np.where(known[place] == word, counts[place], 0)
-        rows, at = np.unique(row, return_inverse=True)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        base = np.log10(counts + 0.5) - log_all
+        sums = [np.bincount(owner, x, minlength=len(sizes)) for x in ((counts > 0)[mine], base[mine], model.log10(word_levels, mine, prior, pair_levels, pair))]
         return pa.table({
-            "row": pa.array(rows), "n_rest": pa.array(np.bincount(at, c > 0, minlength=len(rows)).astype(np.int64)),
-            "rest_score": pa.array(np.bincount(at, np.log10(c + 0.5) - log_all, minlength=len(rows)).astype(float)),
+            "id": block.column("ids").combine_chunks().flatten(), "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(sums[0].astype(np.int64)),
+            "base_score": pa.array(sums[1]), "score": pa.array(sums[2]),
         })
 
-    probes = first.select("row", "others").mapInArrow(deal, "shard int, rows binary, words binary")
-    found = probes.groupBy("shard").cogroup(merged.select("shard", "words", "counts").groupBy("shard")).applyInArrow(
-        look_up, "row long, n_rest long, rest_score double"
+    probes = blocks.drop("ids").mapInArrow(deal, "shard int, block long, words binary, heads binary, pairs binary")
+    answers = probes.groupBy("shard").cogroup(merged.select("shard", "words", "counts", "bits").groupBy("shard")).applyInArrow(
+        look_up, "block long, shard int, word_levels binary, counts binary, pair_levels binary"
     )
-    return found.withColumn("score", F.lit(None).cast("double"))
+    kind = id_type.simpleString()
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, f"id {kind}, n_tokens long, n_known long, base_score double, score double")

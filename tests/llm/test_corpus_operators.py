@@ -233,14 +233,15 @@ def test_few_and_many_sources_agree(docs, prose, monkeypatch):
 # ---------------------------------------------------------- language model
 
 
-@pytest.mark.parametrize("head", [1 << 19, 50, 1])
-def test_base_score_is_exact(docs, prose, head):
+@pytest.mark.parametrize("probed", [1 << 21, 700])
+def test_base_score_is_exact(docs, prose, probed, monkeypatch):
+    monkeypatch.setattr(lmscore, "_PROBED", probed)
     rows = [(i, prose(40, i % 37, 3000)) for i in range(150)] + [(200, None), (201, ""), (202, "Never SEEN before"), (None, "the of")]
     df = docs(rows)
     train = [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
     c = Counter(w for t in train for w in [*words(t), None])
     n, v = sum(c.values()), len(c)
-    for r in lmscore.score(df, id_crc("doc_id") % 5 != 1, s=lmscore.Settings(head=head)).collect():
+    for r in lmscore.score(df, id_crc("doc_id") % 5 != 1).collect():
         w = [*words(dict(rows)[r.id]), None]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in c for x in w), n)
         assert math.isclose(r.base_score, sum(math.log10((c.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
@@ -304,6 +305,39 @@ def test_scores_by_shard_are_those_of_counts(docs, prose, monkeypatch):
         assert math.isclose(got[i].score, want, rel_tol=1e-3), i
 
 
+def test_unseen_pairs_are_told_apart_whatever_the_size():
+    """Of pairs that were never entered fewer than 1 % of tokens' probes pass, at one size and at twenty times it: a shard's load is the same."""
+    s = lmscore.Settings()
+    for tokens in (200_000, 4_000_000):
+        shards = max(1, tokens // 200_000)
+        size = lmscore.bits_for(tokens * 6, s) // shards
+        load = tokens // shards
+        keys = lmscore.mix64(np.arange(1, load + 1, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
+        keys = keys[: load // 2 * 2 // 2 + load // 20]  # half of the tokens are new pairs, and some words
+        bits = np.zeros(size, dtype=np.uint8)
+        for place in lmscore._places(lmscore.mix64(keys ^ np.uint64(2)), 1, size, s.probes):
+            bits[place] = 1
+        f = lmscore.Filter(np.packbits(bits, bitorder="little"), 1, size, 0, 0, s)
+        other = lmscore.mix64(np.arange(10**9, 10**9 + 50_000, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
+        assert (f.levels(other, 2, np.zeros(50_000, dtype=np.uint64)) > 0).mean() < 0.01
+
+
+def test_scores_of_odd_rows(docs, odd):
+    """Missing and empty texts, one very long word, many words, repeats, missing ids and clashing columns."""
+    df = docs([*odd, (60, "many words " * 60_000)]).withColumns({"block": F.lit(1), "ids": F.lit("x"), "score": F.lit("y"), "train": F.lit(0)})
+    got = lmscore.score(df, F.col("doc_id") != 60).collect()
+    assert len(got) == len(odd) + 1 and all(math.isfinite(r.score) for r in got)
+    assert len({tuple(r) for r in got if r.id == 4}) == 1
+    assert {r.n_tokens for r in got if r.id in (1, 2, 3)} == {1} and {r.n_tokens for r in got if r.id == 60} == {120_001}
+
+
+def test_packed_keys_come_back():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 511, 512, 5000, 200_000):
+        keys = np.sort(r.integers(0, 1 << 32, n).astype(np.uint64))
+        assert (lmscore._unpack(*lmscore._pack(keys)) == keys).all()
+
+
 def test_scores_without_training(docs):
     got = lmscore.score(docs([(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert {(r.id, r.n_tokens, r.n_known) for r in got} == {(1, 3, 0), (2, 1, 0)}
