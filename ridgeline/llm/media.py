@@ -3,8 +3,8 @@
 ``store`` writes tar archives of PNG images with Spark's own file writer, so a lost
 task leaves nothing behind and any file system will do.  ``MediaArchives`` plans
 byte ranges over the files of such a folder without opening one; each range finds
-its first member by itself, streams members through Arrow batches, and reads a member
-again from its offset, alone, when that fails.
+its first member by itself, reads blocks of some MB, cuts members from them into Arrow
+batches, and reads a header or a member again from its offset, alone, when it is damaged.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ridgeline.llm.kernels import binaries, utf8
+from ridgeline.llm.kernels import release, text_blocks, utf8
 from ridgeline.llm.shared import new_folder
 
 WIDTH = 576
@@ -82,6 +82,21 @@ def from_png(data: bytes) -> bytes:
     return rows[:, 1:].tobytes()
 
 
+def check_png(data: bytes) -> None:
+    """ValueError unless the chunks of an image are whole and have their checksums; nothing is unpacked."""
+    if data[:8] != _SIGNATURE:
+        raise ValueError("no PNG signature")
+    at, kind = 8, b""
+    while at < len(data):
+        (size,) = struct.unpack_from(">I", data, at)
+        kind = data[at + 4 : at + 8]
+        if struct.unpack_from(">I", data, at + 8 + size)[0] != zlib.crc32(memoryview(data)[at + 4 : at + 8 + size]):
+            raise ValueError(f"checksum of {kind!r}")
+        at += 12 + size
+    if kind != b"IEND":
+        raise ValueError("image is cut off")
+
+
 def feature(payload: bytes) -> str:
     """Rows, mean and deviation of the samples, and a 64-bit hash of which 64ths lie above the mean."""
     x = np.frombuffer(payload, dtype=np.uint8).astype(np.float64)
@@ -125,20 +140,17 @@ def store(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     """Write each row's text as a member ``<id>.png`` of the archives in the folder ``path``.
 
     A missing text is an empty one, a missing id is ``-``.  Repeated rows are stored
-    as often.  An empty table makes a folder without members.
+    as often, texts of any length whole.  An empty table makes a folder without members.
     """
     picked = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("id"), utf8(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], 0
-            for name, text in zip(batch.column("id").to_pylist(), binaries(batch.column("text")), strict=True):
-                out.append(member(f"{name}.png", to_png(pad(text))))
-                size += len(out[-1])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
-                    out, size = [], 0
-            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
+            for a, b, texts in text_blocks(batch.column("text")):
+                names = batch.column("id").slice(a, b - a).to_pylist()
+                out = [member(f"{name}.png", to_png(pad(text))) for name, text in zip(names, texts, strict=True)]
+                yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
+        release()
 
     members = picked.mapInArrow(run, "value binary")
     members.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
@@ -154,9 +166,10 @@ class Range(InputPartition):
 class MediaArchives(DataSource):
     """``spark.read.format("media_archives").load(folder)``: member, archive, offset, media.
 
-    Options: ``rangeBytes`` of a partition at most, ``batchBytes`` of an Arrow batch,
-    ``tries`` of a member, ``onError`` ``raise`` (after the last try) or ``null`` (the
-    member's media is null).
+    Options: ``rangeBytes`` of a partition at most, ``blockBytes`` that are read together,
+    ``batchBytes`` of an Arrow batch, ``tries`` of a header or member, ``onError`` ``raise``
+    (after the last try) or ``null`` (a damaged member's media is null, and of a damaged
+    header the member is, too; what follows begins at the next whole header).
     """
 
     @classmethod
@@ -176,6 +189,7 @@ class ArchiveReader(DataSourceReader):
         self.path = low["path"]
         self.range_bytes = max(_RECORD, int(low.get("rangebytes", 16 << 20)) // _RECORD * _RECORD)
         self.batch_bytes = int(low.get("batchbytes", 4 << 20))
+        self.block_bytes = int(low.get("blockbytes", 4 << 20))
         self.tries = int(low.get("tries", 3))
         self.on_error = low.get("onerror", "raise")
 
@@ -207,21 +221,37 @@ class ArchiveReader(DataSourceReader):
 
     def _members(self, part: Range) -> Iterator[tuple]:
         """Members whose header begins in the range: (name, archive, offset, media)."""
-        at = self._first(part)
+        archive = part.uri.rpartition("/")[2]
+        blocks = _Blocks(self, part.uri)
+        at = 0 if part.start == 0 else self._next(part, part.start)
         while at is not None and at < part.end:
-            head = parse_header(self._bytes(part.uri, at, _RECORD))
-            if head is None:
-                return
-            name, size = head
-            yield name, part.uri.rpartition("/")[2], at, self._media(part.uri, at, size)
-            at += _RECORD + -(-size // _RECORD) * _RECORD
-
-    def _first(self, part: Range) -> int | None:
-        """The first member at or after the start: a valid header with an image behind it."""
-        if part.start == 0:
-            return 0
+            head = blocks.at(at, _RECORD)
+            found = parse_header(head) or self._header(part.uri, at)
+            if found is not None:
+                name, size = found
+                yield name, archive, at, self._media(part.uri, at, size, blocks.at(at + _RECORD, size))
+                at += _RECORD + -(-size // _RECORD) * _RECORD
+            elif not any(head) and len(head) == _RECORD:
+                return  # the empty record that ends an archive
+            elif self.on_error == "null":
+                yield None, archive, at, None
+                at = self._next(part, at + _RECORD)
+            else:
+                raise ValueError(f"{part.uri} at {at}: damaged header")
+
+    def _header(self, uri: str, at: int) -> tuple[str, int] | None:
+        """A header that was found damaged, read again from its offset."""
+        for i in range(1, self.tries):
+            time.sleep(0.1 * 2 ** (i - 1))
+            _handles.pop(uri, None)
+            if found := parse_header(self._bytes(uri, at, _RECORD)):
+                return found
+        return None
+
+    def _next(self, part: Range, start: int) -> int | None:
+        """The first member at or after a place of the range: a valid header with an image behind it."""
         step = 1 << 20
-        for base in range(part.start, part.end, step):
+        for base in range(start, part.end, step):
             data = self._bytes(part.uri, base, step + _RECORD + 8)
             for at in range(0, min(step, part.end - base), _RECORD):
                 if data[at + 257 : at + 262] == b"ustar" and parse_header(data[at : at + _RECORD]) and data[at + _RECORD : at + _RECORD + 8] == _SIGNATURE:
@@ -239,13 +269,14 @@ class ArchiveReader(DataSourceReader):
                 time.sleep(0.1 * 2**i)
         raise AssertionError
 
-    def _media(self, uri: str, offset: int, size: int) -> bytes | None:
-        """A member's bytes, read and verified by themselves, again if damaged or cut."""
+    def _media(self, uri: str, offset: int, size: int, data: bytes) -> bytes | None:
+        """A member's bytes, verified, and read again by themselves if damaged or cut."""
         for i in range(self.tries):
-            data = self._bytes(uri, offset + _RECORD, size)
+            if i:
+                data = self._bytes(uri, offset + _RECORD, size)
             try:
                 if len(data) == size:
-                    from_png(data)
+                    check_png(data)
                     return data
                 raise ValueError("member is cut off")
             except (ValueError, zlib.error, struct.error) as e:
@@ -258,6 +289,21 @@ class ArchiveReader(DataSourceReader):
         return None
 
 
+class _Blocks:
+    """A file's bytes by blocks, the last one held."""
+
+    def __init__(self, reader: ArchiveReader, uri: str):
+        self.reader, self.uri, self.start, self.data = reader, uri, 0, b""
+
+    def at(self, offset: int, size: int) -> bytes:
+        """Bytes from an offset on, fewer at the file's end."""
+        low = offset - self.start
+        if low < 0 or low + size > len(self.data):
+            self.start, low = offset, 0
+            self.data = self.reader._bytes(self.uri, offset, max(size, self.reader.block_bytes))
+        return self.data[low : low + size]
+
+
 _handles: dict[str, pa.NativeFile] = {}
 
 
@@ -271,21 +317,26 @@ def _open(uri: str) -> pa.NativeFile:
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """The members of all archives in a folder: ``member, archive, offset, media``."""
+    """The members of all archives in a folder: ``member, archive, offset, media``; none of an empty folder.  Options: :class:`MediaArchives`."""
     spark.dataSource.register(MediaArchives)
     return spark.read.format("media_archives").options(**options).load(path)
 
 
 def described(members: DataFrame) -> DataFrame:
-    """``id`` (as text; null for ``-``) of each member, and sizes, digests and the feature of what is stored."""
+    """``id`` (as text; null for ``-``) of each member, and sizes, digests and the feature of what is stored.
+
+    Where the media is missing, so is all but the id; repeated members are alike, and no members give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, media in zip(batch.column("member").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                if media is None:
-                    rows.append((name.removesuffix(".png"), *[None] * 7))
+            column = batch.column("media")
+            for i, name in enumerate(batch.column("member").to_pylist()):
+                if not column[i].is_valid:
+                    rows.append((name and name.removesuffix(".png"), *[None] * 7))
                     continue
+                media = column[i].as_py()
                 payload = from_png(media)
                 rows.append((
                     name.removesuffix(".png"), len(payload.rstrip(bytes([FILL]))), len(payload), hashlib.sha256(payload).hexdigest(),

@@ -397,6 +397,43 @@ def test_damaged_member_is_told_alone(spark, docs, prose, tmp_path):
         media.read(spark, f"file://{path}", tries="1").collect()
 
 
+def test_damaged_header_is_told_and_passed(spark, docs, prose, tmp_path):
+    """A header with one bit wrong ends nothing: it is an error, or one row without member, and the members after it come."""
+    path = tmp_path / "h"
+    media.store(docs([(i, prose(60, i)) for i in range(6)]).coalesce(1), f"file://{path}")
+    file = next(f for f in path.iterdir() if f.name.startswith("part"))
+    data = bytearray(file.read_bytes())
+    third = media.read(spark, f"file://{path}").orderBy("offset").collect()[2]
+    data[third.offset + 3] ^= 1
+    file.write_bytes(bytes(data))
+    (path / f".{file.name}.crc").unlink(missing_ok=True)
+    for size in (1 << 20, 4096):
+        got = media.read(spark, f"file://{path}", onError="null", tries="2", rangeBytes=str(size), blockBytes="2000").collect()
+        assert sorted(r.member for r in got if r.member) == [f"{i}.png" for i in (0, 1, 3, 4, 5)]
+    assert media.described(media.read(spark, f"file://{path}", onError="null", tries="1", rangeBytes="1048576")).filter("payload_bytes IS NULL").count() == 1
+    with pytest.raises(Exception, match="damaged header"):
+        media.read(spark, f"file://{path}", tries="1", rangeBytes="1048576").collect()
+
+
+def test_media_values_by_hand(spark, docs, tmp_path):
+    """Lengths and digests are those of the stored files, the feature that of their samples."""
+    texts = {1: "", 2: "abc" * 300, 3: "é" * 100_000}
+    got = {r.id: r for r in media.round_trip(docs(list(texts.items()))).collect()}
+    path = f"file://{tmp_path}/v"
+    media.store(docs(list(texts.items())), path)
+    stored = {int(r.member.removesuffix(".png")): bytes(r.media) for r in media.read(spark, path).collect()}
+    for i, t in texts.items():
+        p = media.pad(t.encode())
+        assert media.from_png(stored[i]) == p
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
+        mean = sum(p) / len(p)
+        dev = math.sqrt(sum((v - mean) ** 2 for v in p) / len(p))
+        parts = [p[k * len(p) // 64 : (k + 1) * len(p) // 64] for k in range(64)]
+        bits = int("".join("1" if sum(q) / len(q) > mean else "0" for q in parts), 2)
+        assert got[i].feature == f"rows={len(p) // 576};mean={mean:.4f};dev={dev:.4f};hash={bits:016x}"
+    assert media.round_trip(docs([])).count() == 0
+
+
 def test_no_image_fills_a_record():
     for n in range(1, 300):
         data = media.to_png(media.pad(bytes(range(256)) * n))
