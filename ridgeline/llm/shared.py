@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgeline.sources.tables import work_dir
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set (as in tests), a temporary one, set from now on."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    """The session's checkpoint folder; where none is set (as in tests, with a local master), a temporary one, set from now on."""
+    return work_dir(spark)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -68,7 +68,7 @@ class Pieces:
         units = dict(self.ids)
         for c in sorted({c for name in self.ids for c in name} - set(self.ids)):
             units[c] = n + len(units)
-        self.single = np.full(0x110000, -1, dtype=np.int64)
+        self.single = np.full(0x110000, -1, dtype=np.int32)
         for name, i in units.items():
             if len(name) == 1:
                 self.single[ord(name)] = i
@@ -293,14 +293,14 @@ def encode(
     the same id that follow each other are numbered, and each is cut on its own.
     ``dropout`` 0 gives the model's own pieces.  A missing or
     empty text has no ids; missing ids are passed on; an empty table gives an empty
-    result; other columns are not read.  ``model`` must be readable by every executor.
+    result; other columns are not read; texts of any length are cut whole.  ``model`` is read by the driver.
     """
     key = F.xxhash64(F.col(id_col), F.lit(seed))
     picked = docs.select(F.col(id_col).alias("id"), key.alias("key"), utf8(text_col).alias("text"))
-    pieces(model)  # a missing or unfit model fails here, not in the tasks
+    shared = docs.sparkSession.sparkContext.broadcast(pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(model)
+        own = shared.value
         last, number = None, 0
         for batch in batches:
             keys = batch.column("key").to_numpy()
@@ -321,11 +321,16 @@ def encode(
 
 
 def decode(encoded: DataFrame, *, id_col: str = "id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """``id, ids, text`` for each row: the text that its ids stand for; missing ids stand for the empty text."""
+    """``id, ids, text`` for each row: the text that its ids stand for; missing and empty ids stand for the empty text.
+
+    Missing ids of rows are passed on, repeated rows are alike, an empty table gives an empty
+    result, other columns are not read, and lists of any length are taken whole.
+    """
     picked = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(model)
+        own = shared.value
         for batch in batches:
             column = batch.column("ids")
             texts = [own.decode(column[i].values.to_numpy() if column[i].is_valid else np.zeros(0, dtype=np.int32)) for i in range(len(column))]
