@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.kernels import binaries, release, text_blocks, utf8
+from ridgeline.llm.kernels import release, text_blocks, utf8
 
 _SYMBOLS = b"#*$%&|<>"
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -22,6 +22,9 @@ SCHEMA = (
 )
 
 
+_MANY = 50_000  # words
+
+
 @dataclass(frozen=True)
 class Bands:
     """Limits of compressed size / size, by the text's bytes.
@@ -54,6 +57,8 @@ class Bands:
 
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a 3-word window found twice or more in the text."""
+    if len(words) > _MANY:
+        return _repeated_in_many(words)
     windows = list(zip(words, words[1:], words[2:], strict=False))
     seen = Counter(windows)
     if len(seen) == len(windows):
@@ -65,6 +70,19 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def _repeated_in_many(words: list[bytes]) -> int:
+    """The same for very long texts, with numbers for words and windows."""
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
+    _, pair = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)
+    _, window, times = np.unique(pair[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
+    again = times[window] > 1
+    covered = np.zeros(len(words), dtype=bool)
+    for shift in range(3):
+        covered[shift : shift + len(again)] |= again
+    return int(covered.sum())
+
+
 def measure(text: bytes, compressor: zstandard.ZstdCompressor, bands: Bands) -> tuple:
     words = text.split()
     lines = [line for line in text.split(b"\n") if line.strip(_BLANK)]
@@ -100,26 +118,30 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ba
     A missing text is an empty one: no words, ratio 0, rejected for its length.
     Each row is judged by itself, so ties and repeated rows get equal verdicts,
     ids are passed on as they are (missing ones too), and an empty table gives an
-    empty result.  Other columns are not read.  No shuffle.
+    empty result.  Texts of any length are measured whole.  Other columns are not read.  No shuffle.
     """
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
-            rows = [measure(t, compressor, bands) for t in binaries(batch.column("text"))]
+            rows = [measure(t, compressor, bands) for _, _, texts in text_blocks(batch.column("text")) for t in texts]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
             kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *[pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]],
                 names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "chunks_out", "base_failed", "kept"],
             )
+        release()
 
     return picked.mapInArrow(run, SCHEMA.format(id=picked.schema["id"].dataType.simpleString()))
 
 
 def passing(docs: DataFrame, *, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text the rules keep."""
+    """The rows of ``docs``, with all their columns, whatever their names, whose text the rules keep.
+
+    Missing and empty texts go, repeated rows go or stay together, an empty table stays empty.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ridgeline.llm import lmscore, mixing, neardup, pii, quality
+from ridgeline.llm import lmscore, mixing, neardup, pii, quality, spm
 from ridgeline.llm.kernels import id_crc
 from ridgeline.llm.shared import Tables
 
@@ -22,7 +22,7 @@ def words(text):
     return (text or "").encode().translate(LOWER).split()
 
 
-def brute_groups(rows):
+def brute_groups(rows, percent=85):
     """Least id reachable and set size of each id, by comparing all pairs."""
     sets, least = {}, {}
     for i, t in rows:
@@ -39,7 +39,7 @@ def brute_groups(rows):
     for a in range(len(ids)):
         for b in range(a):
             x, y = sets[ids[a]], sets[ids[b]]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(ids[a]), find(ids[b])
                 least[max(p, q)] = min(p, q)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -382,3 +382,55 @@ def test_pipeline_joins_copies_from_80_percent(spark, docs, prose, sf_dir):
 def test_pipeline_runs(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and out.columns == ["doc_id", "source", "n_pieces", "ids"]
+
+
+def test_pipeline_whole_by_brute_force(spark, docs, prose, tmp_path):
+    """All stages in a row give what each one's brute-force version gives on the one before's."""
+    r = random.Random(4)
+    rows = [(i, prose(60 + i % 50, i // 2 if i % 6 == 0 else 1000 + i), "en", r.choice(["a", "b", "c", None]), 0) for i in range(60)]
+    rows += [(100 + i, t, "en", "b", 0) for i, t in enumerate(family(prose, 8, 77, 200, 3))]
+    rows += [(200, prose(90, 5000) + " write to ann.b@mail.example.com or 10.0.0.7", "en", "a", 0), (201, "x y", "en", "a", 0), (202, None, None, None, None), (203, "same words again " * 60, "en", "c", 0)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    # the first stage's verdicts and the third's spans are tested by themselves
+    kept = {v.id for v in quality.score(docs(rows)).filter("kept").collect()}
+    groups = brute_groups([(i, t) for i, t, *_ in rows if i in kept], 80)
+    left = [(i, t, s) for i, t, _, s, _ in rows if i in kept and groups[i][1] == i]
+    assert 0 < len(left) < len(kept) < len(rows)
+    spans = {f.id: f.spans for f in pii.find(docs([(i, t) for i, t, _ in left])).collect()}
+
+    def masked(i, t):
+        for s in sorted(spans[i], key=lambda s: -s.start):
+            t = t[: s.start] + f"<{s.kind.upper()}>" + t[s.end :]
+        return t
+
+    left = [(i, masked(i, t), s) for i, t, s in left]
+    _, _, taken = brute_mix(left, f"pipeline-{corpus_pipeline.SEED}")
+    want = Counter()
+    for i, t, s in left:
+        want[(i, s, t)] = round(taken[i] / len(words(t)))
+    decoded = spm.decode(out.withColumn("id", F.struct("doc_id", "source")), id_col="id", ids_col="ids")
+    got = Counter((d.id.doc_id, d.id.source, d.text) for d in decoded.collect())
+    assert got == +want
+    assert all(n == len(ids) for n, ids in out.select("n_pieces", "ids").collect())
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_take_odd_rows(spark, docs, prose, odd, k):
+    """Missing and empty texts, repeated rows, missing ids, a very long text, further columns of clashing names, and no rows at all."""
+    rows = [*odd, (70, prose(80, 1), "en", "a"), (70, prose(80, 1), "en", "a"), (71, "very long text with words " * 20_000 + prose(300, 8), "en", None), (None, prose(70, 2), "en", "b")]
+    names = ("id", "score", "kept", "class", "n", "q", "u", "own", "size", "key", "ids_", "place", "__gone_", "spans", "base")
+    df = docs(rows).withColumns({n: F.lit("clash") for n in names})
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, df, None)
+    got = out.collect()
+    ids = {r[0] for r in rows}
+    assert {r.doc_id for r in got} <= ids
+    if name != "pieces":
+        assert out.columns == df.columns and all(r.score == "clash" for r in got)
+    if name == "near duplicates":
+        assert Counter(r.doc_id for r in got)[70] == 1 and Counter(r.doc_id for r in got)[None] == 2
+    if name == "personal data":
+        assert len(got) == len(rows)
+    none = stage(spark, df.limit(0), None)
+    assert none.count() == 0 and none.columns == out.columns

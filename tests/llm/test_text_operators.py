@@ -93,6 +93,54 @@ def test_quality_bands_reject_what_the_base_rule_passes(docs, prose):
     assert {i for i, x in got.items() if x.kept} == {70, 150, 450, 3500}
 
 
+def test_bands_by_brute_force(docs, spark, sf_dir):
+    """The verdict is that of ratios worked out chunk by chunk."""
+    import zstandard
+
+    b = quality.Bands()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    r = random.Random(3)
+    texts |= {10**6 + i: " ".join(base64.b64encode(r.randbytes(30)).decode() for _ in range(60 + 40 * i)) for i in range(20)}
+    texts |= {2 * 10**6 + i: " ".join(f"w{r.randrange(8)}{r.randrange(8)}" for _ in range(60 + 200 * i)) for i in range(20)}
+    rejected = 0
+    for q in quality.score(docs(list(texts.items()))).collect():
+        data = (texts[q.id] or "").encode()
+
+        def ratio(part):
+            return len(zstandard.ZstdCompressor(level=b.level).compress(part)) / len(part)
+
+        low, high = next((lo, hi) for up, lo, hi in b.whole if len(data) <= up)
+        chunks = [data[k : k + b.chunk_bytes] for k in range(0, len(data), b.chunk_bytes)] if len(data) > b.chunk_bytes else []
+        chunks = [c for c in chunks if 2 * len(c) >= b.chunk_bytes]
+        out = sum(not b.chunk[0] <= ratio(c) <= b.chunk[1] for c in chunks)
+        inside = bool(data) and low <= ratio(data) <= high and (not chunks or out <= b.max_out * len(chunks))
+        assert q.kept == (inside and not q.base_failed), q.id
+        rejected += not q.base_failed and not q.kept
+    assert rejected > 10
+
+
+def test_repeats_in_very_long_texts(monkeypatch):
+    r = random.Random(5)
+    for n in (3, 40, 400):
+        words = [b"%d" % r.randrange(12) for _ in range(n)]
+        assert quality._repeated_in_many(words) == quality.repeated_words(words)
+
+
+EMPTY = {
+    "quality": lambda d: quality.score(d), "passing": lambda d: quality.passing(d), "find": lambda d: pii.find(d), "redact": lambda d: pii.redact(d),
+    "encode": lambda d: spm.encode(d), "decode": lambda d: spm.decode(spm.encode(d)), "round_trip": lambda d: media.round_trip(d),
+    "extract": lambda d: htmltext.extract(d, id_col="doc_id", html_col="text"),
+}
+
+
+@pytest.mark.parametrize("name", list(EMPTY))
+def test_empty_tables_and_repeated_rows(docs, odd, name):
+    assert EMPTY[name](docs([])).count() == 0
+    rows = EMPTY[name](clash(docs([*odd, *odd])) if name not in ("decode",) else docs([*odd, *odd])).collect()
+    each = Counter(map(repr, rows))
+    assert all(n % 2 == 0 for n in each.values())
+
+
 def test_quality_filter_agrees_and_keeps_columns(docs, prose, odd):
     df = docs([*odd, (30, prose(90, 3), "en", "z", 7)])
     kept = quality.passing(df)
