@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ridgeline import testbed
 from ridgeline.config import Settings, Swing, Tier
+from ridgeline.functions.periods import periods
 from ridgeline.operators import ads, dwd
 from ridgeline.oracles import mart as mart_sql
 from ridgeline.oracles import metrics
@@ -63,9 +64,9 @@ def _mart(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return mart.TABLES[name][1](mart.Layers(rows, x.riders, x.merchants, x.partners, CFG))
 
 
-WINDOW = views.Filters(date(2026, 3, 10), date(2026, 4, 9))
-OWN = views.Filters(WINDOW.start, WINDOW.end, partner_id="3")
-MARCH, APRIL = (date(2026, 3, 1), date(2026, 3, 31)), (date(2026, 4, 1), date(2026, 4, 30))
+WINDOW = views.Filters.of_request(date(2026, 3, 10), date(2026, 4, 9))
+OWN = views.Filters.of_request(WINDOW.start, WINDOW.end, partner_id="3")
+MARCH, APRIL = periods(date(2026, 4, 1), date(2026, 4, 30), baseline=(date(2026, 3, 1), date(2026, 3, 31)))
 BOTH = views.Filters(MARCH[0], APRIL[1])
 
 

@@ -228,6 +228,18 @@ class Warehouse:
         out = {"runs": runs, "files": files}
         return out | {"version": mart.version(self.table("versions"))} if self.has("versions") else out
 
+    def rebuild(self) -> list[str]:
+        """Build the fact and the metrics of all months anew, with the names that the rosters have now."""
+        months = sorted(self._months("ods_orders"))
+        self.build(months)
+        return months
+
+    def validate(self) -> DataFrame:
+        """``layer, month, rows`` of the raw layer, the fact and each metric table."""
+        layers = [n for n in ("ods_orders", "dwd_orders", *[f"ads_{n}" for n in ads.TABLES]) if self.has(n)]
+        counts = [self.table(n).groupBy(F.col("order_month").alias("month")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("layer"), "month", "rows") for n in layers]
+        return staging.union_all(counts).orderBy("layer", "month")
+
     def check(self) -> DataFrame:
         """Riders that orders name by an id the roster lacks, most orders first."""
         fact = self.table("dwd_orders").filter("rider_id IS NOT NULL")
@@ -236,9 +248,9 @@ class Warehouse:
 
 
 def main(argv: list[str] | None = None) -> int:
-    """``import`` (``--mode auto|force``), ``export`` or ``check``, with ``--config`` for a settings file."""
+    """``import`` (``--mode auto|force``), ``export``, ``check``, ``rebuild`` or ``validate``, with ``--config`` for a settings file."""
     parser = argparse.ArgumentParser(prog="ridgeline")
-    parser.add_argument("command", choices=("import", "export", "check"))
+    parser.add_argument("command", choices=("import", "export", "check", "rebuild", "validate"))
     parser.add_argument("--mode", choices=("auto", "force"), default="auto")
     parser.add_argument("--config")
     args = parser.parse_args(argv)
@@ -250,6 +262,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if result.status != "failed" else 1
     if args.command == "export":
         print(house.export())
+    elif args.command == "rebuild":
+        print(house.rebuild())
+    elif args.command == "validate":
+        house.validate().show(200)
     else:
         house.check().show()
     return 0

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.config import Settings, Tier
-from ridgeline.functions.expressions import average_money, blank_to_null, count_if, distinct_if, half_up, minutes_between, money, quotient, ratio0, sum_if
+from ridgeline.functions.expressions import average_money, blank_to_null, count_if, distinct_if, half_up, minutes_between, money, quotient, ratio0, repaired, sum_if
 from ridgeline.functions.health import scored
-from ridgeline.functions.periods import day_count, period_of, within
+from ridgeline.functions.periods import check_window, day_count, period_of, within
 from ridgeline.operators import ads
 from ridgeline.operators.ads import NO_SOURCE, C
 
@@ -30,6 +30,12 @@ class Filters:
     district: str | None = None
     partner_id: str | None = None
 
+    @classmethod
+    def of_request(cls, start: date | None = None, end: date | None = None, **more: str | None) -> Filters:
+        """The filters of a request; ValueError for a window that the dashboard does not take."""
+        check_window(start, end)
+        return cls(start, end, **more)
+
     def of(self, column: str = "order_date") -> Column:
         out = within(C(column), (self.start, self.end))
         for name in (*_PLACE, "partner_id"):
@@ -128,7 +134,23 @@ def directory(partners: DataFrame, partner_day: DataFrame) -> DataFrame:
     """All partners known to the roster or the metrics; what the roster has goes first."""
     seen = partner_day.filter(C("partner_id") != ads.UNKNOWN).groupBy("partner_id").agg(*[F.max(n).alias(f"seen_{n}") for n in ("partner_name", *_PLACE)])
     both = partners.select("partner_id", "partner_name", *_PLACE).join(seen, "partner_id", "full_outer")
-    return both.select("partner_id", *[F.coalesce(blank_to_null(C(n)), f"seen_{n}").alias(n) for n in ("partner_name", *_PLACE)])
+    return both.select("partner_id", *[repaired(F.coalesce(blank_to_null(C(n)), f"seen_{n}")).alias(n) for n in ("partner_name", *_PLACE)])
+
+
+def region_choices(places: DataFrame, f: Filters) -> tuple[Filters, DataFrame]:
+    """What of a chosen province, city and district exists, and the regions within it.
+
+    From the widest on: a choice that none of the regions left has is dropped, the others narrow them.
+    """
+    left = places.select(*_PLACE).distinct()
+    for name in _PLACE:
+        if chosen := getattr(f, name):
+            own = left.filter(C(name) == chosen)
+            if own.limit(1).count():  # a dimension of a few thousand rows
+                left = own
+            else:
+                f = replace(f, **{name: None})
+    return f, left
 
 
 def regions(partner_day: DataFrame) -> DataFrame:

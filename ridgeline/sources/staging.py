@@ -103,7 +103,7 @@ def as_utf8(path: str, encoding: str, folder: str) -> str:
 def read_csv(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
     """A CSV file with all columns as text, headers normalised, and its row numbers (the header is row 1).
 
-    Row numbers come from one index over the file's own order; each file is a unit of import.
+    Quoted values may hold line ends, so a file is one partition, and its rows are numbered as they are read.
     Encodings that Spark does not read are staged in ``folder`` first.
     """
     with open(path.removeprefix("file:"), "rb") as f:
@@ -113,8 +113,7 @@ def read_csv(spark: SparkSession, path: str, folder: str | None = None) -> DataF
     encoding = "ISO-8859-1" if encoding == "latin1" else encoding
     raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
     named = raw.toDF(*normal_headers([c for c in raw.columns]))
-    order = Window.partitionBy(F.lit(path)).orderBy(F.monotonically_increasing_id())
-    return named.withColumn("source_row_number", F.row_number().over(order) + 1)
+    return named.withColumn("source_row_number", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 2)
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -145,11 +144,12 @@ def _logical(df: DataFrame, fields: dict[str, tuple[str, ...]], clean: bool = Fa
     return {n: E.first_filled([value(a) for a in aliases if normal_header(a) in have]) for n, aliases in fields.items()}
 
 
-def stage_orders(df: DataFrame, path: str) -> DataFrame:
+def stage_orders(df: DataFrame, path: str | Column) -> DataFrame:
     """Logical fields as text, with the file, its month and the row number: the raw layer's rows."""
     fields = _logical(df, ORDER_FIELDS)
-    staged = df.select(*[c.alias(n) for n, c in fields.items()], F.lit(path).alias("file"), "source_row_number")
-    of_file = E.month_of_file(F.lit(Path(path).name))
+    file = F.lit(path) if isinstance(path, str) else path
+    staged = df.select(*[c.alias(n) for n, c in fields.items()], file.alias("file"), "source_row_number")
+    of_file = E.month_of_file(F.element_at(F.split("file", "/"), -1))
     return staged.withColumn("order_month", E.valid_month(F.coalesce(E.month(E.timestamp(F.col("added_at"))), of_file)))
 
 

@@ -23,7 +23,11 @@ def importer(house: Warehouse) -> Callable[[DataFrame, int], None]:
 
     def handle(batch: DataFrame, number: int) -> None:
         named = batch.toDF(*staging.normal_headers(batch.columns)).withColumn("source_row_number", F.monotonically_increasing_id())
-        rows = staging.accepted(staging.stage_orders(named, "stream").withColumn("imported_at", F.current_timestamp().cast("timestamp_ntz")))
+        staged = staging.stage_orders(named, F.url_decode("file")).withColumn("imported_at", F.current_timestamp().cast("timestamp_ntz"))
+        faults = staging.abnormal(staged).withColumn("run_id", F.lit(f"stream-{number}"))
+        if not (house.has("abnormal_orders") and house.table("abnormal_orders").filter(F.col("run_id") == f"stream-{number}").limit(1).count()):
+            tables.append(faults, house.path("abnormal_orders"))
+        rows = staging.accepted(staged)
         if house.has("ods_orders"):
             months = [r[0] for r in rows.select("order_month").distinct().collect()]
             old = house.table("ods_orders").filter(F.col("order_month").isin(*months))

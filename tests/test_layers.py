@@ -249,3 +249,38 @@ def test_large_months_are_cut_into_files(spark, tmp_path):
 def test_first_alias_that_stands_for_nothing_gives_way(spark):
     df = spark.createDataFrame([("1", "-", "天河")], "`帮手id` string, `区域` string, `所属区域` string").withColumn("source_row_number", F.lit(2))
     assert staging.stage_roster(df, "riders", "r.csv").first().region == "天河"
+
+
+def test_region_choices_fall_back_to_what_exists(spark):
+    places = spark.createDataFrame([("广东", "广州", "天河"), ("广东", "深圳", "南山"), ("浙江", "杭州", "西湖")], "province string, city string, district string")
+    f, left = views.region_choices(places, views.Filters(province="广东", city="杭州", district="南山"))
+    assert (f.province, f.city, f.district) == ("广东", None, "南山") and left.count() == 1
+    f, left = views.region_choices(places, views.Filters(province="无", city="杭州"))
+    assert (f.province, f.city) == (None, "杭州") and {r.district for r in left.collect()} == {"西湖"}
+
+
+def test_requests_of_more_than_a_month_are_refused():
+    with pytest.raises(ValueError):
+        views.Filters.of_request(date(2026, 3, 1), date(2026, 4, 5))
+    assert views.Filters.of_request(date(2026, 3, 1), None).end is None
+
+
+def test_directory_mends_names(spark):
+    broken = "未知".encode().decode("latin1")
+    partners = spark.createDataFrame([("1", broken, "p", "c", "d")], "partner_id string, partner_name string, province string, city string, district string")
+    day = spark.createDataFrame([], "partner_id string, partner_name string, province string, city string, district string")
+    assert views.directory(partners, day).first().partner_name == "未知"
+
+
+def test_validate_and_rebuild(house, imported):
+    got = {(r.layer, r.month): r.rows for r in house.validate().collect()}
+    assert got["ods_orders", "2026-04"] == got["dwd_orders", "2026-04"] == 182
+    assert "2026-04" in house.rebuild()
+    assert {(r.layer, r.month): r.rows for r in house.validate().collect()} == got
+    assert house.check().count() == 0
+
+
+def test_rows_are_numbered_as_in_the_file(spark, tmp_path):
+    path = tmp_path / "o.csv"
+    path.write_text("订单编号,备注\n1,\"two\nlines\"\n2,b\n3,c\n", encoding="utf-8")
+    assert [(r["订单编号"], r.source_row_number) for r in staging.read_csv(spark, str(path)).collect()] == [("1", 2), ("2", 3), ("3", 4)]
