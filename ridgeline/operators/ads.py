@@ -137,19 +137,30 @@ def cancel_day(dwd: DataFrame) -> DataFrame:
     return out.withColumn("unaccepted_timeout_online_cancel_rate", ratio0(C("unaccepted_timeout_online_cancel_orders"), C("total_orders")))
 
 
+def events(rows: DataFrame, made: Column, took: Column, flags: tuple[str, ...], labels: tuple[str, ...]) -> DataFrame:
+    """Each order as up to two events: ``made`` and ``took``, structs of the same fields or missing, with ``is_made`` to tell them.
+
+    Flags and labels of the order hold for the first alone, so that one grouping counts both.
+    """
+    each = F.array_compact(F.array(F.when(made.isNotNull(), F.struct(made.alias("at"), F.lit(True).alias("is_made"))), F.when(took.isNotNull(), F.struct(took.alias("at"), F.lit(False).alias("is_made")))))
+    out = rows.withColumn("event", F.explode(each)).withColumn("is_made", C("event.is_made"))
+    return out.withColumns({**{n: C(n) & C("is_made") for n in flags}, **{n: F.when(C("is_made"), C(n)) for n in labels}})
+
+
 def direct_hour(dwd: DataFrame) -> DataFrame:
     """Orders by the hour they were made in; riders by the hour they accepted in, on the order's date."""
+    flags = ("is_completed", "is_cancelled", "is_valid_order", "is_valid_cancel_order", "is_unaccepted_cancel", "is_accepted_cancel")
+    hour = lambda n: F.struct(F.coalesce(n, F.lit(0)).alias("hour"))
+    rows = events(_dated(dwd), hour("order_hour"), F.when(C("accept_time").isNotNull(), hour("accept_hour")), flags, ("partner_name",))
     kinds = {}
     for kind in ("parttime", "fulltime"):
         own = C("is_completed") & (C("employment_type") == kind)
         kinds |= {f"{kind}_completed_orders": count_if(own), f"{kind}_rider_count": distinct_if(own, C("rider_id"))}
-    made = measured(
-        _dated(dwd), _keys("order_month", "partner_id", "date", "hour"), "partner_name", "unpaid_orders", "unaccepted_cancel_orders", "accepted_cancel_orders",
-        "total_orders", "valid_orders", "valid_cancel_orders", "valid_cancel_rate", delivered_orders=MEASURES["completed_orders"](), **kinds,
-    )
-    took = _dated(dwd).filter(C("accept_time").isNotNull()).withColumn("order_hour", C("accept_hour"))
-    riders = measured(took, _keys("partner_id", "date", "hour"), accepted_rider_count=distinct_if(None, C("rider_id")))
-    out = made.join(riders, ["partner_id", "date", "hour"], "left").withColumn("accepted_rider_count", F.coalesce("accepted_rider_count", F.lit(0)))
+    out = measured(
+        rows, _keys("order_month", "partner_id", "date") | {"hour": C("event.at.hour")}, "partner_name", "unpaid_orders", "unaccepted_cancel_orders", "accepted_cancel_orders",
+        "valid_orders", "valid_cancel_orders", "valid_cancel_rate", delivered_orders=MEASURES["completed_orders"](), total_orders=count_if(C("is_made")),
+        accepted_rider_count=distinct_if(~C("is_made"), C("rider_id")), **kinds,
+    ).filter("total_orders > 0")
     return out.withColumns({f"{k}_efficiency": ratio0(C(f"{k}_completed_orders"), C(f"{k}_rider_count")) for k in ("parttime", "fulltime")})
 
 

@@ -137,18 +137,22 @@ def partner_day(x: Layers) -> DataFrame:
 def partner_hour(x: Layers) -> DataFrame:
     """Orders by the hour made, riders by the date and hour in which they accepted."""
     kinds = ("fulltime", "parttime")
-    rows = x.included(x.fact)
-    keys = {n: C(n) for n in ("order_month", "partner_id")} | {"date": C("order_date"), "hour": C("order_hour")}
-    done = {f"{k}_completed_orders": count_if(C("is_completed") & (C("employment_type") == k)) for k in kinds}
-    made = measured(rows.filter("order_date IS NOT NULL AND order_hour IS NOT NULL"), keys, *_LABELS, *_COUNTS, "valid_cancel_orders", **done)
     at = F.coalesce("accept_time", "create_time")
-    took = rows.filter(C("rider_id").isNotNull() & C("accept_hour").isNotNull() & at.isNotNull())
-    riders = measured(
-        took, {"partner_id": C("partner_id"), "date": F.to_date(at), "hour": C("accept_hour")}, accepted_riders=F.count_distinct("rider_id"),
-        **{f"{k}_accepted_riders": _there(C("employment_type") == k, "rider_id") for k in kinds},
-    )
-    names = ("accepted_riders", *[f"{k}_accepted_riders" for k in kinds])
-    out = made.join(riders, ["partner_id", "date", "hour"], "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
+
+    def place(month: Column, date: Column, hour: Column) -> Column:
+        return F.struct(month.alias("month"), date.alias("date"), hour.alias("hour"))
+
+    made = F.when(C("order_date").isNotNull() & C("order_hour").isNotNull(), place(C("order_month"), C("order_date"), C("order_hour")))
+    took = place(F.date_format(at, "yyyy-MM"), F.to_date(at), C("accept_hour"))
+    took = F.when(C("rider_id").isNotNull() & C("accept_hour").isNotNull() & at.isNotNull(), took)
+    flags = ("is_completed", "is_cancelled", "is_valid_order", "is_valid_cancel_order")
+    rows = ads.events(x.included(x.fact), made, took, flags, _LABELS)
+    keys = {"order_month": C("event.at.month"), "partner_id": C("partner_id"), "date": C("event.at.date"), "hour": C("event.at.hour")}
+    done = {f"{k}_completed_orders": count_if(C("is_completed") & (C("employment_type") == k)) for k in kinds}
+    riders = {f"{k}_accepted_riders": _there(~C("is_made") & (C("employment_type") == k), "rider_id") for k in kinds}
+    out = measured(
+        rows, keys, *_LABELS, *_COUNTS[1:], "valid_cancel_orders", total_orders=count_if(C("is_made")), accepted_riders=_there(~C("is_made"), "rider_id"), **done, **riders,
+    ).filter("total_orders > 0")
 
     def share(a: str, b: str, digits: int) -> Column:
         return F.coalesce(ratio_null(C(a), C(b), digits), F.lit(0.0))

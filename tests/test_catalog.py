@@ -55,7 +55,7 @@ def test_filters_reach_the_fact(spark, sf_dir):
 
 
 @pytest.mark.parametrize("name, scans, exchanges", [
-    ("e3a_admin_summary", 1, 2), ("e3e_ranking", 1, 2), ("e6_health", 1, 3), ("e10_hours", 1, 2), ("e18_cancel_daily", 1, 1), ("q3_partner_day", 1, 2), ("e11_rider_matrix", 4, 9),
+    ("e3a_admin_summary", 1, 2), ("e3e_ranking", 1, 2), ("e6_health", 1, 3), ("e10_hours", 1, 2), ("e18_cancel_daily", 1, 1), ("q3_partner_day", 1, 2), ("q9_direct_hour", 1, 2), ("b7_partner_hour", 3, 2), ("e11_rider_matrix", 4, 9),
 ])
 def test_plans_read_the_fact_once(spark, sf_dir, name, scans, exchanges):
     plan = plan_of(catalog.queries()[name](spark, sf_dir))
