@@ -1,3 +1,4 @@
+import os
 import shutil
 import subprocess
 import sys
@@ -18,6 +19,16 @@ def test_entry_works_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
 
+def test_the_rest_passes_without_the_corpus_operators(tmp_path):
+    """Tests of the rest run in a copy without the two folders and the pipeline."""
+    for name in ("ridgeline", "tests"):
+        shutil.copytree(ROOT / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    run = [sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_expressions.py", "tests/test_catalog.py", "-k", "region or entry or q3"]
+    done = subprocess.run(run, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0 and " passed" in done.stdout, done.stdout[-2000:]
+
+
 def test_only_the_entry_imports_the_corpus_operators():
     for path in (ROOT / "ridgeline").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT / "ridgeline").parts:
