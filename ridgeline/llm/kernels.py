@@ -171,10 +171,5 @@ def word_counts(texts: list[bytes]) -> np.ndarray:
     return Block(texts).counts
 
 
-def codepoints(data: np.ndarray) -> np.ndarray:
-    """Mask of the bytes that begin a code point."""
-    return (data & 0xC0) != 0x80
-
-
 def load(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

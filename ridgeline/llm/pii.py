@@ -480,9 +480,9 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     Spans are (kind, start, end), in code points with the end exclusive, by kind as
     in ``KINDS`` and then by start; a span of the field that touches one of the
-    patterns is dropped.  A missing or empty text has none.  Ids are passed on as
-    they are, repeated rows get equal spans, an empty table gives an empty result,
-    and other columns are not read.  No shuffle.
+    patterns is dropped.  A missing or empty text has none; texts of any length are read
+    whole.  Ids are passed on as they are, repeated rows get equal spans, an empty table
+    gives an empty result, and other columns are not read.  No shuffle.
     """
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(trained())
@@ -508,6 +508,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
     """``docs`` with each span of its text replaced by its kind in brackets; a missing text stays missing.
 
     Where spans of two kinds overlap, the earlier one is replaced, up to the end of the later.
+    Repeated rows are alike, columns of any name are passed on, and an empty table stays empty.
     ``length_col``, if the table has it, is set to the new number of code points.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained())
