@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,25 +88,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def publish(tables: dict[str, DataFrame], root: str) -> dict[str, int]:
     """Write all tables beside the published folder and swap them in whole; rows of each.
 
-    A failure while writing or swapping leaves the published folder as it was.
+    A failure while writing or swapping leaves the published folder as it was.  Any file system of Spark's will do.
     """
-    target = Path(root)
-    fresh, old = (target.with_name(f".{target.name}-{k}-{uuid.uuid4().hex[:8]}") for k in ("new", "old"))
+    spark = next(iter(tables.values())).sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    target = path(root.rstrip("/"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh, old = (path(target.getParent(), f".{target.getName()}-{k}-{uuid.uuid4().hex[:8]}") for k in ("new", "old"))
     rows = {}
     try:
         for name, df in tables.items():
             seen = Observation()
-            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "snappy").parquet(str(fresh / f"{name}.parquet"))
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "snappy").parquet(f"{fresh}/{name}.parquet")
             rows[name] = seen.get["rows"]
-        if target.exists():
-            target.rename(old)
-        try:
-            fresh.rename(target)
-        except OSError:
-            if old.exists():
-                old.rename(target)
-            raise
+        if fs.exists(target) and not fs.rename(target, old):
+            raise OSError(f"{root} cannot be moved")
+        if not fs.rename(fresh, target):
+            if fs.exists(old):
+                fs.rename(old, target)
+            raise OSError(f"{root} cannot be replaced")
     finally:
-        shutil.rmtree(fresh, ignore_errors=True)
-        shutil.rmtree(old, ignore_errors=True)
+        fs.delete(fresh, True)
+        fs.delete(old, True)
     return rows

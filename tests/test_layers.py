@@ -1,6 +1,7 @@
 """The fixture of two partners: 7 days, 13 hours, one completed and one cancelled order each hour."""
 
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,14 +91,14 @@ def test_import_again_skips(house, imported):
 def test_month_is_replaced(house, imported, spark):
     may = [",".join(HEADERS), *[",".join(x) for x in order_lines(5)]]
     raw = house.cfg.raw_root
-    (tables.Path(raw) / "orders_raw" / "2026-05.csv").write_text("\n".join(may), encoding="utf-8")
+    (Path(raw) / "orders_raw" / "2026-05.csv").write_text("\n".join(may), encoding="utf-8")
     assert house.run().months == ["2026-05"]
     assert {r[0]: r[1] for r in house.table("dwd_orders").groupBy("order_month").count().collect()} == {"2026-04": 182, "2026-05": 182}
     assert {r[0]: r[1] for r in house.table("ads_partner_day").groupBy("order_month").count().collect()} == {"2026-04": 14, "2026-05": 14}
 
 
 def test_bad_file_is_told(house, imported):
-    path = tables.Path(house.cfg.raw_root) / "riders" / "broken.xlsx"
+    path = Path(house.cfg.raw_root) / "riders" / "broken.xlsx"
     path.write_bytes(b"no workbook")
     result = house.run()
     path.unlink()
@@ -107,14 +108,14 @@ def test_bad_file_is_told(house, imported):
 def test_export_labels(house, imported, spark):
     day = spark.read.parquet(f"{house.cfg.export_root}/合伙人日汇总.parquet")
     assert {"合伙人ID", "日期", "完成率", "经营利润"} <= set(day.columns)
-    assert {p.name.removesuffix(".parquet") for p in tables.Path(house.cfg.export_root).iterdir()} == {label for label, _ in mart.TABLES.values()} | {"数据版本"}
+    assert {p.name.removesuffix(".parquet") for p in Path(house.cfg.export_root).iterdir()} == {label for label, _ in mart.TABLES.values()} | {"数据版本"}
 
 
 def test_failed_swap_keeps_the_old(house, imported, spark):
-    before = sorted(p.name for p in tables.Path(house.cfg.export_root).iterdir())
+    before = sorted(p.name for p in Path(house.cfg.export_root).iterdir())
     with pytest.raises(Exception):
         tables.publish({"x": spark.range(1).select(F.raise_error(F.lit("no")).alias("x"))}, house.cfg.export_root)
-    assert sorted(p.name for p in tables.Path(house.cfg.export_root).iterdir()) == before
+    assert sorted(p.name for p in Path(house.cfg.export_root).iterdir()) == before
 
 
 def test_outcome():
