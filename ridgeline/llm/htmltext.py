@@ -6,7 +6,8 @@ links weigh nothing.  Lengths are summed over a sliding window of lines; the tex
 begins where the sum surges and ends where it dives.  How much is a surge follows from
 the page's own windows, by number and by text.  At both ends, lines of small parts of
 their own are left, and short lines of the same part as the text beside them are taken.
-Where the page marks its article, what lies outside of it weighs a tenth.
+Where the page marks its article, what lies outside of it weighs a tenth, and is left out
+if the text found has lines of the article.
 """
 
 from __future__ import annotations
@@ -258,15 +259,16 @@ def main_text(html: str, limits: Limits = Limits()) -> str:
     def beside(x: _Line, y: _Line) -> bool:
         return x.part == y.part or x.main and y.main
 
-    while surge < dive and (small(found[surge]) or marked and not found[surge].main and found[surge + 1].main):
+    inside = any(x.main for x in found[surge : dive + 1])  # then what is not of the article is not of the text
+    while surge < dive and (not found[surge].main if inside else small(found[surge])):
         surge += 1
-    while dive > surge and (small(found[dive]) or marked and not found[dive].main and found[dive - 1].main):
+    while dive > surge and (not found[dive].main if inside else small(found[dive])):
         dive -= 1
     while surge > 0 and (beside(found[surge - 1], found[surge]) or found[surge - 1].heading and not marked):
         surge -= 1
     while dive + 1 < n and beside(found[dive + 1], found[dive]):
         dive += 1
-    return " ".join(x.text for x in found[surge : dive + 1])
+    return " ".join(x.text for x in found[surge : dive + 1] if x.main or not inside)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", limits: Limits = Limits()) -> DataFrame:

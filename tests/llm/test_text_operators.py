@@ -374,6 +374,17 @@ def test_short_lines_before_long_ones_stay():
         assert htmltext.main_text(page) == want
 
 
+def test_long_text_beside_an_article_is_left():
+    """Text without marks before and after an article, however long, is none of it; of two articles the distribution finds both or the large one."""
+    side = f"<div>{'s' * 300}</div><div>{'t' * 900}</div>"
+    body = "<h1>Title</h1><p>Short.</p>" + f"<p>{'a' * 200}</p>" * 4 + "<p>End.</p>"
+    want = " ".join(["Title", "Short.", *["a" * 200] * 4, "End."])
+    assert htmltext.main_text(f"{side}<article>{body}</article>{side}") == want
+    assert htmltext.main_text(f"{side}<main>{body}</main>{side}<div>x</div>") == want
+    far = "".join(f"<div>{'n' * 20}</div>" for _ in range(8))
+    assert htmltext.main_text(f"<article>{body}</article>{far}<article><p>Teaser</p></article>") == want
+
+
 def test_surge_and_dive_find_articles_without_marks(spark, sf_dir):
     """Pages without article tags and classes still give the article, most of them."""
     pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
