@@ -57,9 +57,9 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Words of a few documents, with a 64-bit hash each."""
+    """Words of a few documents, with a 64-bit hash each; ``outside`` tells the bytes that are of no word."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, outside: np.ndarray = _IS_SPACE):
         data = b" ".join(texts)
         self.data = ascii_lower(data) if lower else data
         self.bytes = np.frombuffer(self.data, dtype=np.uint8)
@@ -68,7 +68,7 @@ class Block:
         np.cumsum(lengths + 1, out=self.doc_start[1:])
         word = np.empty(len(self.data) + 2, dtype=bool)
         word[0] = word[-1] = False
-        np.logical_not(_IS_SPACE[self.bytes], out=word[1:-1])
+        np.logical_not(outside[self.bytes], out=word[1:-1])
         edges = np.flatnonzero(word[1:] != word[:-1])
         self.start, self.end = edges[0::2], edges[1::2]
         #: words of document i are offsets[i]:offsets[i + 1]
