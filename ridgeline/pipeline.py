@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
@@ -16,9 +18,11 @@ from ridgeline import config
 from ridgeline.config import Settings
 from ridgeline.operators import ads, dwd
 from ridgeline.plans import mart
-from ridgeline.sources import staging, tables
+from ridgeline.sources import raw, snapshots, staging, tables
 
 _REGISTRY = "kind string, path string, sha256 string, status string, error string, imported_at timestamp_ntz"
+#: Layers by month.
+MONTHLY = ("ods_orders", "dwd_orders", *[f"ads_{n}" for n in ads.TABLES])
 STAGES = ("preprocess", "stage", "merge", "build", "publish", "export")
 
 
@@ -56,20 +60,38 @@ def months_to_build(touched: set[str], known: set[str], rosters_changed: bool, m
 
 
 class Warehouse:
-    """Paths of the layers and control tables, and the run over them."""
+    """The layers and control tables, and the run over them.
+
+    A run sees its own writes; all others see them from its commit on, all at once.  Only the log of runs is written beside that.
+    """
 
     def __init__(self, spark: SparkSession, cfg: Settings):
         self.spark, self.cfg = spark, cfg
         self.root = cfg.table_root.rstrip("/")
+        self.snapshots = snapshots.Snapshots(spark, self.root)
+        self._run: snapshots.Run | None = None
+
+    @contextmanager
+    def writing(self, name: str) -> Iterator[snapshots.Run]:
+        """A run that is committed at the end, and leaves no trace for readers if it fails."""
+        self._run = self.snapshots.begin(name)
+        try:
+            yield self._run
+            self._run.commit()
+        finally:
+            self._run = None
+
+    def state(self) -> snapshots.State:
+        return self._run.state if self._run else self.snapshots.latest()[1]
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str) -> DataFrame:
-        return tables.read(self.spark, self.path(name))
+    def table(self, name: str, months: list[str] | None = None) -> DataFrame:
+        return self.snapshots.table(self.state(), name, months)
 
     def has(self, name: str) -> bool:
-        return tables.exists(self.spark, self.path(name))
+        return bool(self.snapshots.there(self.state(), name))
 
     def run(self, force: bool = False) -> Result:
         """Import what is new under the raw root: raw layer by month, rosters, fact, metrics, version, mart."""
@@ -83,18 +105,22 @@ class Warehouse:
 
         export_error = None
         try:
-            todo = self._preprocess(result, force)
-            mark("preprocess")
-            staged, rosters, log = self._stage(result, todo)
-            mark("stage")
-            touched = self._merge(staged, rosters)
-            mark("merge")
-            known = self._months("ods_orders")
-            result.months = months_to_build(touched | self._stale(known), known, bool(rosters), self._incomplete())
-            self.build(result.months, result.run_id)
-            self._register(log)  # a run that fails before this leaves its files to the next one
-            mark("build")
-            result.data_version = self._version(result.run_id)
+            with self.writing(result.run_id) as run:
+                todo = self._preprocess(result, force)
+                mark("preprocess")
+                staged, rosters, log = self._stage(result, todo, run)
+                mark("stage")
+                touched = self._merge(staged, rosters, run)
+                mark("merge")
+                known = self._months("ods_orders")
+                told = self._tell_again(run)
+                result.months = months_to_build(touched | self._stale(known), known, bool(rosters) or told, self._incomplete())
+                self.build(result.months, run, result.run_id)
+                if log:
+                    run.append("registry", self.spark.createDataFrame(log, _REGISTRY))  # a run that fails leaves its files to the next one
+                mark("build")
+                result.data_version = self._version(result.run_id, run)
+            self.snapshots.collect()
             mark("publish")
             try:
                 result.mart_rows = self.export()
@@ -110,67 +136,100 @@ class Warehouse:
         return result
 
     def _months(self, name: str) -> set[str]:
-        return {r[0] for r in self.table(name).select("order_month").distinct().collect()} if self.has(name) else set()
+        """Months of a layer whose folders are there."""
+        return set(self.snapshots.there(self.state(), name))
 
     def _incomplete(self) -> bool:
         """Whether a layer is missing, or holds nothing while the raw layer does."""
+        return self.has("ods_orders") and not all(self.has(n) for n in ("dwd_orders", "ads_admin_day", "ads_direct_hour"))
+
+    def _stale(self, known: set[str]) -> set[str]:
+        """Months of the raw layer that the fact lacks, or whose layers hold other rows than were written."""
+        return (known - self._months("dwd_orders")) | {month for layer, month in self.damaged() if layer != "ods_orders" and month in known}
+
+    def profile(self, layers: list[str], months: list[str] | None = None) -> DataFrame:
+        """``layer, month, rows, digest`` of layers by month: their rows, and a digest of their keys in any order."""
+        def of(layer: str) -> DataFrame:
+            key = {"ods_orders": "order_id", "dwd_orders": "order_id"}.get(layer, "metric_key")
+            rows = self.table(layer, months).groupBy(F.col("order_month").alias("month"))
+            return rows.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(key)).alias("digest")).select(F.lit(layer).alias("layer"), "month", "rows", "digest")
+
+        return staging.union_all([of(n) for n in layers])
+
+    def damaged(self) -> list[tuple[str, str]]:
+        """Layers and months that do not hold what their profile says was written."""
+        if not self.has("profiles"):
+            return []
+        layers = [n for n in MONTHLY if self.has(n)]
+        if not layers:
+            return []
+        now = self.profile(layers).alias("n")
+        then = tables.latest_by(self.table("profiles"), ["layer", "month"], F.desc("profiled_at")).alias("t")
+        odd = now.join(then, ["layer", "month"]).filter((F.col("n.rows") != F.col("t.rows")) | (F.col("n.digest") != F.col("t.digest")))
+        return [(r.layer, r.month) for r in odd.select("layer", "month").collect()]
+
+    def _tell_again(self, run: snapshots.Run) -> bool:
+        """Fill the raw layer's fields from the rows' payloads where a whole group of them is missing; whether it was."""
         if not self.has("ods_orders"):
             return False
-        return not all(self.has(n) and self._months(n) for n in ("dwd_orders", "ads_admin_day", "ads_direct_hour"))
+        raw = self.table("ods_orders")
 
-    def _stale(self, known: set[str]) -> set[str]:
-        """Months of the raw layer that the fact lacks."""
-        return known - self._months("dwd_orders")
+        def none(*fields: str) -> bool:
+            return raw.filter(" OR ".join(f"{f} IS NOT NULL" for f in fields)).isEmpty()
 
-    def _register(self, log: list[tuple]) -> None:
-        if log:
-            tables.append(self.spark.createDataFrame(log, _REGISTRY), self.path("registry"))
+        if "payload" not in raw.columns or not (none("order_source", "accept_time", "amount_paid", "employment_status") or none("rider_income", "partner_income")):
+            return False
+        found = staging.told_again(raw, staging.ORDER_FIELDS)
+        if found.filter(" OR ".join(f"{f} IS NOT NULL" for f in ("order_source", "accept_time", "amount_paid", "employment_status", "rider_income", "partner_income"))).isEmpty():
+            return False  # the files did not have them
+        run.replace_months("ods_orders", found)
+        return True
 
     def registry(self) -> DataFrame:
         """The latest entry of each file."""
         return tables.latest_by(self.table("registry"), ["kind", "path"], F.desc("imported_at"))
 
-    def _preprocess(self, result: Result, force: bool) -> list[tuple[str, str, str]]:
+    def _preprocess(self, result: Result, force: bool) -> list[tuple[str, str, str, int]]:
         found = staging.discover(self.cfg.raw_root)
         result.files = len(found)
         if not found:
             return []
-        prints = {r.path.removeprefix("file:"): r.sha256 for r in staging.fingerprints(self.spark, self.cfg.raw_root).collect()}
-        files = self.spark.createDataFrame([(k, p, prints[p]) for k, p in found], "kind string, path string, sha256 string")
+        prints = {r.path: r for r in raw.fingerprints(self.spark, [p for _, p in found]).collect()}
+        files = self.spark.createDataFrame([(k, p, prints[p].sha256, prints[p].size) for k, p in found], "kind string, path string, sha256 string, size long")
         if self.has("registry"):
             files = staging.pending(files, self.registry(), force)
-        todo = [(r.kind, r.path, r.sha256) for r in files.orderBy("kind", "path").collect()]
+        todo = [(r.kind, r.path, r.sha256, r.size) for r in files.orderBy("kind", "path").collect()]
         result.skipped = len(found) - len(todo)
         return todo
 
-    def _stage(self, result: Result, todo: list[tuple[str, str, str]]) -> tuple[DataFrame | None, dict[str, DataFrame], list[tuple]]:
-        orders, rosters, log = [], {}, []
+    def _stage(self, result: Result, todo: list[tuple[str, str, str, int]], run: snapshots.Run) -> tuple[DataFrame | None, dict[str, DataFrame], list[tuple]]:
+        """Orders and rosters of the files as rows of the raw layer, each kind by one plan, and the files' log."""
+        if not todo:
+            return None, {}, []
         now = datetime.now(UTC).replace(tzinfo=None)
-        for kind, path, sha in todo:
-            error = None
-            try:
-                df = staging.read_file(self.spark, path, self.path("staged_files"))
-                if kind == "orders":
-                    orders.append(staging.stage_orders(df, path).withColumn("imported_at", F.lit(now)))
-                else:
-                    rosters.setdefault(kind, []).append(staging.stage_roster(df, kind, path).withColumn("imported_at", F.lit(now)))
-            except Exception as e:  # noqa: BLE001  one bad file is recorded and the others go on
-                error, result.failed = str(e)[:500], result.failed + 1
-            log.append((kind, path, sha, "failed" if error else "success", error, now))
-        staged = staging.union_all(orders) if orders else None
-        if staged is not None:
-            tables.append(staging.abnormal(staged).withColumn("run_id", F.lit(result.run_id)), self.path("abnormal_orders"))
-        return staged, {k: staging.union_all(v) for k, v in rosters.items()}, log
-
-    def _merge(self, staged: DataFrame | None, rosters: dict[str, DataFrame]) -> set[str]:
+        run.replace("staged_pieces", raw.survey(self.spark, [(k, p, size) for k, p, _, size in todo]))
+        pieces = self.table("staged_pieces")
+        errors = {r.path: r.error for r in pieces.filter("error IS NOT NULL").select("path", "error").distinct().collect()}
+        log = [(kind, path, sha, "failed" if path in errors else "success", errors.get(path), now) for kind, path, sha, _ in todo]
+        result.failed = len(errors)
+        whole = {kind for kind, path, *_ in todo if path not in errors}
+
+        def rows(kind: str) -> DataFrame:
+            return raw.rows(pieces.filter(F.col("kind") == kind))
+
+        rosters = {k: staging.stage_roster(rows(k), k, F.col("path")).withColumn("imported_at", F.lit(now)) for k in staging.ROSTER_FIELDS if k in whole}
+        if "orders" not in whole:
+            return None, rosters, log
+        run.replace("staged_orders", staging.stage_orders(rows("orders"), F.col("path")).withColumn("imported_at", F.lit(now)))
+        staged = self.table("staged_orders")  # read once, whatever is asked of it
+        run.append("abnormal_orders", staging.abnormal(staged).withColumn("run_id", F.lit(result.run_id)))
+        return staged, rosters, log
+
+    def _merge(self, staged: DataFrame | None, rosters: dict[str, DataFrame], run: snapshots.Run) -> set[str]:
         for kind, df in rosters.items():  # the rows of all files stay, and the latest of an id counts
-            tables.append(df, self.path(f"ods_{kind}"))
-            staging.typed_roster(self.table(f"ods_{kind}"), kind).write.mode("overwrite").parquet(self.path(kind))
-        if staged is None:
-            return set()
-        rows = staging.accepted(staged)
-        tables.replace_months(rows, self.path("ods_orders"))
-        return {r[0] for r in rows.select("order_month").distinct().collect()}
+            run.append(f"ods_{kind}", df)
+            run.replace(kind, staging.typed_roster(self.table(f"ods_{kind}"), kind))
+        return set() if staged is None else set(run.replace_months("ods_orders", staging.accepted(staged)))
 
     def _roster(self, kind: str) -> DataFrame:
         if self.has(kind):
@@ -180,27 +239,35 @@ class Warehouse:
         schema = ", ".join(f"{n} {'date' if n.endswith('_date') else 'string'}" for n in (*fields, *extra))
         return self.spark.createDataFrame([], schema)
 
-    def build(self, months: list[str], batch_id: str = "") -> None:
+    def build(self, months: list[str], run: snapshots.Run, batch_id: str = "") -> None:
         """Rebuild fact and metric tables of some months."""
         if not months or not self.has("ods_orders"):
             return
-        raw = self.table("ods_orders").filter(F.col("order_month").isin(*months))
-        orders = tables.drop_partners(staging.typed_orders(raw), self.cfg.excluded_partners)
+        orders = tables.drop_partners(staging.typed_orders(self.table("ods_orders", months)), self.cfg.excluded_partners)
         rosters = {k: self._roster(k) for k in ("riders", "merchants", "partners")}
-        tables.replace_months(dwd.build(orders, cfg=self.cfg, **rosters), self.path("dwd_orders"))
-        fact = self.table("dwd_orders").filter(F.col("order_month").isin(*months))
+
+        def written(layer: str, df: DataFrame) -> None:
+            run.drop_months(layer, set(months))  # a month may have no rows any more
+            run.replace_months(layer, df)
+
+        written("dwd_orders", dwd.build(orders, cfg=self.cfg, **rosters))
+        fact = self.table("dwd_orders", months) if self._months("dwd_orders") & set(months) else None
+        if fact is None:
+            return
         for name, make in ads.TABLES.items():
             df = make(fact, rosters[ads.WITH_ROSTER[name]]) if name in ads.WITH_ROSTER else make(fact)
-            tables.replace_months(ads.keyed(name, df, batch_id), self.path(f"ads_{name}"))
+            written(f"ads_{name}", ads.keyed(name, df, batch_id))
+        now = datetime.now(UTC).replace(tzinfo=None)
+        held = [n for n in MONTHLY if self._months(n) & set(months)]
+        run.append("profiles", self.profile(held, months).withColumn("profiled_at", F.lit(now)))
 
-    def _version(self, run_id: str) -> str | None:
+    def _version(self, run_id: str, run: snapshots.Run) -> str | None:
         if not self.has("ads_partner_day"):
             return None
         now = datetime.now(UTC).replace(tzinfo=None)
-        month = self.table("ads_partner_day").agg(F.max("order_month")).first()[0]
+        month = max(self._months("ads_partner_day"))
         name = version_name(now, run_id)
-        row = [(name, run_id, month, now)]
-        tables.append(self.spark.createDataFrame(row, "data_version string, run_id string, latest_ready_month string, published_at timestamp_ntz"), self.path("versions"))
+        run.append("versions", self.spark.createDataFrame([(name, run_id, month, now)], "data_version string, run_id string, latest_ready_month string, published_at timestamp_ntz"))
         return name
 
     def _log(self, result: Result) -> None:
@@ -221,7 +288,7 @@ class Warehouse:
 
     def status(self) -> dict[str, DataFrame]:
         """The latest run's stages and the last fifty files."""
-        runs = self.table("runs")
+        runs = tables.read(self.spark, self.path("runs"))
         last = runs.agg(F.max_by("run_id", "logged_at").alias("run_id"))
         runs = runs.join(F.broadcast(last), "run_id").drop("logged_at")
         files = self.registry().orderBy(F.desc("imported_at"), "path").limit(50)
@@ -229,14 +296,20 @@ class Warehouse:
         return out | {"version": mart.version(self.table("versions"))} if self.has("versions") else out
 
     def rebuild(self) -> list[str]:
-        """Build the fact and the metrics of all months anew, with the names that the rosters have now."""
-        months = sorted(self._months("ods_orders"))
-        self.build(months)
+        """Build all from the raw layer anew: fields under the headers that count now, rosters, the fact and the metrics."""
+        with self.writing(uuid.uuid4().hex) as run:
+            for kind in staging.ROSTER_FIELDS:
+                if self.has(f"ods_{kind}"):
+                    run.replace(kind, staging.typed_roster(self.table(f"ods_{kind}"), kind))
+            months = sorted(self._months("ods_orders"))
+            if months:
+                run.replace_months("ods_orders", staging.told_again(self.table("ods_orders"), staging.ORDER_FIELDS))
+                self.build(months, run)
         return months
 
     def validate(self) -> DataFrame:
         """``layer, month, rows`` of the raw layer, the fact and each metric table."""
-        layers = [n for n in ("ods_orders", "dwd_orders", *[f"ads_{n}" for n in ads.TABLES]) if self.has(n)]
+        layers = [n for n in MONTHLY if self.has(n)]
         counts = [self.table(n).groupBy(F.col("order_month").alias("month")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("layer"), "month", "rows") for n in layers]
         return staging.union_all(counts).orderBy("layer", "month")
 

@@ -1,10 +1,7 @@
-"""Raw order and roster files: discovery, fingerprints, encodings, headers, and the logical fields behind their headers."""
+"""Raw order and roster files: discovery, and the logical fields behind their headers."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-import shutil
 from functools import reduce
 from pathlib import Path
 
@@ -12,24 +9,71 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import expressions as E
+from ridgeline.sources import raw
+from ridgeline.sources.raw import encoding_of, normal_header, normal_headers
+
+__all__ = ["encoding_of", "normal_header", "normal_headers"]
 
 SUFFIXES = (".xls", ".xlsx", ".csv")
 FOLDERS = {"orders": ("orders_raw", "orders"), "riders": ("riders",), "merchants": ("merchants",), "partners": ("partners",)}
-ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "latin1")
 
-# fixed values: the headers under which each logical field appears, in order of preference
+# fixed values: the headers under which each logical field appears, in order of preference; case does not count
 ORDER_FIELDS = {
-    "order_id": ("订单编号",), "partner_id": ("合伙人ID",), "partner_name": ("合伙人",), "merchant_id": ("商家ID",), "merchant_name": ("商家名称", "商户名称"),
-    "user_id": ("用户ID",), "rider_id": ("配送员ID", "骑手ID"), "rider_name": ("配送员", "骑手"), "employment_status": ("在职状态",), "order_status": ("订单状态",),
-    "customer_service_id": ("客服编号",), "order_source": ("下单来源",), "added_at": ("添加时间",), "pay_time": ("支付时间",), "accept_time": ("接单时间",),
-    "cancel_time": ("取消时间",), "complete_time": ("完成时间",), "order_price": ("订单价格",), "amount_payable": ("应付金额",), "amount_paid": ("实付金额",),
-    "hq_discount_amount": ("总部优惠金额",), "discount_amount": ("优惠金额",), "coupon_id": ("优惠券ID",), "marketing_coupon_id": ("营销优惠券ID",),
-    "rider_income": ("帮手收入", "骑手收入"), "partner_income": ("合伙人收入",), "hq_income": ("总部收入",), "maiyatian_income": ("麦芽田收入",), "insurance_fee": ("保险费",),
+    "order_id": ("订单编号",),
+    "partner_id": ("合伙人ID", "合伙人编号", "partner_id"),
+    "partner_name": ("合伙人", "合伙人名称", "合伙人公司名", "合伙人公司名称", "partner_name"),
+    "merchant_id": ("商家ID", "商户ID", "merchant_id"),
+    "merchant_name": ("商家", "商家名称", "商户名称", "merchant_name"),
+    "user_id": ("用户ID", "下单用户ID", "user_id"),
+    "rider_id": ("配送员ID", "帮手ID", "骑手ID", "rider_id"),
+    "rider_name": ("配送员", "配送员名称", "帮手姓名", "骑手姓名", "骑手", "rider_name"),
+    "employment_status": ("在职状态", "employment_status"),
+    "order_status": ("订单状态", "状态", "order_status"),
+    "customer_service_id": ("客服编号", "customer_service_id"),
+    "order_source": ("下单来源", "渠道来源", "order_source"),
+    "added_at": ("添加时间", "下单时间", "创建时间", "create_time", "added_at"),
+    "pay_time": ("支付时间", "pay_time"),
+    "accept_time": ("接单时间", "accept_time"),
+    "cancel_time": ("取消时间", "cancel_time"),
+    "complete_time": ("完成时间", "送达时间", "complete_time"),
+    "order_price": ("订单价格", "订单金额", "order_price"),
+    "amount_payable": ("应付金额", "amount_payable"),
+    "amount_paid": ("实付金额", "amount_paid"),
+    "hq_discount_amount": ("总部优惠金额", "总部优惠", "hq_discount_amount"),
+    "discount_amount": ("优惠金额", "discount_amount"),
+    "coupon_id": ("优惠券ID", "优惠劵ID", "coupon_id"),
+    "marketing_coupon_id": ("营销优惠券ID", "营销优惠劵ID", "marketing_coupon_id"),
+    "rider_income": ("帮手收入", "骑手收入", "rider_income"),
+    "partner_income": ("合伙人收入", "partner_income"),
+    "hq_income": ("总部收入", "hq_income"),
+    "maiyatian_income": ("麦芽田收入", "maiyatian_income", "myt_income"),
+    "insurance_fee": ("保险费", "insurance_fee"),
 }
 ROSTER_FIELDS = {
-    "riders": {"rider_id": ("帮手ID", "骑手ID"), "rider_name": ("帮手姓名", "骑手姓名"), "hire_date": ("入职时间",), "status": ("状态",), "partner_name": ("所属合伙人",), "region": ("区域", "所属区域")},
-    "merchants": {"merchant_id": ("商家ID",), "merchant_name": ("商家名称",), "shop_name": ("商户名称",), "partner_name": ("所属合伙人",), "region": ("所属区域", "区域"), "register_date": ("注册时间",), "status": ("状态",)},
-    "partners": {"partner_id": ("ID", "合伙人ID"), "partner_name": ("合伙人", "合伙人公司名"), "open_date": ("成立时间",), "region_raw": ("合伙人区域",), "status": ("状态",)},
+    "riders": {
+        "rider_id": ("帮手ID", "配送员ID", "骑手ID", "rider_id"),
+        "rider_name": ("帮手姓名", "配送员", "配送员名称", "骑手姓名", "rider_name"),
+        "hire_date": ("入职时间", "入职日期", "hire_date"),
+        "status": ("状态", "status"),
+        "partner_name": ("所属合伙人", "partner_name"),
+        "region": ("所属区域", "区域", "region"),
+    },
+    "merchants": {
+        "merchant_id": ("商家ID", "商户ID", "merchant_id"),
+        "merchant_name": ("商家", "商家名称", "merchant_name"),
+        "shop_name": ("商户名称", "shop_name"),
+        "partner_name": ("所属合伙人", "partner_name"),
+        "region": ("所属区域", "区域", "region"),
+        "register_date": ("注册时间", "注册日期", "register_date"),
+        "status": ("状态", "status"),
+    },
+    "partners": {
+        "partner_id": ("ID", "合伙人ID", "partner_id"),
+        "partner_name": ("合伙人", "合伙人名称", "合伙人公司名", "合伙人公司名称", "partner_name"),
+        "open_date": ("成立时间", "开城时间", "open_date"),
+        "region_raw": ("合伙人区域", "区域", "region_raw"),
+        "status": ("状态", "status"),
+    },
 }
 _IDS = ("order_id", "partner_id", "merchant_id", "user_id", "rider_id")
 _TIMES = ("added_at", "pay_time", "accept_time", "cancel_time", "complete_time")
@@ -48,12 +92,6 @@ def discover(root: str | Path) -> list[tuple[str, str]]:
     return out
 
 
-def fingerprints(spark: SparkSession, root: str) -> DataFrame:
-    """``path, sha256, size`` of all files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
-
-
 def pending(files: DataFrame, registry: DataFrame, force: bool = False) -> DataFrame:
     """The files whose content was not yet imported with success as that kind; all of them if forced."""
     if force:
@@ -61,98 +99,70 @@ def pending(files: DataFrame, registry: DataFrame, force: bool = False) -> DataF
     return files.join(registry.filter("status = 'success'").select("kind", "sha256"), ["kind", "sha256"], "left_anti")
 
 
-def encoding_of(head: bytes) -> str:
-    """The first encoding that reads the bytes; a character cut off at the end does not count against one."""
-    for name in ENCODINGS[:-1]:
-        for cut in range(4):
-            try:
-                head[: len(head) - cut].decode(name)
-                return "utf-8" if name == "utf-8-sig" else name
-            except UnicodeDecodeError:
-                continue
-    return ENCODINGS[-1]
-
-
-def normal_header(name: object) -> str:
-    text = "" if name is None else str(name).strip()
-    for wide, narrow in (("（", "("), ("）", ")"), ("：", ":")):
-        text = text.replace(wide, narrow)
-    return re.sub(r"\s+", "", text).lower().removeprefix("﻿") or "column"
-
-
-def normal_headers(names: list[object]) -> list[str]:
-    """Headers trimmed, narrowed and in lower case; repeated ones numbered from .1 on."""
-    out: list[str] = []
-    counts: dict[str, int] = {}
-    for name in map(normal_header, names):
-        n = counts.get(name, 0)
-        counts[name] = n + 1
-        out.append(f"{name}.{n}" if n else name)
-    return out
-
-
-def as_utf8(path: str, encoding: str, folder: str) -> str:
-    """A copy of a text file in UTF-8 in a staging folder, written piece by piece."""
-    target = Path(folder) / f"{hashlib.sha256(path.encode()).hexdigest()[:16]}-{Path(path).name}"
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with open(path, encoding=encoding, newline="") as source, open(target, "w", encoding="utf-8", newline="") as out:
-        shutil.copyfileobj(source, out, 1 << 20)
-    return str(target)
-
-
-def read_csv(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
-    """A CSV file with all columns as text, headers normalised, and its row numbers (the header is row 1).
-
-    Quoted values may hold line ends, so a file is one partition, and its rows are numbered as they are read.
-    Encodings that Spark does not read are staged in ``folder`` first.
-    """
-    with open(path.removeprefix("file:"), "rb") as f:
-        encoding = encoding_of(f.read(1 << 20))
-    if encoding not in ("utf-8", "latin1"):
-        path, encoding = as_utf8(path, encoding, folder or str(Path(path).parent / ".staged")), "utf-8"
-    encoding = "ISO-8859-1" if encoding == "latin1" else encoding
-    raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
-    named = raw.toDF(*normal_headers([c for c in raw.columns]))
-    return named.withColumn("source_row_number", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 2)
-
+def read_file(spark: SparkSession, path: str, step: int = raw.PIECE) -> DataFrame:
+    """One file with all columns as text, headers normalised, and its row numbers (the header is row 1)."""
+    size = raw.fingerprints(spark, [path]).first().size
+    pieces = raw.survey(spark, [("file", path, size)], step)
+    pieces = spark.createDataFrame(pieces.collect(), pieces.schema)  # those of one file
+    error = pieces.first().error
+    if error:
+        raise ValueError(error)
+    cells = raw.rows(pieces)
+    names = raw.headers(path, pieces.first())
+    return cells.select(*[F.try_element_at("cells", F.lit(n)).alias(n) for n in names], "source_row_number")
 
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """The sheet with most rows, then columns, of a workbook, all as text; needs pandas' reader for the format."""
-    import pandas as pd
 
-    sheets = pd.read_excel(path, sheet_name=None, dtype=str)
-    frame = max(sheets.values(), key=lambda x: x.shape)
-    frame.columns = normal_headers(list(frame.columns))
-    frame = frame.astype(object).where(frame.notna(), None)
-    frame["source_row_number"] = range(2, len(frame) + 2)
-    schema = ", ".join(f"`{c}` {'long' if c == 'source_row_number' else 'string'}" for c in frame.columns)
-    return spark.createDataFrame(frame, schema=schema)
+read_csv = read_file
 
 
-def read_file(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
-    return read_csv(spark, path, folder) if path.lower().endswith(".csv") else read_excel(spark, path)
+def of_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """The same rows with ``cells``, the columns' texts by name where they are not blank."""
+    pairs = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`").cast("string") for n in names]))
+    return df.withColumn("cells", F.map_filter(pairs, lambda _, v: E.blank_to_null(v).isNotNull()))
 
 
 def _logical(df: DataFrame, fields: dict[str, tuple[str, ...]], clean: bool = False) -> dict[str, Column]:
-    """Each field from the first of its headers that is filled, or with ``clean`` that still is when texts that stand for nothing are gone."""
+    """Each field from the first of its headers that is filled, or with ``clean`` that still is when texts that stand for nothing are gone.
+
+    Texts are looked for in ``cells`` if there are any, or in ``payload``, or in the columns.
+    """
     have = set(df.columns)
 
     def value(alias: str) -> Column:
-        c = F.col(f"`{normal_header(alias)}`")
+        name = normal_header(alias)
+        if "cells" in have:
+            c = F.try_element_at("cells", F.lit(name))
+        elif "payload" in have:
+            c = F.try_variant_get("payload", f"$['{name}']", "string")
+        else:
+            c = F.col(f"`{name}`")
         return E.clean_text(c) if clean else c
 
-    return {n: E.first_filled([value(a) for a in aliases if normal_header(a) in have]) for n, aliases in fields.items()}
+    return {n: E.first_filled([value(a) for a in aliases if normal_header(a) in have or have & {"cells", "payload"}]) for n, aliases in fields.items()}
+
+
+def _payload(df: DataFrame) -> list[Column]:
+    """The whole source row, for what is asked of it later."""
+    return [F.to_variant_object("cells").alias("payload")] if "cells" in df.columns else []
 
 
 def stage_orders(df: DataFrame, path: str | Column) -> DataFrame:
-    """Logical fields as text, with the file, its month and the row number: the raw layer's rows."""
+    """Logical fields as text, with the file, its month, the row number and the whole row: the raw layer's rows."""
     fields = _logical(df, ORDER_FIELDS)
     file = F.lit(path) if isinstance(path, str) else path
-    staged = df.select(*[c.alias(n) for n, c in fields.items()], file.alias("file"), "source_row_number")
+    staged = df.select(*[c.alias(n) for n, c in fields.items()], file.alias("file"), "source_row_number", *_payload(df))
     of_file = E.month_of_file(F.element_at(F.split("file", "/"), -1))
     return staged.withColumn("order_month", E.valid_month(F.coalesce(E.month(E.timestamp(F.col("added_at"))), of_file)))
 
 
+def told_again(rows: DataFrame, fields: dict[str, tuple[str, ...]], clean: bool = False) -> DataFrame:
+    """Raw rows whose missing fields are looked for in the payload, under the headers that count now; months stay."""
+    if "payload" not in rows.columns:
+        return rows
+    found = _logical(rows.select("payload"), fields, clean)
+    return rows.withColumns({n: F.coalesce(F.col(n), c) if n in rows.columns else c for n, c in found.items()})
+
+
 def accepted(staged: DataFrame) -> DataFrame:
     """Rows with an order id."""
     return staged.filter(E.blank_to_null(F.col("order_id")).isNotNull() & F.col("order_month").isNotNull())
@@ -172,17 +182,22 @@ def typed_orders(raw: DataFrame) -> DataFrame:
     }).withColumnRenamed("added_at", "create_time")
 
 
-def stage_roster(df: DataFrame, kind: str, path: str) -> DataFrame:
+def stage_roster(df: DataFrame, kind: str, path: str | Column) -> DataFrame:
     """Logical fields of a roster file as text, with the file and the row number: the raw layer's rows, those with an id."""
     fields = _logical(df, ROSTER_FIELDS[kind], clean=True)
-    return df.select(*[c.alias(n) for n, c in fields.items()], F.lit(path).alias("file"), "source_row_number").filter(F.col(f"{kind[:-1]}_id").isNotNull())
+    file = F.lit(path) if isinstance(path, str) else path
+    return df.select(*[c.alias(n) for n, c in fields.items()], file.alias("file"), "source_row_number", *_payload(df)).filter(F.col(f"{kind[:-1]}_id").isNotNull())
 
 
-def typed_roster(raw: DataFrame, kind: str) -> DataFrame:
-    """A roster from the raw rows of all files: ids normalised, dates parsed, partners' regions cut into levels; of an id the latest row."""
+def typed_roster(rows: DataFrame, kind: str) -> DataFrame:
+    """A roster from the raw rows of all files: ids normalised, dates parsed, partners' regions cut into levels; of an id the latest row.
+
+    A field that a row lacks is looked for in its payload, and a shop's name in the latest row of the merchant that has one.
+    """
     fields = ROSTER_FIELDS[kind]
     key = f"{kind[:-1]}_id"
-    out = raw.select(*fields, *[c for c in ("imported_at", "source_row_number", "file") if c in raw.columns])
+    rows = told_again(rows, fields, clean=True)
+    out = rows.select(*fields, *[c for c in ("imported_at", "source_row_number", "file") if c in rows.columns])
     out = out.withColumn(key, E.identifier(F.col(key)))
     for n in ("hire_date", "register_date", "open_date"):
         if n in fields:
@@ -190,7 +205,11 @@ def typed_roster(raw: DataFrame, kind: str) -> DataFrame:
     if kind == "partners":
         out = out.withColumn("r", E.region(F.col("region_raw"))).select("*", "r.province", "r.city", "r.district").drop("r")
     order = [c for c in ("imported_at", "source_row_number", "file") if c in out.columns]
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in order or [key]]))
+    latest = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in order or [key]])
+    if kind == "merchants":
+        known = F.first("shop_name", ignorenulls=True).over(latest.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        out = out.withColumn("shop_name", F.coalesce("shop_name", known))
+    rank = F.row_number().over(latest)
     return out.filter(F.col(key).isNotNull()).withColumn("__rank", rank).filter("__rank = 1").drop("__rank", *order)
 
 

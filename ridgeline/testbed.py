@@ -14,7 +14,7 @@ TABLES = ("orders", "supplier", "nation", "region")
 
 @dataclass(frozen=True)
 class Inputs:
-    orders: DataFrame
+    orders: DataFrame | None  # not kept where the fact is
     riders: DataFrame
     merchants: DataFrame
     partners: DataFrame
@@ -85,7 +85,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
         "imported_at": F.lit("2026-04-30 00:00:00").cast("timestamp_ntz"), "order_status": F.lit("配送中"),
         "complete_time": F.lit(None).cast("timestamp_ntz"), "cancel_time": F.lit(None).cast("timestamp_ntz"),
     })
-    ids = spark.range(503)
+    ids = table("orders").select(rider.alias("id")).distinct()
     riders = ids.select(
         _text(F.col("id")).alias("rider_id"), F.concat(F.lit("骑手"), _text(F.col("id"))).alias("rider_name"), _day(F.col("id")).alias("hire_date"),
         F.lit("在职").alias("status"), F.lit(None).cast("string").alias("partner_name"), F.lit(None).cast("string").alias("region"),
@@ -108,7 +108,7 @@ SQL = """
 places AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
 rider_roster AS (
   SELECT CAST(i AS VARCHAR) AS rider_id, '骑手' || i AS rider_name, DATE '2026-01-01' + CAST(i * 47 % 120 AS INTEGER) AS hire_date,
-         '在职' AS status, CAST(NULL AS VARCHAR) AS partner_name, CAST(NULL AS VARCHAR) AS region FROM range(503) t(i)),
+         '在职' AS status, CAST(NULL AS VARCHAR) AS partner_name, CAST(NULL AS VARCHAR) AS region FROM (SELECT DISTINCT o_orderkey % 503 AS i FROM orders)),
 merchant_roster AS (
   SELECT CAST(s_suppkey AS VARCHAR) AS merchant_id, s_name AS merchant_name, '店' || s_suppkey AS shop_name, n_name AS partner_name,
          r_name AS region, DATE '2026-01-01' + CAST(s_suppkey * 47 % 120 AS INTEGER) AS register_date, '营业' AS status
