@@ -109,17 +109,42 @@ def feature(payload: bytes) -> str:
 # ---------------------------------------------------------------- archives
 
 
-def member(name: str, data: bytes) -> bytes:
-    """A tar member without its last fill byte, which the writer adds as the end of a line."""
-    raw = name.encode()
-    if len(raw) > 100:
-        raise ValueError(f"member name of over 100 bytes: {name!r}")
+def _head(name: bytes, size: int, kind: bytes) -> bytes:
     head = struct.pack(
-        "100s8s8s8s12s12s8s1s100s8s247s", raw, b"0000644\0", b"0000000\0", b"0000000\0", b"%011o\0" % len(data), b"%011o\0" % 0,
-        b" " * 8, b"0", b"", b"ustar\x0000", b"",
+        "100s8s8s8s12s12s8s1s100s8s247s", name, b"0000644\0", b"0000000\0", b"0000000\0", b"%011o\0" % size, b"%011o\0" % 0,
+        b" " * 8, kind, b"", b"ustar\x0000", b"",
     )
-    head = head[:148] + b"%06o\0 " % sum(head) + head[156:]
-    return head + data + bytes(-len(data) % _RECORD - 1)
+    return head[:148] + b"%06o\0 " % sum(head) + head[156:]
+
+
+def member(name: str, data: bytes) -> bytes:
+    """A tar member without its last fill byte, which the writer adds as the end of a line.
+
+    A name that its header does not hold is kept by an extended header before that, and the
+    member's own name tells how long this is, so that it is found from the member.
+    """
+    raw, before = name.encode(), b""
+    if len(raw) > 100 or b"\0" in raw:
+        record = b" path=" + raw + b"\n"
+        size = len(record) + 1
+        while size != len(b"%d" % size) + len(record):
+            size += 1
+        record = b"%d" % size + record
+        before = _head(b"extended", size, b"x") + record + bytes(-size % _RECORD)
+        raw = b"#%d-%s.png" % (size, hashlib.sha256(raw).hexdigest().encode())
+    return before + _head(raw, len(data), b"0") + data + bytes(-len(data) % _RECORD - 1)
+
+
+def _name_of(id_text: str | None) -> str:
+    """A member's name; ids that begin like another's sign get one of their own."""
+    if id_text is None:
+        return "-.png"
+    return f"{'=' if id_text[:1] in ('-', '=', '#') else ''}{id_text}.png"
+
+
+def _id_of(name: str) -> str | None:
+    text = name.removesuffix(".png")
+    return None if text == "-" else text[1:] if text[:1] == "=" else text
 
 
 def parse_header(head: bytes) -> tuple[str, int] | None:
@@ -139,16 +164,16 @@ def parse_header(head: bytes) -> tuple[str, int] | None:
 def store(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write each row's text as a member ``<id>.png`` of the archives in the folder ``path``.
 
-    A missing text is an empty one, a missing id is ``-``.  Repeated rows are stored
+    A missing text is an empty one, a missing id's member is ``-``; ids may be of any length.  Repeated rows are stored
     as often, texts of any length whole.  An empty table makes a folder without members.
     """
-    picked = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("id"), utf8(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).cast("string").alias("id"), utf8(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_blocks(batch.column("text")):
                 names = batch.column("id").slice(a, b - a).to_pylist()
-                out = [member(f"{name}.png", to_png(pad(text))) for name, text in zip(names, texts, strict=True)]
+                out = [member(_name_of(name), to_png(pad(text))) for name, text in zip(names, texts, strict=True)]
                 yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
         release()
 
@@ -227,8 +252,12 @@ class ArchiveReader(DataSourceReader):
         while at is not None and at < part.end:
             head = blocks.at(at, _RECORD)
             found = parse_header(head) or self._header(part.uri, at)
-            if found is not None:
+            if found is not None and head[156:157] == b"x":
+                at += _RECORD + -(-found[1] // _RECORD) * _RECORD  # of the member behind it
+            elif found is not None:
                 name, size = found
+                if name[:1] == "#":
+                    name = self._long_name(part.uri, at, name)
                 yield name, archive, at, self._media(part.uri, at, size, blocks.at(at + _RECORD, size))
                 at += _RECORD + -(-size // _RECORD) * _RECORD
             elif not any(head) and len(head) == _RECORD:
@@ -248,6 +277,21 @@ class ArchiveReader(DataSourceReader):
                 return found
         return None
 
+    def _long_name(self, uri: str, at: int, name: str) -> str:
+        """The name that the extended header before a member keeps."""
+        size = int(name[1:].partition("-")[0])
+        room = -(-size // _RECORD) * _RECORD
+        for i in range(self.tries):
+            record = self._bytes(uri, at - room, size)
+            raw = record.partition(b"=")[2][:-1]
+            if hashlib.sha256(raw).hexdigest() == name.partition("-")[2].removesuffix(".png"):
+                return raw.decode()
+            _handles.pop(uri, None)
+            time.sleep(0.1 * 2**i)
+        if self.on_error == "null":
+            return name
+        raise ValueError(f"{uri} at {at}: damaged extended header")
+
     def _next(self, part: Range, start: int) -> int | None:
         """The first member at or after a place of the range: a valid header with an image behind it."""
         step = 1 << 20
@@ -323,7 +367,7 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def described(members: DataFrame) -> DataFrame:
-    """``id`` (as text; null for ``-``) of each member, and sizes, digests and the feature of what is stored.
+    """``id`` (as text; null for that of a missing one) of each member, and sizes, digests and the feature of what is stored.
 
     Where the media is missing, so is all but the id; repeated members are alike, and no members give no rows.
     """
@@ -334,12 +378,12 @@ def described(members: DataFrame) -> DataFrame:
             column = batch.column("media")
             for i, name in enumerate(batch.column("member").to_pylist()):
                 if not column[i].is_valid:
-                    rows.append((name and name.removesuffix(".png"), *[None] * 7))
+                    rows.append((name and _id_of(name), *[None] * 7))
                     continue
                 media = column[i].as_py()
                 payload = from_png(media)
                 rows.append((
-                    name.removesuffix(".png"), len(payload.rstrip(bytes([FILL]))), len(payload), hashlib.sha256(payload).hexdigest(),
+                    _id_of(name), len(payload.rstrip(bytes([FILL]))), len(payload), hashlib.sha256(payload).hexdigest(),
                     zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload),
                 ))
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -348,7 +392,7 @@ def described(members: DataFrame) -> DataFrame:
     out = members.select("member", "media").mapInArrow(
         run, "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
-    return out.withColumn("id", F.nullif("id", F.lit("-")))
+    return out
 
 
 _DESCRIBED = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.shared import checkpointed
+from ridgeline.llm.shared import checkpointed, fresh
 
 BINS = 4096
 #: A plan of at most this many sources is broadcast to the rows; a larger one is joined by shuffle.
@@ -221,10 +221,11 @@ def mix(
     """
     _, plan, plans, few = copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, weight_col=weight_col, seed=seed, **options)
     plan = plan.join(plans.select(F.col("s").alias("t"), "cut"), F.col("s").eqNullSafe(F.col("t"))).select("s", "o", F.struct("due", "cut").alias("p"))
-    plan = plan.select(*[F.col(c).alias(f"__mix_{c}") for c in ("s", "o", "p")])
-    rows = docs.withColumn("__mix_own", _own(word_count(F.col(text_col)), F.col(weight_col) if weight_col else None))
-    on = F.col(source_col).cast("string").eqNullSafe(F.col("__mix_s")) & (F.col("__mix_own") == F.col("__mix_o"))
+    s, o, p, own, copy = fresh(docs.columns, "mix_source", "mix_weight", "mix_plan", "mix_own", "mix_copy")
+    plan = plan.select(F.col("s").alias(s), F.col("o").alias(o), F.col("p").alias(p))
+    rows = docs.withColumn(own, _own(word_count(F.col(text_col)), F.col(weight_col) if weight_col else None))
+    on = F.col(source_col).cast("string").eqNullSafe(F.col(s)) & (F.col(own) == F.col(o))
     rows = rows.join(F.broadcast(plan) if few else plan, on, "left")
-    whole, q = _rank(uniform(F.col(id_col), seed), F.col("__mix_p.due"))
-    n = whole + F.coalesce((q <= F.col("__mix_p.cut")).cast("int"), F.lit(0))
-    return rows.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), n))).drop("__mix_s", "__mix_o", "__mix_p", "__mix_own", "__mix_copy")
+    whole, q = _rank(uniform(F.col(id_col), seed), F.col(f"{p}.due"))
+    n = whole + F.coalesce((q <= F.col(f"{p}.cut")).cast("int"), F.lit(0))
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), n))).drop(s, o, p, own, copy)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.kernels import Block, mix64, release, shingles, text_blocks, utf8
-from ridgeline.llm.shared import Tables
+from ridgeline.llm.shared import Tables, fresh
 
 _BLOCK = 500_000
 #: Tables of numbers (up to 80 bytes a row) are broadcast if they have at most this many rows; else they are joined by shuffle.
@@ -405,11 +405,12 @@ def unique(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     tables = Tables(docs.sparkSession, "unique")
     decided = tables.keep("decided", _decided(docs, id_col, text_col, s))
     gone = tables.keep("gone", decided.filter(~F.col("kept")).select("id", "text_hash").distinct())
-    gone = _maybe_broadcast(gone.select(F.col("id").alias("__gone"), F.col("text_hash").alias("__hash")), BROADCAST_IDS)
-    known = docs.join(gone, (F.xxhash64(utf8(text_col)) == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    twice = decided.filter("kept AND id IS NOT NULL").groupBy("id").count().filter("count > 1").select(F.col("id").alias("__twice"))
+    own_id, own_hash, again_id = fresh(docs.columns, "gone_id", "gone_hash", "twice_id")
+    gone = _maybe_broadcast(gone.select(F.col("id").alias(own_id), F.col("text_hash").alias(own_hash)), BROADCAST_IDS)
+    known = docs.join(gone, (F.xxhash64(utf8(text_col)) == F.col(own_hash)) & F.col(id_col).eqNullSafe(F.col(own_id)), "left_anti")
+    twice = decided.filter("kept AND id IS NOT NULL").groupBy("id").count().filter("count > 1").select(F.col("id").alias(again_id))
     twice = tables.keep("twice", twice)
     if twice.limit(1).count():
-        again = known.join(twice, F.col(id_col) == F.col("__twice"), "left_semi").dropDuplicates([id_col])
-        return known.join(twice, F.col(id_col) == F.col("__twice"), "left_anti").unionByName(again)
+        again = known.join(twice, F.col(id_col) == F.col(again_id), "left_semi").dropDuplicates([id_col])
+        return known.join(twice, F.col(id_col) == F.col(again_id), "left_anti").unionByName(again)
     return known

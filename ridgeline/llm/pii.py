@@ -322,6 +322,10 @@ def trained(iterations: int = 120, rate: float = 0.15, ridge: float = 0.002) ->
                     where.append(i * t + j)
                     what.append(names[x])
     where, what = np.array(where), np.array(what)
+    # sums by place and by feature are those of runs of equal numbers in sorted order
+    by_what = np.argsort(what, kind="stable")
+    at_place, places = np.unique(where, return_index=True)
+    at_feature, runs = np.unique(what[by_what], return_index=True)
     mask = np.arange(t)[None] < length[:, None]
     weights, steps = np.zeros((len(names), k)), np.zeros((k, k))
     banned = _allowed()
@@ -333,30 +337,30 @@ def trained(iterations: int = 120, rate: float = 0.15, ridge: float = 0.002) ->
     one = np.zeros((n * t, k))
     one[np.flatnonzero(mask.ravel()), gold.ravel()[mask.ravel()]] = 1
 
-    def logsum(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
     for it in range(1, iterations + 1):
         e = np.zeros((n * t, k))
-        np.add.at(e, where, weights[what])
+        e[at_place] = np.add.reduceat(weights[what], places)
         e = e.reshape(n, t, k)
-        move = steps + banned
-        alpha, beta = np.zeros((n, t, k)), np.zeros((n, t, k))
-        alpha[:, 0] = e[:, 0] + _START
-        for j in range(1, t):
-            alpha[:, j] = np.where(mask[:, j, None], logsum(alpha[:, j - 1, :, None] + move[None], 1) + e[:, j], alpha[:, j - 1])
+        up, move = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(steps + banned)
+        # sums over all paths up to a word and from it on, each step brought to sum 1
+        ahead, behind, scale = np.empty((n, t, k)), np.ones((n, t, k)), np.ones((n, t, 1))
+        for j in range(t):
+            ahead[:, j] = (ahead[:, j - 1] @ move if j else np.exp(_START)) * up[:, j]
+            scale[:, j] = ahead[:, j].sum(axis=1, keepdims=True)
+            ahead[:, j] /= scale[:, j]
+            if j:
+                off = ~mask[:, j]
+                ahead[off, j], scale[off, j] = ahead[off, j - 1], 1
         for j in range(t - 2, -1, -1):
-            beta[:, j] = np.where(mask[:, j + 1, None], logsum(move[None] + (e[:, j + 1] + beta[:, j + 1])[:, None, :], 2), 0)
-        z = logsum(alpha[:, -1], 1)
-        expected = np.exp(np.minimum(0, alpha + beta - z[:, None, None])) * mask[..., None]
-        expected_steps = np.zeros((k, k))
-        for j in range(1, t):
-            p = alpha[:, j - 1, :, None] + move[None] + (e[:, j] + beta[:, j])[:, None, :] - z[:, None, None]
-            expected_steps += (np.exp(np.minimum(0, p)) * mask[:, j, None, None]).sum(axis=0)
+            on = mask[:, j + 1]
+            behind[on, j] = (up[on, j + 1] * behind[on, j + 1] / scale[on, j + 1]) @ move.T
+        expected = ahead * behind * mask[..., None]
+        on = mask[:, 1:, None]
+        pairs = np.einsum("ntk,ntl->kl", ahead[:, :-1], up[:, 1:] * behind[:, 1:] / scale[:, 1:] * on, optimize=True)
+        expected_steps = pairs * move
         diff = one - expected.reshape(n * t, k)
         slope = np.zeros_like(weights)
-        np.add.at(slope, what, diff[where])
+        slope[at_feature] = np.add.reduceat(diff[where[by_what]], runs)
         for x, g, m, v in ((weights, slope / n - ridge * weights, moment[0], moment[1]), (steps, (gold_steps - expected_steps) / n - ridge * steps, moment[2], moment[3])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)

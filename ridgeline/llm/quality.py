@@ -36,16 +36,27 @@ class Bands:
     of its chunks outside is rejected.
     """
 
+    # the greatest ratios lie a little above those of natural text, which fall as texts get longer
     whole: tuple[tuple[float, float, float], ...] = (
-        (256, 0.30, 1.20),
-        (512, 0.30, 0.82),
-        (1024, 0.30, 0.75),
-        (4096, 0.26, 0.70),
-        (16384, 0.23, 0.65),
-        (float("inf"), 0.20, 0.65),
+        (256, 0.36, 1.20),
+        (512, 0.36, 0.82),
+        (768, 0.36, 0.74),
+        (1024, 0.36, 0.69),
+        (1536, 0.34, 0.64),
+        (2048, 0.34, 0.60),
+        (2560, 0.32, 0.57),
+        (2816, 0.32, 0.54),
+        (3072, 0.32, 0.526),
+        (4096, 0.32, 0.524),
+        (6144, 0.29, 0.515),
+        (8192, 0.29, 0.495),
+        (12288, 0.29, 0.48),
+        (16384, 0.29, 0.47),
+        (32768, 0.27, 0.455),
+        (float("inf"), 0.27, 0.45),
     )
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (0.22, 0.65)
+    chunk: tuple[float, float] = (0.30, 0.527)
     max_out: float = 0.25
     level: int = 3
     min_words: int = 50

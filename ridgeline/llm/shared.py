@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ridgeline.sources.tables import work_dir
 
@@ -44,6 +45,27 @@ class Tables:
         self.drop(*[n for n in self.paths if n not in names])
 
 
+#: Tables of numbers (up to 80 bytes a row) are broadcast if they have at most this many rows; else they are joined by shuffle.
+BROADCAST_ROWS = 250_000
+
+
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names like these that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)

@@ -22,10 +22,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.kernels import mix64, release, text_blocks, utf8
+from ridgeline.llm.shared import Tables, maybe_broadcast
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _PART = re.compile(" *[^ \n▁]+| +|\n|▁")
@@ -283,33 +284,51 @@ def pieces(path: str = MODEL) -> Pieces:
     return Pieces(path)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows (key and others) with ``copy``, their number among the rows of one key from 0 on.
+
+    The rows are written once with a place each, and only places and keys of keys that occur more
+    than once are numbered: within a stretch of places, and the stretches by their sizes, so that
+    no key is one task's, however many rows it has.
+    """
+    tables = Tables(rows.sparkSession, "copies")
+    placed = tables.keep("placed", rows.withColumn("place", F.monotonically_increasing_id()))
+    narrow = placed.select("key", "place", F.shiftright("place", 16).alias("stretch"))
+    often = tables.keep("often", narrow.groupBy("key").count().filter("count > 1").select("key"))
+    own = narrow.join(maybe_broadcast(often), "key", "left_semi")
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    starts = own.groupBy("key", "stretch").agg(F.count(F.lit(1)).alias("n")).select("key", "stretch", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("key", "stretch").orderBy("place")) - 1
+    numbers = own.select("key", "stretch", "place", within.alias("within")).join(starts, ["key", "stretch"])
+    numbers = tables.keep("numbers", numbers.select("place", (F.col("before") + F.col("within")).alias("copy")).filter("copy > 0"))
+    return placed.join(maybe_broadcast(numbers), "place", "left").drop("place").withColumn("copy", F.coalesce("copy", F.lit(0)).cast("long"))
+
+
 def encode(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, copies: bool = False
 ) -> DataFrame:
     """``id, ids`` for each row: the ids of its text's pieces.
 
     Dropout is keyed on seed, id and the place in the text, so a repeated word and copies
-    with different ids are cut differently, and repeated rows alike.  With ``copies``, rows with
-    the same id that follow each other are numbered, and each is cut on its own.
+    with different ids are cut differently, and repeated rows alike.  With ``copies``, rows of
+    the same id are numbered, wherever they are, and each is cut on its own; so rows of equal id and text
+    have the same cuts, as a whole, however the table is split.
     ``dropout`` 0 gives the model's own pieces.  A missing or
     empty text has no ids; missing ids are passed on; an empty table gives an empty
     result; other columns are not read; texts of any length are cut whole.  ``model`` is read by the driver.
     """
     key = F.xxhash64(F.col(id_col), F.lit(seed))
-    picked = docs.select(F.col(id_col).alias("id"), key.alias("key"), utf8(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).alias("id"), key.alias("key"), utf8(text_col).alias("text"), F.lit(0).cast("long").alias("copy"))
+    if copies:
+        picked = numbered(picked.drop("copy"))
     shared = docs.sparkSession.sparkContext.broadcast(pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        last, number = None, 0
         for batch in batches:
             keys = batch.column("key").to_numpy()
             if copies:
-                numbers = []
-                for k in keys.tolist():
-                    last, number = k, number + 1 if k == last else 0
-                    numbers.append(number)
-                keys = mix64(keys.view(np.uint64) + np.array(numbers, dtype=np.uint64)).view(np.int64)
+                keys = mix64(keys.view(np.uint64) + batch.column("copy").to_numpy().view(np.uint64)).view(np.int64)
             for a, b, texts in text_blocks(batch.column("text"), _BLOCK):
                 packed = own.encode_all([x.decode("utf-8", "surrogateescape") for x in texts], dropout, keys[a:b])
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)

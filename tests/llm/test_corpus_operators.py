@@ -86,6 +86,13 @@ def test_near_duplicates_of_odd_rows(docs, odd):
     assert neardup.linked(docs([])).count() == 0
 
 
+def test_unique_and_mix_pass_on_columns_of_any_name(docs, prose, odd):
+    names = ("gone_id", "GONE_HASH", "twice_id", "__gone", "__hash", "mix_own", "__mix_own", "mix_copy", "mix_plan_")
+    df = docs([*odd, (50, prose(90, 1)), (51, prose(90, 1))]).withColumns({n: F.lit(n) for n in names})
+    for out in (neardup.unique(df), mixing.mix(df)):
+        assert out.columns == df.columns and all(r[n] == n for r in out.collect() for n in names)
+
+
 def test_unique_keeps_one_of_each(docs, prose, odd):
     df = docs([*odd, (50, prose(90, 1)), (51, prose(90, 1) + "\n"), (52, prose(90, 2))])
     kept = neardup.unique(df)

@@ -688,3 +688,52 @@ def test_scores_are_kneser_ney_by_brute_force(docs, spark, prose):
     fitted = toxicity.fit(docs_, lab)
     assert len({r.score for r in toxicity.score(clash(long), fitted).collect() if r.id == 1}) == 1
     assert toxicity.score(long.limit(0), fitted).count() == 0 and toxicity.fit(docs_.limit(0), lab).offset is not None
+
+
+def test_ids_of_any_length_and_sign(spark):
+    ids = ["-", "=", "=-", "#1-x", "", None, "a" * 96, "a" * 97, "日本" * 400, "nul\x00in", "plain"]
+    rows = [(i, f"text {n} " * (n + 1)) for n, i in enumerate(ids)]
+    got = {r.id: r.n_bytes for r in media.round_trip(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {i: len(t) for i, t in rows}
+
+
+def test_long_names_over_ranges(spark, tmp_path):
+    """A range that begins between a member and its extended header finds the name."""
+    rows = [(f"{i}-" + "n" * 900, "x" * 40 * i) for i in range(40)]
+    media.store(spark.createDataFrame(rows, "doc_id string, text string").coalesce(1), str(tmp_path / "m"))
+    for size in (512, 1024, 1536, 1 << 20):
+        found = media.read(spark, str(tmp_path / "m"), rangeBytes=str(size), blockBytes="2048")
+        assert sorted(r.id for r in media.described(found).collect()) == sorted(i for i, _ in rows)
+
+
+def test_copies_are_cut_alike_however_a_table_is_split(docs, prose):
+    rows = [(1, prose(80, 1))] * 4 + [(i, prose(80, i)) for i in range(2, 30)] + [(3, prose(80, 3))] + [(None, prose(20, 5))] * 3
+    cuts = []
+    for n in (1, 2, 4, 7):
+        df = docs(rows).repartition(n) if n > 1 else docs(rows).coalesce(1)
+        cuts.append(sorted((r.id if r.id is not None else -1, r.ids) for r in spm.encode(df, copies=True).collect()))
+    assert cuts[0] == cuts[1] == cuts[2] == cuts[3]
+    assert len({tuple(ids) for i, ids in cuts[0] if i == 1}) == 4 and len({tuple(ids) for i, ids in cuts[0] if i == 3}) == 2
+
+
+def test_copies_are_numbered_by_stretches(spark):
+    rows = spark.range(200_000, numPartitions=3).select((F.col("id") % 2).alias("key"), "id")
+    got = spm.numbered(rows).groupBy("key").agg(F.count_distinct("copy").alias("d"), F.min("copy").alias("a"), F.max("copy").alias("z")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 100_000, 0, 99_999), (1, 100_000, 0, 99_999)]
+
+
+@pytest.mark.parametrize("size", [3000, 12_000, 60_000])
+def test_junk_is_told_by_its_ratio(docs, size):
+    """Random letters, hex and base64 of any length, and digits where texts are long: at 3 KB digits compress like prose."""
+    r = random.Random(size)
+
+    def junk(signs):
+        words = []
+        while sum(map(len, words)) + len(words) < size:
+            words.append("".join(r.choice(signs) for _ in range(r.randint(3, 10))))
+        return " ".join(words)[:size]
+
+    encoded = " ".join(base64.b64encode(r.randbytes(45)).decode() for _ in range(size // 61 + 1))[:size]
+    rows = [(1, junk("abcdefghijklmnopqrstuvwxyz")), (2, junk("0123456789abcdef")), (3, encoded), (4, junk("0123456789"))]
+    got = {x.id: (x.base_failed, x.kept) for x in quality.score(docs(rows)).collect()}
+    assert got == {1: (False, False), 2: (False, False), 3: (False, False), 4: (False, size == 3000)}
