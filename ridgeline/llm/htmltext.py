@@ -1,20 +1,22 @@
 """Main text of web pages by the distribution of text over lines.
 
 A page is cut into lines at block elements.  Lines in parts of the page that are
-never main text (menus, footers, adverts, forms, ...) and lines that are mostly
-links weigh nothing.  Lengths are summed over a sliding window of lines; the text
+never main text (menus, footers, forms, what is hidden, ...) and lines that are mostly
+links weigh nothing.  So do parts whose class or id names them an advert, a sidebar,
+comments and so on, unless they hold most of the page's text: then the name tells of
+something else, and the parts within are looked at.  Lengths are summed over a sliding window of lines; the text
 begins where the sum surges and ends where it dives.  How much is a surge follows from
 the page's own windows, by number and by text.  At both ends, lines of small parts of
 their own are left, and short lines of the same part as the text beside them are taken.
 Where the page marks its article, what lies outside of it weighs a tenth, and is left out
-if the text found has lines of the article.
+if the text found has lines of the article.  A line that is mostly a link stays where it stands alone between lines of the text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html import unescape
 from itertools import accumulate
 from math import sqrt
@@ -56,17 +58,24 @@ _BOILERPLATE = frozenset(
 #: ``no-sidebar`` and the like say something of a part, not what it is.
 _NOT_ITSELF = re.compile(r"\b(?:no|has|with|without|hide|show|is|not)[-_][a-z]+")
 _HEADER = frozenset(("header", "masthead", "topbar"))
+#: Words of class and id that tell of main text: beside them no other word is sure.
+_TEXTUAL = frozenset("article content entry main post story text body page wrapper layout".split())
+_NO, _PERHAPS, _LIKELY, _SURE = range(4)
 
 
 @dataclass(frozen=True)
 class Limits:
     """``window`` lines are summed; a surge needs ``surge`` of the level of the page's sums; a line with over ``link_share`` of
-    its text in links weighs nothing; with a marked article, text outside of it weighs ``outside`` of its length."""
+    its text in links weighs nothing; with a marked article, text outside of it weighs ``outside`` of its length; a part that
+    is named as no main text is heard if it holds over ``most`` of the page's text and a heading or article, or, if the name
+    is not the whole of a class, over ``nearly_all`` of the text."""
 
     window: int = 3
     surge: float = 0.25
     link_share: float = 0.5
     outside: float = 0.1
+    most: float = 0.5
+    nearly_all: float = 0.8
 
 
 @dataclass
@@ -77,44 +86,56 @@ class _Line:
     main: bool
     part: int  # number of the innermost element that holds lines together
     heading: bool
+    suspect: int = -1  # number of the innermost part that is named as no main text
 
 
-def _marks(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element is a part that is never main text."""
+def _marks(tag: str, attributes: str, in_main: bool) -> int:
+    """How sure it is that an element is a part that is no main text."""
     if tag in _NEVER or (tag == "header" and not in_main):
-        return True
+        return _SURE
     if not attributes:
-        return False
+        return _NO
+    mark, textual = _NO, False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return _SURE
         if name == "style":
             if "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", ""):
-                return True
+                return _SURE
         elif name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            bad = _BOILERPLATE | _HEADER if not in_main and tag not in ("h1", "h2", "h3") else _BOILERPLATE
             words = set(re.split(r"[^a-z]+", _NOT_ITSELF.sub("", value)))
-            if words & _BOILERPLATE or (words & _HEADER and not in_main and tag not in ("h1", "h2", "h3")):
-                return True
-    return False
+            textual |= not words.isdisjoint(_TEXTUAL)
+            if words & bad:
+                mark = max(mark, _PERHAPS if bad.isdisjoint(value.split()) else _LIKELY)
+    return min(mark, _PERHAPS) if textual else mark
 
 
 class _Open:
-    """The open elements, each with whether it is dead, whether it is main text, and the part of the page that its lines belong to."""
+    """The open elements, each with whether it is dead, whether it is main text, the part of the page that its lines belong to, and the innermost suspect."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool, bool, int]] = []
+        self.stack: list[tuple[str, bool, bool, int, int]] = []
+        self.suspects: list[tuple[int, int]] = []  # the suspect around each, and how sure it is
+        self.with_main: set[int] = set()  # suspects that an article begins in
         self.where: dict[str, list[int]] = {}  # places on the stack of each element
         self.blocks: list[int] = []
         self.parts = self.headings = 0
-        self.dead, self.main, self.part = False, False, 0
+        self.dead, self.main, self.part, self.suspect = False, False, 0, -1
 
     def last(self, tag: str) -> int:
         """Place of the innermost one of a kind, -1 if none is open."""
         held = self.where.get(tag)
         return held[-1] if held else -1
 
-    def push(self, tag: str, dead: bool, main: bool) -> None:
+    def push(self, tag: str, mark: int, main: bool) -> None:
+        suspect = self.suspect
+        if mark in (_PERHAPS, _LIKELY):
+            suspect = len(self.suspects)
+            self.suspects.append((self.suspect, mark))
+        elif main and suspect >= 0:
+            self.with_main.add(suspect)
         if tag in _CONTAINERS:
             self.parts += 1
         part = self.parts if tag in _CONTAINERS else self.part
@@ -122,7 +143,7 @@ class _Open:
         if tag in _BLOCK:
             self.blocks.append(len(self.stack))
         self.headings += tag in _HEADINGS
-        self.stack.append((tag, self.dead or dead, self.main or main, part))
+        self.stack.append((tag, self.dead or mark == _SURE, self.main or main, part, suspect))
         self._restore()
 
     def cut(self, place: int) -> None:
@@ -136,10 +157,35 @@ class _Open:
         self._restore()
 
     def _restore(self) -> None:
-        _, self.dead, self.main, self.part = self.stack[-1] if self.stack else ("", False, False, 0)
-
-
-def lines(html: str) -> list[_Line]:
+        _, self.dead, self.main, self.part, self.suspect = self.stack[-1] if self.stack else ("", False, False, 0, -1)
+
+    def judged(self, found: list[_Line], limits: Limits) -> list[_Line]:
+        """The lines, those of suspects that are not heard dead."""
+        if not self.suspects:
+            return found
+        size, heading = [0] * len(self.suspects), [False] * len(self.suspects)
+        for i in self.with_main:
+            heading[i] = True
+        total = 0
+        for x in found:
+            if not x.dead:
+                total += len(x.text) - x.links
+                if x.suspect >= 0:
+                    size[x.suspect] += len(x.text) - x.links
+                    heading[x.suspect] |= x.heading
+        for i in range(len(size) - 1, -1, -1):  # those around come before those within
+            around = self.suspects[i][0]
+            if around >= 0:
+                size[around] += size[i]
+                heading[around] |= heading[i]
+        dead: list[bool] = []
+        for (around, mark), own, head in zip(self.suspects, size, heading, strict=True):
+            heard = own > limits.most * total and head or mark == _PERHAPS and own > limits.nearly_all * total
+            dead.append(not heard or around >= 0 and dead[around])
+        return [replace(x, dead=True) if x.suspect >= 0 and dead[x.suspect] else x for x in found]
+
+
+def lines(html: str, limits: Limits = Limits()) -> list[_Line]:
     """The page's lines in order, each with its text, the length of its links, and where it lies.  Time is linear in the page."""
     out: list[_Line] = []
     parts: list[str] = []
@@ -150,7 +196,7 @@ def lines(html: str) -> list[_Line]:
         nonlocal link_chars
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append(_Line(text, link_chars, opened.dead, opened.main, opened.part, opened.headings > 0))
+            out.append(_Line(text, link_chars, opened.dead, opened.main, opened.part, opened.headings > 0, opened.suspect))
         parts.clear()
         link_chars = 0
 
@@ -194,7 +240,7 @@ def lines(html: str) -> list[_Line]:
                     opened.cut(opened.last(tag))
                     links = 0
             else:
-                # a mark-up element is on the stack only if it is dead: close it if no block lies in the way
+                # a mark-up element is on the stack only if it is marked: close it if no block lies in the way
                 place = opened.last(tag)
                 if place >= 0 and (not opened.blocks or opened.blocks[-1] < place):
                     flush()
@@ -216,13 +262,13 @@ def lines(html: str) -> list[_Line]:
             continue
         if m[3].endswith("/"):
             continue
-        is_dead = _marks(tag, m[3], opened.main)
-        if is_dead and not opened.dead:
+        mark = _marks(tag, m[3], opened.main)
+        if mark and not opened.dead:
             flush()
-        if tag in _BLOCK or tag in _NEVER or is_dead:
-            opened.push(tag, is_dead, tag in _MAIN or 'role="main"' in m[3])
+        if tag in _BLOCK or tag in _NEVER or mark:
+            opened.push(tag, mark, tag in _MAIN or 'role="main"' in m[3])
     flush()
-    return out
+    return opened.judged(out, limits)
 
 
 def _level(sums: list[float]) -> float:
@@ -237,7 +283,9 @@ def _level(sums: list[float]) -> float:
 
 
 def main_text(html: str, limits: Limits = Limits()) -> str:
-    found = [x for x in lines(html) if not x.dead and (x.main or x.links <= limits.link_share * len(x.text))]
+    page = [x for x in lines(html, limits) if not x.dead]
+    places = [i for i, x in enumerate(page) if x.main or x.links <= limits.link_share * len(x.text)]
+    found = [page[i] for i in places]
     if not found:
         return ""
     marked = any(x.main for x in found)
@@ -268,7 +316,15 @@ def main_text(html: str, limits: Limits = Limits()) -> str:
         surge -= 1
     while dive + 1 < n and beside(found[dive + 1], found[dive]):
         dive += 1
-    return " ".join(x.text for x in found[surge : dive + 1] if x.main or not inside)
+    if inside:
+        return " ".join(x.text for x in found[surge : dive + 1] if x.main)
+    out = []
+    for i, at in enumerate(places[surge : dive + 1], surge):
+        out.append(found[i].text)
+        # a line left out alone between two of its own part
+        if i < dive and places[i + 1] == at + 2 and page[at + 1].part == page[at].part == page[at + 2].part:
+            out.append(page[at + 1].text)
+    return " ".join(out)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", limits: Limits = Limits()) -> DataFrame:

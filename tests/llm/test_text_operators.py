@@ -737,3 +737,37 @@ def test_junk_is_told_by_its_ratio(docs, size):
     rows = [(1, junk("abcdefghijklmnopqrstuvwxyz")), (2, junk("0123456789abcdef")), (3, encoded), (4, junk("0123456789"))]
     got = {x.id: (x.base_failed, x.kept) for x in quality.score(docs(rows)).collect()}
     assert got == {1: (False, False), 2: (False, False), 3: (False, False), 4: (False, size == 3000)}
+
+
+BODY = "".join(f"<p>{'Some words of the article, one after another, and more. ' * 5}</p>" for _ in range(5))
+
+
+@pytest.mark.parametrize("open_", [
+    '<div class="layout sidebar-right">', '<div id="main" class="comments-open">', '<div class="ad-free article">', '<div class="related-posts-enabled">', '<div class="share-buttons-left post">',
+    '<div class="header-fixed">', '<section class="widget-layout">', '<div class="sidebar"><h1>Title</h1>', '<div class="promo"><article>',
+])
+def test_names_of_layouts_do_not_empty_a_page(open_):
+    page = f'<body><nav><a href="/">Home</a></nav>{open_}{BODY}<div class="ad">Buy this now</div><div class="comments"><p>User: nice.</p></div></div><div class="sidebar">Side text of some length, and more.</div><footer>(c)</footer>'
+    want = " ".join(["Title"] * ("<h1>" in open_) + [("Some words of the article, one after another, and more. " * 5).strip()] * 5)
+    assert htmltext.main_text(page) == want
+
+
+def test_long_comments_are_none_of_the_text():
+    talk = "".join(f"<p>User {i}: {'nice words, but not of the article. ' * 6}</p>" for i in range(12))
+    for name in ('class="comments"', 'id="comments-list"', 'class="reply-area widget"'):
+        page = f'<article>{BODY}<div {name}>{talk}</div></article>'
+        assert "User" not in htmltext.main_text(page) and htmltext.main_text(page).count("Some words") == 25
+
+
+def test_a_linked_paragraph_between_others_stays():
+    linked = f'<p><a href="x">{"A paragraph that is all a link to somewhere. " * 2}</a></p>'
+    menu = "".join(f'<p><a href="{i}">Menu entry number {i}</a></p>' for i in range(4))
+    text = htmltext.main_text(f"<div>{BODY}{linked}{BODY}{menu}{BODY}</div>")
+    assert text.count("all a link") == 2 and "Menu" not in text and text.count("Some words") == 75
+
+
+def test_nested_names_take_linear_time():
+    begin = time.time()
+    for page in ('<div class="ads-on">' * 50_000 + "deep text", ('<div class="sidebar-x"><article>' + "text " * 5) * 20_000):
+        htmltext.main_text(page)
+    assert time.time() - begin < 10
