@@ -31,7 +31,18 @@ CFG = Settings(excluded_partners=("7",), swings=(Swing("large", 10, 3, 0.2), Swi
 _WRITTEN: dict[tuple, tuple[str, dict[str, StructType]]] = {}
 
 
-def fact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, testbed.Inputs]:
+class Rosters:
+    """The rosters that were written beside a fact, each read when it is asked for."""
+
+    def __init__(self, read: Callable[[str], DataFrame]):
+        self._read = read
+
+    riders = property(lambda self: self._read("riders"))
+    merchants = property(lambda self: self._read("merchants"))
+    partners = property(lambda self: self._read("partners"))
+
+
+def fact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Rosters]:
     """The fact by month and the rosters, as the warehouse keeps them: written once a session and state of the input, then read."""
     state = tables.stamp(spark, [f"{sf_dir}/{t}.parquet" for t in testbed.TABLES])
     key = (spark.sparkContext.applicationId, sf_dir, state)
@@ -46,8 +57,11 @@ def fact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, testbed.Inputs]:
                 df.write.parquet(f"{folder}/{name}")
         _WRITTEN[key] = folder, {name: df.schema for name, df in made.items()}
     folder, schemas = _WRITTEN[key]
-    read = {n: spark.read.schema(schema).parquet(f"{folder}/{n}").select(*schema.names) for n, schema in schemas.items()}
-    return read["dwd_orders"], testbed.Inputs(None, read["riders"], read["merchants"], read["partners"])
+
+    def read(name: str) -> DataFrame:
+        return spark.read.schema(schemas[name]).parquet(f"{folder}/{name}").select(*schemas[name].names)
+
+    return read("dwd_orders"), Rosters(read)
 
 
 def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +86,13 @@ MARCH, APRIL = periods(date(2026, 4, 1), date(2026, 4, 30), baseline=(date(2026,
 BOTH = views.Filters(MARCH[0], APRIL[1])
 
 
-def _matrix(f: DataFrame, x: testbed.Inputs) -> DataFrame:
+def _matrix(f: DataFrame, x: Rosters) -> DataFrame:
     out = views.rider_matrix(f, x.riders, OWN, CFG)
     return out.withColumn("days", F.array_join(F.transform(F.array_sort(F.map_entries("days")), lambda e: e["value"].cast("string")), ","))
 
 
-#: The dashboard's views by name, from the fact and the inputs.
-VIEWS: dict[str, Callable[[DataFrame, testbed.Inputs], DataFrame]] = {
+#: The dashboard's views by name, from the fact and the rosters.
+VIEWS: dict[str, Callable[[DataFrame, Rosters], DataFrame]] = {
     "e1_directory": lambda f, x: views.directory(x.partners, ads.partner_day(f)),
     "e1_regions": lambda f, x: views.regions(ads.partner_day(f)),
     "e3a_admin_summary": lambda f, x: views.admin_summary(f, WINDOW, CFG),

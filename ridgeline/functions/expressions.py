@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,17 +101,36 @@ def clean_text(value: Column) -> Column:
     return F.when(F.lower(text).isin(*NOTHING), F.lit(None)).otherwise(text)
 
 
-#: Full-width forms of the printable ASCII signs, and the ideographic space: what compatibility normalisation narrows.
-_NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
-_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _NARROW[:-1]) + chr(0x3000)
+@lru_cache(maxsize=1)
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """Characters below U+10000 that compatibility normalisation (NFKC) makes one other, what these are, and those that it makes several of or none."""
+    one, other, more = [], [], {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000))):
+        n = unicodedata.normalize("NFKC", c)
+        if n != c and len(n) == 1:
+            one.append(c)
+            other.append(n)
+        elif n != c:
+            more[c] = n
+    return "".join(one), "".join(other), more
+
+
+def compatible(text: Column) -> Column:
+    """Text with each character as compatibility normalisation has it; characters that only together are another stay apart."""
+    one, other, more = _compatible()
+    narrow = F.translate(text, one, other)
+    pairs = F.from_json(F.lit(json.dumps(more)), "map<string,string>")  # folded to a constant once a plan
+    each = F.transform(F.split(narrow, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
+    return F.when(narrow.rlike("[" + "".join(more) + "]"), F.concat_ws("", each)).otherwise(narrow)
 
 
 def identifier(value: Column) -> Column:
-    """An id as text: no spaces, full-width forms narrowed, and numbers without plus sign, leading zeros or zeros after the point.
+    """An id as text: no spaces, compatible forms narrowed, and numbers without plus sign, leading zeros or zeros after the point.
 
     One rule for orders and rosters, so that their ids join.
     """
-    text = F.regexp_replace(F.translate(clean_text(value), _WIDE, _NARROW), r"\s+", "")
+    clean = clean_text(value)
+    text = F.regexp_replace(F.when(clean.rlike(r"[^\x00-\x7F]"), compatible(clean)).otherwise(clean), r"\s+", "")
     plain = F.regexp_extract(text, r"^\+?0*([0-9]+)(?:\.0*)?$", 1)
     power = F.when(text.rlike(r"^\+?[0-9]+(\.[0-9]+)?[eE]\+?[0-9]{1,2}$"), text.try_cast("decimal(38,4)"))
     whole = F.when(power == F.floor(power), F.floor(power).cast("string"))
@@ -123,20 +144,34 @@ def amount(value: Column) -> Column:
     return F.coalesce(digits.try_cast("double"), F.lit(0.0))
 
 
-# fixed values: the forms in which times are written
-TIME_FORMATS = (
-    "yyyy-M-d H:m:s", "yyyy/M/d H:m:s", "yyyy-M-d H:m", "yyyy/M/d H:m", "yyyy-M-d", "yyyy/M/d",
-    "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s.SSSSSS", "yyyy-M-d'T'H:m:s.SSSSSS",
+#: Year, month and day, and perhaps the time, in figures: the usual form.
+_USUAL = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})(?:[T ]+(\d{1,2}):(\d{1,2})(?::(\d{1,2})(\.\d{1,9})?)?)?$"
+# fixed values: other forms in which dates are written, with the shape that each has
+DATE_FORMS = (
+    (r"^\d{8}$", "yyyyMMdd"), (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"), (r"^\d{4}年\d{1,2}月\d{1,2}日$", "yyyy年M月d日"), (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Z][a-z]{3,} \d{1,2}, \d{4}$", "MMMM d, yyyy"), (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"), (r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$", "d-MMM-yyyy"), (r"^\d{1,2} [A-Z][a-z]{3,} \d{4}$", "d MMMM yyyy"),
 )
 
 
 def timestamp(value: Column) -> Column:
+    """A time from text of the usual form, with - or / between year, month and day; missing where it has another.  A text is parsed once."""
     text = F.trim(value.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS]).cast("timestamp_ntz")
+    # the parts in one order; a time that is not there is midnight
+    parts = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _USUAL, "$1-$3-$4 $5:$6:$7$8"), " ::$", " 0:0:0"), ":$", ":0")
+    return F.when(text.rlike(_USUAL), parts.try_cast("timestamp_ntz"))
 
 
 def date(value: Column) -> Column:
-    return timestamp(value).cast("date")
+    """A date from text: of a usual time, or in one of some other forms that its shape tells.
+
+    Numbers from 20000 to 80000 are days as spreadsheets count them.
+    """
+    text = F.trim(value.cast("string"))
+    days = F.when(text.rlike(r"^[2-7]\d{4}(\.\d+)?$"), F.floor(text.try_cast("double")).cast("int"))
+    out = F.when(days.isNotNull(), F.date_add(F.lit("1899-12-30").cast("date"), days))
+    for shape, form in DATE_FORMS:
+        out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form)).cast("date"))
+    return F.coalesce(timestamp(value).cast("date"), out)
 
 
 def month(value: Column) -> Column:

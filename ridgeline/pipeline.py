@@ -9,9 +9,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import partial, reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline import config
@@ -149,12 +150,16 @@ class Warehouse:
 
     def profile(self, layers: list[str], months: list[str] | None = None) -> DataFrame:
         """``layer, month, rows, digest`` of layers by month: their rows, and a digest of their keys in any order."""
-        def of(layer: str) -> DataFrame:
-            key = {"ods_orders": "order_id", "dwd_orders": "order_id"}.get(layer, "metric_key")
-            rows = self.table(layer, months).groupBy(F.col("order_month").alias("month"))
-            return rows.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(key)).alias("digest")).select(F.lit(layer).alias("layer"), "month", "rows", "digest")
-
-        return staging.union_all([of(n) for n in layers])
+        state = self.state()
+        paths = [self.snapshots.folder(n, r, m) for n in layers for m, runs in self.snapshots.there(state, n).items() if months is None or m in months for r in runs]
+        if not paths:
+            return self.spark.createDataFrame([], "layer string, month string, rows long, digest long")
+        # all layers by one scan of their keys; files tell by their place what they are of
+        found = self.spark.read.schema("order_id string, metric_key string").option("recursiveFileLookup", True).parquet(*paths)
+        place = F.regexp_extract_all("_metadata.file_path", F.lit("/([^/]+)/run=[^/]+/order_month=([^/]+)/[^/]+$"), F.lit(0))
+        part = F.split(F.get(place, F.lit(0)), "/")
+        keyed = found.select(F.get(part, F.lit(1)).alias("layer"), F.substring_index(F.get(part, F.lit(3)), "=", -1).alias("month"), F.coalesce("metric_key", "order_id").alias("key"))
+        return keyed.groupBy("layer", "month").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("key")).alias("digest"))
 
     def damaged(self) -> list[tuple[str, str]]:
         """Layers and months that do not hold what their profile says was written."""
@@ -254,9 +259,13 @@ class Warehouse:
         fact = self.table("dwd_orders", months) if self._months("dwd_orders") & set(months) else None
         if fact is None:
             return
-        for name, make in ads.TABLES.items():
+
+        def metrics(name: str) -> None:
+            make = ads.TABLES[name]
             df = make(fact, rosters[ads.WITH_ROSTER[name]]) if name in ads.WITH_ROSTER else make(fact)
             written(f"ads_{name}", ads.keyed(name, df, batch_id))
+
+        tables.together([partial(metrics, name) for name in ads.TABLES])
         now = datetime.now(UTC).replace(tzinfo=None)
         held = [n for n in MONTHLY if self._months(n) & set(months)]
         run.append("profiles", self.profile(held, months).withColumn("profiled_at", F.lit(now)))
@@ -295,6 +304,28 @@ class Warehouse:
         out = {"runs": runs, "files": files}
         return out | {"version": mart.version(self.table("versions"))} if self.has("versions") else out
 
+    def info(self) -> DataFrame:
+        """One row on the state of the data: the last run, its stages and seconds, the latest date, the version, and when each kind of roster last came."""
+        def only(df: DataFrame | None, **columns: Column) -> DataFrame:
+            own = [c.alias(n) for n, c in columns.items()]
+            return df.agg(*own) if df is not None else self.spark.range(1).agg(*[F.first(F.lit(None)).alias(n) for n in columns])
+
+        has_runs = tables.exists(self.spark, self.path("runs"))
+        runs = self.status()["runs"] if has_runs else None
+        if has_runs:
+            at = tables.read(self.spark, self.path("runs")).agg(F.max("logged_at").alias("at"))
+        stages = F.map_from_entries(F.collect_list(F.struct("stage", F.coalesce("seconds", F.lit(0.0)))))
+        rosters = self.registry().filter("status = 'success' AND kind <> 'orders'").groupBy("kind").agg(F.max("imported_at").alias("at")) if self.has("registry") else None
+        parts = [
+            only(runs, latest_run_id=F.max("run_id"), last_import_status=F.max("status"), total_seconds=F.round(F.sum("seconds"), 3), stage_seconds=stages),
+            only(at if has_runs else None, last_import_time=F.max("at")),
+            only(self.table("ads_partner_day") if self.has("ads_partner_day") else None, latest_data_date=F.max("date")),
+            only(rosters, roster_versions=F.map_from_entries(F.collect_list(F.struct("kind", "at")))),
+            only(mart.version(self.table("versions")) if self.has("versions") else None, data_version=F.max("data_version"), latest_ready_month=F.max("latest_ready_month")),
+        ]
+        row = reduce(lambda a, b: a.join(b, F.lit(True)), parts)  # one row each
+        return row.withColumn("last_import_status", F.coalesce(F.col("last_import_status").cast("string"), F.lit("never_run")))
+
     def rebuild(self) -> list[str]:
         """Build all from the raw layer anew: fields under the headers that count now, rosters, the fact and the metrics."""
         with self.writing(uuid.uuid4().hex) as run:

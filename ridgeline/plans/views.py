@@ -547,9 +547,9 @@ def coupons(coupon_day: DataFrame, f: Filters) -> DataFrame:
 
 
 def ordered(df: DataFrame, column: str, descending: bool = True) -> DataFrame:
-    """Rows in a table's order: those without value last either way, numbers as numbers."""
+    """Rows in a table's order: those without value last either way, numbers as numbers, text as a Chinese reader sorts it."""
     value = blank_to_null(F.when(C(column).cast("string") == "-", None).otherwise(C(column).cast("string")))
-    number, text = value.try_cast("double"), value
+    number, text = value.try_cast("double"), F.collate(value, "zh")
     keys = [F.desc_nulls_last(number), F.desc_nulls_last(text)] if descending else [F.asc_nulls_last(number), F.asc_nulls_last(text)]
     return df.orderBy(*keys)
 

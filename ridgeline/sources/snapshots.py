@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,12 +119,11 @@ class Run:
     name: str
     number: int
     state: State
-    written: int = field(default=0)
+    numbers: Iterator[int] = field(default_factory=lambda: count(1))
 
     def _own(self) -> str:
         """A name of its own for each write, so that a layer may be written from itself."""
-        self.written += 1
-        return f"{self.name}-{self.written}"
+        return f"{self.name}-{next(self.numbers)}"
 
     def replace_months(self, layer: str, df: DataFrame) -> list[str]:
         """Write a layer's rows; the months that they have are replaced whole, all others stay.  Those months.

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,6 +88,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def together(jobs: list[Callable[[], None]], at_once: int = 4) -> None:
+    """Run jobs a few at a time, so that small ones do not leave the cluster idle; the first that failed is raised when all have ended."""
+    with ThreadPoolExecutor(at_once) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
 def publish(tables: dict[str, DataFrame], root: str) -> dict[str, int]:
     """Write all tables beside the published folder and swap them in whole; rows of each.
 
@@ -95,12 +105,14 @@ def publish(tables: dict[str, DataFrame], root: str) -> dict[str, int]:
     target = path(root.rstrip("/"))
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     fresh, old = (path(target.getParent(), f".{target.getName()}-{k}-{uuid.uuid4().hex[:8]}") for k in ("new", "old"))
-    rows = {}
     try:
-        for name, df in tables.items():
-            seen = Observation()
-            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "snappy").parquet(f"{fresh}/{name}.parquet")
-            rows[name] = seen.get["rows"]
+        seen = {name: Observation() for name in tables}
+
+        def write(name: str) -> None:
+            tables[name].observe(seen[name], F.count(F.lit(1)).alias("rows")).write.option("compression", "snappy").parquet(f"{fresh}/{name}.parquet")
+
+        together([partial(write, name) for name in tables])
+        rows = {name: o.get["rows"] for name, o in seen.items()}
         if fs.exists(target) and not fs.rename(target, old):
             raise OSError(f"{root} cannot be moved")
         if not fs.rename(fresh, target):

@@ -14,7 +14,7 @@ TABLES = ("orders", "supplier", "nation", "region")
 
 @dataclass(frozen=True)
 class Inputs:
-    orders: DataFrame | None  # not kept where the fact is
+    orders: DataFrame
     riders: DataFrame
     merchants: DataFrame
     partners: DataFrame

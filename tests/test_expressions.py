@@ -28,6 +28,24 @@ def test_timestamp(spark):
     assert got[4:] == [None] * 5
 
 
+def test_dates_in_other_forms(spark):
+    texts = ["20190501", "2019.5.1", "2019年5月1日", "May 1, 2019", "1 May 2019", "01-May-2019", "1 January 2019", "January 31, 2019", "43586", "43586.75", "2019-05-01 23:59:59", "2019/5/1"]
+    day = date(2019, 5, 1)
+    assert values(spark, E.date, texts) == [day] * 6 + [date(2019, 1, 1), date(2019, 1, 31)] + [day] * 4
+    assert values(spark, E.date, ["20191301", "123", "1-5-2019", "soon", "99999", "2019-02-30", None]) == [None] * 7
+
+
+def test_compatible_characters_as_the_database_has_them(spark):
+    """Each character below U+10000 that has a compatible form, one by one."""
+    import unicodedata
+
+    signs = [chr(c) for c in (*range(0x20, 0xD800), *range(0xE000, 0x10000)) if unicodedata.normalize("NFKC", chr(c)) != chr(c)]
+    assert len(signs) > 2500
+    df = spark.createDataFrame([(s,) for s in [*signs, "①㈱ﬁ２", "plain"]], "s string")
+    assert all(r[1] == unicodedata.normalize("NFKC", r[0]) for r in df.select("s", E.compatible(F.col("s"))).collect())
+    assert values(spark, E.identifier, ["①２", "ＡＢ－７", "㎏9", "\u00a012\u2003"]) == ["12", "AB-7", "kg9", "12"]
+
+
 def test_months(spark):
     assert values(spark, E.month_of_file, ["2026-03 orders.xls", "orders.csv", "2026年4月.csv", "2026-13.csv"]) == ["2026-03", None, "2026-04", None]
     assert values(spark, E.valid_month, ["2026-03", "2026-13", "1999-01", None]) == ["2026-03", None, None, None]

@@ -105,6 +105,29 @@ def test_bad_file_is_told(house, imported):
     assert (result.status, result.failed) == ("partial_success", 1)
 
 
+def test_state_of_the_data(house, imported, spark, tmp_path):
+    info = house.info().first()
+    assert info.last_import_status in ("success", "partial_success") and str(info.latest_data_date) >= "2026-04-07" and set(info.roster_versions) == {"riders", "merchants", "partners"}
+    assert set(info.stage_seconds) == set(pipeline.STAGES) and abs(info.total_seconds - sum(info.stage_seconds.values())) < 0.01
+    assert info.data_version.startswith("v20") and info.latest_ready_month >= "2026-04"
+    empty = pipeline.Warehouse(spark, Settings(table_root=str(tmp_path / "none"))).info().first()
+    assert (empty.last_import_status, empty.latest_run_id, empty.data_version) == ("never_run", None, None)
+
+
+def test_command_line(house, imported, tmp_path, capsys):
+    import json
+
+    path = tmp_path / "settings.json"
+    path.write_text(json.dumps({"raw_root": str(tmp_path / "raw"), "table_root": house.cfg.table_root, "export_root": str(tmp_path / "mart")}))
+    assert pipeline.main(["import", "--mode", "auto", "--config", str(path)]) == 0
+    assert "success" in capsys.readouterr().out
+    for command in ("validate", "check"):
+        assert pipeline.main([command, "--config", str(path)]) == 0
+    assert "dwd_orders" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        pipeline.main(["serve"])
+
+
 def test_export_labels(house, imported, spark):
     day = spark.read.parquet(f"{house.cfg.export_root}/合伙人日汇总.parquet")
     assert {"合伙人ID", "日期", "完成率", "经营利润"} <= set(day.columns)
@@ -188,6 +211,13 @@ def test_display_order(spark):
     assert [r.v for r in views.ordered(df, "v", False).collect()][:2] == ["9", "10"]
 
 
+def test_text_sorts_as_a_chinese_reader_sorts_it(spark):
+    df = spark.createDataFrame([("上海",), ("北京",), ("-",), ("广州",), (" ",), (None,), ("7",)], "v string")
+    for descending in (False, True):
+        got = [r.v for r in views.ordered(df, "v", descending).collect()]
+        assert got[0] == "7" and got[1:4] == ["北京", "广州", "上海"][:: -1 if descending else 1] and set(got[4:]) == {"-", " ", None}
+
+
 def test_registered_tables_exist():
     assert len(ads.TABLES) == 14 and len(mart.TABLES) == 15
 
