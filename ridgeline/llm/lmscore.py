@@ -48,6 +48,7 @@ class Settings:
     bits_per_token: float = 8.0
     weight: float = 500.0
     docs_per_shard: int = 6000
+    bytes_per_shard: int = 16 << 20  # of training text, where documents are long
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,7 +261,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     """
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), train.alias("train"))
     sizes = picked.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.when(F.col("train"), F.octet_length("text"))).alias("size")).first()
-    shards = max(16, -(-sizes.docs // s.docs_per_shard))
+    shards = max(16, -(-sizes.docs // s.docs_per_shard), -(-(sizes["size"] or 0) // s.bytes_per_shard))
     size = max(64, bits_for(sizes["size"] or 0, s) // shards // 64 * 64)
     tables = Tables(docs.sparkSession, "lmscore")
     merged = tables.keep("merged", merge(count(picked.filter("train").select("text"), shards), size, s))
@@ -272,6 +273,11 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     return scored.withColumn("train_tokens", F.lit(n).cast("long")).select("id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def _high(at: np.ndarray) -> np.ndarray:
+    """What two bytes do not hold of the tokens' places: a byte each, or four where one text has more than 16 million distinct words."""
+    return (at >> 16).astype(np.uint8 if not len(at) or at.max() < 1 << 24 else np.uint32)
+
+
 _BLOCKS = "block long, sizes binary, words binary, low binary, high binary"
 
 
@@ -282,7 +288,7 @@ def _blocks(picked: DataFrame) -> DataFrame:
     def packed(block: int, ids: list[pa.Array], sizes: list[np.ndarray], tokens: list[np.ndarray]) -> pa.RecordBatch:
         word, at = np.unique(np.concatenate(tokens), return_inverse=True)
         ids = pa.concat_arrays(ids)
-        own = (np.concatenate(sizes).astype(np.int32).tobytes(), word.tobytes(), at.astype(np.uint16).tobytes(), (at >> 16).astype(np.uint8).tobytes())
+        own = (np.concatenate(sizes).astype(np.int32).tobytes(), word.tobytes(), at.astype(np.uint16).tobytes(), _high(at).tobytes())
         return pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in own], pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)],
             names=[*[f.split()[0] for f in _BLOCKS.split(", ")], "ids"],
@@ -311,7 +317,8 @@ def _blocks(picked: DataFrame) -> DataFrame:
 def _unpacked(row: dict, shards: int) -> tuple[np.ndarray, ...]:
     """Of a block: its words' hashes, the words of its tokens and of those before them, its pairs' addresses, and its tokens' pairs."""
     word, sizes = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["sizes"], np.int32)
-    mine = np.frombuffer(row["low"], np.uint16).astype(np.int32) | np.frombuffer(row["high"], np.uint8).astype(np.int32) << 16
+    kind = np.uint8 if 2 * len(row["high"]) == len(row["low"]) else np.uint32
+    mine = np.frombuffer(row["low"], np.uint16).astype(np.int32) | np.frombuffer(row["high"], kind).astype(np.int32) << 16
     begin = np.cumsum(sizes) - sizes
     prior = np.empty(len(mine), np.int32)
     prior[1:] = mine[:-1]

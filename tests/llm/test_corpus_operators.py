@@ -441,3 +441,14 @@ def test_pipeline_stages_take_odd_rows(spark, docs, prose, odd, k):
         assert len(got) == len(rows)
     none = stage(spark, df.limit(0), None)
     assert none.count() == 0 and none.columns == out.columns
+
+
+def test_places_of_tokens_in_very_large_blocks():
+    """A byte more than two holds them, or four where a block has more than 2^24 distinct words."""
+    for top, kind in ((0, np.uint8), ((1 << 24) - 1, np.uint8), (1 << 24, np.uint32), ((1 << 30) + 5, np.uint32)):
+        at = np.array([0, 70_000, top] if top > 70_000 else [0, top])
+        high = lmscore._high(at)
+        assert high.dtype == kind
+        row = {"words": b"", "sizes": b"", "low": at.astype(np.uint16).tobytes(), "high": high.tobytes()}
+        own = np.uint8 if 2 * len(row["high"]) == len(row["low"]) else np.uint32
+        assert ((np.frombuffer(row["low"], np.uint16).astype(np.int32) | np.frombuffer(row["high"], own).astype(np.int32) << 16) == at).all()
