@@ -223,13 +223,20 @@ def partner_swing(x: Layers) -> DataFrame:
     return rows.withColumns({"change": now - F.coalesce(then, F.lit(0)), "change_rate": ratio_null(now - then, then), "swing": kind})
 
 
+# fixed values: advice on a partner
+ADVICE = {
+    "completion": "完成率偏低，优先排查取消和履约", "cancel": "取消率偏高，优先排查接单和商家出餐", "efficiency": "人效偏低，关注骑手排班和订单密度", "orders": "单量偏低，关注商家激活和订单来源",
+    "yellow": "轻度异常，建议持续跟踪", "none": "正常",
+}
+
+
 def partner_risk(x: Layers) -> DataFrame:
     rows = partner_health(x).filter(C("health").isin(RED, YELLOW) | (C("completed_orders") < 100))
     red = C("health") == RED
     action = (
-        F.when(red & (C("completion_rate") < 0.60), "完成率偏低，优先排查取消和履约").when(red & (C("cancel_rate") > 0.30), "取消率偏高，优先排查接单和商家出餐")
-        .when(C("efficiency") < 3, "人效偏低，关注骑手排班和订单密度").when(C("completed_orders") < 100, "单量偏低，关注商家激活和订单来源")
-        .when(C("health") == YELLOW, "轻度异常，建议持续跟踪").otherwise("正常")
+        F.when(red & (C("completion_rate") < 0.60), ADVICE["completion"]).when(red & (C("cancel_rate") > 0.30), ADVICE["cancel"])
+        .when(C("efficiency") < 3, ADVICE["efficiency"]).when(C("completed_orders") < 100, ADVICE["orders"])
+        .when(C("health") == YELLOW, ADVICE["yellow"]).otherwise(ADVICE["none"])
     )
     return rows.select(
         "partner_id", *_LABELS, "first_date", "last_date", "total_orders", "completed_orders", "cancelled_orders", "completion_rate", "cancel_rate", "efficiency", "health",

@@ -335,6 +335,15 @@ def accepted_within(fact: DataFrame, start: date | None, end: date | None) -> Da
 # -------------------------------------------------------------- a partner
 
 
+# fixed values: what the overview says of a city
+DIAGNOSES = {
+    "cancel": "Cancel rate is high. Review capacity response and timeout acceptance.",
+    "riders": "New rider contribution is low. Review onboarding activation and coaching.",
+    "merchants": "New merchant contribution is low. Review first-order conversion and merchant follow-up.",
+    "none": "Current city operation is stable.",
+}
+
+
 def overview(fact: DataFrame, f: Filters, cfg: Settings, threshold: float | None = None, sla_minutes: int | None = None) -> DataFrame:
     """One row: the partner's counts, money, service level, health and what to look at; none if it has no orders."""
     rows = f.apply(fact)
@@ -345,11 +354,9 @@ def overview(fact: DataFrame, f: Filters, cfg: Settings, threshold: float | None
     out = scored(with_rates(out), days)
     few = lambda n: (C(n) > 0) & (C(n) < C("completed_orders") * F.lit(0.1))
     found = F.array_compact(F.array(
-        F.when(C("cancel_rate") > 0.20, "Cancel rate is high. Review capacity response and timeout acceptance."),
-        F.when(few("new_rider_orders"), "New rider contribution is low. Review onboarding activation and coaching."),
-        F.when(few("new_merchant_orders"), "New merchant contribution is low. Review first-order conversion and merchant follow-up."),
+        F.when(C("cancel_rate") > 0.20, DIAGNOSES["cancel"]), F.when(few("new_rider_orders"), DIAGNOSES["riders"]), F.when(few("new_merchant_orders"), DIAGNOSES["merchants"]),
     ))
-    return out.withColumn("diagnostics", F.when(F.size(found) == 0, "Current city operation is stable.").otherwise(F.array_join(found, " "))).drop("dates")
+    return out.withColumn("diagnostics", F.when(F.size(found) == 0, DIAGNOSES["none"]).otherwise(F.array_join(found, " "))).drop("dates")
 
 
 def partner_daily(fact: DataFrame, f: Filters, cfg: Settings, threshold: float | None = None, sla_minutes: int | None = None) -> DataFrame:
