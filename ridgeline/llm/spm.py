@@ -284,24 +284,34 @@ def pieces(path: str = MODEL) -> Pieces:
     return Pieces(path)
 
 
+def _of_files(df: DataFrame) -> bool:
+    """Whether rows are those of files, perhaps not all or not whole, so that file and row tell each."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" and "parquet" in str(node.relation()).lower()
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """Rows (key and others) with ``copy``, their number among the rows of one key from 0 on.
 
-    The rows are written once with a place each, and only places and keys of keys that occur more
-    than once are numbered: within a stretch of places, and the stretches by their sizes, so that
-    no key is one task's, however many rows it has.
+    A row is known by its file and place there; rows that are not of files are written first.  Only
+    places and keys of keys that occur more than once are numbered: within a stretch of places, and the
+    stretches by their sizes, so that no key is one task's, however many rows it has.
     """
     tables = Tables(rows.sparkSession, "copies")
-    placed = tables.keep("placed", rows.withColumn("place", F.monotonically_increasing_id()))
-    narrow = placed.select("key", "place", F.shiftright("place", 16).alias("stretch"))
+    if not _of_files(rows):
+        rows = tables.keep("rows", rows)
+    placed = rows.withColumns({"file": F.xxhash64("_metadata.file_path"), "row": F.col("_metadata.row_index")})
+    narrow = placed.select("key", "file", "row", F.shiftright("row", 16).alias("stretch"))
     often = tables.keep("often", narrow.groupBy("key").count().filter("count > 1").select("key"))
     own = narrow.join(maybe_broadcast(often), "key", "left_semi")
-    before = F.sum("n").over(Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
-    starts = own.groupBy("key", "stretch").agg(F.count(F.lit(1)).alias("n")).select("key", "stretch", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("key", "stretch").orderBy("place")) - 1
-    numbers = own.select("key", "stretch", "place", within.alias("within")).join(starts, ["key", "stretch"])
-    numbers = tables.keep("numbers", numbers.select("place", (F.col("before") + F.col("within")).alias("copy")).filter("copy > 0"))
-    return placed.join(maybe_broadcast(numbers), "place", "left").drop("place").withColumn("copy", F.coalesce("copy", F.lit(0)).cast("long"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("file", "stretch").rowsBetween(Window.unboundedPreceding, -1))
+    starts = own.groupBy("key", "file", "stretch").agg(F.count(F.lit(1)).alias("n")).select("key", "file", "stretch", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("key", "file", "stretch").orderBy("row")) - 1
+    numbers = own.select("key", "file", "stretch", "row", within.alias("within")).join(starts, ["key", "file", "stretch"])
+    numbers = tables.keep("numbers", numbers.select("file", "row", (F.col("before") + F.col("within")).alias("copy")).filter("copy > 0"))
+    return placed.join(maybe_broadcast(numbers), ["file", "row"], "left").drop("file", "row").withColumn("copy", F.coalesce("copy", F.lit(0)).cast("long"))
 
 
 def encode(
