@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.expressions import average_money, blank_to_null, count_if, distinct_if, money, ratio0, sum_if
+from ridgeline.functions.expressions import average_money, blank_to_null, money, ratio0
+from ridgeline.functions.measures import Measure, aggregate, any_of, count, distinct, most, total, total_if
 
 C = F.col
 UNKNOWN = "UNKNOWN"
@@ -22,31 +23,31 @@ def _both(*names: str) -> Column:
 
 
 #: What can be measured of a group of orders.
-MEASURES: dict[str, Callable[[], Column]] = {
-    "total_orders": lambda: F.count(F.lit(1)),
-    "valid_orders": lambda: count_if(C("is_valid_order")),
-    "completed_orders": lambda: count_if(C("is_completed")),
-    "cancelled_orders": lambda: count_if(C("is_cancelled")),
-    "valid_cancel_orders": lambda: count_if(C("is_valid_cancel_order")),
-    "unpaid_orders": lambda: count_if(C("is_cancelled") & ~C("is_paid")),
-    "unaccepted_cancel_orders": lambda: count_if(C("is_unaccepted_cancel")),
-    "accepted_cancel_orders": lambda: count_if(C("is_accepted_cancel")),
-    "active_partners": lambda: distinct_if(None, C("partner_id")),
-    "new_partners": lambda: distinct_if(C("is_new_partner_order"), C("partner_id")),
-    "active_merchants": lambda: distinct_if(C("is_completed"), C("merchant_id")),
-    "new_merchants": lambda: distinct_if(_both("is_completed", "is_new_merchant_order"), C("merchant_id")),
-    "active_riders": lambda: distinct_if(C("is_completed"), C("rider_id")),
-    "new_riders": lambda: distinct_if(_both("is_completed", "is_new_rider_order"), C("rider_id")),
-    "new_rider_orders": lambda: count_if(_both("is_completed", "is_new_rider_order")),
-    "old_rider_orders": lambda: count_if(_both("is_completed", "~is_new_rider_order") & blank_to_null(C("rider_id")).isNotNull()),
-    "new_merchant_orders": lambda: count_if(_both("is_completed", "is_new_merchant_order")),
-    "old_merchant_orders": lambda: count_if(_both("is_completed", "~is_new_merchant_order") & blank_to_null(C("merchant_id")).isNotNull()),
-    "hq_subsidy_total": lambda: money(F.sum("hq_subsidy_amount")),
-    "partner_subsidy_total": lambda: money(F.sum("partner_subsidy_amount")),
-    "is_new_partner": lambda: F.bool_or("is_new_partner_order"),
-    "is_new_rider": lambda: F.bool_or("is_new_rider_order"),
-    "is_new_merchant": lambda: F.bool_or("is_new_merchant_order"),
-    **{n: (lambda n=n: F.max(n)) for n in ("partner_name", "rider_name", "merchant_name", "shop_name", "province", "city", "district")},
+MEASURES: dict[str, Callable[[], Measure]] = {
+    "total_orders": lambda: count(),
+    "valid_orders": lambda: count(C("is_valid_order")),
+    "completed_orders": lambda: count(C("is_completed")),
+    "cancelled_orders": lambda: count(C("is_cancelled")),
+    "valid_cancel_orders": lambda: count(C("is_valid_cancel_order")),
+    "unpaid_orders": lambda: count(C("is_cancelled") & ~C("is_paid")),
+    "unaccepted_cancel_orders": lambda: count(C("is_unaccepted_cancel")),
+    "accepted_cancel_orders": lambda: count(C("is_accepted_cancel")),
+    "active_partners": lambda: distinct(None, "partner_id"),
+    "new_partners": lambda: distinct(C("is_new_partner_order"), "partner_id"),
+    "active_merchants": lambda: distinct(C("is_completed"), "merchant_id"),
+    "new_merchants": lambda: distinct(_both("is_completed", "is_new_merchant_order"), "merchant_id"),
+    "active_riders": lambda: distinct(C("is_completed"), "rider_id"),
+    "new_riders": lambda: distinct(_both("is_completed", "is_new_rider_order"), "rider_id"),
+    "new_rider_orders": lambda: count(_both("is_completed", "is_new_rider_order")),
+    "old_rider_orders": lambda: count(_both("is_completed", "~is_new_rider_order") & blank_to_null(C("rider_id")).isNotNull()),
+    "new_merchant_orders": lambda: count(_both("is_completed", "is_new_merchant_order")),
+    "old_merchant_orders": lambda: count(_both("is_completed", "~is_new_merchant_order") & blank_to_null(C("merchant_id")).isNotNull()),
+    "hq_subsidy_total": lambda: total("hq_subsidy_amount", money),
+    "partner_subsidy_total": lambda: total("partner_subsidy_amount", money),
+    "is_new_partner": lambda: any_of(C("is_new_partner_order")),
+    "is_new_rider": lambda: any_of(C("is_new_rider_order")),
+    "is_new_merchant": lambda: any_of(C("is_new_merchant_order")),
+    **{n: (lambda n=n: most(n)) for n in ("partner_name", "rider_name", "merchant_name", "shop_name", "province", "city", "district")},
 }
 #: Ratios of measures of the same row, 0 where the lower one is.
 RATES = {
@@ -56,10 +57,12 @@ RATES = {
 }
 
 
-def measured(rows: DataFrame, keys: dict[str, Column], *names: str, **more: Column) -> DataFrame:
-    """Rows grouped by named keys, with measures and rates by name, and further aggregates."""
-    plain = [n for n in names if n not in RATES]
-    out = rows.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(*[MEASURES[n]().alias(n) for n in plain], *[c.alias(n) for n, c in more.items()])
+def measured(rows: DataFrame, keys: dict[str, Column], *names: str, counts: Column | None = None, **more: Measure) -> DataFrame:
+    """Rows grouped by named keys, with measures and rates by name, and further measures.
+
+    Of rows where ``counts`` does not hold only distinct values are taken.
+    """
+    out = aggregate(rows, keys, {n: MEASURES[n]() for n in names if n not in RATES} | more, counts)
     return out.withColumns({n: ratio0(C(RATES[n][0]), C(RATES[n][1])) for n in names if n in RATES}) if any(n in RATES for n in names) else out
 
 
@@ -127,53 +130,48 @@ def cancel_day(dwd: DataFrame) -> DataFrame:
     out = measured(
         _dated(dwd), _keys("order_month", "partner_id", "date"), "partner_name", "completed_orders", "valid_orders", "valid_cancel_orders", "valid_cancel_rate",
         "unaccepted_cancel_orders", "total_orders",
-        unaccepted_timeout_online_cancel_orders=count_if(waited & C("service_online_flag")),
-        unaccepted_timeout_offline_cancel_orders=count_if(waited & ~C("service_online_flag")),
-        unaccepted_timeout_cancel_orders=count_if(waited),
-        unaccepted_not_timeout_cancel_orders=count_if(_both("is_unaccepted_cancel", "is_not_timeout_cancel")),
-        accepted_noliability_cancel_orders=count_if(_both("is_accepted_cancel", "is_rider_noliability_cancel")),
+        unaccepted_timeout_online_cancel_orders=count(waited & C("service_online_flag")),
+        unaccepted_timeout_offline_cancel_orders=count(waited & ~C("service_online_flag")),
+        unaccepted_timeout_cancel_orders=count(waited),
+        unaccepted_not_timeout_cancel_orders=count(_both("is_unaccepted_cancel", "is_not_timeout_cancel")),
+        accepted_noliability_cancel_orders=count(_both("is_accepted_cancel", "is_rider_noliability_cancel")),
         unpaid_cancel_orders=MEASURES["unpaid_orders"](),
     )
     return out.withColumn("unaccepted_timeout_online_cancel_rate", ratio0(C("unaccepted_timeout_online_cancel_orders"), C("total_orders")))
 
 
-def events(rows: DataFrame, made: Column, took: Column, flags: tuple[str, ...], labels: tuple[str, ...]) -> DataFrame:
-    """Each order as up to two events: ``made`` and ``took``, structs of the same fields or missing, with ``is_made`` to tell them.
-
-    Flags and labels of the order hold for the first alone, so that one grouping counts both.
-    """
-    each = F.array_compact(F.array(F.when(made.isNotNull(), F.struct(made.alias("at"), F.lit(True).alias("is_made"))), F.when(took.isNotNull(), F.struct(took.alias("at"), F.lit(False).alias("is_made")))))
-    out = rows.withColumn("event", F.explode(each)).withColumn("is_made", C("event.is_made"))
-    return out.withColumns({**{n: C(n) & C("is_made") for n in flags}, **{n: F.when(C("is_made"), C(n)) for n in labels}})
+def events(rows: DataFrame, made: Column, took: Column) -> DataFrame:
+    """Each order as up to two events: ``made`` and ``took``, structs of the same fields or missing, with ``is_made`` to tell them."""
+    each = F.array(*[F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(is_made).alias("is_made"))) for at, is_made in ((made, True), (took, False))])
+    return rows.withColumn("event", F.explode(each)).filter("event IS NOT NULL").withColumn("is_made", C("event.is_made"))
 
 
 def direct_hour(dwd: DataFrame) -> DataFrame:
     """Orders by the hour they were made in; riders by the hour they accepted in, on the order's date."""
-    flags = ("is_completed", "is_cancelled", "is_valid_order", "is_valid_cancel_order", "is_unaccepted_cancel", "is_accepted_cancel")
     hour = lambda n: F.struct(F.coalesce(n, F.lit(0)).alias("hour"))
-    rows = events(_dated(dwd), hour("order_hour"), F.when(C("accept_time").isNotNull(), hour("accept_hour")), flags, ("partner_name",))
+    rows = events(_dated(dwd), hour("order_hour"), F.when(C("accept_time").isNotNull(), hour("accept_hour")))
     kinds = {}
     for kind in ("parttime", "fulltime"):
         own = C("is_completed") & (C("employment_type") == kind)
-        kinds |= {f"{kind}_completed_orders": count_if(own), f"{kind}_rider_count": distinct_if(own, C("rider_id"))}
+        kinds |= {f"{kind}_completed_orders": count(own), f"{kind}_rider_count": distinct(C("is_made") & own, "rider_id")}
     out = measured(
         rows, _keys("order_month", "partner_id", "date") | {"hour": C("event.at.hour")}, "partner_name", "unpaid_orders", "unaccepted_cancel_orders", "accepted_cancel_orders",
-        "valid_orders", "valid_cancel_orders", "valid_cancel_rate", delivered_orders=MEASURES["completed_orders"](), total_orders=count_if(C("is_made")),
-        accepted_rider_count=distinct_if(~C("is_made"), C("rider_id")), **kinds,
+        "valid_orders", "valid_cancel_orders", "valid_cancel_rate", delivered_orders=MEASURES["completed_orders"](), total_orders=MEASURES["total_orders"](),
+        accepted_rider_count=distinct(~C("is_made"), "rider_id"), counts=C("is_made"), **kinds,
     ).filter("total_orders > 0")
     return out.withColumns({f"{k}_efficiency": ratio0(C(f"{k}_completed_orders"), C(f"{k}_rider_count")) for k in ("parttime", "fulltime")})
 
 
 def new_riders(dwd: DataFrame, riders: DataFrame) -> DataFrame:
     rows = _dated(dwd).filter(C("is_new_rider_order") & _has("rider_id")).join(riders.select("rider_id", "hire_date"), "rider_id", "left")
-    return measured(rows, _keys("order_month", "partner_id", "rider_id"), "partner_name", "rider_name", "total_orders", "completed_orders", hire_date=F.max("hire_date"))
+    return measured(rows, _keys("order_month", "partner_id", "rider_id"), "partner_name", "rider_name", "total_orders", "completed_orders", hire_date=most("hire_date"))
 
 
 def new_merchants(dwd: DataFrame, merchants: DataFrame) -> DataFrame:
     rows = _dated(dwd).filter(C("is_new_merchant_order") & _has("merchant_id")).join(merchants.select("merchant_id", "register_date"), "merchant_id", "left")
     out = measured(
         rows, _keys("order_month", "partner_id", "merchant_id"), "partner_name", "merchant_name", "shop_name", "total_orders", "completed_orders",
-        register_date=F.max("register_date"),
+        register_date=most("register_date"),
     )
     return out.withColumn("completion_rate", ratio0(C("completed_orders"), C("total_orders")))
 
@@ -181,10 +179,10 @@ def new_merchants(dwd: DataFrame, merchants: DataFrame) -> DataFrame:
 def merchant_day(dwd: DataFrame) -> DataFrame:
     """Orders and money paid, by what became of them."""
     kinds = {"unaccepted_cancel": "is_unaccepted_cancel", "accepted_cancel": "is_accepted_cancel", "completed": "is_completed"}
-    paid = {f"{k}_amount_paid": money(sum_if(C(flag), C("amount_paid"))) for k, flag in kinds.items()}
+    paid = {f"{k}_amount_paid": total_if(C(flag), C("amount_paid"), money) for k, flag in kinds.items()}
     out = measured(
         _dated(dwd).filter(_has("merchant_id")), _keys("order_month", "partner_id", "merchant_id", "date"), "partner_name", "merchant_name", "shop_name",
-        "unaccepted_cancel_orders", "accepted_cancel_orders", "completed_orders", "total_orders", **paid, paid=F.sum("amount_paid"),
+        "unaccepted_cancel_orders", "accepted_cancel_orders", "completed_orders", "total_orders", **paid, paid=total("amount_paid"),
     )
     return out.withColumns({
         "completion_rate": ratio0(C("completed_orders"), C("total_orders")), "avg_amount_paid": average_money(C("paid"), C("total_orders")),
@@ -201,9 +199,9 @@ def source_day(dwd: DataFrame) -> DataFrame:
 def coupon_day(dwd: DataFrame) -> DataFrame:
     rows = _dated(dwd).filter(C("has_coupon_order") & C("is_completed"))
     return measured(
-        rows, _keys("order_month", "partner_id", "date", "coupon_id", "marketing_coupon_id"), "partner_name", coupon_order_count=F.count(F.lit(1)),
-        hq_discount_total=money(F.sum("hq_discount_raw_amount")), discount_total=money(F.sum("discount_raw_amount")),
-        total_discount=money(F.sum(C("hq_discount_raw_amount") + C("discount_raw_amount"))),
+        rows, _keys("order_month", "partner_id", "date", "coupon_id", "marketing_coupon_id"), "partner_name", coupon_order_count=count(),
+        hq_discount_total=total("hq_discount_raw_amount", money), discount_total=total("discount_raw_amount", money),
+        total_discount=total(C("hq_discount_raw_amount") + C("discount_raw_amount"), money),
     )
 
 

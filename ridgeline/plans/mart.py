@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.config import Settings
-from ridgeline.functions.expressions import average_money, blank_to_null, count_if, half_up, money, quotient, ratio_null, sum_if
+from ridgeline.functions.expressions import average_money, blank_to_null, half_up, money, quotient, ratio_null
+from ridgeline.functions.measures import Measure, count, distinct, total, total_if
 from ridgeline.operators import ads
 from ridgeline.operators.ads import NO_SOURCE, C, measured
 
@@ -88,24 +89,24 @@ def merchant_dim(x: Layers) -> DataFrame:
     return rows.select("merchant_id", F.coalesce("merchant_name", "merchant_id").alias("merchant_name"), "shop_name", "partner_name", "region", "register_date", "status")
 
 
-def _there(condition: Column, name: str) -> Column:
-    return F.count_distinct(F.when(condition, C(name)))
+def _there(condition: Column | None, name: str) -> Measure:
+    return distinct(condition, name, blanks=True)
 
 
-def _business() -> dict[str, Column]:
+def _business() -> dict[str, Measure]:
     """Entities and money of a group of orders; new ones count whether their orders were completed or not."""
     done = C("is_completed")
     return {
         "active_merchants": _there(done, "merchant_id"), "new_merchants": _there(C("is_new_merchant_order"), "merchant_id"),
         "active_riders": _there(done, "rider_id"), "new_riders": _there(C("is_new_rider_order"), "rider_id"),
-        "paid_total": money(sum_if(done, C("amount_paid"))), "rider_income_total": money(sum_if(done, C("rider_income"))),
-        "partner_income_total": money(sum_if(done, C("partner_income"))),
-        "profit": money(sum_if(done, C("partner_income")) - F.sum("partner_subsidy_amount")),
+        "paid_total": total_if(done, C("amount_paid"), money), "rider_income_total": total_if(done, C("rider_income"), money),
+        "income": total_if(done, C("partner_income")), "subsidy": total("partner_subsidy_amount"),
     }
 
 
 def _per_order(df: DataFrame) -> DataFrame:
-    return df.withColumns({
+    money_left = df.withColumns({"partner_income_total": money(C("income")), "profit": money(C("income") - C("subsidy"))}).drop("income", "subsidy")
+    return money_left.withColumns({
         "ticket": average_money(C("paid_total"), C("completed_orders")), "rider_income_per_order": average_money(C("rider_income_total"), C("completed_orders")),
         "completion_rate": ratio_null(C("completed_orders"), C("total_orders")), "cancel_rate": ratio_null(C("cancelled_orders"), C("total_orders")),
         "efficiency": ratio_null(C("completed_orders"), C("active_riders"), 2),
@@ -123,14 +124,14 @@ def _dated(x: Layers, keep_missing: bool = False) -> DataFrame:
 
 def nation_day(x: Layers) -> DataFrame:
     keys = {"order_month": F.date_format("order_date", "yyyy-MM"), "date": C("order_date"), **{n: C(n) for n in _LABELS[1:]}}
-    more = {"active_partners": F.count_distinct("partner_id"), "new_partners": _there(C("is_new_partner_order"), "partner_id")}
+    more = {"active_partners": _there(None, "partner_id"), "new_partners": _there(C("is_new_partner_order"), "partner_id")}
     return _per_order(measured(_dated(x, True), keys, *_COUNTS, *_SUBSIDIES, **more, **_business()))
 
 
 def partner_day(x: Layers) -> DataFrame:
     keys = {"order_month": F.date_format("order_date", "yyyy-MM"), "partner_id": C("partner_id"), "date": C("order_date")}
     done = C("is_completed")
-    old = {"old_rider_orders": count_if(done & ~C("is_new_rider_order")), "old_merchant_orders": count_if(done & ~C("is_new_merchant_order"))}
+    old = {"old_rider_orders": count(done & ~C("is_new_rider_order")), "old_merchant_orders": count(done & ~C("is_new_merchant_order"))}
     return _per_order(measured(_dated(x), keys, *_LABELS, *_COUNTS, "new_rider_orders", "new_merchant_orders", *_SUBSIDIES, **old, **_business()))
 
 
@@ -145,13 +146,12 @@ def partner_hour(x: Layers) -> DataFrame:
     made = F.when(C("order_date").isNotNull() & C("order_hour").isNotNull(), place(C("order_month"), C("order_date"), C("order_hour")))
     took = place(F.date_format(at, "yyyy-MM"), F.to_date(at), C("accept_hour"))
     took = F.when(C("rider_id").isNotNull() & C("accept_hour").isNotNull() & at.isNotNull(), took)
-    flags = ("is_completed", "is_cancelled", "is_valid_order", "is_valid_cancel_order")
-    rows = ads.events(x.included(x.fact), made, took, flags, _LABELS)
+    rows = ads.events(x.included(x.fact), made, took)
     keys = {"order_month": C("event.at.month"), "partner_id": C("partner_id"), "date": C("event.at.date"), "hour": C("event.at.hour")}
-    done = {f"{k}_completed_orders": count_if(C("is_completed") & (C("employment_type") == k)) for k in kinds}
+    done = {f"{k}_completed_orders": count(C("is_completed") & (C("employment_type") == k)) for k in kinds}
     riders = {f"{k}_accepted_riders": _there(~C("is_made") & (C("employment_type") == k), "rider_id") for k in kinds}
     out = measured(
-        rows, keys, *_LABELS, *_COUNTS[1:], "valid_cancel_orders", total_orders=count_if(C("is_made")), accepted_riders=_there(~C("is_made"), "rider_id"), **done, **riders,
+        rows, keys, *_LABELS, *_COUNTS, "valid_cancel_orders", accepted_riders=_there(~C("is_made"), "rider_id"), counts=C("is_made"), **done, **riders,
     ).filter("total_orders > 0")
 
     def share(a: str, b: str, digits: int) -> Column:

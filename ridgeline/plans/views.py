@@ -90,7 +90,7 @@ def sla(on_time: float, minutes: float) -> dict[str, Column]:
 
 
 def entities() -> dict[str, Column]:
-    return {n: ads.MEASURES[n]() for n in ("active_merchants", "new_merchants", "active_riders", "new_riders")}
+    return {n: ads.MEASURES[n]().column for n in ("active_merchants", "new_merchants", "active_riders", "new_riders")}
 
 
 def agg(df: DataFrame, keys: list[str | Column], *groups: dict[str, Column]) -> DataFrame:
@@ -193,7 +193,7 @@ def daily_trend(admin_partner: DataFrame, f: Filters, only_new: tuple[str, ...]
 def ranking(fact: DataFrame, f: Filters, cfg: Settings, level: str = "all", n: int = 50) -> DataFrame:
     """The ``n`` partners, provinces or cities with most completed orders."""
     keys = {"all": ["partner_id"], "province": ["province"], "city": ["province", "city"]}[level]
-    out = with_rates(agg(f.apply(fact), keys, runtime(cfg.cancel_minutes), finance(), {"active_riders": ads.MEASURES["active_riders"]()}))
+    out = with_rates(agg(f.apply(fact), keys, runtime(cfg.cancel_minutes), finance(), {"active_riders": ads.MEASURES["active_riders"]().column}))
     return top(out, n, F.desc("completed_orders"), *[F.asc_nulls_last(k) for k in keys])
 
 
@@ -229,7 +229,7 @@ def partner_scores(fact: DataFrame, f: Filters, cfg: Settings, days: int | None
     """All partners with their health scores."""
     own = agg(
         f.apply(fact).filter(C("partner_id").isNotNull()), ["partner_id"], {"partner_name": F.max("partner_name")}, runtime(cfg.cancel_minutes), finance(), entities(),
-        {"new_merchant_orders": ads.MEASURES["new_merchant_orders"]()},
+        {"new_merchant_orders": ads.MEASURES["new_merchant_orders"]().column},
     )
     own = with_rates(own)
     return scored(own, days or day_count(f.start, f.end))
@@ -347,7 +347,7 @@ DIAGNOSES = {
 def overview(fact: DataFrame, f: Filters, cfg: Settings, threshold: float | None = None, sla_minutes: int | None = None) -> DataFrame:
     """One row: the partner's counts, money, service level, health and what to look at; none if it has no orders."""
     rows = f.apply(fact)
-    more = {"new_rider_orders": ads.MEASURES["new_rider_orders"](), "new_merchant_orders": ads.MEASURES["new_merchant_orders"](), "dates": F.count_distinct("order_date"),
+    more = {"new_rider_orders": ads.MEASURES["new_rider_orders"]().column, "new_merchant_orders": ads.MEASURES["new_merchant_orders"]().column, "dates": F.count_distinct("order_date"),
             **{n: F.max(n) for n in ("partner_id", "partner_name", *_PLACE)}}
     out = agg(rows, [], runtime(cfg.threshold(threshold)), finance(), sla(cfg.on_time_minutes, sla_minutes or cfg.sla_minutes), entities(), more).filter("total_orders > 0")
     days = F.lit(day_count(f.start, f.end)) if f.start and f.end else C("dates")
