@@ -20,12 +20,6 @@ def sum_if(condition: Column, value: Column) -> Column:
     return F.sum(F.when(condition, value).otherwise(F.lit(0.0)))
 
 
-def distinct_if(condition: Column | None, value: Column) -> Column:
-    """Distinct values that are neither missing nor blank, where the condition holds."""
-    there = value.isNotNull() & (F.trim(value) != "")
-    return F.count_distinct(F.when(there if condition is None else condition & there, value))
-
-
 # ---------------------------------------------------------------- numbers
 
 

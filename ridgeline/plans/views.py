@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.config import Settings, Tier
-from ridgeline.functions.expressions import average_money, blank_to_null, count_if, distinct_if, half_up, minutes_between, money, quotient, ratio0, repaired, sum_if
+from ridgeline.functions.expressions import average_money, blank_to_null, count_if, half_up, minutes_between, money, quotient, ratio0, repaired, sum_if
 from ridgeline.functions.health import scored
+from ridgeline.functions.measures import Measure, aggregate, count, distinct, most, total_if
 from ridgeline.functions.periods import check_window, day_count, period_of, within
 from ridgeline.operators import ads
 from ridgeline.operators.ads import NO_SOURCE, C
@@ -61,40 +62,44 @@ def per_order(total: str | Column, n: str | Column) -> Column:
     return F.coalesce(average_money(a, b), F.lit(0.0))
 
 
-def runtime(threshold: float) -> dict[str, Column]:
+def runtime(threshold: float) -> dict[str, Measure]:
     """Order counts in which the request's own threshold decides what a valid cancellation is."""
     late = C("is_cancelled") & C("is_paid") & (F.coalesce("pay_cancel_minutes", F.lit(0.0)) > threshold)
     return {
-        "total_orders": F.count(F.lit(1)), "valid_orders": count_if(C("is_completed") | late), "completed_orders": count_if(C("is_completed")),
-        "cancelled_orders": count_if(C("is_cancelled")), "valid_cancel_orders": count_if(late),
+        "total_orders": count(), "valid_orders": count(C("is_completed") | late), "completed_orders": count(C("is_completed")),
+        "cancelled_orders": count(C("is_cancelled")), "valid_cancel_orders": count(late),
     }
 
 
-def finance() -> dict[str, Column]:
+def finance() -> dict[str, Measure]:
     done = C("is_completed")
     return {
-        "received": money(sum_if(done, C("amount_paid"))), "rider_commission": money(sum_if(done, C("rider_income"))),
-        "partner_income": money(sum_if(done, C("partner_income"))), "partner_subsidy": money(sum_if(done, C("partner_subsidy_amount"))),
-        "hq_subsidy": money(sum_if(done, C("hq_subsidy_amount"))),
+        "received": total_if(done, C("amount_paid"), money), "rider_commission": total_if(done, C("rider_income"), money),
+        "partner_income": total_if(done, C("partner_income"), money), "partner_subsidy": total_if(done, C("partner_subsidy_amount"), money),
+        "hq_subsidy": total_if(done, C("hq_subsidy_amount"), money),
     }
 
 
-def sla(on_time: float, minutes: float) -> dict[str, Column]:
+def sla(on_time: float, minutes: float) -> dict[str, Measure]:
     """Completed orders by the time from acceptance; those without it are left out of the base."""
     took = minutes_between(C("accept_time"), C("complete_time"))
     base = C("is_completed") & took.isNotNull()
     return {
-        "sla_base": count_if(base), "on_time_orders": count_if(base & (took <= on_time)), "sla_on_time_orders": count_if(base & (took <= minutes)),
-        "sla_overtime_orders": count_if(base & (took > minutes)),
+        "sla_base": count(base), "on_time_orders": count(base & (took <= on_time)), "sla_on_time_orders": count(base & (took <= minutes)),
+        "sla_overtime_orders": count(base & (took > minutes)),
     }
 
 
-def entities() -> dict[str, Column]:
-    return {n: ads.MEASURES[n]().column for n in ("active_merchants", "new_merchants", "active_riders", "new_riders")}
+def entities() -> dict[str, Measure]:
+    return {n: ads.MEASURES[n]() for n in ("active_merchants", "new_merchants", "active_riders", "new_riders")}
 
 
-def agg(df: DataFrame, keys: list[str | Column], *groups: dict[str, Column]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[c.alias(n) for g in groups for n, c in g.items()])
+def agg(df: DataFrame, keys: list[str] | dict[str, Column], *groups: dict[str, Measure]) -> DataFrame:
+    """Measures by keys; without keys one row."""
+    wanted = {n: m for g in groups for n, m in g.items()}
+    if not keys:
+        return df.agg(*[m.column.alias(n) for n, m in wanted.items()])
+    return aggregate(df, keys if isinstance(keys, dict) else {k: C(k) for k in keys}, wanted)
 
 
 def with_rates(df: DataFrame) -> DataFrame:
@@ -169,7 +174,7 @@ def admin_summary(fact: DataFrame, f: Filters, cfg: Settings) -> DataFrame:
     of += [F.struct(F.lit(n).alias("kind"), blank_to_null(C(f"{n}_id")).alias("id"), C(f"is_new_{n}_order").alias("is_new")) for n in _ENTITIES]
     rows = f.apply(fact).withColumn("of", F.explode(F.array(*of))).select("*", "of.*").filter("id IS NOT NULL")
     whole = {**runtime(cfg.cancel_minutes), **finance()}
-    each = agg(rows, ["kind", "id"], whole, {"new_completed": count_if(C("is_completed") & C("is_new"))})
+    each = agg(rows, ["kind", "id"], whole, {"new_completed": count(C("is_completed") & C("is_new"))})
     least = max(cfg.active_orders, 1)
     counts = runtime(cfg.cancel_minutes)
     out = [F.max(F.when(C("kind") == "all", C(n))).alias(n) for n in whole]
@@ -193,7 +198,7 @@ def daily_trend(admin_partner: DataFrame, f: Filters, only_new: tuple[str, ...]
 def ranking(fact: DataFrame, f: Filters, cfg: Settings, level: str = "all", n: int = 50) -> DataFrame:
     """The ``n`` partners, provinces or cities with most completed orders."""
     keys = {"all": ["partner_id"], "province": ["province"], "city": ["province", "city"]}[level]
-    out = with_rates(agg(f.apply(fact), keys, runtime(cfg.cancel_minutes), finance(), {"active_riders": ads.MEASURES["active_riders"]().column}))
+    out = with_rates(agg(f.apply(fact), keys, runtime(cfg.cancel_minutes), finance(), {"active_riders": ads.MEASURES["active_riders"]()}))
     return top(out, n, F.desc("completed_orders"), *[F.asc_nulls_last(k) for k in keys])
 
 
@@ -228,8 +233,8 @@ def new_partner_orders(fact: DataFrame, partners: DataFrame, f: Filters, n: int
 def partner_scores(fact: DataFrame, f: Filters, cfg: Settings, days: int | None = None) -> DataFrame:
     """All partners with their health scores."""
     own = agg(
-        f.apply(fact).filter(C("partner_id").isNotNull()), ["partner_id"], {"partner_name": F.max("partner_name")}, runtime(cfg.cancel_minutes), finance(), entities(),
-        {"new_merchant_orders": ads.MEASURES["new_merchant_orders"]().column},
+        f.apply(fact).filter(C("partner_id").isNotNull()), ["partner_id"], {"partner_name": most("partner_name")}, runtime(cfg.cancel_minutes), finance(), entities(),
+        {"new_merchant_orders": ads.MEASURES["new_merchant_orders"]()},
     )
     own = with_rates(own)
     return scored(own, days or day_count(f.start, f.end))
@@ -285,18 +290,18 @@ def _hour_events(rows: DataFrame, threshold: float, bucket: str) -> DataFrame:
     return out.select("*", "e.*").drop("e").filter("date IS NOT NULL AND hour IS NOT NULL")
 
 
-def _riders(prefix: str = "") -> dict[str, Column]:
-    out = {"accepted_riders": distinct_if(C("took"), C("rider_id"))}
-    return out | {f"{k}_accepted_riders": distinct_if(C("took") & (C("employment_type") == k), C("rider_id")) for k in KINDS}
+def _riders(prefix: str = "") -> dict[str, Measure]:
+    out = {"accepted_riders": distinct(C("took"), "rider_id")}
+    return out | {f"{k}_accepted_riders": distinct(C("took") & (C("employment_type") == k), "rider_id") for k in KINDS}
 
 
-def _hour_counts() -> dict[str, Column]:
+def _hour_counts() -> dict[str, Measure]:
     made = C("made")
     out = {
-        "total_orders": count_if(made), "completed_orders": count_if(made & C("is_completed")), "cancelled_orders": count_if(made & C("is_cancelled")),
-        "valid_orders": count_if(made & C("valid")),
+        "total_orders": count(made), "completed_orders": count(made & C("is_completed")), "cancelled_orders": count(made & C("is_cancelled")),
+        "valid_orders": count(made & C("valid")),
     }
-    return out | {f"{k}_completed_orders": count_if(made & C("is_completed") & (C("employment_type") == k)) for k in KINDS} | _riders()
+    return out | {f"{k}_completed_orders": count(made & C("is_completed") & (C("employment_type") == k)) for k in KINDS} | _riders()
 
 
 def _hour_rates(df: DataFrame) -> DataFrame:
@@ -347,8 +352,8 @@ DIAGNOSES = {
 def overview(fact: DataFrame, f: Filters, cfg: Settings, threshold: float | None = None, sla_minutes: int | None = None) -> DataFrame:
     """One row: the partner's counts, money, service level, health and what to look at; none if it has no orders."""
     rows = f.apply(fact)
-    more = {"new_rider_orders": ads.MEASURES["new_rider_orders"]().column, "new_merchant_orders": ads.MEASURES["new_merchant_orders"]().column, "dates": F.count_distinct("order_date"),
-            **{n: F.max(n) for n in ("partner_id", "partner_name", *_PLACE)}}
+    more = {"new_rider_orders": ads.MEASURES["new_rider_orders"](), "new_merchant_orders": ads.MEASURES["new_merchant_orders"](), "dates": distinct(None, "order_date", blanks=True),
+            **{n: most(n) for n in ("partner_id", "partner_name", *_PLACE)}}
     out = agg(rows, [], runtime(cfg.threshold(threshold)), finance(), sla(cfg.on_time_minutes, sla_minutes or cfg.sla_minutes), entities(), more).filter("total_orders > 0")
     days = F.lit(day_count(f.start, f.end)) if f.start and f.end else C("dates")
     out = scored(with_rates(out), days)
@@ -361,7 +366,7 @@ def overview(fact: DataFrame, f: Filters, cfg: Settings, threshold: float | None
 
 def partner_daily(fact: DataFrame, f: Filters, cfg: Settings, threshold: float | None = None, sla_minutes: int | None = None) -> DataFrame:
     groups = (runtime(cfg.threshold(threshold)), finance(), sla(cfg.on_time_minutes, sla_minutes or cfg.sla_minutes), entities())
-    return with_rates(agg(f.apply(fact), [C("order_date").alias("date")], *groups))
+    return with_rates(agg(f.apply(fact), {"date": C("order_date")}, *groups))
 
 
 def rider_matrix(fact: DataFrame, riders: DataFrame, f: Filters, cfg: Settings, new: str = "all") -> DataFrame:
@@ -432,7 +437,7 @@ def merchant_like_users(user_day: DataFrame, f: Filters, cfg: Settings, n: int =
 
 def order_sources(fact: DataFrame, f: Filters, cfg: Settings) -> DataFrame:
     source = F.coalesce(blank_to_null(C("order_source")), F.lit(NO_SOURCE))
-    out = with_rates(agg(f.apply(fact), [source.alias("order_source")], runtime(cfg.cancel_minutes)))
+    out = with_rates(agg(f.apply(fact), {"order_source": source}, runtime(cfg.cancel_minutes)))
     return out.withColumn("share", ratio0(C("total_orders"), F.sum("total_orders").over(Window.partitionBy())))
 
 
@@ -464,8 +469,8 @@ def cancel_daily(fact: DataFrame, f: Filters, cfg: Settings, threshold: float |
         "unaccepted_timeout_offline_cancel_orders": none & waited & ~C("service_online_flag"), "unaccepted_not_timeout_cancel_orders": none & ~waited,
         "accepted_noliability_cancel_orders": C("is_accepted_cancel") & C("is_rider_noliability_cancel"), "unpaid_cancel_orders": C("is_cancelled") & ~C("is_paid"),
     }
-    groups = (runtime(limit), {n: count_if(c) for n, c in kinds.items()}, finance(), sla(cfg.on_time_minutes, sla_minutes or cfg.sla_minutes))
-    out = agg(f.apply(fact), [C("order_date").alias("date")] if by_day else [], *groups, {} if by_day else entities())
+    groups = (runtime(limit), {n: count(c) for n, c in kinds.items()}, finance(), sla(cfg.on_time_minutes, sla_minutes or cfg.sla_minutes))
+    out = agg(f.apply(fact), {"date": C("order_date")} if by_day else {}, *groups, {} if by_day else entities())
     return with_rates(out).withColumn("unaccepted_timeout_online_cancel_rate", ratio0(C("unaccepted_timeout_online_cancel_orders"), C("total_orders")))
 
 
@@ -473,13 +478,13 @@ def direct_hours(fact: DataFrame, f: Filters, cfg: Settings, threshold: float |
     """Orders and riders by the hour the orders were made in; without dates, those of all dates added up."""
     took = C("accept_time").isNotNull()
     counts = runtime(cfg.threshold(threshold)) | {
-        "unpaid_orders": count_if(C("is_cancelled") & ~C("is_paid")), "unaccepted_cancel_orders": count_if(C("is_unaccepted_cancel")), "accepted_cancel_orders": count_if(C("is_accepted_cancel")),
-        "accepted_riders": distinct_if(took, C("rider_id")),
+        "unpaid_orders": count(C("is_cancelled") & ~C("is_paid")), "unaccepted_cancel_orders": count(C("is_unaccepted_cancel")), "accepted_cancel_orders": count(C("is_accepted_cancel")),
+        "accepted_riders": distinct(took, "rider_id"),
     }
     for k in KINDS:
         own = C("is_completed") & (C("employment_type") == k)
-        counts |= {f"{k}_completed_orders": count_if(own), f"{k}_riders": distinct_if(own, C("rider_id"))}
-    each = agg(f.apply(fact).filter("order_hour IS NOT NULL"), [C("order_date").alias("date"), C("order_hour").alias("hour")], counts)
+        counts |= {f"{k}_completed_orders": count(own), f"{k}_riders": distinct(own, "rider_id")}
+    each = agg(f.apply(fact).filter("order_hour IS NOT NULL"), {"date": C("order_date"), "hour": C("order_hour")}, counts)
     if not by_date:
         each = each.groupBy("hour").agg(*[F.sum(n).alias(n) for n in counts])
     return with_rates(each).withColumns({f"{k}_efficiency": ratio0(C(f"{k}_completed_orders"), C(f"{k}_riders"), 2) for k in KINDS})
@@ -537,7 +542,7 @@ def source_comparison(source_day: DataFrame, fact: DataFrame, baseline, current,
     names = {c: C(c) for c in ("total_orders", "unaccepted_cancel_orders", "accepted_cancel_orders", "unpaid_orders", "completed_orders")}
     out = _by_period(source_day.drop("partner_name"), ["order_source"], names, baseline, current)
     own = fact.filter(C("order_date").isNotNull() & within(C("order_date"), current))
-    valid = agg(own, [F.coalesce(blank_to_null(C("order_source")), F.lit(NO_SOURCE)).alias("order_source")], {"current_valid_orders": count_if(C("is_valid_order"))})
+    valid = agg(own, {"order_source": F.coalesce(blank_to_null(C("order_source")), F.lit(NO_SOURCE))}, {"current_valid_orders": count(C("is_valid_order"))})
     return out.join(valid, "order_source", "left").select(
         "order_source", "baseline_total_orders", "current_total_orders", (C("current_total_orders") - C("baseline_total_orders")).alias("change_total_orders"),
         "baseline_unaccepted_cancel_orders", "current_unaccepted_cancel_orders", "current_completed_orders", F.coalesce("current_valid_orders", F.lit(0)).alias("current_valid_orders"),
