@@ -93,17 +93,17 @@ def _matrix(f: DataFrame, x: Rosters) -> DataFrame:
 
 #: The dashboard's views by name, from the fact and the rosters.
 VIEWS: dict[str, Callable[[DataFrame, Rosters], DataFrame]] = {
-    "e1_directory": lambda f, x: views.directory(x.partners, ads.partner_day(f)),
-    "e1_regions": lambda f, x: views.regions(ads.partner_day(f)),
+    "e1_directory": lambda f, x: views.directory(x.partners, ads.partner_day(f, entities=False)),
+    "e1_regions": lambda f, x: views.regions(ads.partner_day(f, entities=False)),
     "e3a_admin_summary": lambda f, x: views.admin_summary(f, WINDOW, CFG),
-    "e3d_daily_trend": lambda f, x: views.daily_trend(ads.admin_partner(f), WINDOW),
+    "e3d_daily_trend": lambda f, x: views.daily_trend(ads.admin_partner(f, entities=False), WINDOW),
     "e3e_ranking": lambda f, x: views.ranking(f, WINDOW, CFG),
     "e3e_ranking_city": lambda f, x: views.ranking(f, WINDOW, CFG, "city"),
     "e3f_partner_tiers": lambda f, x: views.partner_tiers(f, WINDOW, CFG),
     "e3g_new_partner_orders": lambda f, x: views.new_partner_orders(f, x.partners, WINDOW),
     "e3i_watch_red": lambda f, x: views.watch_list(f, WINDOW, CFG, "red"),
     "e3i_watch_yellow": lambda f, x: views.watch_list(f, WINDOW, CFG, "yellow"),
-    "e3j_recent_days": lambda f, x: views.recent_days(ads.partner_day(f), date(2026, 4, 30)),
+    "e3j_recent_days": lambda f, x: views.recent_days(ads.partner_day(f, entities=False), date(2026, 4, 30)),
     "e4_fluctuation": lambda f, x: views.fluctuation(ads.partner_day(f), CFG),
     "e5_hours": lambda f, x: views.hours(WINDOW.apply(f), CFG.cancel_minutes, by_date=False),
     "e6_health": lambda f, x: views.health(f, WINDOW, CFG),
@@ -132,7 +132,7 @@ VIEWS: dict[str, Callable[[DataFrame, Rosters], DataFrame]] = {
     "e22_source_comparison": lambda f, x: views.source_comparison(ads.source_day(f), f, MARCH, APRIL, CFG),
     "e23_coupons": lambda f, x: views.coupons(ads.coupon_day(f), WINDOW),
     "c2_heatmap": lambda f, x: views.heatmap(ads.partner_hour(f), total=True),
-    "c3_last_dates": lambda f, x: views.last_dates(ads.partner_day(f)),
+    "c3_last_dates": lambda f, x: views.last_dates(ads.partner_day(f, entities=False)),
     "c4_extremes": lambda f, x: views.extremes(views.partner_scores(f, WINDOW, CFG).select("partner_id", "health_score"), "health_score", "partner_id"),
     "c5_peak_hour": lambda f, x: views.peak_hour(views.hours(WINDOW.apply(f), CFG.cancel_minutes, by_date=False)),
 }

@@ -76,7 +76,7 @@ def distinct(condition: Column | None, name: str, blanks: bool = False) -> Measu
 def aggregate(rows: DataFrame, keys: dict[str, Column], wanted: dict[str, Measure], counts: Column | None = None) -> DataFrame:
     """``rows`` grouped by named keys, one column a measure.
 
-    Without distinct counts this is one grouping.  With them each row becomes a base row, which
+    Without distinct counts, or with one and no greatest value, this is one grouping.  Else each row becomes a base row, which
     counts and sums, and a row for each column of distinct values under one of whose conditions it
     falls.  A first grouping by key and value leaves each value once, with one flag a condition; a
     second one counts flags and adds up base rows.  Greatest values, whose buffers no hash aggregate
@@ -89,10 +89,10 @@ def aggregate(rows: DataFrame, keys: dict[str, Column], wanted: dict[str, Measur
         if m.kind == "distinct":
             values.setdefault(m.name, []).append(n)
     by = [c.alias(n) for n, c in keys.items()]
-    if not values:
-        return rows.groupBy(*by).agg(*[m.whole(m.part(counts)).alias(n) for n, m in wanted.items()])
     labels = [n for n, m in wanted.items() if m.kind == "most"]
     plain = [n for n, m in wanted.items() if m.kind in ("count", "sum", "any")]
+    if not values or sum(map(len, values.values())) == 1 and not labels:
+        return rows.groupBy(*by).agg(*[(m.column if m.kind == "distinct" else m.whole(m.part(counts))).alias(n) for n, m in wanted.items()])
     width = max(map(len, values.values()))
 
     def row(kind: int, value: Column, flags: list[Column]) -> Column:

@@ -95,13 +95,17 @@ def admin_day(dwd: DataFrame) -> DataFrame:
     return measured(_dated(dwd), _keys("order_month", "date", *_PLACE), *_COUNTS, "completion_rate", "active_partners", "new_partners", *_ACTIVE, *_SUBSIDIES)
 
 
-def admin_partner(dwd: DataFrame) -> DataFrame:
-    return measured(_dated(dwd), _keys("order_month", "date", "partner_id"), *_PLACE, "partner_name", "is_new_partner", *_COUNTS, "completion_rate", *_ACTIVE, *_SUBSIDIES)
+def admin_partner(dwd: DataFrame, entities: bool = True) -> DataFrame:
+    """``entities`` tells whether riders and merchants are counted, for which each order is read up to three times."""
+    active = _ACTIVE if entities else ()
+    return measured(_dated(dwd), _keys("order_month", "date", "partner_id"), *_PLACE, "partner_name", "is_new_partner", *_COUNTS, "completion_rate", *active, *_SUBSIDIES)
 
 
-def partner_day(dwd: DataFrame) -> DataFrame:
+def partner_day(dwd: DataFrame, entities: bool = True) -> DataFrame:
+    """``entities`` as in :func:`admin_partner`."""
+    active = _ACTIVE if entities else ()
     return measured(
-        _dated(dwd), _keys("order_month", "partner_id", "date"), "partner_name", *_PLACE, *_COUNTS, "completion_rate", "cancel_rate", *_ACTIVE,
+        _dated(dwd), _keys("order_month", "partner_id", "date"), "partner_name", *_PLACE, *_COUNTS, "completion_rate", "cancel_rate", *active,
         "new_rider_orders", "old_rider_orders", "new_merchant_orders", "old_merchant_orders", *_SUBSIDIES,
     )
 

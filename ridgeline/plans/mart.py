@@ -54,6 +54,11 @@ class Layers:
     def partner_day(self) -> DataFrame:
         return self.included(ads.partner_day(self.fact))
 
+    @property
+    def partner_orders(self) -> DataFrame:
+        """The partners' days without counts of riders and merchants."""
+        return self.included(ads.partner_day(self.fact, entities=False))
+
     def included(self, rows: DataFrame, keep_missing: bool = False) -> DataFrame:
         """Without the excluded partners; rows without partner only if asked for."""
         out = ~C("partner_id").isin(*self.cfg.excluded_partners) if self.cfg.excluded_partners else F.lit(True)
@@ -62,7 +67,7 @@ class Layers:
 
 def date_dim(x: Layers) -> DataFrame:
     """Every day from the first to the last of the partners' days."""
-    ends = x.partner_day.agg(F.min("date").alias("first"), F.max("date").alias("last")).filter("first IS NOT NULL")
+    ends = x.partner_orders.agg(F.min("date").alias("first"), F.max("date").alias("last")).filter("first IS NOT NULL")
     days = ends.select(F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("date"))
     number = F.dayofweek("date") - 1
     return days.select(
@@ -74,7 +79,7 @@ def date_dim(x: Layers) -> DataFrame:
 
 def partner_dim(x: Layers) -> DataFrame:
     columns = ("partner_id", "partner_name", "open_date", "province", "city", "district", "region_raw", "status")
-    both = x.included(x.partners).select(*columns).unionByName(x.partner_day.select("partner_id", "partner_name", "province", "city", "district"), allowMissingColumns=True)
+    both = x.included(x.partners).select(*columns).unionByName(x.partner_orders.select("partner_id", "partner_name", "province", "city", "district"), allowMissingColumns=True)
     out = both.filter(blank_to_null(C("partner_id")).isNotNull()).groupBy("partner_id").agg(*[F.max(c).alias(c) for c in columns[1:]])
     return out.withColumn("partner_name", F.coalesce("partner_name", "partner_id"))
 
@@ -217,7 +222,7 @@ def partner_health(x: Layers) -> DataFrame:
 def partner_swing(x: Layers) -> DataFrame:
     """Each partner's day against the one before."""
     before = F.lag("completed_orders").over(Window.partitionBy("partner_id").orderBy("date"))
-    rows = x.partner_day.select("partner_id", *_LABELS, "date", "completed_orders", before.alias("previous_orders"))
+    rows = x.partner_orders.select("partner_id", *_LABELS, "date", "completed_orders", before.alias("previous_orders"))
     now, then = C("completed_orders"), C("previous_orders")
     kind = F.when(then.isNull(), "无基准").when(then - now >= 100, "大幅下滑").when((now < then) & (quotient(then - now, then) >= 0.2), "比例下滑").otherwise("正常")
     return rows.withColumns({"change": now - F.coalesce(then, F.lit(0)), "change_rate": ratio_null(now - then, then), "swing": kind})
