@@ -6,14 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.config import Settings
+from ridgeline.functions import sizes
 from ridgeline.functions.expressions import blank_to_null, minutes_between
 
 
 def latest(rows: DataFrame, key: str, order: tuple[str, ...] = ("imported_at", "source_row_number")) -> DataFrame:
-    """The latest row of each key that is not blank; of rows equal in that, the one of the last file by name."""
+    """The latest row of each key that is not blank; of rows equal in that, the one of the last file by name.
+
+    The first row is the one that none is before: for a rank Spark would sort the rows before the shuffle too, which few repeats do not repay.
+    """
     by = [F.col(c).desc_nulls_last() for c in (*order, "file") if c in rows.columns]
-    ranked = rows.filter(blank_to_null(F.col(key)).isNotNull()).withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
-    return ranked.filter("__rank = 1").drop("__rank")
+    before = F.lag(F.lit(True)).over(Window.partitionBy(key).orderBy(*by))
+    return rows.filter(blank_to_null(F.col(key)).isNotNull()).withColumn("__before", before).filter("__before IS NULL").drop("__before")
+
+
+def latest_of_few(rows: DataFrame, key: str) -> DataFrame:
+    """As :func:`latest`, where few keys have several rows: only these rows are shuffled and sorted.
+
+    Repeated keys are found, and told to all tasks, by 64-bit hashes; a key that shares another's hash is looked at in vain.
+    Where they are too many to be told, all rows are ranked.
+    """
+    hashed = rows.filter(blank_to_null(F.col(key)).isNotNull()).withColumn("__hash", F.xxhash64(key))
+    # most keys are there once: brought together first, they are not counted twice
+    repeated = hashed.select("__hash").repartition("__hash").groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash")
+    if repeated.count() > sizes.REPEATED_IDS:
+        return latest(rows, key)
+    told = F.broadcast(repeated)
+    several = latest(hashed.join(told, "__hash", "left_semi"), key)
+    return hashed.join(told, "__hash", "left_anti").unionByName(several).drop("__hash")
 
 
 def _within(date: Column, since: Column, days: int) -> Column:
@@ -30,13 +50,14 @@ def build(orders: DataFrame, riders: DataFrame, merchants: DataFrame, partners:
 
     ``orders`` has normalised ids, typed times and amounts.  Of an order imported
     more than once the latest row counts.  Rosters have one row an id.
+    Rosters and repeated ids are counted when this is called, to choose how they are joined.
     """
     rows = orders if months is None else orders.filter(F.col("order_month").isin(*months))
-    o = latest(rows, "order_id").alias("o")
+    o = latest_of_few(rows, "order_id").alias("o")
     r = riders.select("rider_id", F.col("rider_name").alias("roster_rider"), "hire_date").alias("r")
     m = merchants.select("merchant_id", F.col("merchant_name").alias("roster_merchant"), F.col("shop_name").alias("roster_shop"), "register_date").alias("m")
     p = partners.select("partner_id", F.col("partner_name").alias("roster_partner"), "open_date", "province", "city", "district").alias("p")
-    joined = o.join(r, "rider_id", "left").join(m, "merchant_id", "left").join(p, "partner_id", "left")
+    joined = o.join(sizes.beside(r), "rider_id", "left").join(sizes.beside(m), "merchant_id", "left").join(sizes.beside(p), "partner_id", "left")
     status = F.coalesce(F.col("order_status"), F.lit(""))
     times = joined.withColumns({
         "order_month": F.coalesce("order_month", F.date_format("create_time", "yyyy-MM")),

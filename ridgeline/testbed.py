@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.functions import sizes
 
 #: The test tables that the orders are made from.
 TABLES = ("orders", "supplier", "nation", "region")
@@ -41,13 +42,16 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     n_suppliers = table("supplier").count()
     k, status = F.col("o_orderkey"), F.col("o_orderstatus")
     create = after(F.lit("2026-03-01 00:00:00").cast("timestamp_ntz"), k * 7919 % 5270400)
-    base = table("orders").join(suppliers, F.col("s_suppkey") == F.col("o_custkey") % n_suppliers, "left").withColumn("create_time", create)
+    base = table("orders").join(sizes.beside(suppliers), F.col("s_suppkey") == F.col("o_custkey") % n_suppliers, "left").withColumn("create_time", create)
+    # every 50th order was imported once before, as not yet done
+    twice = F.when(k % 50 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    base = base.withColumn("early", F.explode(twice))
     base = base.withColumns({
         "pay_time": F.when(k % 13 != 0, after(F.col("create_time"), (1 + k % 8) * 60)),
         "accept_time": F.when(~((status == "O") & (k % 5 < 3)), after(F.col("create_time"), (2 + k % 18) * 60)),
     })
     rider = k % 503
-    done = status == "F"
+    done, early = status == "F", F.col("early")
     orders = base.select(
         _text(k).alias("order_id"),
         F.date_format("create_time", "yyyy-MM").alias("order_month"),
@@ -59,12 +63,12 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
         _text(rider).alias("rider_id"),
         F.lit(None).cast("string").alias("rider_name"),
         F.when(rider % 10 < 6, "全职").when(rider % 10 < 9, "兼职").alias("employment_status"),
-        F.when(done, "已完成").when((status == "O") & (k % 4 == 0), "已取消（无责）").when(status == "O", "已取消").otherwise("配送中").alias("order_status"),
+        F.when(early, "配送中").when(done, "已完成").when((status == "O") & (k % 4 == 0), "已取消（无责）").when(status == "O", "已取消").otherwise("配送中").alias("order_status"),
         F.concat(F.lit("CS"), _text(k % 7)).alias("customer_service_id"),
         F.when(k % 29 != 0, F.col("o_orderpriority")).alias("order_source"),
         "create_time", "pay_time", "accept_time",
-        F.when(status == "O", after(F.coalesce("pay_time", "create_time"), (2 + k % 35) * 60)).alias("cancel_time"),
-        F.when(done, after(F.col("accept_time"), (12 + k % 42) * 60)).alias("complete_time"),
+        F.when(~early & (status == "O"), after(F.coalesce("pay_time", "create_time"), (2 + k % 35) * 60)).alias("cancel_time"),
+        F.when(~early & done, after(F.col("accept_time"), (12 + k % 42) * 60)).alias("complete_time"),
         (F.round("o_totalprice") / 100).alias("order_price"),
         (F.round("o_totalprice") / 100).alias("amount_payable"),
         (F.round("o_totalprice") / 100).alias("amount_paid"),
@@ -77,14 +81,9 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
         F.when(done, F.lit(0.5)).otherwise(F.lit(0.0)).alias("hq_income"),
         F.when(done, F.lit(0.2)).otherwise(F.lit(0.0)).alias("maiyatian_income"),
         F.lit(0.1).alias("insurance_fee"),
-        F.lit("2026-05-01 00:00:00").cast("timestamp_ntz").alias("imported_at"),
+        F.when(early, F.lit("2026-04-30 00:00:00").cast("timestamp_ntz")).otherwise(F.lit("2026-05-01 00:00:00").cast("timestamp_ntz")).alias("imported_at"),
         k.alias("source_row_number"),
     )
-    # every 50th order was imported once before, as not yet done
-    early = orders.filter(F.col("source_row_number") % 50 == 0).withColumns({
-        "imported_at": F.lit("2026-04-30 00:00:00").cast("timestamp_ntz"), "order_status": F.lit("配送中"),
-        "complete_time": F.lit(None).cast("timestamp_ntz"), "cancel_time": F.lit(None).cast("timestamp_ntz"),
-    })
     ids = table("orders").select(rider.alias("id")).distinct()
     riders = ids.select(
         _text(F.col("id")).alias("rider_id"), F.concat(F.lit("骑手"), _text(F.col("id"))).alias("rider_name"), _day(F.col("id")).alias("hire_date"),
@@ -100,7 +99,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
         _day(F.col("n_nationkey")).alias("open_date"), F.col("r_name").alias("province"), F.col("n_name").alias("city"),
         F.lit(None).cast("string").alias("district"), F.concat_ws(" ", "r_name", "n_name").alias("region_raw"), F.lit("正常").alias("status"),
     )
-    return Inputs(orders.unionByName(early), riders, merchants, partners)
+    return Inputs(orders, riders, merchants, partners)
 
 
 #: The same as SQL: common table expressions for the oracles.
