@@ -44,12 +44,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p))
 
 
-def replace_months(df: DataFrame, path: str, column: str = "order_month") -> None:
+def replace_months(df: DataFrame, path: str, column: str = "order_month", parts: int = 1, key: str = "order_id") -> None:
     """Write the rows of ``df``; months that it has are replaced whole, all others stay.
 
-    Rows are brought together by month, and adaptive execution cuts a large month into several files.
+    Rows are brought together by month, and adaptive execution cuts a large month into several files.  It cuts between the
+    outputs of tasks only: where few tasks make a month's rows, ``parts`` deals these by their key first, so that sorting a piece fits the memory.
     """
-    df.hint("rebalance", column).write.partitionBy(column).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    if parts == 1:
+        rows = df.hint("rebalance", column)
+    else:
+        rows = df.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts))).hint("rebalance", column, "__part").drop("__part")
+    rows.write.partitionBy(column).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def drop_partners(df: DataFrame, excluded: tuple[str, ...]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ridgeline import catalog, testbed
 from ridgeline.functions import sizes
 from ridgeline.operators import dwd
+from ridgeline.sources import tables
 
 
 @pytest.fixture
@@ -77,3 +78,14 @@ def test_orders_of_the_test_bed_come_from_one_reading(spark, sf_dir):
     assert "Union" not in plan(rows)
     n = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderkey") % 50 == 0).alias("again")).first()
     assert rows.count() == n.n + n.again and n.again > 0
+
+
+def test_a_month_that_one_task_made_is_cut_before_it_is_sorted(spark, tmp_path):
+    rows = spark.range(0, 20000, 1, 1).select(F.lit("2026-03").alias("order_month"), F.col("id").cast("string").alias("order_id"), F.sha2(F.col("id").cast("string"), 512).alias("x"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        tables.replace_months(rows, str(tmp_path / "t"), parts=16)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "t" / "order_month=2026-03").glob("*.parquet"))) > 1
+    assert sorted(map(repr, spark.read.parquet(str(tmp_path / "t")).select("order_month", "order_id", "x").collect())) == sorted(map(repr, rows.collect()))
